@@ -28,8 +28,14 @@ def op3_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return through_archives(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tokens import through_files
+
+    return through_files(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op2_pivot_top_k, op3_arc_to_warc)
+    f.__name__: f for f in (op1_mix_sources, op2_pivot_top_k, op3_arc_to_warc, op4_huffman_tokens)
 }
 
 ORACLE: dict[str, str] = {}
