@@ -34,8 +34,22 @@ def op4_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return through_files(read(spark, sf_dir, "documents"))
 
 
+def op6_fm_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import find_benchmark
+
+    found = find_benchmark(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        F.col("_found_n_words").alias("n_words"),
+        F.col("_found_n_hit").alias("n_hit"),
+        F.size("_found_items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("_found_items", ","), 256).alias("items_sha256"),
+        (F.col("_found_n_hit") > 0).alias("contaminated"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op2_pivot_top_k, op3_arc_to_warc, op4_huffman_tokens)
+    f.__name__: f for f in (op1_mix_sources, op2_pivot_top_k, op3_arc_to_warc, op4_huffman_tokens, op6_fm_decontaminate)
 }
 
 ORACLE: dict[str, str] = {}
