@@ -54,8 +54,16 @@ def op7_setsketch_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fold, identified
+
+    found = identified(read(spark, sf_dir, "documents"), ["doc_id", "text"])
+    held_out = F.coalesce(fold(F.col("doc_id")) == 0, F.lit(True))
+    return found.select("doc_id", held_out.alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_lang_score").alias("score"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op2_pivot_top_k, op3_arc_to_warc, op4_huffman_tokens, op6_fm_decontaminate, op7_setsketch_near_duplicates)
+    f.__name__: f for f in (op1_mix_sources, op2_pivot_top_k, op3_arc_to_warc, op4_huffman_tokens, op6_fm_decontaminate, op7_setsketch_near_duplicates, op10_language_id)
 }
 
 ORACLE: dict[str, str] = {}
