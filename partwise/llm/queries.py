@@ -75,8 +75,14 @@ def op8_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import license_matches
+
+    return license_matches(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op2_pivot_top_k, op3_arc_to_warc, op4_huffman_tokens, op5_context_tree_score, op6_fm_decontaminate, op7_setsketch_near_duplicates, op8_pii_bootstrap, op10_language_id)
+    f.__name__: f for f in (op1_mix_sources, op2_pivot_top_k, op3_arc_to_warc, op4_huffman_tokens, op5_context_tree_score, op6_fm_decontaminate, op7_setsketch_near_duplicates, op8_pii_bootstrap, op9_license_scan, op10_language_id)
 }
 
 ORACLE: dict[str, str] = {}
