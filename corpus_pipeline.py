@@ -1,15 +1,62 @@
-"""A training-corpus pipeline of five stages over ``documents``."""
+"""A training-corpus pipeline over ``documents``.
+
+Language identification drops texts without a language, near-duplicate groups
+keep one document, documents with benchmark passages go, the sources are mixed
+to target weights (documents repeat by whole epochs), and what remains is
+written as Huffman-coded token ids. Every stage works on all rows of the one
+before it; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from partwise.llm import decontam, langid, mixing, neardup, tokens
 from partwise.llm.common import read, stored
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+#: Calibrated probability below which a prediction is rejected.
+LEAST_SCORE = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents without a recognised language."""
+    found = langid.identified(docs, docs.columns)
+    return found.where((F.col("_lang_pred") != langid.UNKNOWN) & (F.col("_lang_score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each near-duplicate group."""
+    return neardup.deduplicated(docs).select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a benchmark passage."""
+    found = decontam.find_benchmark(docs, read(spark, sf_dir, "benchmark"))
+    return found.where(F.col("_found_n_hit") == 0).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mix the sources to their targets; a document occurs once per copy taken."""
+    return mixing.mixed_documents(docs, mixing.text_quality(F.col("text")))
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Write token ids as Huffman files and read them back: doc_id, start, n_tokens, ids_crc32."""
+    return tokens.through_files(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("decontaminate", decontaminate),
+    ("mix_sources", mix_sources),
+    ("token_ids", token_ids),
+]
 
+#: Several stages (sketches, learned weights, tokens) have no SQL; tests compare with brute force.
 ORACLE_SQL: str | None = None
 
 

@@ -32,7 +32,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, salted_lookup, stored
@@ -345,3 +345,20 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", star_rounds:
     answer = salted_lookup(table.select("doc_id", "n", "node"), of_found.unionByName(of_copies), "node", F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return answer.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
+    """The rows of ``docs`` that stay: one of each group, all without a doc_id; columns as given."""
+    answer = stored(near_duplicates(docs, doc_id, text), "groups")
+    known = answer.where(F.col("doc_id").isNotNull())
+    leaving = known.where("not kept").select("doc_id").distinct()
+    if leaving.limit(PICK_ROWS + 1).count() <= PICK_ROWS:
+        leaving = F.broadcast(leaving)
+    else:
+        leaving = leaving.hint("merge")
+    leaving = leaving.withColumnRenamed("doc_id", "_leaving")
+    rest = docs.join(leaving, docs[doc_id].cast("long") == F.col("_leaving"), "left_anti")
+    if known.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return rest
+    nth = F.row_number().over(Window.partitionBy(doc_id).orderBy(F.col(text).asc_nulls_last()))
+    return rest.withColumn("_nth", nth).where((F.col("_nth") == 1) | F.col(doc_id).isNull()).drop("_nth")
