@@ -1,11 +1,35 @@
-"""All queries of the catalogue engine by name, with their DuckDB SQL."""
+"""All queries of the catalogue engine by name, with their DuckDB SQL.
+
+``query(sql)`` registers a function ``(spark, sf_dir) -> DataFrame``; without SQL
+the driver makes a rows-only check, and a test holds the query against a plain
+version instead.
+"""
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-FLAGSHIP = ""
+FLAGSHIP = "agg_rate_ci"
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+for _module in ("scans", "relational", "aggregates", "windows", "text", "search", "dedup", "extraction", "normalize", "identity", "matching", "quality", "metrics", "lifecycle", "sinks"):
+    importlib.import_module(f"partwise.plans.{_module}")
