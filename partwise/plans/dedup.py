@@ -1 +1,127 @@
-"""To come."""
+"""Explainable duplicate detection: block by trigrams, score seven signals, queue.
+
+A newly imported component is a part whose key is divisible by 40; it is held
+against all others. Penalties come after the weights of the active signals are
+renormalised.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from partwise.functions.text import bounded, jaccard, words_key
+from partwise.operators.similarity import similar_pairs, trigram_table
+from partwise.plans.registry import query, table
+from partwise.plans.search import GRAMS
+
+# Signal weights and thresholds.
+WEIGHTS = {"title": 0.25, "tokens": 0.20, "identity": 0.15, "specs": 0.15, "texts": 0.10, "media": 0.10, "phash": 0.05}
+PRESELECT, TOP, KEEP, BLOCK = 0.20, 50, 0.35, 0.70
+
+
+def preselect(parts: DataFrame, step: int = 40) -> DataFrame:
+    """(a, b, trigram): the 50 nearest titles of every new component."""
+    grams = trigram_table(parts.select("p_name").distinct(), "p_name", "p_name")
+    new = parts.where(F.col("p_partkey") % step == 0).select(F.col("p_partkey").alias("a"), F.col("p_name").alias("na"))
+    sides = grams.join(new.select(F.col("na").alias("key")).distinct(), "key", "left_semi")
+    alike = similar_pairs(sides, grams, PRESELECT).unionByName(new.select("na").distinct().select(F.col("na").alias("a"), F.col("na").alias("b"), F.lit(1.0).alias("similarity")))
+    near = new.join(alike.withColumnRenamed("a", "na"), "na").join(parts.select(F.col("p_partkey").alias("other"), F.col("p_name").alias("b")), "b")
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "other"))
+    return near.where("a <> other").withColumn("rn", rank).where(F.col("rn") <= TOP).select("a", F.col("other").alias("b"), F.col("similarity").alias("trigram"))
+
+
+def signals(parts: DataFrame, prefix: str) -> DataFrame:
+    """One row of signals per component."""
+    tokens = F.array_distinct(F.split(words_key(F.concat_ws(" ", "p_name", "p_brand")), " "))
+    specs = F.array(F.concat_ws("=", F.lit("size"), "p_size"), F.concat_ws("=", F.lit("type"), "p_type"))
+    cols = {"p_partkey": "p_partkey", "tokens": tokens, "brand": F.col("p_brand"), "size": F.col("p_size"), "specs": specs}
+    return parts.select(*[(F.col(c) if isinstance(c, str) else c).alias(f"{prefix}_{name}") for name, c in cols.items()])
+
+
+def pair_score(trigram: Column) -> tuple[Column, Column]:
+    """Score of a pair of signal rows (l_, r_) and its penalty."""
+    specs = jaccard(F.col("l_specs"), F.col("r_specs"))
+    active = [(WEIGHTS["title"], trigram), (WEIGHTS["tokens"], jaccard(F.col("l_tokens"), F.col("r_tokens"))), (WEIGHTS["identity"], F.when(F.col("l_brand") == F.col("r_brand"), 1.0).otherwise(0.0)), (WEIGHTS["specs"], specs)]
+    total = sum(w for w, _ in active)
+    mean = sum((F.lit(w) * s for w, s in active[1:]), F.lit(active[0][0]) * active[0][1]) / total
+    conflicts = F.when(F.col("l_size") != F.col("r_size"), 1).otherwise(0)
+    penalty = F.when(F.col("l_brand") != F.col("r_brand"), 0.15).otherwise(0.0) + F.least(F.lit(0.20), 0.05 * conflicts)
+    return F.round(bounded(mean - penalty), 4), penalty
+
+
+def scored(spark, sf_dir) -> DataFrame:
+    parts = table(spark, sf_dir, "part")
+    pairs = preselect(parts)
+    joined = pairs.join(signals(parts, "l"), F.col("a") == F.col("l_p_partkey")).join(signals(parts, "r"), F.col("b") == F.col("r_p_partkey"))
+    score, penalty = pair_score(F.col("trigram"))
+    return joined.select("a", "b", "trigram", score.alias("score"), penalty.alias("penalty"))
+
+
+BLOCKS = f"""
+WITH d AS (SELECT DISTINCT p_name FROM part), g AS (SELECT p_name, {GRAMS.format("p_name")} AS g FROM d),
+sim AS (SELECT x.p_name AS na, y.p_name AS nb, len(list_intersect(x.g, y.g)) / CAST(len(x.g) + len(y.g) - len(list_intersect(x.g, y.g)) AS DOUBLE) AS similarity FROM g x, g y),
+b AS (SELECT a, b, trigram FROM (SELECT p.p_partkey AS a, q.p_partkey AS b, similarity AS trigram, row_number() OVER (PARTITION BY p.p_partkey ORDER BY similarity DESC, q.p_partkey) AS rn
+  FROM part p JOIN sim ON p.p_name = na JOIN part q ON q.p_name = nb WHERE p.p_partkey % 40 = 0 AND similarity >= 0.2 AND p.p_partkey <> q.p_partkey) WHERE rn <= 50)"""
+TOK = "list_distinct(string_split(array_to_string(regexp_extract_all(lower({0}.p_name || ' ' || {0}.p_brand), '[a-z0-9]+'), ' '), ' '))"
+SPECS = "['size=' || {0}.p_size, 'type=' || {0}.p_type]"
+JAC = "(len(list_intersect({a}, {b})) / CAST(len({a}) + len({b}) - len(list_intersect({a}, {b})) AS DOUBLE))"
+SCORES = BLOCKS + f""",
+s AS (SELECT a, b, trigram, CASE WHEN p.p_brand <> q.p_brand THEN 0.15 ELSE 0 END + CASE WHEN p.p_size <> q.p_size THEN 0.05 ELSE 0 END AS penalty,
+  (0.25 * trigram + 0.20 * {JAC.format(a=TOK.format("p"), b=TOK.format("q"))} + 0.15 * CASE WHEN p.p_brand = q.p_brand THEN 1 ELSE 0 END + 0.15 * {JAC.format(a=SPECS.format("p"), b=SPECS.format("q"))}) / 0.75::DOUBLE AS mean
+  FROM b JOIN part p ON a = p.p_partkey JOIN part q ON b = q.p_partkey)"""
+
+
+@query(BLOCKS + """ SELECT a, b, round(trigram, 9) AS trigram FROM b""")
+def dup_block(spark, sf_dir):
+    """Similarity preselection: 50 per new component."""
+    return preselect(table(spark, sf_dir, "part")).select("a", "b", F.round("trigram", 9).alias("trigram"))
+
+
+@query(SCORES + """ SELECT a, b, CAST(round(greatest(0, least(1, mean - penalty)) * 1000) AS BIGINT) AS score FROM s""")
+def dup_score(spark, sf_dir):
+    """Scores in per mille (the rounding to four places is a matter of the last bit)."""
+    return scored(spark, sf_dir).select("a", "b", F.round(F.col("score") * 1000).cast("long").alias("score"))
+
+
+@query(SCORES + """ SELECT least(a, b) AS lo, greatest(a, b) AS hi, max(CAST(round(greatest(0, least(1, mean - penalty)) * 1000) AS BIGINT)) AS score, bool_or(greatest(0, least(1, mean - penalty)) >= 0.70005) AS blocks FROM s WHERE greatest(0, least(1, mean - penalty)) >= 0.35005 GROUP BY 1, 2""")
+def dup_upsert(spark, sf_dir):
+    """One open row per ordered pair; a new score replaces the old."""
+    kept = scored(spark, sf_dir).where(F.col("score") > KEEP)
+    return kept.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.max(F.round(F.col("score") * 1000).cast("long")).alias("score"), F.bool_or(F.col("score") > BLOCK).alias("blocks"))
+
+
+@query("""SELECT sha256(lower(p_name) || chr(0) || lower(p_brand)) AS key, count(*) AS n, min(p_partkey) AS survivor FROM part GROUP BY 1 HAVING count(*) > 1""")
+def dup_exact(spark, sf_dir):
+    """Components with one exact key."""
+    key = F.sha2(F.concat(F.lower("p_name"), F.lit("\0"), F.lower("p_brand")), 256)
+    return table(spark, sf_dir, "part").groupBy(key.alias("key")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("survivor")).where("n > 1")
+
+
+@query(SCORES + """ SELECT a, b, CAST(round(greatest(0, least(1, mean - penalty)) * 1000) AS BIGINT) AS score FROM s ORDER BY score DESC, a, b LIMIT 100""")
+def dup_queue(spark, sf_dir):
+    return dup_score(spark, sf_dir).orderBy(F.desc("score"), "a", "b").limit(100)
+
+
+@query("""
+WITH pairs AS (SELECT o_custkey AS a, o_orderkey AS b, o_orderstatus AS st FROM orders),
+d AS (SELECT a, b, CASE st WHEN 'F' THEN 'merge' WHEN 'O' THEN 'reject' END AS decision FROM pairs WHERE st <> 'P'),
+losers AS (SELECT DISTINCT a FROM d WHERE decision = 'merge')
+SELECT p.a, p.b, CASE WHEN d.decision = 'merge' THEN 'merged' WHEN d.decision = 'reject' THEN 'rejected' WHEN l.a IS NOT NULL THEN 'superseded' ELSE 'open' END AS status
+FROM pairs p LEFT JOIN d ON p.a = d.a AND p.b = d.b LEFT JOIN losers l ON p.a = l.a""")
+def dup_decide(spark, sf_dir):
+    """Decisions close their pair; a merge supersedes the loser's other open pairs (one pass, no self-join)."""
+    pairs = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("a"), F.col("o_orderkey").alias("b"), F.col("o_orderstatus").alias("st"))
+    merged = F.max(F.col("st") == "F").over(Window.partitionBy("a"))
+    status = F.when(F.col("st") == "F", "merged").when(F.col("st") == "O", "rejected").when(F.col("m"), "superseded").otherwise("open")
+    return pairs.withColumn("m", merged).select("a", "b", status.alias("status"))
+
+
+@query("""SELECT a.p_partkey, CASE WHEN a.p_partkey % 2 = 0 THEN b.p_name ELSE a.p_name END AS title, CASE WHEN a.p_partkey % 3 = 0 THEN b.p_brand ELSE a.p_brand END AS manufacturer FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1""")
+def dup_merge_fields(spark, sf_dir):
+    """Each field from the side that a decision names."""
+    sources = F.create_map(F.lit("title"), F.when(F.col("p_partkey") % 2 == 0, "right").otherwise("left"), F.lit("manufacturer"), F.when(F.col("p_partkey") % 3 == 0, "right").otherwise("left"))
+    part = table(spark, sf_dir, "part")
+    right = part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("r_name"), F.col("p_brand").alias("r_brand"))
+    pick = lambda field, a, b: F.when(F.col("sources")[field] == "right", F.col(b)).otherwise(F.col(a)).alias(field)
+    return part.withColumn("sources", sources).join(right, "p_partkey").select("p_partkey", pick("title", "p_name", "r_name"), pick("manufacturer", "p_brand", "r_brand"))

@@ -349,12 +349,12 @@ def set_except(spark, sf_dir):
     return lines.where("l_returnflag = 'R'").select("l_partkey").subtract(lines.where("l_quantity > 45").select("l_partkey"))
 
 
-@query("""SELECT l_partkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1996-01-01' EXCEPT SELECT l_partkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-06-01'""")
+@query("""SELECT l_partkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-03-01' EXCEPT SELECT l_partkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-06-01'""")
 def set_symdiff_files(spark, sf_dir):
     """Removed between two snapshots."""
     lines = table(spark, sf_dir, "lineitem")
-    old = lines.where("l_shipdate < TIMESTAMP_NTZ '1996-01-01 00:00:00'").select("l_partkey").distinct()
-    return old.join(lines.where("l_shipdate >= TIMESTAMP_NTZ '1998-06-01 00:00:00'").select("l_partkey"), "l_partkey", "left_anti")
+    old = lines.where("l_shipdate < TIMESTAMP_NTZ '1995-03-01 00:00:00'").select("l_partkey").distinct()
+    return old.join(lines.where("l_shipdate >= TIMESTAMP_NTZ '2001-06-01 00:00:00'").select("l_partkey"), "l_partkey", "left_anti")
 
 
 @query("""SELECT p_partkey, list_aggregate(list_distinct(string_split(lower(p_name || ' ' || p_type), ' ')), 'count') AS n_tokens, CAST(len(list_intersect(string_split(lower(p_name), ' '), string_split(lower(p_type), ' '))) AS BIGINT) AS n_shared FROM part""")

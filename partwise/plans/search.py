@@ -1 +1,96 @@
-"""To come."""
+"""Published-catalogue search: weighted documents, matching, ranking, trigrams."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from partwise.functions import rank, text
+from partwise.operators.similarity import similar_pairs, trigram_table
+from partwise.plans.registry import query, table
+
+NEEDLE = ["blue", "small"]
+# Trigrams in DuckDB: per word of [a-z0-9]+, two blanks before and one after.
+GRAMS = "list_distinct(flatten(list_transform(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
+
+
+def search_documents(spark, sf_dir):
+    """Title = A, manufacturer and model = B, kind = C; newest id first on ties."""
+    parts = [(F.col("p_name"), "A"), (F.col("p_brand"), "B"), (F.col("p_type"), "C")]
+    return table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", rank.weighted_tokens(parts).alias("tokens"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("all_text"))
+
+
+TOKENS = "(list_transform(regexp_extract_all(lower(p_name), '[a-z0-9]+'), lambda t: t || '=1.0') || list_transform(regexp_extract_all(lower(p_brand), '[a-z0-9]+'), lambda t: t || '=0.4') || list_transform(regexp_extract_all(lower(p_type), '[a-z0-9]+'), lambda t: t || '=0.2'))"
+
+
+@query(f"""SELECT p_partkey, array_to_string({TOKENS}, ' ') AS document FROM part""")
+def fts_document(spark, sf_dir):
+    shown = F.array_join(F.transform("tokens", lambda x: F.concat(x["t"], F.lit("="), x["w"].cast("string"))), " ")
+    return search_documents(spark, sf_dir).select("p_partkey", shown.alias("document"))
+
+
+@query("""SELECT p_partkey FROM part WHERE list_contains(regexp_extract_all(lower(p_name || ' ' || p_brand || ' ' || p_type), '[a-z0-9]+'), 'blue') AND list_contains(regexp_extract_all(lower(p_name || ' ' || p_brand || ' ' || p_type), '[a-z0-9]+'), 'small')""")
+def fts_match(spark, sf_dir):
+    """Every query token must occur."""
+    return search_documents(spark, sf_dir).where(rank.matches_all(F.col("tokens"), NEEDLE)).select("p_partkey")
+
+
+COVER = f"""
+WITH t AS (SELECT p_partkey, unnest({TOKENS}) AS x, generate_subscripts({TOKENS}, 1) - 1 AS pos FROM part),
+h AS (SELECT p_partkey, pos, split_part(x, '=', 1) AS tok, CAST(split_part(x, '=', 2) AS DOUBLE) AS w FROM t WHERE split_part(x, '=', 1) IN ('blue', 'small')),
+l AS (SELECT *, max(pos) FILTER (WHERE tok = 'blue') OVER o AS p0, max(pos) FILTER (WHERE tok = 'small') OVER o AS p1 FROM h WINDOW o AS (PARTITION BY p_partkey ORDER BY pos)),
+c AS (SELECT p_partkey, least(p0, p1) AS b, min(pos) AS e FROM l WHERE p0 IS NOT NULL AND p1 IS NOT NULL GROUP BY 1, 2),
+r AS (SELECT c.p_partkey, round(sum(2 / (1 / x.w + 1 / y.w) / (1 + (c.e - c.b - 1))), 9) AS rank FROM c JOIN h x ON x.p_partkey = c.p_partkey AND x.pos = c.b JOIN h y ON y.p_partkey = c.p_partkey AND y.pos = c.e GROUP BY 1)"""
+
+
+@query(COVER + """ SELECT p_partkey, rank FROM r""")
+def fts_rank(spark, sf_dir):
+    """Cover-density rank. No golden ranks exist; the two engines are held against each other."""
+    hits = search_documents(spark, sf_dir).where(rank.matches_all(F.col("tokens"), NEEDLE))
+    return hits.select("p_partkey", F.round(rank.cover_rank(F.col("tokens"), NEEDLE), 9).alias("rank"))
+
+
+@query(f"""
+WITH d AS (SELECT DISTINCT p_name FROM part), s AS (SELECT p_name, {GRAMS.format("p_name")} AS g FROM d)
+SELECT a.p_name AS a, b.p_name AS b, round(len(list_intersect(a.g, b.g)) / CAST(len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)) AS DOUBLE), 9) AS similarity
+FROM s a JOIN s b ON a.p_name < b.p_name WHERE len(list_intersect(a.g, b.g)) / CAST(len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)) AS DOUBLE) >= 0.2""")
+def trgm_similarity(spark, sf_dir):
+    """All pairs of distinct titles at or above 0.20."""
+    names = trigram_table(table(spark, sf_dir, "part").select("p_name").distinct(), "p_name", "p_name")
+    return similar_pairs(names, names, 0.2).where("a < b").select("a", "b", F.round("similarity", 9).alias("similarity"))
+
+
+WORDS = "regexp_extract_all(lower(p_name || ' ' || p_brand || ' ' || p_type), '[a-z0-9]+')"
+SIM = f"""SELECT p_partkey, greatest({', '.join(f"list_max(list_transform(range(0, greatest(len(w) - {n}, 0) + 1), lambda i: len(list_intersect(g, " + GRAMS.format(f"array_to_string(w[i + 1 : i + {n}], ' ')") + ")) / CAST(len(g) AS DOUBLE)))" for n in (1, 2, 3))}) AS sim FROM (SELECT p_partkey, {WORDS} AS w, {GRAMS.format("'blu smal'")} AS g FROM part)"""
+
+
+@query(f"""SELECT p_partkey, round(sim, 9) AS similarity FROM ({SIM}) WHERE sim >= 0.4""")
+def trgm_word_similarity(spark, sf_dir):
+    """Best stretch of the text's words against the needle's trigrams."""
+    sim = rank.word_similarity(F.lit("blu smal"), F.col("all_text"), text.trigrams)
+    return search_documents(spark, sf_dir).select("p_partkey", F.round(sim, 9).alias("similarity")).where("similarity >= 0.4")
+
+
+@query(COVER + f""", w AS ({SIM.replace("'blu smal'", "'blue small'")})
+SELECT p.p_partkey, round(coalesce(r.rank, 0) + 0.35 * w.sim, 6) AS score, (SELECT count(*) FROM part q JOIN w v ON q.p_partkey = v.p_partkey WHERE v.sim >= 0.6 AND q.p_size >= 10) AS total
+FROM part p JOIN w ON p.p_partkey = w.p_partkey LEFT JOIN r ON p.p_partkey = r.p_partkey WHERE w.sim >= 0.6 AND p.p_size >= 10 ORDER BY score DESC, p.p_partkey DESC LIMIT 20""")
+def search_rank(spark, sf_dir):
+    """Filters, match by words or trigrams, rank plus 0.35 word similarity, top 20 with the total."""
+    docs = search_documents(spark, sf_dir).where("p_size >= 10")
+    sim = rank.word_similarity(F.lit("blue small"), F.col("all_text"), text.trigrams)
+    cover = F.when(rank.matches_all(F.col("tokens"), NEEDLE), F.round(rank.cover_rank(F.col("tokens"), NEEDLE), 9)).otherwise(F.lit(0.0))
+    hits = docs.withColumn("sim", sim).where("sim >= 0.6").select("p_partkey", F.round(cover + 0.35 * F.col("sim"), 6).alias("score"))
+    top = hits.orderBy(F.desc("score"), F.desc("p_partkey")).limit(20)
+    return top.join(F.broadcast(hits.agg(F.count("*").alias("total"))), how="inner")  # one row
+
+
+@query("""SELECT p_partkey FROM part WHERE p_size >= 45 ORDER BY p_partkey DESC LIMIT 50""")
+def search_empty(spark, sf_dir):
+    """A blank query: filters only, newest first."""
+    return table(spark, sf_dir, "part").where("p_size >= 45").select("p_partkey").orderBy(F.desc("p_partkey")).limit(50)
+
+
+@query()
+def search_explain(spark, sf_dir):
+    """The physical plan of the search as rows (the plan is text that the driver makes)."""
+    plan = search_rank(spark, sf_dir)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    return spark.createDataFrame([(i, line) for i, line in enumerate(plan.split("\n"))], "n int, line string")
