@@ -1 +1,97 @@
-"""To come."""
+"""Identity and classification: rules scored against fields, margin, status.
+
+Documents stand in for source pages: their first line is the title, the rest is
+the body; languages stand in for categories.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from partwise.plans.registry import query, table
+
+# Category rules (words) and field weights in per mille of the cap.
+RULES = [("de", ["der", "und", "die"]), ("en", ["the", "and", "of"]), ("es", ["el", "que", "los"]), ("fr", ["le", "les", "des"])]
+TITLE, BODY, START, CAP = 55, 20, 10, 100
+LEAST, AUTO, MARGIN = 35, 65, 15
+
+
+def fields(docs: DataFrame) -> DataFrame:
+    text = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower("text"), "[^a-zß-ÿ]+", " ")), F.lit(" "))
+    title = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.split_part("text", F.lit("\n"), F.lit(1))), "[^a-zß-ÿ]+", " ")), F.lit(" "))
+    return docs.select("doc_id", "lang", title.alias("title"), text.alias("body"))
+
+
+def holds(field: Column, words: list[str]) -> Column:
+    out = F.lit(False)
+    for w in words:
+        out = out | F.contains(field, F.lit(f" {w} "))
+    return out
+
+
+def category_scores(docs: DataFrame) -> DataFrame:
+    """(doc_id, category, score): sum of the weights of the fields that hold a rule's word."""
+    scores = []
+    for name, words in RULES:
+        points = F.when(holds(F.col("title"), words), TITLE).otherwise(0) + F.when(holds(F.col("body"), words), BODY).otherwise(0) + F.when(holds(F.substring("body", 1, 200), words), START).otherwise(0)
+        scores.append(F.struct(F.lit(name).alias("category"), F.least(F.lit(CAP), points).cast("long").alias("score")))
+    return fields(docs).select("doc_id", F.explode(F.array(*scores)).alias("s")).select("doc_id", "s.*").where("score > 0")
+
+
+W_TEXT = "' ' || trim(regexp_replace(lower({0}), '[^a-zß-ÿ]+', ' ', 'g')) || ' '"
+SCORES = f"""WITH f AS (SELECT doc_id, {W_TEXT.format("split_part(text, chr(10), 1)")} AS title, {W_TEXT.format("text")} AS body FROM documents),
+s AS (SELECT doc_id, r.category, CAST(least(100, CASE WHEN regexp_matches(title, ' (' || words || ') ') THEN 55 ELSE 0 END + CASE WHEN regexp_matches(body, ' (' || words || ') ') THEN 20 ELSE 0 END + CASE WHEN regexp_matches(substr(body, 1, 200), ' (' || words || ') ') THEN 10 ELSE 0 END) AS BIGINT) AS score
+  FROM f, (VALUES ('de', 'der|und|die'), ('en', 'the|and|of'), ('es', 'el|que|los'), ('fr', 'le|les|des')) r(category, words)),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, category) AS rn FROM s WHERE score > 0)"""
+
+
+@query(SCORES + " SELECT doc_id, category, score FROM k")
+def id_category(spark, sf_dir):
+    return category_scores(table(spark, sf_dir, "documents"))
+
+
+def resolved(docs: DataFrame) -> DataFrame:
+    """Best category with its margin over the runner-up, and the status."""
+    w = Window.partitionBy("doc_id").orderBy(F.desc("score"), "category")
+    best = category_scores(docs).withColumn("rn", F.row_number().over(w)).withColumn("margin", F.col("score") - F.coalesce(F.lead("score").over(w), F.col("score"))).where("rn = 1")
+    out = docs.select("doc_id").join(best.drop("rn"), "doc_id", "left")
+    status = F.when(F.col("score").isNull() | (F.col("score") < LEAST), "unresolved").when((F.col("score") >= AUTO) & (F.col("margin") > MARGIN), "auto").otherwise("review")
+    return out.withColumn("status", status)
+
+
+@query(SCORES + """, b AS (SELECT a.doc_id, a.category, a.score, a.score - coalesce(n.score, a.score) AS margin FROM k a LEFT JOIN k n ON a.doc_id = n.doc_id AND n.rn = 2 WHERE a.rn = 1)
+SELECT d.doc_id, b.category, b.score, b.margin, CASE WHEN b.score IS NULL OR b.score < 35 THEN 'unresolved' WHEN b.score >= 65 AND b.margin > 15 THEN 'auto' ELSE 'review' END AS status FROM documents d LEFT JOIN b ON d.doc_id = b.doc_id""")
+def id_resolution(spark, sf_dir):
+    return resolved(table(spark, sf_dir, "documents")).select("doc_id", "category", "score", "margin", "status")
+
+
+@query("""SELECT doc_id, CASE WHEN contains(text, '|') THEN 'table' WHEN length(text) < 100 THEN 'note' WHEN contains(text, chr(10)) THEN 'article' ELSE 'generic' END AS kind, CASE WHEN contains(text, '|') THEN 35 WHEN length(text) < 100 THEN 20 WHEN contains(text, chr(10)) THEN 20 ELSE 10 END AS score FROM documents""")
+def id_kind(spark, sf_dir):
+    """Kind rules in order, generic as the fallback."""
+    rules = [(F.contains("text", F.lit("|")), "table", 35), (F.length("text") < 100, "note", 20), (F.contains("text", F.lit("\n")), "article", 20)]
+    kind = F.coalesce(*[F.when(c, F.struct(F.lit(k).alias("kind"), F.lit(s).alias("score"))) for c, k, s in rules], F.struct(F.lit("generic").alias("kind"), F.lit(10).alias("score")))
+    return table(spark, sf_dir, "documents").select("doc_id", kind.alias("k")).select("doc_id", "k.*")
+
+
+@query("""SELECT n_nationkey, array_to_string(list_filter([lower(n_name), replace(lower(n_name), ' ', '-'), substr(lower(n_name), 1, 4)], lambda x, i: list_position([lower(n_name), replace(lower(n_name), ' ', '-'), substr(lower(n_name), 1, 4)], x) = i), ',') AS aliases FROM nation""")
+def id_aliases(spark, sf_dir):
+    """Distinct aliases, first occurrence first."""
+    low = F.lower("n_name")
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.array_join(F.array_distinct(F.array(low, F.replace(low, F.lit(" "), F.lit("-")), F.substring(low, 1, 4))), ",").alias("aliases"))
+
+
+@query(SCORES + """ SELECT d.doc_id, concat_ws(',', CASE WHEN count(k.category) = 0 THEN 'no_category' END, CASE WHEN count(k.category) > 1 THEN 'several_categories' END, CASE WHEN coalesce(max(k.score), 0) < 65 THEN 'weak' END) AS warnings FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id GROUP BY d.doc_id""")
+def id_warnings(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    tally = category_scores(docs).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("score").alias("best"))
+    out = docs.select("doc_id").join(tally, "doc_id", "left")
+    codes = F.array_compact(F.array(F.when(F.col("n").isNull(), F.lit("no_category")), F.when(F.col("n") > 1, F.lit("several_categories")), F.when(F.coalesce("best", F.lit(0)) < AUTO, F.lit("weak"))))
+    return out.select("doc_id", F.array_join(codes, ",").alias("warnings"))
+
+
+@query("""SELECT page_id, CASE WHEN contains(lower(url), '/en') THEN 'english' WHEN contains(lower(url), '/de') THEN 'german' WHEN contains(lower(url), '/fr') THEN 'french' ELSE 'other' END AS category FROM pages""")
+def id_category_v1(spark, sf_dir):
+    """The older form: first keyword that occurs as a substring."""
+    words = [("/en", "english"), ("/de", "german"), ("/fr", "french")]
+    return table(spark, sf_dir, "pages").select("page_id", F.coalesce(*[F.when(F.contains(F.lower("url"), F.lit(w)), F.lit(c)) for w, c in words], F.lit("other")).alias("category"))

@@ -1 +1,76 @@
-"""To come."""
+"""Matching of parts against an index of part records (brand and name as keys)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from partwise.operators import matching as m
+from partwise.plans.registry import query, table
+
+
+def keys(df: DataFrame) -> DataFrame:
+    one = lambda c: F.array(c)
+    return m.inverted(df, "p_partkey", [("exact", one(F.lower(F.concat_ws("|", "p_name", "p_brand", "p_type")))), ("alias", one(F.lower(F.concat_ws("|", "p_name", "p_brand")))), ("name", one(F.lower("p_name"))), ("description", F.split(F.lower("p_name"), " "))])
+
+
+def hits(spark, sf_dir) -> DataFrame:
+    """Every fiftieth part as a query against the others' records; description-only hits need both tokens."""
+    parts = table(spark, sf_dir, "part")
+    found = m.lookups(keys(parts.where("p_partkey % 50 = 0")), "query", keys(parts.where("p_partkey % 50 <> 0")))
+    return found.where("basis <> 'description' OR shared >= 2")
+
+
+HITS = """h AS (SELECT q.p_partkey AS query, r.p_partkey AS record, CASE WHEN q.p_name = r.p_name AND q.p_brand = r.p_brand AND q.p_type = r.p_type THEN 'exact' WHEN q.p_name = r.p_name AND q.p_brand = r.p_brand THEN 'alias' ELSE 'name' END AS basis
+FROM part q JOIN part r ON q.p_name = r.p_name WHERE q.p_partkey % 50 = 0 AND r.p_partkey % 50 <> 0)"""
+SCORED = f"""WITH {HITS}, s AS (SELECT query, record, basis, CASE basis WHEN 'exact' THEN 700 WHEN 'alias' THEN 520 ELSE 100 END + CASE WHEN q.p_size = r.p_size THEN 150 ELSE 0 END + CASE WHEN q.p_brand = r.p_brand THEN 50 ELSE -500 END AS raw, q.p_brand <> r.p_brand AS severe, q.p_size = r.p_size AS mention
+FROM h JOIN part q ON query = q.p_partkey JOIN part r ON record = r.p_partkey)"""
+
+
+def scored(spark, sf_dir) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    side = lambda p, key: part.select(F.col("p_partkey").alias(key), F.col("p_brand").alias(f"{p}_brand"), F.col("p_size").alias(f"{p}_size"))
+    rows = hits(spark, sf_dir).join(side("q", "query"), "query").join(side("r", "record"), "record")
+    same = F.col("q_brand") == F.col("r_brand")
+    given = F.array_compact(F.array(*[m.contribution(F.col("basis") == b, b) for b in m.BASES], m.contribution(F.col("q_size") == F.col("r_size"), "mention"), m.contribution(same, "manufacturer_match"), m.contribution(~same, "manufacturer_conflict")))
+    rows = rows.withColumn("given", given).withColumn("score", m.confidence(F.col("given")))
+    return rows.withColumn("decision", m.decision(F.col("score"), F.col("given"), F.col("basis")))
+
+
+@query("""SELECT 'exact' AS basis, count(DISTINCT lower(p_name || '|' || p_brand || '|' || p_type)) AS n_keys, count(*) AS n_rows FROM part UNION ALL SELECT 'alias', count(DISTINCT lower(p_name || '|' || p_brand)), count(*) FROM part UNION ALL SELECT 'name', count(DISTINCT lower(p_name)), count(*) FROM part UNION ALL SELECT 'description', count(DISTINCT t), count(*) FROM (SELECT DISTINCT p_partkey, unnest(string_split(lower(p_name), ' ')) AS t FROM part)""")
+def idx_parse(spark, sf_dir):
+    """The inverted index by kind of key."""
+    return keys(table(spark, sf_dir, "part")).groupBy("basis").agg(F.countDistinct("key").alias("n_keys"), F.count("*").alias("n_rows"))
+
+
+@query("""SELECT CAST(count(*) FILTER (WHERE o.h = n.h) AS BIGINT) AS reused, CAST(count(*) FILTER (WHERE o.h <> n.h) AS BIGINT) AS changed, CAST(count(*) FILTER (WHERE o.h IS NULL) AS BIGINT) AS added, CAST(count(*) FILTER (WHERE n.h IS NULL) AS BIGINT) AS removed
+FROM (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 10 <> 0) o FULL JOIN (SELECT doc_id, sha256(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 11 <> 0) n ON o.doc_id = n.doc_id""")
+def idx_build(spark, sf_dir):
+    """Incremental build between two snapshots: what is reused, changed, added and removed."""
+    docs = table(spark, sf_dir, "documents")
+    old = docs.where("doc_id % 10 <> 0").select("doc_id", F.sha2("text", 256).alias("o"))
+    new = docs.where("doc_id % 11 <> 0").select("doc_id", F.sha2(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("n"))
+    both = old.join(new, "doc_id", "full")
+    return both.agg(F.count_if(F.col("o") == F.col("n")).alias("reused"), F.count_if(F.col("o") != F.col("n")).alias("changed"), F.count_if(F.col("o").isNull()).alias("added"), F.count_if(F.col("n").isNull()).alias("removed"))
+
+
+@query(f"WITH {HITS} SELECT query, record, basis FROM h")
+def idx_lookup(spark, sf_dir):
+    return hits(spark, sf_dir).select("query", "record", "basis")
+
+
+@query(f"WITH {HITS} SELECT query, record, CASE WHEN basis = 'exact' THEN 'exact_component' WHEN basis = 'alias' THEN 'variant' ELSE 'related' END AS relation FROM h")
+def match_relation_type(spark, sf_dir):
+    relation = F.when(F.col("basis") == "exact", "exact_component").when(F.col("basis") == "alias", "variant").otherwise("related")
+    return hits(spark, sf_dir).select("query", "record", relation.alias("relation"))
+
+
+@query(SCORED + " SELECT query, record, greatest(0, least(1000, raw)) AS score FROM s")
+def match_score(spark, sf_dir):
+    """Sum of signed contributions, clamped."""
+    return scored(spark, sf_dir).select("query", "record", "score")
+
+
+@query(SCORED + " SELECT query, record, CASE WHEN severe OR greatest(0, least(1000, raw)) < 450 THEN 'rejected' WHEN basis = 'exact' AND raw >= 950 THEN 'auto_accepted' ELSE 'review' END AS decision FROM s")
+def match_decision(spark, sf_dir):
+    return scored(spark, sf_dir).select("query", "record", "decision")

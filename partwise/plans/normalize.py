@@ -1 +1,74 @@
-"""To come."""
+"""Specification normalization: profile, registry look-up, values, conflicts, taxonomy."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from partwise.functions import text as fn
+from partwise.operators import specs
+from partwise.plans.registry import query, table
+
+RAW = """raw AS (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'Operating voltage' WHEN 1 THEN 'Supply current' WHEN 2 THEN 'Bus' ELSE 'Colour' END AS label,
+  CASE p_size % 4 WHEN 0 THEN p_size || ' to ' || (p_size + 5) || ' volts' WHEN 1 THEN p_size || ' mA' WHEN 2 THEN 'IIC' ELSE 'red' END AS value FROM part)"""
+REGISTRY = "(VALUES ('electrical.voltage.operating', 'operating voltage', 'quantity', NULL), ('electrical.current.supply', 'supply current', 'quantity', NULL), ('communication.interface', 'bus', 'interface', NULL), ('electrical.current.small', 'supply current', 'quantity', 'SMALL')) r(path, alias, kind, profile)"
+
+
+def raw_specs(spark, sf_dir):
+    """Raw label/value strings made from part numbers (the texts hold no quantities)."""
+    size = F.col("p_size")
+    kind = size % 4
+    label = F.when(kind == 0, "Operating voltage").when(kind == 1, "Supply current").when(kind == 2, "Bus").otherwise("Colour")
+    value = F.when(kind == 0, F.concat(size, F.lit(" to "), size + 5, F.lit(" volts"))).when(kind == 1, F.concat(size, F.lit(" mA"))).when(kind == 2, "IIC").otherwise("red")
+    return table(spark, sf_dir, "part").select("p_partkey", "p_type", label.alias("label"), value.alias("value"))
+
+
+@query("""SELECT doc_id, CASE WHEN regexp_matches(lower(text), '(^|[^a-zß-ÿ])(der|die|und)([^a-zß-ÿ]|$)') THEN 'german' WHEN regexp_matches(lower(text), '(^|[^a-zß-ÿ])(le|les|des)([^a-zß-ÿ]|$)') THEN 'french' WHEN regexp_matches(lower(text), '(^|[^a-zß-ÿ])(el|los|que)([^a-zß-ÿ]|$)') THEN 'spanish' WHEN regexp_matches(lower(text), '(^|[^a-zß-ÿ])(the|and)([^a-zß-ÿ]|$)') THEN 'english' ELSE 'generic' END AS profile FROM documents""")
+def norm_profile(spark, sf_dir):
+    """The first of ordered patterns that fits, else generic."""
+    rules = [("german", "(^|[^a-zß-ÿ])(der|die|und)([^a-zß-ÿ]|$)"), ("french", "(^|[^a-zß-ÿ])(le|les|des)([^a-zß-ÿ]|$)"), ("spanish", "(^|[^a-zß-ÿ])(el|los|que)([^a-zß-ÿ]|$)"), ("english", "(^|[^a-zß-ÿ])(the|and)([^a-zß-ÿ]|$)")]
+    return table(spark, sf_dir, "documents").select("doc_id", specs.first_profile(F.lower("text"), rules, "generic").alias("profile"))
+
+
+@query(f"""WITH {RAW} SELECT raw.p_partkey, coalesce(s.path, g.path, 'unmapped') AS path,
+  CASE WHEN coalesce(s.path, g.path) IS NULL THEN value WHEN coalesce(s.kind, g.kind) = 'interface' THEN 'i2c' WHEN label = 'Operating voltage' THEN p_size || '..' || (p_size + 5) || ' V' ELSE p_size || ' mA' END AS normalized
+FROM raw JOIN part USING (p_partkey) LEFT JOIN (SELECT * FROM {REGISTRY} WHERE profile IS NOT NULL) s ON lower(label) = s.alias AND p_type = s.profile LEFT JOIN (SELECT * FROM {REGISTRY} WHERE profile IS NULL) g ON lower(label) = g.alias""")
+def norm_specs(spark, sf_dir):
+    """Registry look-up (profile first), value parsing; unmapped facts are kept."""
+    return specs.normalized(raw_specs(spark, sf_dir).withColumnRenamed("p_type", "profile")).select("p_partkey", "path", "normalized")
+
+
+@query("""SELECT p_partkey, unnest(string_split(CASE p_size % 3 WHEN 0 THEN 'i2c,spi' WHEN 1 THEN 'uart' ELSE 'unmapped' END, ',')) AS interface FROM part""")
+def norm_interfaces(spark, sf_dir):
+    """Every interface that a text names, or one unmapped fact."""
+    kind = F.col("p_size") % 3
+    said = F.when(kind == 0, "TWI or SPI").when(kind == 1, "serial port").otherwise("wireless")
+    found = fn.interfaces(said)
+    return table(spark, sf_dir, "part").select("p_partkey", F.explode(F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("unmapped")))).alias("interface"))
+
+
+@query("""SELECT l_partkey, 'quantity' AS path, count(DISTINCT l_quantity) AS n_values, count(DISTINCT l_linenumber) AS n_sections FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_quantity) >= 2 AND count(DISTINCT l_linenumber) >= 2""")
+def norm_conflicts(spark, sf_dir):
+    out = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.countDistinct("l_quantity").alias("n_values"), F.countDistinct("l_linenumber").alias("n_sections"))
+    return out.where("n_values >= 2 AND n_sections >= 2").select("l_partkey", F.lit("quantity").alias("path"), "n_values", "n_sections")
+
+
+@query("""SELECT l_partkey, l_returnflag, count(*) AS n_evidence, string_agg(l_orderkey || '.' || l_linenumber, ' ' ORDER BY l_orderkey, l_linenumber) AS evidence FROM lineitem GROUP BY 1, 2""")
+def norm_merge(spark, sf_dir):
+    """Equal facts merged, their evidence in order."""
+    places = F.transform(F.sort_array(F.collect_list(F.struct("l_orderkey", "l_linenumber"))), lambda x: F.concat_ws(".", x["l_orderkey"], x["l_linenumber"]))
+    return table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_returnflag").agg(F.count("*").alias("n_evidence"), F.array_join(places, " ").alias("evidence"))
+
+
+@query(f"""SELECT DISTINCT array_to_string(s[1:i], '.') AS branch FROM (SELECT s, unnest(range(1, len(s))) AS i FROM (SELECT string_split(path, '.') AS s FROM {REGISTRY}))""")
+def norm_taxonomy_branches(spark, sf_dir):
+    """All proper prefixes of the registry's dotted paths."""
+    return specs.branches(specs.registry(spark))
+
+
+@query(f"""SELECT count(*) AS overlaps, count(*) = 0 AS valid FROM {REGISTRY} JOIN (SELECT * FROM {REGISTRY}) q ON r.alias = q.alias AND r.path < q.path AND (r.profile = q.profile OR (r.profile IS NULL AND q.profile IS NULL))""")
+def norm_registry_check(spark, sf_dir):
+    """No two definitions may share an alias within a profile."""
+    a = specs.registry(spark).select("path", "alias", "profile")
+    b = a.select(F.col("path").alias("p2"), F.col("alias").alias("a2"), F.col("profile").alias("f2"))
+    clash = a.join(b, (F.col("alias") == F.col("a2")) & F.col("profile").eqNullSafe(F.col("f2")) & (F.col("path") < F.col("p2")))
+    return clash.agg(F.count("*").alias("overlaps")).withColumn("valid", F.col("overlaps") == 0)

@@ -1 +1 @@
-"""Catalogue analytics on Spark."""
+"""Streams over append-only logs. Each has a batch form in ``partwise.plans``."""
