@@ -25,7 +25,9 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,9 +41,11 @@ MAX_LENGTH = 16
 STEP = 256
 MAGIC = b"HUF1"
 #: Words whose ids a worker process remembers; the memory is emptied when full.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 
 _encoders: dict[str, tuple] = {}
+LATIN = [chr(c) for c in range(0xC0, 0x100) if chr(c) not in "×÷"]
+_plain_word = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)\Z")
 
 
 def default_tokenizer() -> str:
@@ -51,15 +55,49 @@ def default_tokenizer() -> str:
 
 
 def _encoder(path: str):
-    """The tokenizer and this process's memory of words, made once per worker."""
+    """The tokenizer and this process's memory of words and their pieces, made once per worker."""
     if path not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _encoders[path] = (Tokenizer.from_file(path), {})
+        tokenizer = Tokenizer.from_file(path)
+        as_bytes = {ord(c): "".join(x for x, _ in tokenizer.pre_tokenizer.pre_tokenize_str(c)) for c in LATIN}
+        _encoders[path] = (tokenizer, {}, {}, as_bytes)
     return _encoders[path]
 
 
+def _encode_words(words: list[bytes], tokenizer, known: dict, cores: dict, letters: dict) -> None:
+    """Put the ids of new words into ``known``.
+
+    A word of ASCII and Latin-1 letters with ASCII punctuation (no apostrophe)
+    after them passes normalizer and pre-tokenizer as its lower-case letters
+    and its punctuation, so the library's model is asked for these pieces, and
+    each is remembered; any other word takes the whole way.
+    """
+    model, others = tokenizer.model, []
+    for w in words:
+        m = _plain_word.match(w.decode())
+        if not m:
+            others.append(w)
+            continue
+        ids = b""
+        for piece in m.groups():
+            if piece:
+                got = cores.get(piece)
+                if got is None:
+                    lower = piece.lower()
+                    got = cores.get(lower)
+                    if got is None:
+                        got = array("H", [x.id for x in model.tokenize(lower.translate(letters))]).tobytes()
+                        cores[lower] = got
+                ids += got
+        known[w] = ids
+    for at in range(0, len(others), 20_000):
+        some = others[at : at + 20_000]
+        found = tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
+        known.update((w, array("H", x.ids).tobytes()) for w, x in zip(some, found))
+
+
 def encode_texts(texts: list[str | None], path: str) -> list[bytes]:
     """Ids of whole texts as little-endian u16.
 
@@ -68,25 +106,19 @@ def encode_texts(texts: list[str | None], path: str) -> list[bytes]:
     the library encodes each word once and the process remembers it. Texts in
     which a special token could start go through the library as a whole.
     """
-    tokenizer, known = _encoder(path)
+    tokenizer, known, cores, letters = _encoder(path)
     words = [None if t and "<|" in t else (t or "").encode().split() for t in texts]
     fresh = set()
     for w in words:
         if w:
             fresh.update(w)
-    if len(known) > REMEMBERED:
-        known.clear()
+    for memory in (known, cores):
+        if len(memory) > REMEMBERED:
+            memory.clear()
     fresh.difference_update(known)
-    fresh = list(fresh)
-    for at in range(0, len(fresh), 20_000):
-        some = fresh[at : at + 20_000]
-        found = tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-        known.update((w, np.array(x.ids, dtype="<u2").tobytes()) for w, x in zip(some, found))
+    _encode_words(list(fresh), tokenizer, known, cores, letters)
     get = known.__getitem__
-    return [
-        np.array(tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u2").tobytes() if w is None else b"".join(map(get, w))
-        for t, w in zip(texts, words)
-    ]
+    return [array("H", tokenizer.encode(t, add_special_tokens=False).ids).tobytes() if w is None else b"".join(map(get, w)) for t, w in zip(texts, words)]
 
 
 def token_table(docs: DataFrame, tokenizer: str, doc_id="doc_id", text="text", end_id: int = 1) -> DataFrame:
