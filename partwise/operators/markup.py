@@ -75,3 +75,30 @@ def resource_kind(label: Column, target: Column) -> Column:
 def evidence(source: Column, line: Column, heading: Column, raw: Column, method: str, version: str = "1") -> Column:
     """Where a fact comes from."""
     return F.struct(source.alias("source"), F.concat(F.lit("line["), line, F.lit("]")).alias("selector"), heading.alias("section"), raw.alias("raw_text"), F.lit(method).alias("method"), F.lit(version).alias("version"))
+
+
+def table_cells(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of pipe tables as arrays of cells, without header and separator rows (a header is followed by a separator)."""
+    by = Window.partitionBy(key).orderBy("line")
+    separator = r"^\s*\|(\s*:?-+:?\s*\|)+\s*$"
+    marked = rows.withColumn("_sep", F.col("body").rlike(separator)).withColumn("_head", F.lead("_sep", 1, False).over(by))
+    found = marked.where(F.col("body").rlike(r"^\s*\|.*\|\s*$") & ~F.col("_sep") & ~F.col("_head")).drop("_sep", "_head")
+    inner = F.regexp_replace(F.trim("body"), r"^\||\|$", "")
+    return found.withColumn("cells", F.transform(F.split(inner, r"\|"), lambda c: F.trim(c)))
+
+
+def images(rows: DataFrame) -> DataFrame:
+    found = F.regexp_extract_all("body", F.lit(r"!\[([^\]]*)\]\(([^)\s]+)[^)]*\)"), F.lit(0))
+    out = rows.select("*", F.explode(found).alias("raw"))
+    return out.withColumn("alt", F.regexp_extract("raw", r"!\[([^\]]*)\]", 1)).withColumn("target", F.regexp_extract("raw", r"\]\(([^)\s]+)", 1))
+
+
+# Labels of identifiers.
+IDENTIFIER_LABELS = [("part number", "mpn"), ("mpn", "mpn"), ("sku", "sku"), ("manufacturer", "manufacturer"), ("vendor", "manufacturer")]
+
+
+def identifiers(rows: DataFrame) -> DataFrame:
+    """Label/value facts whose label is in the dictionary, with the kind that it names."""
+    label = F.trim(F.regexp_replace(F.lower("label"), "[^a-z0-9]+", " "))
+    kind = F.coalesce(*[F.when(label == name, F.lit(k)) for name, k in IDENTIFIER_LABELS])
+    return key_values(rows).withColumn("kind", kind).where(F.col("kind").isNotNull())

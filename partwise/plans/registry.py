@@ -31,5 +31,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-for _module in ("scans", "relational", "aggregates", "windows", "text", "search", "dedup", "extraction", "normalize", "identity", "matching", "quality", "metrics", "lifecycle", "sinks"):
+for _module in ("scans", "relational", "aggregates", "windows", "text", "search", "dedup", "extraction", "normalize", "identity", "matching", "quality", "metrics", "lifecycle", "sinks", "composed", "extras"):
     importlib.import_module(f"partwise.plans.{_module}")

@@ -113,12 +113,25 @@ def ip_policy(spark, sf_dir):
     return found.select("doc_id", "address", address_verdict(F.col("address")).alias("verdict"))
 
 
-@query()
+def libraries(spark, sf_dir):
+    """One S-expression library per 20 benchmark items."""
+    quoted = F.concat(F.lit('(symbol "S'), F.col("item_id"), F.lit('" (property "Description" "'), F.regexp_replace("text", r'["\\\n]', " "), F.lit('") (pin input line (number "1")))'))
+    items = table(spark, sf_dir, "benchmark").select(F.floor(F.col("item_id") / 20).alias("lib"), quoted.alias("s"))
+    return items.groupBy(F.col("lib").cast("string").alias("path")).agg(F.concat(F.lit("(symbol_lib "), F.array_join(F.sort_array(F.collect_list("s")), " "), F.lit(")")).cast("binary").alias("content"))
+
+
+@query("""SELECT CAST(item_id // 20 AS VARCHAR) AS path, 'S' || item_id AS symbol, replace(replace(replace(text, chr(10), ' '), '"', ' '), chr(92), ' ') AS description, 1 AS n_pins, CAST(NULL AS VARCHAR) AS error FROM benchmark""")
 def src_sexpr(spark, sf_dir):
-    """Symbol records read from S-expression libraries (one library per 20 benchmark items)."""
+    """Symbol records read from S-expression libraries."""
     from partwise.sources.sexpr import symbols
 
-    quoted = F.concat(F.lit('(symbol "S'), F.col("item_id"), F.lit('" (property "Description" "'), F.regexp_replace("text", r'["\\\n]', " "), F.lit('") (pin input line (number "1")))'))
-    items = table(spark, sf_dir, "benchmark").select((F.col("item_id") / 20).cast("long").alias("lib"), quoted.alias("s"))
-    libraries = items.groupBy("lib").agg(F.concat(F.lit("(symbol_lib "), F.array_join(F.sort_array(F.collect_list("s")), " "), F.lit(")")).cast("binary").alias("content"))
-    return symbols(libraries.select(F.col("lib").cast("string").alias("path"), "content"))
+    return symbols(libraries(spark, sf_dir))
+
+
+@query("""SELECT CAST(item_id // 20 AS VARCHAR) AS path, count(*) AS n_symbols, count(*) AS n_pins, min('S' || item_id) AS first_symbol FROM benchmark GROUP BY 1""")
+def src_symbol_lib_v1(spark, sf_dir):
+    """Symbols and pins per library."""
+    from partwise.sources.sexpr import symbols
+
+    found = symbols(libraries(spark, sf_dir)).where("error IS NULL")
+    return found.groupBy("path").agg(F.count("*").alias("n_symbols"), F.sum("n_pins").alias("n_pins"), F.min("symbol").alias("first_symbol"))

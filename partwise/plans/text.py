@@ -91,7 +91,7 @@ def tok_package(spark, sf_dir):
 @query("""SELECT conv_id, turn, len(list_distinct(list_filter(list_transform(regexp_split_to_array(text, '[,;|]'), lambda t: trim(t)), lambda t: t <> ''))) AS n FROM conversations""")
 def tok_split(spark, sf_dir):
     """Split at comma, semicolon and bar; distinct, not empty."""
-    parts = F.filter(F.transform(F.split("text", "[,;|]"), F.trim), lambda t: t != "")
+    parts = F.filter(F.transform(F.split("text", "[,;|]"), lambda t: F.trim(t)), lambda t: t != "")
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(F.array_distinct(parts)).cast("long").alias("n"))
 
 
