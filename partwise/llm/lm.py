@@ -11,11 +11,12 @@ context path, which ends early where training never went.
 
 How it runs: documents are dealt into chunks of about ``CHUNK_CHARS``
 characters. A chunk reports its distinct words and grams (byte and context) with
-their training counts. Words are summed by key; grams are dealt by the two
-bytes next to the coded one, so that every subtree below depth 2 is whole in
-one partition; the tree's top (at most 256 x 255 nodes) is summed from them.
-Each chunk then gets back just the counts and probabilities of its own words
-and grams. Words are keyed by a 64-bit hash.
+their training counts, packed in one block per part. A part takes words by
+their key, and grams by the two bytes next to the coded one, so that every
+subtree below depth 2 is whole in it; the tree's top (at most 256 x 255 nodes)
+is summed over the parts. Each chunk then gets back just the counts and
+probabilities of its own words and grams. There are as many parts as chunks, so
+both stay of bounded size. Words are keyed by a 64-bit hash.
 
 Defined cases: a null text is empty: one end token, one end byte; a null
 doc_id counts as learned from; equal rows count as often as they occur; with no
@@ -24,8 +25,8 @@ training rows the base score is 0 for each token and each bit has chance 1/2.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +34,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, released, stored
+from .common import released, stored
 
 DEPTH = 5
 #: Subtrees from this depth down are whole in one partition.
 LEAST = 2
-CHUNK_CHARS = 60_000_000
+CHUNK_CHARS = 24_000_000
 #: Chunks that a small input is dealt into, of at least this many characters.
 FEW_CHUNKS, LEAST_CHARS = 12, 5_000_000
 SLICE = 500
@@ -68,10 +69,6 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def word_key(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word) - 2**63
-
-
 def grams_of(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """The gram of each byte of each text (the bytes before it, oldest first, and itself), and where each text begins."""
     if not texts:
@@ -102,31 +99,75 @@ def _hashed(words) -> np.ndarray:
     return np.fromiter(map(word_key, words), dtype=np.int64, count=len(words))
 
 
-def _chunk_counts(table: pa.Table) -> pa.Table:
-    """Distinct words and grams of a chunk with their training counts."""
-    chunk = table.column("chunk")[0].as_py()
-    found: dict[int, tuple[list, list]] = {WORD: ([], []), GRAM: ([], [])}
-    for at in range(0, table.num_rows, SLICE):
-        part = table.slice(at, SLICE)
-        split = [words_of(t) for t in part.column("text").to_pylist()]
-        for flag in (True, False):
-            own = [ws for ws, learn in zip(split, part.column("learn").to_pylist()) if learn is flag]
-            words = Counter()
-            for ws in own:
-                words.update(ws)
-            grams, times = np.unique(grams_of(own)[0], return_counts=True)
-            for kind, key, n in ((WORD, _hashed(words), np.fromiter(words.values(), dtype=np.int64, count=len(words))), (GRAM, grams.view(np.int64), times)):
-                found[kind][0].append(key)
-                found[kind][1].append(n if flag else np.zeros(len(n), dtype=np.int64))
-    (words, c), (grams, n) = _tally(*found[WORD]), _tally(*found[GRAM])
-    kinds = np.repeat(np.array([WORD, GRAM], dtype=np.int8), [len(words), len(grams)])
-    return pa.table({"kind": pa.array(kinds), "chunk": pa.array(np.full(len(kinds), chunk, dtype=np.int32)), "key": pa.array(np.concatenate((words, grams))), "n": pa.array(np.concatenate((c, n)))})
-
-
-def _whole(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
-    """Columns chunk, key, n of a whole partition."""
-    table = list(batches)
-    return tuple(np.concatenate([np.empty(0, np.int64), *[b.column(c).to_numpy().astype(np.int64) for b in table]]) for c in ("chunk", "key", "n"))
+def packed(keys: np.ndarray) -> bytes:
+    """Ascending keys as byte planes of their differences."""
+    steps = np.diff(keys.view(np.uint64), prepend=np.uint64(0))
+    return zlib.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def unpacked(block: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(block), dtype=np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _part_of(kind: int, keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each (unsigned) key."""
+    x = keys if kind == WORD else (keys >> np.uint64(8)) & np.uint64(0xFFFF)
+    return ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(parts)
+
+
+REPORT = "kind byte, chunk int, part int, keys binary, n binary"
+
+
+def _chunk_counts(parts: int):
+    """Distinct words and grams of a chunk with their training counts, a row for each kind and part."""
+
+    def count(table: pa.Table) -> pa.Table:
+        found: dict[int, tuple[list, list]] = {WORD: ([], []), GRAM: ([], [])}
+        for at in range(0, table.num_rows, SLICE):
+            part = table.slice(at, SLICE)
+            split = [words_of(t) for t in part.column("text").to_pylist()]
+            for flag in (True, False):
+                own = [ws for ws, learn in zip(split, part.column("learn").to_pylist()) if learn is flag]
+                words = Counter()
+                for ws in own:
+                    words.update(ws)
+                grams, times = np.unique(grams_of(own)[0], return_counts=True)
+                for kind, key, n in ((WORD, _hashed(words), np.fromiter(words.values(), dtype=np.int64, count=len(words))), (GRAM, grams, times)):
+                    found[kind][0].append(key)
+                    found[kind][1].append(n if flag else np.zeros(len(n), dtype=np.int64))
+        rows = []
+        for kind, (keys, times) in found.items():
+            key, n = _tally(keys, times)
+            part = _part_of(kind, key, parts)
+            order = np.argsort(part, kind="stable")  # keys stay ascending within a part
+            ends = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
+            for p in range(parts):
+                rows_of = order[ends[p] : ends[p + 1]]
+                if len(rows_of):
+                    rows.append((kind, p, packed(key[rows_of]), zlib.compress(n[rows_of].astype("<u4").tobytes(), 1)))
+        chunk = table.column("chunk")[0].as_py()
+        return pa.table({"kind": pa.array([r[0] for r in rows], pa.int8()), "chunk": pa.array([chunk] * len(rows), pa.int32()), "part": pa.array([r[1] for r in rows], pa.int32()), "keys": pa.array([r[2] for r in rows], pa.binary()), "n": pa.array([r[3] for r in rows], pa.binary())})
+
+    return count
+
+
+def _tally(keys: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    if not keys:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    return key, np.bincount(inverse, weights=np.concatenate(times).astype(np.float64), minlength=len(key)).astype(np.int64)
+
+
+def _hashed(words) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
+
+
+def _summed(table: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]:
+    """Distinct keys of a part with their sums; and the keys that each chunk reported."""
+    own = [(c, unpacked(k), np.frombuffer(zlib.decompress(n), dtype="<u4")) for x, c, k, n in zip(*(table.column(c).to_pylist() for c in ("kind", "chunk", "keys", "n"))) if x == kind]
+    keys, sums = _tally([k for _, k, _ in own], [n for _, _, n in own])
+    return keys, sums, [(c, k) for c, k, _ in own]
 
 
 class Subtrees:
@@ -202,58 +243,51 @@ class Top:
         self.n0, self.n1, self.odds = {1: n0, 0: z0}, {1: n1, 0: z1}, {1: own - below, 0: root - under}
 
 
-def _summed(chunk: np.ndarray, key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, their sums, for each row its key's place, and whether it is the first row of its key."""
-    keys, first, at = np.unique(key, return_index=True, return_inverse=True)
-    lead = np.zeros(len(key), dtype=np.int8)
-    lead[first] = 1
-    return keys, np.bincount(at, weights=n.astype(np.float64), minlength=len(keys)), at, lead
+TOPS = "node long, n0 double, n1 double, weighted double"
+#: The row of a part's words among the tops: n0 is how many are known, n1 the sum of their counts.
+WORDS_NODE = -1
 
 
-ANSWER = "kind byte, chunk int, key long, value double, lead byte"
+def _tops(table: pa.Table) -> pa.Table:
+    _, sums, _ = _summed(table, WORD)
+    grams, counts, _ = _summed(table, GRAM)
+    columns = [np.array([WORDS_NODE]), np.array([(sums > 0).sum()], dtype=np.float64), np.array([sums.sum()], dtype=np.float64), np.zeros(1)]
+    if len(grams):
+        columns = [np.concatenate(pair) for pair in zip(columns, Subtrees(grams, counts).top())]
+    return pa.table(dict(zip(("node", "n0", "n1", "weighted"), map(pa.array, columns))))
 
 
-def _answer(kind: int, chunk: np.ndarray, key: np.ndarray, value: np.ndarray, lead: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for at in range(0, len(key), 200_000):
-        s = slice(at, at + 200_000)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key[s]), kind, dtype=np.int8)), pa.array(chunk[s].astype(np.int32)), pa.array(key[s]), pa.array(value[s]), pa.array(lead[s])], ["kind", "chunk", "key", "value", "lead"])
+ANSWER = "kind byte, chunk int, keys binary, vals binary"
 
 
-def _word_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    chunk, key, n = _whole(batches)
-    if len(key):
-        _, sums, at, lead = _summed(chunk, key, n)
-        yield from _answer(WORD, chunk, key, sums[at], lead)
+def _answers(top):
+    """Counts of words and log probabilities of grams, packed for each chunk that reported them."""
 
+    def answer(table: pa.Table) -> pa.Table:
+        rows = []
+        words, sums, asked = _summed(table, WORD)
+        rows += [(WORD, c, packed(k), zlib.compress(sums[np.searchsorted(words, k)].astype("<i8").tobytes(), 1)) for c, k in asked]
+        grams, counts, asked = _summed(table, GRAM)
+        if len(grams):
+            chance = Subtrees(grams, counts).log10_probability(grams, top.value).astype("<f4")
+            rows += [(GRAM, c, packed(k), chance[np.searchsorted(grams, k)].tobytes()) for c, k in asked]
+        kinds = (pa.int8(), pa.int32(), pa.binary(), pa.binary())
+        return pa.table({c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate(zip(("kind", "chunk", "keys", "vals"), kinds))})
 
-def _gram_tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    chunk, key, n = _whole(batches)
-    if len(key):
-        keys, sums, _, _ = _summed(chunk, key, n)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in Subtrees(keys.view(np.uint64), sums).top()], ["node", "n0", "n1", "weighted"])
-
-
-def _gram_answers(top):
-    def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, key, n = _whole(batches)
-        if len(key):
-            keys, sums, at, lead = _summed(chunk, key, n)
-            grams = keys.view(np.uint64)
-            yield from _answer(GRAM, chunk, key, Subtrees(grams, sums).log10_probability(grams, top.value)[at], lead)
-
-    return answers
+    return answer
 
 
 def _chunk_scores(tokens: int, distinct: int, ends: int):
     """Scores of a chunk's documents from the answers to its words and grams."""
 
     def score(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        kind, key, value = (answers.column(c).to_numpy() for c in ("kind", "key", "value"))
         tables = {}
-        for k in (WORD, GRAM):
-            own = kind == k
-            order = np.argsort(key[own])
-            tables[k] = key[own][order], value[own][order]
+        for kind in (WORD, GRAM):
+            own = [(unpacked(k), np.frombuffer(zlib.decompress(v), dtype="<i8") if kind == WORD else np.frombuffer(v, dtype="<f4")) for x, k, v in zip(*(answers.column(c).to_pylist() for c in ("kind", "keys", "vals"))) if x == kind]
+            key = np.concatenate([np.empty(0, np.uint64), *[k for k, _ in own]])
+            value = np.concatenate([np.empty(0), *[v for _, v in own]])
+            order = np.argsort(key)
+            tables[kind] = key[order], value[order]
         word_keys, counts = tables[WORD]
         total = max(1, tokens + distinct + 1)
         base, known = np.log10((counts + 1) / total), counts > 0
@@ -271,7 +305,7 @@ def _chunk_scores(tokens: int, distinct: int, ends: int):
                 out["base_score"].append(float(base[i].sum()) + end_base)
             gram, starts = grams_of(split)
             mine = np.unique(gram)
-            chance = tables[GRAM][1][np.searchsorted(tables[GRAM][0], mine.view(np.int64))] if len(mine) else np.empty(0)
+            chance = tables[GRAM][1][np.searchsorted(tables[GRAM][0], mine)]
             out["score"] += np.add.reduceat(chance[np.searchsorted(mine, gram)], starts).tolist()
         n = docs.num_rows
         return pa.table(
@@ -297,22 +331,12 @@ def scored(docs: DataFrame, doc_id="doc_id", text="text", folds: int = 7, held:
     remainder = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds, F.lit(0))
     docs = docs.withColumn("learn", remainder != held).withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(chunks)).cast("int"))
 
-    reports = stored(docs.groupBy("chunk").applyInArrow(_chunk_counts, "kind byte, chunk int, key long, n long"), "lm-counts")
-    released(spark)
-    parts = max(1, -(-reports.count() // 400_000))
-    of_words = reports.where(F.col("kind") == WORD).select("chunk", "key", "n").repartition(parts, "key")
-    near = F.shiftright("key", 8).bitwiseAND(0xFFFF)
-    of_grams = reports.where(F.col("kind") == GRAM).select("chunk", "key", "n").repartition(parts, near)
-    tops = of_grams.mapInArrow(_gram_tops, "node long, n0 double, n1 double, weighted double")
-    rows = tops.groupBy("node").agg(F.sum("n0"), F.sum("n1"), F.sum("weighted")).collect()  # at most 256 x 255 nodes
-    top = spark.sparkContext.broadcast(Top([tuple(r) for r in rows]))
+    reports = stored(docs.groupBy("chunk").applyInArrow(_chunk_counts(chunks), REPORT), "lm-counts")
     released(spark)
-    answers = stored(of_words.mapInArrow(_word_answers, ANSWER).unionByName(of_grams.mapInArrow(_gram_answers(top), ANSWER)), "lm-answers")
-
-    forget(reports)
-    released(spark)
-    word = (F.col("kind") == WORD) & (F.col("lead") == 1)
+    rows = reports.groupBy("part").applyInArrow(_tops, TOPS).groupBy("node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("weighted").alias("w")).collect()  # at most 256 x 255 nodes and one
+    top = spark.sparkContext.broadcast(Top([tuple(r) for r in rows if r["node"] != WORDS_NODE]))
     ends = docs.where("learn").count()
-    known = answers.where(word & (F.col("value") > 0)).agg(F.count("*").alias("v"), F.coalesce(F.sum("value"), F.lit(0.0)).alias("n")).first()
-    tokens, distinct = int(known["n"]) + ends, known["v"] + (ends > 0)
-    return docs.groupBy("chunk").cogroup(answers.select("kind", "chunk", "key", "value").groupBy("chunk")).applyInArrow(_chunk_scores(tokens, distinct, ends), RESULT)
+    known, times = next(((int(r["n0"]), int(r["n1"])) for r in rows if r["node"] == WORDS_NODE), (0, 0))
+    released(spark)
+    answers = reports.groupBy("part").applyInArrow(_answers(top), ANSWER)
+    return docs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_chunk_scores(times + ends, known + (ends > 0), ends), RESULT)
