@@ -7,16 +7,18 @@ spaced minima ``m_j``; sketches merge by the larger register. Bands of four
 registers put nodes into buckets: at a Jaccard similarity of 0.75 two nodes miss
 all 40 bands with probability below 3e-7.
 
-1. Star rounds: each node is paired with the centre of one of its buckets, the
-   pair is checked on both full sets, and components are formed.
-2. Rest: buckets that still hold several components are compared member by
-   member, in blocks, by the maximum-likelihood estimate of the Jaccard
-   similarity from register order and set sizes. Every pair of different
-   components that may reach the threshold (estimate down to ``MARGIN``
-   below it, about five standard deviations) is checked on full sets.
+1. Near pairs: members of a bucket are compared, in blocks, by the
+   maximum-likelihood estimate of the Jaccard similarity from register order
+   and set sizes. Pairs that may reach the threshold (estimate down to
+   ``MARGIN`` below it, about five standard deviations) are near; a spanning
+   forest of them joins nodes to clusters, which hold every pair that may link.
+2. Links: the full shingle sets of a cluster meet, in blocks, and an inverted
+   index over them gives all intersections. A spanning forest of the exact
+   links makes the components.
 
 So a link is lost only by the stated sketch probabilities, and no bucket is
-cut. Hot buckets, centres and copy groups are pre-aggregated and salted.
+cut. Hot buckets and clusters meet block by block, copy groups are
+pre-aggregated and salted. Every link is checked on full sets.
 
 Defined cases: null or wordless texts have an empty set (size 0), link with
 nothing and are kept; rows with a null doc_id link with nothing (component
@@ -27,7 +29,6 @@ empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, salted_lookup, stored
+from .common import salted_lookup, stored
 
 SHINGLE = 5
 BAND, BANDS = 4, 40
@@ -43,17 +44,25 @@ REGISTERS = BAND * BANDS
 BASE, RATE, TOP = 1.001, 20.0, 2**16 - 2
 PERCENT = 75
 MARGIN = 0.17
-BLOCK = 2048
-#: Pairs that one copy of a centre's text serves.
-PER_CENTRE = 64
-#: Ids up to which the texts to check are picked by a broadcast of their ids (8 bytes each).
+#: Members of a bucket or cluster that one task compares with as many others.
+BLOCK = 1024
+#: Ids up to which the texts of clusters are picked by a broadcast of their ids (8 bytes each).
 PICK_ROWS = 500_000
 
 _mix = np.random.default_rng(20240117)
 FACTORS = (_mix.integers(0, 2**32, REGISTERS, dtype=np.uint64).astype(np.uint32) | np.uint32(1))[:, None]
 SHIFTS = _mix.integers(0, 2**32, REGISTERS, dtype=np.uint64).astype(np.uint32)[:, None]
 
-_hashes: dict[bytes, int] = {}
+
+class _Remembered(dict):
+    """Word hashes of this process, made as they are asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
+_hashes = _Remembered()
 
 
 def _scramble(x: np.ndarray) -> np.ndarray:
@@ -65,8 +74,6 @@ def _scramble(x: np.ndarray) -> np.ndarray:
 def word_hashes(words: list[bytes]) -> np.ndarray:
     if len(_hashes) > 500_000:
         _hashes.clear()
-    missing = set(words).difference(_hashes)
-    _hashes.update((w, xxhash.xxh3_64_intdigest(w)) for w in missing)
     return np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
@@ -194,118 +201,149 @@ def components(edges: DataFrame) -> DataFrame:
         left = salted_lookup(salted_lookup(left, a, "a", F.col("b"), 32), b, "b", F.col("a"), 32).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
 
 
-def _pick(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, text) of the ids; their number decides how they reach the documents."""
-    few = ids.limit(PICK_ROWS + 1).count() <= PICK_ROWS
-    return docs.join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id", "left_semi")
+def _near_pairs(col: dict[str, np.ndarray], ends: np.ndarray, at_once: int = 400_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (x, y) of one group, of different components, whose estimate comes near the threshold; and the estimate.
 
-
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose full sets reach the threshold.
-
-    ``b`` may be a centre with any number of pairs: its text is repeated once
-    per ``PER_CENTRE`` pairs and the pairs are dealt over the copies.
+    ``ends``: for each row, where its group ends. All groups of a batch are
+    paired side by side, ``at_once`` pairs at a time.
     """
-    pairs = stored(pairs.select("a", "b").distinct(), "pairs")
-    ids = nodes.select("node", "doc_id")
-    used = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    used = stored(used.join(ids, "node"), "pair-nodes")
-    texts = _pick(docs, used.select("doc_id").distinct())
-    texts = stored(used.join(texts, "doc_id").select("node", "text"), "pair-texts")
-    copies = pairs.groupBy("b").agg(F.ceil(F.count("*") / PER_CENTRE).cast("int").alias("copies"))
-    hot = copies.where("copies > 1")
-    if hot.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        dealt = pairs.join(F.broadcast(hot), "b", "left")
-    else:
-        dealt = salted_lookup(pairs, hot, "b", F.col("a"))
-    dealt = dealt.withColumn("copy", F.pmod(F.xxhash64("a"), F.coalesce("copies", F.lit(1))).cast("int")).select("a", "b", "copy")
-    centres = copies.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    centres = centres.select("b", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), "text_b")
-    rows = dealt.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a").join(centres.hint("merge"), ["b", "copy"])
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, None)
-        for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            keep = []
-            for i in range(len(a)):
-                key = (b[i], batch.column(3)[i].as_py())
-                if last[0] != key:
-                    last = (key, shingle_set(key[1]))
-                x, y = shingle_set(batch.column(2)[i].as_py()), last[1]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if node_of(x) == a[i] and node_of(y) == b[i] and 100 * both >= PERCENT * (len(x) + len(y) - both):
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], ["a", "b"])
-
-    return stored(rows.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long").distinct(), "verified")
-
-
-def _may_link(group: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of different components whose estimate comes near the threshold."""
-    n, comp, node, own, regs = (group[k] for k in ("n", "comp", "node", "own", "regs"))
-    out_a, out_b = [], []
-    for lo in range(0, len(n), 64):
-        rows = np.arange(lo, min(lo + 64, len(n)))
-        other = np.arange(lo + 1, len(n))
-        if not len(other):
-            break
-        fit = (other[None, :] > rows[:, None]) & (comp[rows][:, None] != comp[other][None, :])
-        fit &= 100 * np.minimum(n[rows][:, None], n[other][None, :]) >= PERCENT * np.maximum(n[rows][:, None], n[other][None, :])
-        if group["i"] != group["j"]:
-            fit &= own[rows][:, None] != own[other][None, :]
-        a, b = np.nonzero(fit)
-        for at in range(0, len(a), 16384):
-            x, y = rows[a[at : at + 16384]], other[b[at : at + 16384]]
-            greater, less = (regs[x] > regs[y]).sum(1), (regs[x] < regs[y]).sum(1)
-            near = (REGISTERS - greater - less) >= 0.45 * REGISTERS
-            x, y = x[near], y[near]
-            if len(x):
-                good = jaccard_estimate(greater[near], less[near], n[x].astype(float), n[y].astype(float)) >= PERCENT / 100 - MARGIN
-                out_a.append(node[x[good]])
-                out_b.append(node[y[good]])
-    none = np.empty(0, dtype=np.int64)
-    return np.concatenate([none, *out_a]), np.concatenate([none, *out_b])
-
-
-def _candidates(mixed: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs from buckets (key, node, comp, size) that hold several components, bucket by bucket in blocks."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = mixed.join(nodes.select("node", "n", "registers").hint("merge"), "node").withColumn("blocks", blocks)
+    n, comp, own, apart, regs = (col[k] for k in ("n", "comp", "own", "apart", "regs"))
+    counts = ends - np.arange(len(ends)) - 1
+    upto = np.concatenate(([0], np.cumsum(counts)))
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    lo = 0
+    while lo < len(counts):
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + at_once, side="right")) - 1)
+        x = np.repeat(np.arange(lo, hi), counts[lo:hi])
+        y = x + 1 + np.arange(len(x)) - np.repeat(upto[lo:hi] - upto[lo], counts[lo:hi])
+        fit = (comp[x] != comp[y]) & (100 * np.minimum(n[x], n[y]) >= PERCENT * np.maximum(n[x], n[y])) & (~apart[x] | (own[x] != own[y]))
+        x, y = x[fit], y[fit]
+        for at in range(0, len(x), 16384):
+            a, b = x[at : at + 16384], y[at : at + 16384]
+            ra, rb = regs[a], regs[b]
+            greater, less = (ra > rb).sum(1), (ra < rb).sum(1)
+            near = REGISTERS - greater - less >= 0.45 * REGISTERS
+            a, b = a[near], b[near]
+            if len(a):
+                guess = jaccard_estimate(greater[near], less[near], n[a].astype(float), n[b].astype(float))
+                good = guess >= PERCENT / 100 - MARGIN
+                found.append((a[good], b[good], guess[good]))
+        lo = hi
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    return tuple(np.concatenate(f) for f in zip(*found))
+
+
+def _forest(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """Which of the pairs (x, y) of rows below ``n`` form a spanning forest."""
+    label, keep = np.arange(n), np.zeros(len(x), dtype=bool)
+    starts = np.concatenate(([0], np.nonzero(np.diff(x))[0] + 1, [len(x)])) if len(x) else np.zeros(1, np.int64)
+    for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):  # all pairs of one row x, which are together
+        own = label[x[a]]
+        found, first = np.unique(label[y[a:b]], return_index=True)
+        other = found != own
+        if other.any():
+            keep[a + first[other]] = True
+            label[np.isin(label, found[other])] = own
+    return keep
+
+
+def _in_blocks(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of groups (``size`` members) once for each pair of blocks (i, j) of their group that they take part in."""
+    rows = rows.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "n", "registers")
-    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-
-        def groups(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
-            col = {c: table.column(c).to_numpy() for c in ("own", "node", "comp", "n", "i", "j")}
-            regs = np.frombuffer(b"".join(table.column("registers").to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
-            found = [
-                _may_link({c: v[a:b] for c, v in col.items() if c not in "ij"} | {"i": col["i"][a], "j": col["j"][a], "regs": regs[a:b]})
-                for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())
-            ]
-            none = np.empty(0, dtype=np.int64)
-            return pa.RecordBatch.from_arrays([_long(np.concatenate([none, *[f[k] for f in found]])) for k in (0, 1)], ["a", "b"])
-
+    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("size", "blocks", "other")
+    return rows.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
+
+
+def _by_group(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Whole groups (key, i, j) of sorted rows as tables, and where each group begins (and the last ends)."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if rest is None else pa.concat_tables([rest, table]).combine_chunks()
+        keys = np.stack([table.column(c).to_numpy().astype(np.int64) for c in (key, "i", "j")])
+        starts = np.concatenate(([0], np.nonzero((np.diff(keys, axis=1) != 0).any(axis=0))[0] + 1)) if table.num_rows else np.zeros(1, np.int64)
+        if len(starts) > 1:  # the last group may go on in the next batch
+            yield table.slice(0, int(starts[-1])), starts
+        rest = table.slice(int(starts[-1]))
+    if rest is not None and rest.num_rows:
+        yield rest.combine_chunks(), np.array([0, rest.num_rows])
+
+
+def _edges(node: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([_long(np.minimum(node[x], node[y])), _long(np.maximum(node[x], node[y]))], ["a", "b"])
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A forest of the near pairs of each run of buckets."""
+    for table, starts in _by_group(batches, "key"):
+        col = {c: table.column(c).to_numpy() for c in ("own", "node", "n", "i", "j")}
+        col["apart"] = col["i"] != col["j"]
+        col["regs"] = np.frombuffer(b"".join(table.column("registers").to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
+        names, col["comp"] = np.unique(col["node"], return_inverse=True)
+        x, y, _ = _near_pairs(col, np.repeat(starts[1:], np.diff(starts)))
+        a, b = np.minimum(col["comp"][x], col["comp"][y]), np.maximum(col["comp"][x], col["comp"][y])
+        pairs = np.unique(np.stack((a, b)), axis=1) if len(a) else np.empty((2, 0), np.int64)
+        keep = _forest(pairs[0], pairs[1], len(names))
+        yield _edges(names, pairs[0][keep], pairs[1][keep])
+
+
+def exact_links(sets: list[np.ndarray], own: np.ndarray, apart: bool) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the rows whose sets reach the threshold; ``apart``: only rows of different blocks meet."""
+    n = np.array([len(s) for s in sets], dtype=np.int64)
+    row = np.repeat(np.arange(len(sets)), n)
+    _, shingle = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(shingle, kind="stable")
+    posts = row[order]
+    ends = np.concatenate(([0], np.cumsum(np.bincount(shingle))))
+    begin = np.concatenate(([0], np.cumsum(n)))
+    label, out_x, out_y = np.arange(len(sets)), [], []
+    for x in range(len(sets) - 1):
+        mine = shingle[begin[x] : begin[x + 1]]
+        count = ends[mine + 1] - ends[mine]
+        at = np.repeat(ends[mine] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(int(count.sum()))
+        both = np.bincount(posts[at], minlength=len(sets))[x + 1 :]
+        linked = (100 * both >= PERCENT * (n[x] + n[x + 1 :] - both)) & (label[x + 1 :] != label[x])
+        if apart:
+            linked &= own[x + 1 :] != own[x]
+        found, first = np.unique(label[x + 1 :][linked], return_index=True)
+        if len(found):
+            out_x += [x] * len(found)
+            out_y += (np.nonzero(linked)[0][first] + x + 1).tolist()
+            label[np.isin(label, found)] = label[x]
+    return np.array(out_x, dtype=np.int64), np.array(out_y, dtype=np.int64)
+
+
+def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A forest of the exact links of each block of a cluster."""
+    for table, starts in _by_group(batches, "root"):
+        node, own, i, j = (table.column(c).to_numpy() for c in ("node", "own", "i", "j"))
+        blocks = table.column("shingles").to_pylist()
+        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
+            if b - a > 1:
+                x, y = exact_links([np.frombuffer(s, dtype=np.uint64) for s in blocks[a:b]], own[a:b], bool(i[a] != j[a]))
+                yield _edges(node[a:b], x, y)
+
+
+def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, root, size, shingles) for nodes (node, doc_id, root, size); their number decides how their ids reach the texts."""
+    few = wanted.limit(PICK_ROWS + 1).count() <= PICK_ROWS
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = table if rest is None else pa.concat_tables([rest, table]).combine_chunks()
-            keys = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j")])
-            starts = np.concatenate(([0], np.nonzero((np.diff(keys, axis=1) != 0).any(axis=0))[0] + 1)) if table.num_rows else np.zeros(1, np.int64)
-            if len(starts) > 1:  # the last group may go on in the next batch
-                yield groups(table.slice(0, int(starts[-1])), starts)
-            rest = table.slice(int(starts[-1]))
-        if rest is not None and rest.num_rows:
-            yield groups(rest.combine_chunks(), np.array([0, rest.num_rows]))
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                sets = [shingle_set(t) for t in part.column(3).to_pylist()]
+                same = pa.array([node_of(s) == v for s, v in zip(sets, part.column(0).to_pylist())])  # an id may have other texts
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "root", "size", "shingles"]).filter(same)
 
-    pairs = rows.mapInArrow(compare, "a long, b long")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rows = docs.join(F.broadcast(wanted) if few else wanted.hint("merge"), "doc_id").select("node", "root", "size", "text")
+    return rows.mapInArrow(build, "node long, root long, size long, shingles binary")
 
 
-def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", star_rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     table = stored(described(docs), "sketches")
@@ -316,27 +354,14 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", star_rounds:
     )
     members = _bands(nodes)
     buckets = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    shared = stored(salted_lookup(members, buckets, "key", F.col("node"), 8, how="inner"), "buckets")
-
-    edges, labels = [], None
-    for turn in range(star_rounds + 1):
-        if labels is None:
-            own = shared.withColumn("comp", F.col("node"))
-        else:
-            own = shared.join(labels.hint("merge"), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-        several = own.groupBy("key").agg(
-            F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "n", "comp")).alias("c")
-        ).where("lo != hi")
-        mixed = salted_lookup(own, several.select("key", F.col("c.node").alias("centre"), F.col("c.n").alias("centre_n"), F.col("c.comp").alias("centre_comp")), "key", F.col("node"), 8, how="inner")
-        if turn < star_rounds:
-            fits = (F.col("comp") != F.col("centre_comp")) & (100 * F.least("n", "centre_n") >= PERCENT * F.greatest("n", "centre_n"))
-            stars = mixed.where(fits).groupBy("node").agg(F.min(F.struct(F.xxhash64("centre", F.lit(turn)).alias("o"), "centre")).alias("c"))
-            pairs = stars.select(F.col("node").alias("a"), F.col("c.centre").alias("b"))
-        else:
-            pairs = _candidates(mixed.select("key", "node", "comp", "size"), nodes)
-        good = verified(pairs, nodes, docs)
-        edges.append(good)
-        labels = components(reduce(DataFrame.unionByName, edges))
+    shared = salted_lookup(members.drop("n"), buckets, "key", F.col("node"), 8, how="inner")
+    compared = _in_blocks(shared.join(nodes.select("node", "n", "registers").hint("merge"), "node"), "key")
+    near = compared.select("key", "i", "j", "own", "node", "n", "registers").mapInArrow(_compare, "a long, b long").distinct()
+    clusters = components(near)
+    sizes = clusters.groupBy("root").agg(F.count("*").alias("size"))
+    wanted = salted_lookup(clusters.join(nodes.select("node", "doc_id").hint("merge"), "node"), sizes, "root", F.col("node"))
+    met = _in_blocks(_shingle_sets(docs, stored(wanted, "clusters")), "root")
+    labels = components(met.select("root", "i", "j", "own", "node", "shingles").mapInArrow(_link, "a long, b long"))
 
     rooted = nodes.join(labels.hint("merge"), "node", "left").select("node", "doc_id", "copies", F.coalesce("root", "node").alias("root"), F.col("root").isNotNull().alias("found"))
     least = rooted.where("found").groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -89,8 +89,7 @@ def test_chains_stars_and_borders(spark):
 
 def test_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 4)
-    monkeypatch.setattr(neardup, "PER_CENTRE", 2)
-    monkeypatch.setattr(neardup, "SURE", 2.0)
+    monkeypatch.setattr(neardup, "PICK_ROWS", 1)
     rows = list(enumerate(family(7, 60, 3) + family(8, 60, 4)))
     same(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")), rows)
 
