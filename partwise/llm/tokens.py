@@ -41,9 +41,9 @@ MAX_LENGTH = 16
 STEP = 256
 MAGIC = b"HUF1"
 #: Words whose ids a worker process remembers; the memory is emptied when full.
-REMEMBERED = 800_000
+REMEMBERED = 1_200_000
 
-_encoders: dict[str, tuple] = {}
+_encoders: dict[str, _Words] = {}
 LATIN = [chr(c) for c in range(0xC0, 0x100) if chr(c) not in "×÷"]
 _plain_word = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)\Z")
 
@@ -54,48 +54,51 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _encoder(path: str):
-    """The tokenizer and this process's memory of words and their pieces, made once per worker."""
+def _encoder(path: str) -> _Words:
+    """This process's memory of words for a tokenizer file, made once per worker."""
     if path not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        as_bytes = {ord(c): "".join(x for x, _ in tokenizer.pre_tokenizer.pre_tokenize_str(c)) for c in LATIN}
-        _encoders[path] = (tokenizer, {}, {}, as_bytes)
+        _encoders[path] = _Words(Tokenizer.from_file(path))
     return _encoders[path]
 
 
-def _encode_words(words: list[bytes], tokenizer, known: dict, cores: dict, letters: dict) -> None:
-    """Put the ids of new words into ``known``.
+class _Words(dict):
+    """Ids (as bytes) of the words that this process has met; new ones are encoded when asked for.
 
     A word of ASCII and Latin-1 letters with ASCII punctuation (no apostrophe)
     after them passes normalizer and pre-tokenizer as its lower-case letters
     and its punctuation, so the library's model is asked for these pieces, and
     each is remembered; any other word takes the whole way.
     """
-    model, others = tokenizer.model, []
-    for w in words:
-        m = _plain_word.match(w.decode())
-        if not m:
-            others.append(w)
-            continue
-        ids = b""
-        for piece in m.groups():
-            if piece:
-                got = cores.get(piece)
-                if got is None:
-                    lower = piece.lower()
-                    got = cores.get(lower)
-                    if got is None:
-                        got = array("H", [x.id for x in model.tokenize(lower.translate(letters))]).tobytes()
-                        cores[lower] = got
-                ids += got
-        known[w] = ids
-    for at in range(0, len(others), 20_000):
-        some = others[at : at + 20_000]
-        found = tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-        known.update((w, array("H", x.ids).tobytes()) for w, x in zip(some, found))
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer, self.model, self.pieces = tokenizer, tokenizer.model, {}
+        self.letters = {ord(c): "".join(x for x, _ in tokenizer.pre_tokenizer.pre_tokenize_str(c)) for c in LATIN}
+
+    def __missing__(self, word: bytes) -> bytes:
+        m = _plain_word.match(text := word.decode())
+        if m:
+            ids = self._piece(m[1].lower())
+            if m[2]:
+                ids += self._piece(m[2])
+        else:
+            ids = array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        self[word] = ids
+        return ids
+
+    def _piece(self, piece: str) -> bytes:
+        got = self.pieces.get(piece)
+        if got is None:
+            got = self.pieces[piece] = array("H", [x.id for x in self.model.tokenize(piece.translate(self.letters))]).tobytes()
+        return got
+
+    def shrink(self) -> None:
+        for memory in (self, self.pieces):
+            if len(memory) > REMEMBERED:
+                memory.clear()
 
 
 def encode_texts(texts: list[str | None], path: str) -> list[bytes]:
@@ -106,19 +109,15 @@ def encode_texts(texts: list[str | None], path: str) -> list[bytes]:
     the library encodes each word once and the process remembers it. Texts in
     which a special token could start go through the library as a whole.
     """
-    tokenizer, known, cores, letters = _encoder(path)
-    words = [None if t and "<|" in t else (t or "").encode().split() for t in texts]
-    fresh = set()
-    for w in words:
-        if w:
-            fresh.update(w)
-    for memory in (known, cores):
-        if len(memory) > REMEMBERED:
-            memory.clear()
-    fresh.difference_update(known)
-    _encode_words(list(fresh), tokenizer, known, cores, letters)
-    get = known.__getitem__
-    return [array("H", tokenizer.encode(t, add_special_tokens=False).ids).tobytes() if w is None else b"".join(map(get, w)) for t, w in zip(texts, words)]
+    known = _encoder(path)
+    known.shrink()
+    ids_of, out = known.__getitem__, []
+    for t in texts:
+        if t and "<|" in t:
+            out.append(array("H", known.tokenizer.encode(t, add_special_tokens=False).ids).tobytes())
+        else:
+            out.append(b"".join(map(ids_of, (t or "").encode().split())))
+    return out
 
 
 def token_table(docs: DataFrame, tokenizer: str, doc_id="doc_id", text="text", end_id: int = 1) -> DataFrame:
