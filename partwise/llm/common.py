@@ -85,3 +85,18 @@ def salted_lookup(big: DataFrame, small: DataFrame, key: str, salt: Column, salt
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+_memories: dict[str, object] = {}
+
+
+def remember_in(name: str, memory: object) -> None:
+    """Make a worker process's memory (anything with ``clear``) known."""
+    _memories[name] = memory
+
+
+def use_memory(name: str) -> None:
+    """Called at the start of a task: a reused worker keeps only the memory that this task's operator uses."""
+    for other, memory in _memories.items():
+        if other != name:
+            memory.clear()

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import use_memory
+
 #: Word bytes are 0-9, a-z (A-Z lower-cased) and everything above 0x7F.
 FOLD = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 END = b"~"  # never a word, so it marks the end of a document
@@ -221,6 +223,7 @@ def _pass(docs: DataFrame, text: str, phrases: Phrases, first: bool) -> DataFram
     schema = ", ".join(f"{c} {f.dataType.simpleString()}" for f, c in zip(keep, names)) + (", " if keep else "") + RESULT
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_memory("decontam")
         for batch in batches:
             for lo in range(0, batch.num_rows, SHARD):
                 part = batch.slice(lo, SHARD)

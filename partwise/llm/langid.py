@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, use_memory
 
 BUCKETS = 1 << 15
 ORDERS = 3
@@ -117,6 +117,7 @@ def _statistics(rows: DataFrame) -> np.ndarray:
     """In how many of the texts each feature occurs; last, how many texts have a letter."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_memory("langid")
         total = np.zeros(BUCKETS + 1, dtype=np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
@@ -138,6 +139,7 @@ def _features(rows: DataFrame, languages: list[str], idf: np.ndarray) -> DataFra
     number = {name: i for i, name in enumerate(languages)}
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_memory("langid")
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
@@ -231,6 +233,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_memory("langid")
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import salted_lookup, stored
+from .common import remember_in, salted_lookup, stored, use_memory
 
 SHINGLE = 5
 BAND, BANDS = 4, 40
@@ -63,6 +63,7 @@ class _Remembered(dict):
 
 
 _hashes = _Remembered()
+remember_in("neardup", _hashes)
 
 
 def _scramble(x: np.ndarray) -> np.ndarray:
@@ -138,6 +139,7 @@ def described(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
     """doc_id, size of the set, node (hash of the set, null if empty), registers."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_memory("neardup")
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
@@ -332,6 +334,7 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     few = wanted.limit(PICK_ROWS + 1).count() <= PICK_ROWS
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_memory("neardup")
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)

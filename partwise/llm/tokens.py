@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, stored
+from .common import new_path, remember_in, stored, use_memory
 
 MAX_LENGTH = 16
 STEP = 256
@@ -61,6 +61,7 @@ def _encoder(path: str) -> _Words:
         from tokenizers import Tokenizer
 
         _encoders[path] = _Words(Tokenizer.from_file(path))
+        remember_in("tokens", _encoders)
     return _encoders[path]
 
 
@@ -125,6 +126,7 @@ def token_table(docs: DataFrame, tokenizer: str, doc_id="doc_id", text="text", e
     end = np.array([end_id], dtype="<u2").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_memory("tokens")
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
