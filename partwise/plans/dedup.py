@@ -1,8 +1,10 @@
 """Explainable duplicate detection: block by trigrams, score seven signals, queue.
 
-A newly imported component is a part whose key is divisible by 40; it is held
-against all others. Penalties come after the weights of the active signals are
-renormalised.
+``dup_block_all`` and its followers hold every component against all others.
+``dup_block``, ``dup_score``, ``dup_upsert`` and ``dup_queue`` keep to the set of
+their SQL: a newly imported component is a part whose key is divisible by 40; it is
+held against all others. Penalties come after the weights of the active signals
+are renormalised.
 """
 
 from __future__ import annotations
@@ -18,17 +20,27 @@ from partwise.plans.search import GRAMS
 # Signal weights and thresholds.
 WEIGHTS = {"title": 0.25, "tokens": 0.20, "identity": 0.15, "specs": 0.15, "texts": 0.10, "media": 0.10, "phash": 0.05}
 PRESELECT, TOP, KEEP, BLOCK = 0.20, 50, 0.35, 0.70
+NEW = "p_partkey % 40 = 0"
 
 
-def preselect(parts: DataFrame, step: int = 40) -> DataFrame:
-    """(a, b, trigram): the 50 nearest titles of every new component."""
+def preselect(parts: DataFrame, new: str = "true") -> DataFrame:
+    """(a, b, trigram): the 50 nearest titles of every component, or of those where ``new`` holds.
+
+    Only distinct titles are paired. A title needs its TOP + 1 nearest parts: ties go
+    to the smaller key, so no similar title gives more than its TOP + 1 smallest keys,
+    and the one above TOP stands in for the component itself.
+    """
     grams = trigram_table(parts.select("p_name").distinct(), "p_name", "p_name")
-    new = parts.where(F.col("p_partkey") % step == 0).select(F.col("p_partkey").alias("a"), F.col("p_name").alias("na"))
-    sides = grams.join(new.select(F.col("na").alias("key")).distinct(), "key", "left_semi")
-    alike = similar_pairs(sides, grams, PRESELECT).unionByName(new.select("na").distinct().select(F.col("na").alias("a"), F.col("na").alias("b"), F.lit(1.0).alias("similarity")))
-    near = new.join(alike.withColumnRenamed("a", "na"), "na").join(parts.select(F.col("p_partkey").alias("other"), F.col("p_name").alias("b")), "b")
+    left = parts.where(new).select(F.col("p_partkey").alias("a"), F.col("p_name").alias("na"))
+    titles = left.select("na").distinct()
+    sides = grams.join(titles.withColumnRenamed("na", "key"), "key", "left_semi")
+    alike = similar_pairs(sides, grams, PRESELECT).unionByName(titles.select(F.col("na").alias("a"), F.col("na").alias("b"), F.lit(1.0).alias("similarity")))
+    first = F.row_number().over(Window.partitionBy("p_name").orderBy("p_partkey"))
+    bearers = parts.select("p_name", "p_partkey").withColumn("rn", first).where(F.col("rn") <= TOP + 1).select(F.col("p_name").alias("b"), F.col("p_partkey").alias("other"))
+    nearest = F.row_number().over(Window.partitionBy("na").orderBy(F.desc("similarity"), "other"))
+    near = alike.withColumnRenamed("a", "na").join(bearers, "b").withColumn("rn", nearest).where(F.col("rn") <= TOP + 1).select("na", "other", "similarity")
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "other"))
-    return near.where("a <> other").withColumn("rn", rank).where(F.col("rn") <= TOP).select("a", F.col("other").alias("b"), F.col("similarity").alias("trigram"))
+    return left.join(near, "na").where("a <> other").withColumn("rn", rank).where(F.col("rn") <= TOP).select("a", F.col("other").alias("b"), F.col("similarity").alias("trigram"))
 
 
 def signals(parts: DataFrame, prefix: str) -> DataFrame:
@@ -50,14 +62,19 @@ def pair_score(trigram: Column) -> tuple[Column, Column]:
     return F.round(bounded(mean - penalty), 4), penalty
 
 
-def scored(spark, sf_dir) -> DataFrame:
+def scored(spark, sf_dir, new: str = "true") -> DataFrame:
     parts = table(spark, sf_dir, "part")
-    pairs = preselect(parts)
+    pairs = preselect(parts, new)
     joined = pairs.join(signals(parts, "l"), F.col("a") == F.col("l_p_partkey")).join(signals(parts, "r"), F.col("b") == F.col("r_p_partkey"))
     score, penalty = pair_score(F.col("trigram"))
     return joined.select("a", "b", "trigram", score.alias("score"), penalty.alias("penalty"))
 
 
+def upserted(pairs: DataFrame) -> DataFrame:
+    kept = pairs.where(F.col("score") > KEEP)
+    return kept.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.max(F.round(F.col("score") * 1000).cast("long")).alias("score"), F.bool_or(F.col("score") > BLOCK).alias("blocks"))
+
+
 BLOCKS = f"""
 WITH d AS (SELECT DISTINCT p_name FROM part), g AS (SELECT p_name, {GRAMS.format("p_name")} AS g FROM d),
 sim AS (SELECT x.p_name AS na, y.p_name AS nb, len(list_intersect(x.g, y.g)) / CAST(len(x.g) + len(y.g) - len(list_intersect(x.g, y.g)) AS DOUBLE) AS similarity FROM g x, g y),
@@ -75,20 +92,19 @@ s AS (SELECT a, b, trigram, CASE WHEN p.p_brand <> q.p_brand THEN 0.15 ELSE 0 EN
 @query(BLOCKS + """ SELECT a, b, round(trigram, 9) AS trigram FROM b""")
 def dup_block(spark, sf_dir):
     """Similarity preselection: 50 per new component."""
-    return preselect(table(spark, sf_dir, "part")).select("a", "b", F.round("trigram", 9).alias("trigram"))
+    return preselect(table(spark, sf_dir, "part"), NEW).select("a", "b", F.round("trigram", 9).alias("trigram"))
 
 
 @query(SCORES + """ SELECT a, b, CAST(round(greatest(0, least(1, mean - penalty)) * 1000) AS BIGINT) AS score FROM s""")
 def dup_score(spark, sf_dir):
     """Scores in per mille (the rounding to four places is a matter of the last bit)."""
-    return scored(spark, sf_dir).select("a", "b", F.round(F.col("score") * 1000).cast("long").alias("score"))
+    return scored(spark, sf_dir, NEW).select("a", "b", F.round(F.col("score") * 1000).cast("long").alias("score"))
 
 
 @query(SCORES + """ SELECT least(a, b) AS lo, greatest(a, b) AS hi, max(CAST(round(greatest(0, least(1, mean - penalty)) * 1000) AS BIGINT)) AS score, bool_or(greatest(0, least(1, mean - penalty)) >= 0.70005) AS blocks FROM s WHERE greatest(0, least(1, mean - penalty)) >= 0.35005 GROUP BY 1, 2""")
 def dup_upsert(spark, sf_dir):
     """One open row per ordered pair; a new score replaces the old."""
-    kept = scored(spark, sf_dir).where(F.col("score") > KEEP)
-    return kept.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.max(F.round(F.col("score") * 1000).cast("long")).alias("score"), F.bool_or(F.col("score") > BLOCK).alias("blocks"))
+    return upserted(scored(spark, sf_dir, NEW))
 
 
 @query("""SELECT sha256(lower(p_name) || chr(0) || lower(p_brand)) AS key, count(*) AS n, min(p_partkey) AS survivor FROM part GROUP BY 1 HAVING count(*) > 1""")
@@ -103,6 +119,37 @@ def dup_queue(spark, sf_dir):
     return dup_score(spark, sf_dir).orderBy(F.desc("score"), "a", "b").limit(100)
 
 
+ALL_BLOCKS = f"""
+WITH d AS (SELECT DISTINCT p_name FROM part), g AS (SELECT p_name, {GRAMS.format("p_name")} AS g FROM d),
+sim AS (SELECT x.p_name AS na, y.p_name AS nb, len(list_intersect(x.g, y.g)) / CAST(len(x.g) + len(y.g) - len(list_intersect(x.g, y.g)) AS DOUBLE) AS similarity FROM g x, g y),
+b AS (SELECT a, b, trigram FROM (SELECT p.p_partkey AS a, q.p_partkey AS b, similarity AS trigram, row_number() OVER (PARTITION BY p.p_partkey ORDER BY similarity DESC, q.p_partkey) AS rn
+  FROM part p JOIN sim ON p.p_name = na JOIN part q ON q.p_name = nb WHERE similarity >= 0.2 AND p.p_partkey <> q.p_partkey) WHERE rn <= 50)"""
+ALL_SCORES = ALL_BLOCKS + SCORES.removeprefix(BLOCKS)
+
+
+@query(ALL_BLOCKS + """ SELECT a, b, round(trigram, 9) AS trigram FROM b""")
+def dup_block_all(spark, sf_dir):
+    """Similarity preselection: 50 per component, for every component."""
+    return preselect(table(spark, sf_dir, "part")).select("a", "b", F.round("trigram", 9).alias("trigram"))
+
+
+@query(ALL_SCORES + """ SELECT a, b, CAST(round(greatest(0, least(1, mean - penalty)) * 1000) AS BIGINT) AS score FROM s""")
+def dup_score_all(spark, sf_dir):
+    """Scores in per mille of every component's pairs."""
+    return scored(spark, sf_dir).select("a", "b", F.round(F.col("score") * 1000).cast("long").alias("score"))
+
+
+@query(ALL_SCORES + """ SELECT least(a, b) AS lo, greatest(a, b) AS hi, max(CAST(round(greatest(0, least(1, mean - penalty)) * 1000) AS BIGINT)) AS score, bool_or(greatest(0, least(1, mean - penalty)) >= 0.70005) AS blocks FROM s WHERE greatest(0, least(1, mean - penalty)) >= 0.35005 GROUP BY 1, 2""")
+def dup_upsert_all(spark, sf_dir):
+    """One open row per unordered pair of all components."""
+    return upserted(scored(spark, sf_dir))
+
+
+@query(ALL_SCORES + """ SELECT a, b, CAST(round(greatest(0, least(1, mean - penalty)) * 1000) AS BIGINT) AS score FROM s ORDER BY score DESC, a, b LIMIT 100""")
+def dup_queue_all(spark, sf_dir):
+    return dup_score_all(spark, sf_dir).orderBy(F.desc("score"), "a", "b").limit(100)
+
+
 @query("""
 WITH pairs AS (SELECT o_custkey AS a, o_orderkey AS b, o_orderstatus AS st FROM orders),
 d AS (SELECT a, b, CASE st WHEN 'F' THEN 'merge' WHEN 'O' THEN 'reject' END AS decision FROM pairs WHERE st <> 'P'),
