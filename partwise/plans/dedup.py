@@ -3,12 +3,14 @@
 ``dup_block_all`` and its followers hold every component against all others.
 ``dup_block``, ``dup_score``, ``dup_upsert`` and ``dup_queue`` keep to the set of
 their SQL: a newly imported component is a part whose key is divisible by 40; it is
-held against all others. Penalties come after the weights of the active signals
+held against all others, and scored by the first four signals. Penalties come after the weights of the active signals
 are renormalised.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,7 @@ from partwise.plans.search import GRAMS
 # Signal weights and thresholds.
 WEIGHTS = {"title": 0.25, "tokens": 0.20, "identity": 0.15, "specs": 0.15, "texts": 0.10, "media": 0.10, "phash": 0.05}
 PRESELECT, TOP, KEEP, BLOCK = 0.20, 50, 0.35, 0.70
+BOUND = ("title", "tokens", "identity", "specs")
 NEW = "p_partkey % 40 = 0"
 
 
@@ -43,30 +46,50 @@ def preselect(parts: DataFrame, new: str = "true") -> DataFrame:
     return left.join(near, "na").where("a <> other").withColumn("rn", rank).where(F.col("rn") <= TOP).select("a", F.col("other").alias("b"), F.col("similarity").alias("trigram"))
 
 
+def text_hashes(*columns: str) -> Column:
+    """Distinct digests of the texts that aren't empty."""
+    return F.array_distinct(F.array_compact(F.array(*[F.sha2(F.nullif(words_key(F.col(c)), F.lit("")), 256) for c in columns])))
+
+
 def signals(parts: DataFrame, prefix: str) -> DataFrame:
     """One row of signals per component."""
     tokens = F.array_distinct(F.split(words_key(F.concat_ws(" ", "p_name", "p_brand")), " "))
     specs = F.array(F.concat_ws("=", F.lit("size"), "p_size"), F.concat_ws("=", F.lit("type"), "p_type"))
-    cols = {"p_partkey": "p_partkey", "tokens": tokens, "brand": F.col("p_brand"), "size": F.col("p_size"), "specs": specs}
+    cols = {"p_partkey": "p_partkey", "tokens": tokens, "brand": F.col("p_brand"), "size": F.col("p_size"), "specs": specs, "texts": text_hashes("p_name")}
     return parts.select(*[(F.col(c) if isinstance(c, str) else c).alias(f"{prefix}_{name}") for name, c in cols.items()])
 
 
-def pair_score(trigram: Column) -> tuple[Column, Column]:
-    """Score of a pair of signal rows (l_, r_) and its penalty."""
-    specs = jaccard(F.col("l_specs"), F.col("r_specs"))
-    active = [(WEIGHTS["title"], trigram), (WEIGHTS["tokens"], jaccard(F.col("l_tokens"), F.col("r_tokens"))), (WEIGHTS["identity"], F.when(F.col("l_brand") == F.col("r_brand"), 1.0).otherwise(0.0)), (WEIGHTS["specs"], specs)]
-    total = sum(w for w, _ in active)
-    mean = sum((F.lit(w) * s for w, s in active[1:]), F.lit(active[0][0]) * active[0][1]) / total
+def pair_score(trigram: Column, names: Iterable[str] = tuple(WEIGHTS)) -> tuple[Column, Column]:
+    """Score of a pair of signal rows (l_, r_) by the named signals, and its penalty.
+
+    A signal counts where it is active; the weights of the active ones are
+    renormalised. No table holds media or perceptual hashes: they are never active.
+    """
+    both = lambda c: (F.size(f"l_{c}") > 0) & (F.size(f"r_{c}") > 0)
+    none = (F.lit(0.0), F.lit(False))
+    found = {
+        "title": (trigram, F.lit(True)),
+        "tokens": (jaccard(F.col("l_tokens"), F.col("r_tokens")), F.lit(True)),
+        "identity": (F.when(F.col("l_brand") == F.col("r_brand"), 1.0).otherwise(0.0), F.lit(True)),
+        "specs": (jaccard(F.col("l_specs"), F.col("r_specs")), F.lit(True)),
+        "texts": (jaccard(F.col("l_texts"), F.col("r_texts")), both("texts")),
+        "media": none,
+        "phash": none,
+    }
+    each = F.array(*[F.struct(found[n][0].alias("value"), F.lit(WEIGHTS[n]).alias("weight"), found[n][1].alias("active")) for n in names])
+    active = F.filter(each, lambda x: x["active"])
+    add = lambda f: F.aggregate(active, F.lit(0.0), lambda total, x: total + f(x))
+    mean = add(lambda x: x["value"] * x["weight"]) / add(lambda x: x["weight"])
     conflicts = F.when(F.col("l_size") != F.col("r_size"), 1).otherwise(0)
     penalty = F.when(F.col("l_brand") != F.col("r_brand"), 0.15).otherwise(0.0) + F.least(F.lit(0.20), 0.05 * conflicts)
     return F.round(bounded(mean - penalty), 4), penalty
 
 
-def scored(spark, sf_dir, new: str = "true") -> DataFrame:
+def scored(spark, sf_dir, new: str = "true", names: Iterable[str] = tuple(WEIGHTS)) -> DataFrame:
     parts = table(spark, sf_dir, "part")
     pairs = preselect(parts, new)
     joined = pairs.join(signals(parts, "l"), F.col("a") == F.col("l_p_partkey")).join(signals(parts, "r"), F.col("b") == F.col("r_p_partkey"))
-    score, penalty = pair_score(F.col("trigram"))
+    score, penalty = pair_score(F.col("trigram"), names)
     return joined.select("a", "b", "trigram", score.alias("score"), penalty.alias("penalty"))
 
 
@@ -98,13 +121,13 @@ def dup_block(spark, sf_dir):
 @query(SCORES + """ SELECT a, b, CAST(round(greatest(0, least(1, mean - penalty)) * 1000) AS BIGINT) AS score FROM s""")
 def dup_score(spark, sf_dir):
     """Scores in per mille (the rounding to four places is a matter of the last bit)."""
-    return scored(spark, sf_dir, NEW).select("a", "b", F.round(F.col("score") * 1000).cast("long").alias("score"))
+    return scored(spark, sf_dir, NEW, BOUND).select("a", "b", F.round(F.col("score") * 1000).cast("long").alias("score"))
 
 
 @query(SCORES + """ SELECT least(a, b) AS lo, greatest(a, b) AS hi, max(CAST(round(greatest(0, least(1, mean - penalty)) * 1000) AS BIGINT)) AS score, bool_or(greatest(0, least(1, mean - penalty)) >= 0.70005) AS blocks FROM s WHERE greatest(0, least(1, mean - penalty)) >= 0.35005 GROUP BY 1, 2""")
 def dup_upsert(spark, sf_dir):
     """One open row per ordered pair; a new score replaces the old."""
-    return upserted(scored(spark, sf_dir, NEW))
+    return upserted(scored(spark, sf_dir, NEW, BOUND))
 
 
 @query("""SELECT sha256(lower(p_name) || chr(0) || lower(p_brand)) AS key, count(*) AS n, min(p_partkey) AS survivor FROM part GROUP BY 1 HAVING count(*) > 1""")
@@ -124,7 +147,13 @@ WITH d AS (SELECT DISTINCT p_name FROM part), g AS (SELECT p_name, {GRAMS.format
 sim AS (SELECT x.p_name AS na, y.p_name AS nb, len(list_intersect(x.g, y.g)) / CAST(len(x.g) + len(y.g) - len(list_intersect(x.g, y.g)) AS DOUBLE) AS similarity FROM g x, g y),
 b AS (SELECT a, b, trigram FROM (SELECT p.p_partkey AS a, q.p_partkey AS b, similarity AS trigram, row_number() OVER (PARTITION BY p.p_partkey ORDER BY similarity DESC, q.p_partkey) AS rn
   FROM part p JOIN sim ON p.p_name = na JOIN part q ON q.p_name = nb WHERE similarity >= 0.2 AND p.p_partkey <> q.p_partkey) WHERE rn <= 50)"""
-ALL_SCORES = ALL_BLOCKS + SCORES.removeprefix(BLOCKS)
+TEXT = "array_to_string(regexp_extract_all(lower({0}.p_name), '[a-z0-9]+'), ' ')"
+ALL_SCORES = ALL_BLOCKS + f""",
+t AS (SELECT a, b, CASE WHEN p.p_brand <> q.p_brand THEN 0.15 ELSE 0 END + CASE WHEN p.p_size <> q.p_size THEN 0.05 ELSE 0 END AS penalty,
+  0.25 * trigram + 0.20 * {JAC.format(a=TOK.format("p"), b=TOK.format("q"))} + 0.15 * CASE WHEN p.p_brand = q.p_brand THEN 1 ELSE 0 END + 0.15 * {JAC.format(a=SPECS.format("p"), b=SPECS.format("q"))} AS four,
+  CASE WHEN {TEXT.format("p")} <> '' AND {TEXT.format("q")} <> '' THEN 1 ELSE 0 END AS texts, CASE WHEN {TEXT.format("p")} = {TEXT.format("q")} THEN 1 ELSE 0 END AS same
+  FROM b JOIN part p ON a = p.p_partkey JOIN part q ON b = q.p_partkey),
+s AS (SELECT a, b, round(greatest(0, least(1, (four + 0.10 * texts * same) / (0.75 + 0.10 * texts)::DOUBLE - penalty)), 4) AS score FROM t)"""
 
 
 @query(ALL_BLOCKS + """ SELECT a, b, round(trigram, 9) AS trigram FROM b""")
@@ -133,19 +162,19 @@ def dup_block_all(spark, sf_dir):
     return preselect(table(spark, sf_dir, "part")).select("a", "b", F.round("trigram", 9).alias("trigram"))
 
 
-@query(ALL_SCORES + """ SELECT a, b, CAST(round(greatest(0, least(1, mean - penalty)) * 1000) AS BIGINT) AS score FROM s""")
+@query(ALL_SCORES + """ SELECT a, b, CAST(round(score * 1000) AS BIGINT) AS score FROM s""")
 def dup_score_all(spark, sf_dir):
-    """Scores in per mille of every component's pairs."""
+    """Scores in per mille of every component's pairs, by all signals that are active."""
     return scored(spark, sf_dir).select("a", "b", F.round(F.col("score") * 1000).cast("long").alias("score"))
 
 
-@query(ALL_SCORES + """ SELECT least(a, b) AS lo, greatest(a, b) AS hi, max(CAST(round(greatest(0, least(1, mean - penalty)) * 1000) AS BIGINT)) AS score, bool_or(greatest(0, least(1, mean - penalty)) >= 0.70005) AS blocks FROM s WHERE greatest(0, least(1, mean - penalty)) >= 0.35005 GROUP BY 1, 2""")
+@query(ALL_SCORES + """ SELECT least(a, b) AS lo, greatest(a, b) AS hi, max(CAST(round(score * 1000) AS BIGINT)) AS score, bool_or(score > 0.70) AS blocks FROM s WHERE score > 0.35 GROUP BY 1, 2""")
 def dup_upsert_all(spark, sf_dir):
     """One open row per unordered pair of all components."""
     return upserted(scored(spark, sf_dir))
 
 
-@query(ALL_SCORES + """ SELECT a, b, CAST(round(greatest(0, least(1, mean - penalty)) * 1000) AS BIGINT) AS score FROM s ORDER BY score DESC, a, b LIMIT 100""")
+@query(ALL_SCORES + """ SELECT a, b, CAST(round(score * 1000) AS BIGINT) AS score FROM s ORDER BY score DESC, a, b LIMIT 100""")
 def dup_queue_all(spark, sf_dir):
     return dup_score_all(spark, sf_dir).orderBy(F.desc("score"), "a", "b").limit(100)
 
