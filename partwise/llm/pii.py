@@ -2,14 +2,17 @@
 
 Base spans come from fixed patterns for e-mail addresses, IP addresses, card
 and phone numbers. They are the seeds. Every token that looks like an
-identifier (it holds a digit or @ and ``LEAST`` or more letters or digits) is a
-mention with a lexical pattern: the two words before it and the one after,
-folded. Spark scores the graph of patterns and instances in rounds: an
+identifier (it holds a digit or @), and every maximal run of groups of digits
+joined by single blanks, hyphens, dots or parentheses (with the letters that
+stand at its ends, as in DE89 3704), is a mention if it has ``LEAST`` or more
+letters or digits. Its lexical pattern is the two words before it and the one
+after, folded. Spark scores the graph of patterns and instances in rounds: an
 instance known as a seed of kind k lends its patterns weight, a pattern's score
 for k is the share of its distinct instances that are known as k (from
 ``SUPPORT`` instances on), and instances seen in high-scoring patterns become
-known. Mentions that stand in a pattern of ``CONFIDENCE`` or more and overlap no
-base span are added; base spans always stay.
+known, until a round makes no instance known. Mentions that stand in a pattern
+of ``CONFIDENCE`` or more and overlap no base span are added, unless they lie in
+a longer one that is; base spans always stay.
 
 Defined cases: a null text is empty; equal rows are reported alike; mentions
 at the edge of a text have empty context words; ties between kinds go to the
@@ -19,17 +22,18 @@ first in KINDS; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import salted_lookup, stored
 
 KINDS = ("email", "ip", "card", "phone")
-LEAST, SUPPORT, CONFIDENCE, ROUNDS = 7, 5, 0.9, 2
+LEAST, SUPPORT, CONFIDENCE = 7, 5, 0.9
 
 _domain = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -37,6 +41,8 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _ip = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _card = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+# Possessive throughout: a run of groups is read once. Between groups stands one separator, or a parenthesis with one.
+_run = re.compile(r"\(?[0-9]++(?:(?:[\x20.-]\(?|\)[\x20.-]?\(?|\()[0-9]++)*+")
 _hint = re.compile(r"[0-9@]")
 _spaces = re.compile(r"\s")
 _digits = re.compile(r"[0-9]")
@@ -91,11 +97,16 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def mentions(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int, str, str]]:
-    """(kind or '', start, end, pattern, instance) of the base spans and of identifier-like tokens outside them."""
+    """(kind or '', start, end, pattern, instance) of the base spans, and of identifier-like tokens and runs of digits outside them."""
     if not base and not _hint.search(text):
         return []
-    found, taken = [(k, a, b) for k, a, b in base], sorted((a, b) for _, a, b in base)
-    i = 0
+    taken = []
+    for a, b in sorted((a, b) for _, a, b in base):
+        if taken and a < taken[-1][1]:
+            taken[-1] = taken[-1][0], max(b, taken[-1][1])
+        else:
+            taken.append((a, b))
+    unseen, i = set(), 0
     for a, b in _hinted(text):
         while i < len(taken) and taken[i][1] <= a:
             i += 1
@@ -103,9 +114,11 @@ def mentions(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int
             continue
         core = text[a:b]
         lead, tail = len(core) - len(core.lstrip("\"'([{<,;:.!?*#$%&")), len(core) - len(core.rstrip("\"')]}>,;:.!?*#$%&"))
-        a, b = a + lead, b - tail
-        if b > a and sum(map(str.isalnum, text[a:b])) >= LEAST and _digits.search(text[a:b]):
-            found.append(("", a, b))
+        unseen.add((a + lead, b - tail))
+    for low, high in zip([0, *(b for _, b in taken)], [*(a for a, _ in taken), len(text)]):
+        unseen.update(_runs(text, low, high))
+    found = [(k, a, b) for k, a, b in base]
+    found += [("", a, b) for a, b in sorted(unseen) if b > a and sum(map(str.isalnum, text[a:b])) >= LEAST]
     out = []
     for kind, a, b in found:
         before = [_fold(w) for w in text[max(0, a - 200) : a].split()[-2:]]
@@ -115,6 +128,23 @@ def mentions(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int
     return out
 
 
+def _runs(text: str, low: int, high: int) -> Iterator[tuple[int, int]]:
+    """Maximal runs of groups of digits between two places, with the letters that touch them; no piece of a token of letters and digits."""
+    for m in _run.finditer(text, low, high):
+        a, b = m.span()
+        if text[a] == "(" and ")" not in m.group():
+            a += 1
+        while a > low and text[a] != "(" and text[a - 1].isalpha():
+            a -= 1
+        while b < high and text[b].isalpha():
+            b += 1
+        if b < high and text[b] == ")" and text.count("(", a, b) > text.count(")", a, b):
+            b += 1
+        whole = not (a > low and text[a - 1].isalnum() or b < high and text[b].isalnum())
+        if whole or " " in m.group():
+            yield a, b
+
+
 def _hinted(text: str) -> Iterator[tuple[int, int]]:
     """Tokens between white space that hold a digit or @."""
     at = 0
@@ -158,29 +188,35 @@ def described(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
     return rows.mapInArrow(describe, schema)
 
 
-def good_patterns(edges: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+def good_patterns(edges: DataFrame, rounds: int | None = None, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """pattern, kind: the patterns of high confidence, from distinct (pattern, instance) edges with seed kinds.
 
     An instance counts once for a pattern however often it occurs, so copied
     passages don't lend weight. Hot patterns are pre-aggregated; known
-    instances reach their edges by salted joins.
+    instances reach their edges by salted joins. Without ``rounds`` it goes on
+    until nothing changes: known instances only become more and their ranks
+    only fall, so it ends.
     """
     known = stored(edges.where("kind <> ''").groupBy("instance").agg(F.min("rank").alias("rank")), "pii-seeds")
-    pairs = edges.select("pattern", "instance")
-    for _ in range(rounds):
+    pairs, state = edges.select("pattern", "instance"), None
+    for turn in itertools.count(1):
         seen = salted_lookup(pairs, known, "instance", F.col("pattern"))
         tally = seen.groupBy("pattern").agg(F.count("*").alias("all"), *[F.count_if(F.col("rank") == i).alias(f"k{i}") for i in range(len(KINDS))])
         best = F.greatest(*[F.struct(F.col(f"k{i}").alias("hits"), F.lit(-i).alias("r")) for i in range(len(KINDS))])
         good = tally.withColumn("best", best).where((F.col("best.hits") >= support) & (F.col("best.hits") >= confidence * F.col("all")))
         good = stored(good.select("pattern", (-F.col("best.r")).alias("good_rank"), (F.col("best.hits") / F.col("all")).alias("score")), "pii-patterns")
-        if good.isEmpty():
+        if turn == rounds or good.isEmpty():
             break
+        state = state or known.agg(F.count("*"), F.sum("rank")).first()
         found = salted_lookup(pairs, good, "pattern", F.col("instance"), how="inner").groupBy("instance").agg(F.min("good_rank").alias("rank"))
         known = stored(known.unionByName(found).groupBy("instance").agg(F.min("rank").alias("rank")), "pii-known")
+        last, state = state, known.agg(F.count("*"), F.sum("rank")).first()
+        if state == last:
+            break
     return good.select("pattern", "good_rank")
 
 
-def personal_data(docs: DataFrame, doc_id="doc_id", text="text", rounds: int = ROUNDS) -> DataFrame:
+def personal_data(docs: DataFrame, doc_id="doc_id", text="text", rounds: int | None = None) -> DataFrame:
     """doc_id, base counts, ``base`` and ``spans`` lists of every row."""
     rows = stored(described(docs, doc_id, text).withColumn("row", F.monotonically_increasing_id()), "pii-rows")
     rank = F.coalesce(*[F.when(F.col("kind") == k, F.lit(i)) for i, k in enumerate(KINDS)], F.lit(len(KINDS)))
@@ -190,6 +226,8 @@ def personal_data(docs: DataFrame, doc_id="doc_id", text="text", rounds: int = R
     unseen = each.where("kind = ''").select("row", "start", "end", "pattern")
     added = salted_lookup(unseen, good, "pattern", F.col("row"), how="inner")
     kinds = F.array(*[F.lit(k) for k in KINDS])
+    longer = F.max("end").over(Window.partitionBy("row").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1))
+    added = added.withColumn("longer", longer).where(F.col("longer").isNull() | (F.col("end") > F.col("longer")))
     added = added.groupBy("row").agg(F.collect_list(F.struct(F.col("good_rank").alias("r"), F.element_at(kinds, F.col("good_rank") + 1).alias("k"), F.col("start").alias("a"), F.col("end").alias("b"))).alias("added"))
     base = F.filter(F.transform(F.split("base", ","), lambda s: F.split(s, ":")), lambda s: F.size(s) == 3)
     base = F.transform(base, lambda s: F.struct((F.array_position(kinds, s[0]).cast("int") - 1).alias("r"), s[0].alias("k"), s[1].cast("int").alias("a"), s[2].cast("int").alias("b")))

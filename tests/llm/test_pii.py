@@ -70,3 +70,37 @@ def test_awkward_rows(spark):
     for r in got.where("doc_id = 20").collect():
         assert r["spans"] == "email:5:11,ip:15:23" and r["n_email"] == 1
     assert pii.personal_data(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("said", ["0171 555 1234", "DE89 3704 0044 0532", "4111 1111 1111 1112", "(0171) 555-1234", "0171.555.1234", "0171(555)1234", "anna@localhost", "jane.doe@intranet", "AB-1234567"])
+def test_every_form_is_a_mention(said):
+    text = f"call them at {said}, please"
+    assert (13, 13 + len(said)) in {(a, b) for _, a, b, _, _ in pii.mentions(text, pii.base_spans(text))}
+
+
+def test_runs_end_at_base_spans_and_tokens_stay():
+    text = "from 0171 555 1234 10.0.0.1 2024 12345678"
+    assert {(k, text[a:b]) for k, a, b, _, _ in pii.mentions(text, pii.base_spans(text))} == {("", "0171 555 1234"), ("ip", "10.0.0.1"), ("", "2024 12345678"), ("", "12345678")}
+    assert [m[1:3] for m in pii.mentions("(12345678) x", [])] == [(1, 9)]
+
+
+def test_long_tokens_are_read_once():
+    for text in ("a1" * 200_000, "1 " * 200_000, "(1" * 200_000, "1) (" * 100_000, "a@" * 100_000):
+        assert len(pii.mentions(text, pii.base_spans(text))) < 10
+
+
+def test_identifiers_with_blanks_are_found_whole(spark):
+    rows = [(i, f"please call support at +1 212 555 01{i:02d} now") for i in range(20)]
+    rows += [(100, "please call support at 0171 5551234 now"), (101, "please call support at anna@localhost now")]
+    got = {r["doc_id"]: r["spans"] for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[100] == "phone:23:35"
+    assert got[101] == "phone:23:37"
+
+
+def test_rounds_go_on_to_the_last_generation(spark):
+    # Nine of ten instances of a pattern are those of the one before; only the first has nine seeds.
+    chain = [(f"p{g}", f"i{g + k}") for g in range(5) for k in range(10)]
+    seeds = {f"i{k}" for k in range(9)}
+    table = spark.createDataFrame([(p, i, 0 if i in seeds else 4, "seed" if i in seeds else "") for p, i in chain], "pattern string, instance string, rank int, kind string")
+    assert {r["pattern"] for r in pii.good_patterns(table).collect()} == {f"p{g}" for g in range(5)}
+    assert {r["pattern"] for r in pii.good_patterns(table, rounds=2).collect()} == {"p0", "p1"}
