@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from partwise.functions import text as fn
@@ -127,6 +128,41 @@ def num_hamming(spark, sf_dir):
     return pairs.select("a", "b", (1 - F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))) / F.lit(62.0)).alias("similarity"))
 
 
+SIGNS = "CAST(list_sum(list_transform(embedding, lambda x, i: CASE WHEN x > 0 AND i > {0} AND i <= {0} + 32 THEN CAST(1 AS BIGINT) << (i - {0} - 1) ELSE 0 END)) AS BIGINT)"
+
+
+def sign_hash(vector: str, first: int) -> Column:
+    """The signs of 32 components from ``first`` on, as a number."""
+    bits = F.transform(F.slice(vector, first + 1, 32), lambda x, i: F.when(x > 0, F.pow(F.lit(2.0), i).cast("long")).otherwise(F.lit(0).cast("long")))
+    return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a + b)
+
+
+def nearest_signs(vectors: DataFrame, k: int = 10) -> DataFrame:
+    """(a, b, similarity) over 64 sign bits: the k nearest of all rows for every id divisible by 50.
+
+    Equal hashes are one class. Ties go to the smaller id, so a class needs its
+    k + 1 smallest ids only: one of them may be the query itself.
+    """
+    hashes = vectors.select("vec_id", sign_hash("embedding", 0).alias("lo"), sign_hash("embedding", 32).alias("hi"))
+    first = F.row_number().over(Window.partitionBy("lo", "hi").orderBy("vec_id"))
+    classes = hashes.withColumn("rn", first).where(F.col("rn") <= k + 1).select(F.col("vec_id").alias("b"), F.col("lo").alias("blo"), F.col("hi").alias("bhi"))
+    asked = hashes.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "a")
+    apart = F.bit_count(F.col("lo").bitwiseXOR(F.col("blo"))) + F.bit_count(F.col("hi").bitwiseXOR(F.col("bhi")))
+    rank = F.row_number().over(Window.partitionBy("lo", "hi").orderBy("apart", "b"))
+    near = asked.select("lo", "hi").distinct().crossJoin(classes).withColumn("apart", apart).withColumn("rn", rank).where(F.col("rn") <= k + 1).drop("rn")
+    own = F.row_number().over(Window.partitionBy("a").orderBy("apart", "b"))
+    found = asked.join(near, ["lo", "hi"]).where("a <> b").withColumn("rn", own).where(F.col("rn") <= k)
+    return found.select("a", "b", (1 - F.col("apart") / F.lit(64.0)).alias("similarity"))
+
+
+@query(f"""WITH h AS (SELECT vec_id, {SIGNS.format(0)} AS lo, {SIGNS.format(32)} AS hi FROM embeddings),
+p AS (SELECT q.vec_id AS a, r.vec_id AS b, bit_count(xor(q.lo, r.lo)) + bit_count(xor(q.hi, r.hi)) AS apart FROM h q, h r WHERE q.vec_id % 50 = 0 AND q.vec_id <> r.vec_id)
+SELECT a, b, 1 - apart / 64.0::DOUBLE AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY apart, b) AS rn FROM p) WHERE rn <= 10""")
+def num_hamming_top(spark, sf_dir):
+    """1 - differing bits / bits, over all 64 sign bits: ids divisible by 50 against all rows, the 10 nearest."""
+    return nearest_signs(table(spark, sf_dir, "embeddings"))
+
+
 @query("""SELECT c_custkey, greatest(0.0::DOUBLE, least(1.0::DOUBLE, c_acctbal / 5000)) AS share FROM customer""")
 def num_bounded(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", fn.bounded(F.col("c_acctbal") / 5000).alias("share"))
