@@ -61,14 +61,27 @@ WITH q AS (SELECT DISTINCT p_partkey, unnest(string_split(lower(p_name), ' ')) A
 SELECT p_partkey, rec, shared FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY shared DESC, rec) AS rn FROM s) WHERE rn <= 5""")
 def agg_token_overlap(spark, sf_dir):
     """Most shared tokens, top 5 per query (the query set is every hundredth part)."""
+    return most_shared(table(spark, sf_dir, "part"), 100)
+
+
+def most_shared(parts, step: int):
     from pyspark.sql import Window
 
-    tokens = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.array_distinct(F.split(F.lower("p_name"), " "))).alias("tok"))
-    shared = tokens.where("p_partkey % 100 = 0").join(tokens.withColumnRenamed("p_partkey", "rec"), "tok").where("rec <> p_partkey").groupBy("p_partkey", "rec").agg(F.count("*").alias("shared"))
+    tokens = parts.select("p_partkey", F.explode(F.array_distinct(F.split(F.lower("p_name"), " "))).alias("tok"))
+    shared = tokens.where(F.col("p_partkey") % step == 0).join(tokens.withColumnRenamed("p_partkey", "rec"), "tok").where("rec <> p_partkey").groupBy("p_partkey", "rec").agg(F.count("*").alias("shared"))
     rank = F.row_number().over(Window.partitionBy("p_partkey").orderBy(F.desc("shared"), "rec"))
     return shared.withColumn("rn", rank).where("rn <= 5").select("p_partkey", "rec", "shared")
 
 
+@query("""
+WITH t AS (SELECT DISTINCT p_partkey, unnest(string_split(lower(p_name), ' ')) AS tok FROM part),
+     s AS (SELECT q.p_partkey, r.p_partkey AS rec, count(*) AS shared FROM t q JOIN t r USING (tok) WHERE q.p_partkey % 50 = 0 AND r.p_partkey <> q.p_partkey GROUP BY 1, 2)
+SELECT p_partkey, rec, shared FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY shared DESC, rec) AS rn FROM s) WHERE rn <= 5""")
+def agg_token_overlap_all(spark, sf_dir):
+    """Most shared tokens, top 5 per query, over the whole query set: every fiftieth part."""
+    return most_shared(table(spark, sf_dir, "part"), 50)
+
+
 @query("""SELECT event_type AS code, count(*) AS n, count(DISTINCT user_id) AS n_sources, min(event_id) AS first_seen FROM events GROUP BY event_type""")
 def agg_group_warnings(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("code")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("n_sources"), F.min("event_id").alias("first_seen"))

@@ -14,11 +14,17 @@ def keys(df: DataFrame) -> DataFrame:
     return m.inverted(df, "p_partkey", [("exact", one(F.lower(F.concat_ws("|", "p_name", "p_brand", "p_type")))), ("alias", one(F.lower(F.concat_ws("|", "p_name", "p_brand")))), ("name", one(F.lower("p_name"))), ("description", F.split(F.lower("p_name"), " "))])
 
 
-def hits(spark, sf_dir) -> DataFrame:
-    """Every fiftieth part as a query against the others' records; description-only hits need both tokens."""
-    parts = table(spark, sf_dir, "part")
-    found = m.lookups(keys(parts.where("p_partkey % 50 = 0")), "query", keys(parts.where("p_partkey % 50 <> 0")))
-    return found.where("basis <> 'description' OR shared >= 2")
+OTHERS = "p_partkey % 50 <> 0"
+
+
+def hits_in(parts: DataFrame, indexed: str = "true") -> DataFrame:
+    """Every fiftieth part as a query against the records of all parts but its own, or of those that are ``indexed``; description-only hits need both tokens."""
+    found = m.lookups(keys(parts.where("p_partkey % 50 = 0")), "query", keys(parts.where(indexed)))
+    return found.where("query <> record").where("basis <> 'description' OR shared >= 2")
+
+
+def hits(spark, sf_dir, indexed: str = "true") -> DataFrame:
+    return hits_in(table(spark, sf_dir, "part"), indexed)
 
 
 HITS = """h AS (SELECT q.p_partkey AS query, r.p_partkey AS record, CASE WHEN q.p_name = r.p_name AND q.p_brand = r.p_brand AND q.p_type = r.p_type THEN 'exact' WHEN q.p_name = r.p_name AND q.p_brand = r.p_brand THEN 'alias' ELSE 'name' END AS basis
@@ -27,10 +33,10 @@ SCORED = f"""WITH {HITS}, s AS (SELECT query, record, basis, CASE basis WHEN 'ex
 FROM h JOIN part q ON query = q.p_partkey JOIN part r ON record = r.p_partkey)"""
 
 
-def scored(spark, sf_dir) -> DataFrame:
+def scored(spark, sf_dir, indexed: str = "true") -> DataFrame:
     part = table(spark, sf_dir, "part")
     side = lambda p, key: part.select(F.col("p_partkey").alias(key), F.col("p_brand").alias(f"{p}_brand"), F.col("p_size").alias(f"{p}_size"))
-    rows = hits(spark, sf_dir).join(side("q", "query"), "query").join(side("r", "record"), "record")
+    rows = hits(spark, sf_dir, indexed).join(side("q", "query"), "query").join(side("r", "record"), "record")
     same = F.col("q_brand") == F.col("r_brand")
     given = F.array_compact(F.array(*[m.contribution(F.col("basis") == b, b) for b in m.BASES], m.contribution(F.col("q_size") == F.col("r_size"), "mention"), m.contribution(same, "manufacturer_match"), m.contribution(~same, "manufacturer_conflict")))
     rows = rows.withColumn("given", given).withColumn("score", m.confidence(F.col("given")))
@@ -56,21 +62,51 @@ def idx_build(spark, sf_dir):
 
 @query(f"WITH {HITS} SELECT query, record, basis FROM h")
 def idx_lookup(spark, sf_dir):
-    return hits(spark, sf_dir).select("query", "record", "basis")
+    return hits(spark, sf_dir, OTHERS).select("query", "record", "basis")
 
 
 @query(f"WITH {HITS} SELECT query, record, CASE WHEN basis = 'exact' THEN 'exact_component' WHEN basis = 'alias' THEN 'variant' ELSE 'related' END AS relation FROM h")
 def match_relation_type(spark, sf_dir):
+    return related(hits(spark, sf_dir, OTHERS))
+
+
+def related(found: DataFrame) -> DataFrame:
     relation = F.when(F.col("basis") == "exact", "exact_component").when(F.col("basis") == "alias", "variant").otherwise("related")
-    return hits(spark, sf_dir).select("query", "record", relation.alias("relation"))
+    return found.select("query", "record", relation.alias("relation"))
 
 
 @query(SCORED + " SELECT query, record, greatest(0, least(1000, raw)) AS score FROM s")
 def match_score(spark, sf_dir):
     """Sum of signed contributions, clamped."""
-    return scored(spark, sf_dir).select("query", "record", "score")
+    return scored(spark, sf_dir, OTHERS).select("query", "record", "score")
 
 
 @query(SCORED + " SELECT query, record, CASE WHEN severe OR greatest(0, least(1000, raw)) < 450 THEN 'rejected' WHEN basis = 'exact' AND raw >= 950 THEN 'auto_accepted' ELSE 'review' END AS decision FROM s")
 def match_decision(spark, sf_dir):
+    return scored(spark, sf_dir, OTHERS).select("query", "record", "decision")
+
+
+ALL_HITS = """h AS (SELECT q.p_partkey AS query, r.p_partkey AS record, CASE WHEN q.p_name = r.p_name AND q.p_brand = r.p_brand AND q.p_type = r.p_type THEN 'exact' WHEN q.p_name = r.p_name AND q.p_brand = r.p_brand THEN 'alias' ELSE 'name' END AS basis
+FROM part q JOIN part r ON q.p_name = r.p_name WHERE q.p_partkey % 50 = 0 AND r.p_partkey <> q.p_partkey)"""
+ALL_SCORED = f"WITH {ALL_HITS}" + SCORED.removeprefix(f"WITH {HITS}")
+
+
+@query(f"WITH {ALL_HITS} SELECT query, record, basis FROM h")
+def idx_lookup_all(spark, sf_dir):
+    """Look-ups against all records but the query's own."""
+    return hits(spark, sf_dir).select("query", "record", "basis")
+
+
+@query(f"WITH {ALL_HITS} SELECT query, record, CASE WHEN basis = 'exact' THEN 'exact_component' WHEN basis = 'alias' THEN 'variant' ELSE 'related' END AS relation FROM h")
+def match_relation_type_all(spark, sf_dir):
+    return related(hits(spark, sf_dir))
+
+
+@query(ALL_SCORED + " SELECT query, record, greatest(0, least(1000, raw)) AS score FROM s")
+def match_score_all(spark, sf_dir):
+    return scored(spark, sf_dir).select("query", "record", "score")
+
+
+@query(ALL_SCORED + " SELECT query, record, CASE WHEN severe OR greatest(0, least(1000, raw)) < 450 THEN 'rejected' WHEN basis = 'exact' AND raw >= 950 THEN 'auto_accepted' ELSE 'review' END AS decision FROM s")
+def match_decision_all(spark, sf_dir):
     return scored(spark, sf_dir).select("query", "record", "decision")

@@ -100,8 +100,8 @@ def src_object_listing(spark, sf_dir):
 @query()
 def src_local_dir(spark, sf_dir):
     """A directory as files with content digests (``binaryFile``, name filter), without reading links."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(f"{sf_dir}/region.parquet")
-    return files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "length", F.sha2("content", 256).alias("sha"), F.col("path").rlike("|".join(SUPPORTED_SUFFIXES)).alias("supported"))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(sf_dir)
+    return files.select(F.regexp_extract("path", r"((?:[^/]+\.parquet/)?[^/]+)$", 1).alias("name"), "length", F.sha2("content", 256).alias("sha"), F.col("path").rlike("|".join(SUPPORTED_SUFFIXES)).alias("supported"))
 
 
 @query()
