@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows up to which a looked-up table may be broadcast; beyond it the lookup is a salted join.
 BROADCAST_ROWS = 20_000
@@ -18,12 +19,15 @@ _own_folder: str | None = None
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests on one machine) a temporary folder is made.
+    Only where that is unset and the session runs on one machine (tests) a
+    temporary folder is made; a cluster without a shared folder is an error.
     """
     global _own_folder
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if _own_folder is None:
         _own_folder = "file://" + tempfile.mkdtemp(prefix="partwise-")
     return _own_folder
@@ -45,10 +49,40 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 def forget(df: DataFrame) -> None:
     """Delete a stored table that nothing reads any more."""
     spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    forget_path(spark, df.stored_at)
+
+
+def forget_path(spark: SparkSession, where: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def quoted(name: str) -> Column:
+    """A column by its literal name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def row_of(docs: DataFrame) -> Column:
+    """All columns of ``docs`` in one struct, by position, so that no name of theirs can clash."""
+    return F.struct(*[quoted(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
+
+
+def rows_again(packed: DataFrame, docs: DataFrame, row: str = "row") -> DataFrame:
+    """The columns of ``docs`` from the structs that ``row_of`` made."""
+    return packed.select(*[F.col(row).getField(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
+def with_results(packed: DataFrame, docs: DataFrame, results: dict[str, str], row: str = "row") -> DataFrame:
+    """``docs`` columns, then ``results`` (name: column); a column of docs named like a result gives way to it."""
+    own = [F.col(row).getField(f"c{i}").alias(c) for i, c in enumerate(docs.columns) if c not in results]
+    return packed.select(*own, *[F.col(c).alias(name) for name, c in results.items()])
+
+
+def packed_schema(packed: DataFrame, results: str) -> StructType:
+    """The schema of ``row`` and some result columns, for Arrow functions that hand rows through."""
+    return StructType([packed.schema["row"], *StructType.fromDDL(results).fields])
+
+
 def released(spark: SparkSession) -> None:
     """Let Spark's cleaner remove the shuffle files of finished steps: it acts when the driver collects garbage."""
     gc.collect()

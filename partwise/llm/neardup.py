@@ -9,11 +9,13 @@ all 40 bands with probability below 3e-7.
 
 1. Near pairs: members of a bucket are compared, in blocks, by the
    maximum-likelihood estimate of the Jaccard similarity from register order
-   and set sizes. Pairs that may reach the threshold (estimate down to
+   and set sizes. A large bucket meets its first member alone before that; those
+   near it are one component and aren't held against each other. Pairs that may reach the threshold (estimate down to
    ``MARGIN`` below it, about five standard deviations) are near; a spanning
    forest of them joins nodes to clusters, which hold every pair that may link.
-2. Links: the full shingle sets of a cluster meet, in blocks, and an inverted
-   index over them gives all intersections. A spanning forest of the exact
+2. Links: the full shingle sets of a cluster meet in the same way (a large one
+   its first member alone, then those without a link to it all others), and an
+   inverted index over a block gives all intersections. A spanning forest of the exact
    links makes the components.
 
 So a link is lost only by the stated sketch probabilities, and no bucket is
@@ -22,8 +24,10 @@ pre-aggregated and salted. Every link is checked on full sets.
 
 Defined cases: null or wordless texts have an empty set (size 0), link with
 nothing and are kept; rows with a null doc_id link with nothing (component
-null, kept); equal doc_ids in several rows are separate texts with one id; an
-empty table gives an empty result.
+null, kept); equal doc_ids in several rows are separate texts with one id, and
+``deduplicated`` keeps or drops each of them by its own text; ties between
+members of a group go to the smaller doc_id, then node; other columns are handed
+through by position, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,10 +37,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import remember_in, salted_lookup, stored, use_memory
+from .common import forget, remember_in, row_of, rows_again, salted_lookup, stored, use_memory
 
 SHINGLE = 5
 BAND, BANDS = 4, 40
@@ -45,7 +50,7 @@ BASE, RATE, TOP = 1.001, 20.0, 2**16 - 2
 PERCENT = 75
 MARGIN = 0.17
 #: Members of a bucket or cluster that one task compares with as many others.
-BLOCK = 1024
+BLOCK = 256
 #: Ids up to which the texts of clusters are picked by a broadcast of their ids (8 bytes each).
 PICK_ROWS = 500_000
 
@@ -188,9 +193,11 @@ def components(edges: DataFrame) -> DataFrame:
         while True:
             up = parents.select(F.col("node").alias("root"), F.col("root").alias("next"))
             jumped = salted_lookup(parents, up, "root", F.col("node"), 32).select("node", F.coalesce("next", "root").alias("root"), (F.coalesce("next", "root") != F.col("root")).alias("moved"))
-            jumped = stored(jumped, "cc-jump")
+            last, jumped = parents, stored(jumped, "cc-jump")
+            forget(last)
             moved = not jumped.where("moved").isEmpty()
             parents = jumped.select("node", "root")
+            parents.stored_at = jumped.stored_at
             if not moved:
                 break
         if labels is None:
@@ -251,12 +258,47 @@ def _forest(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
 
 
 def _in_blocks(rows: DataFrame, key: str) -> DataFrame:
-    """Rows of groups (``size`` members) once for each pair of blocks (i, j) of their group that they take part in."""
-    rows = rows.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("size", "blocks", "other")
-    return rows.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
+    """Rows of groups once for each pair of blocks (i, j) of their group that they take part in.
+
+    ``size`` members, ``left`` of them not ``joined`` to the group's first one.
+    The joined are one component already and are only held against the others.
+    """
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    rows = rows.where("left > 0").withColumn("open", blocks(F.col("left"))).withColumn("shut", blocks(F.col("size") - F.col("left")))
+    own = F.when(F.col("joined"), F.col("open") + F.pmod(F.xxhash64("node"), F.greatest("shut", F.lit(1)))).otherwise(F.pmod(F.xxhash64("node"), F.col("open"))).cast("int")
+    last = F.when(F.col("joined"), F.col("open")).otherwise(F.col("open") + F.col("shut")) - 1
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    return rows.drop("size", "left", "joined", "open", "shut", "other").repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
+
+
+def _met(rows: DataFrame, key: str, fields: list[str], test, name: str) -> tuple[DataFrame, DataFrame]:
+    """Block pairs of groups (key, size, node, *fields), and edges (a, b) that are found on the way.
+
+    A group of more than ``BLOCK`` members is first held against its first
+    member alone, which is linear; ``test`` says which rows are linked with it.
+    """
+    rows = stored(rows.select(key, "size", "node", *fields), name)
+    small = rows.where(F.col("size") <= BLOCK).withColumn("left", F.col("size")).withColumn("joined", F.lit(False))
+    large = rows.where(F.col("size") > BLOCK)
+    if large.isEmpty():
+        return _in_blocks(small, key), None
+    first = large.groupBy(key).agg(F.min(F.struct("node", *fields)).alias("first"))
+
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                linked = test(part) if part.num_rows else np.empty(0, dtype=bool)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in (key, "size", "node", *fields)), part.column("first").field("node"), pa.array(linked, pa.bool_())], [key, "size", "node", *fields, "head", "joined"])
+
+    spread = salted_lookup(large, first, key, F.col("node"), how="inner").select(key, "size", "node", *fields, "first")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    held = stored(spread.mapInArrow(hold, f"{kinds}, head long, joined boolean"), f"{name}-held")
+    left = held.where("not joined").groupBy(key).agg(F.count("*").alias("left"))
+    rest = salted_lookup(held.drop("head"), left, key, F.col("node"), how="inner").select(*small.columns)
+    edges = held.where("joined and node <> head").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"))
+    return _in_blocks(small.unionByName(rest), key), edges
 
 
 def _by_group(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -278,6 +320,26 @@ def _edges(node: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([_long(np.minimum(node[x], node[y])), _long(np.maximum(node[x], node[y]))], ["a", "b"])
 
 
+def _near_first(part: pa.RecordBatch) -> np.ndarray:
+    """Which rows may reach the threshold with the first of their group, by the estimate."""
+    first = part.column("first")
+    regs = lambda x: np.frombuffer(b"".join(x.to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
+    a, b = regs(part.column("registers")), regs(first.field("registers"))
+    n, m = part.column("n").to_numpy().astype(float), first.field("n").to_numpy().astype(float)
+    guess = jaccard_estimate((a > b).sum(1), (a < b).sum(1), n, m)
+    return (part.column("node").to_numpy() == first.field("node").to_numpy()) | ((guess >= PERCENT / 100 - MARGIN) & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)))
+
+
+def _linked_first(part: pa.RecordBatch) -> np.ndarray:
+    """Which rows' full sets reach the threshold with the first of their cluster."""
+    out = np.zeros(part.num_rows, dtype=bool)
+    for i, (own, first) in enumerate(zip(part.column("shingles"), part.column("first").field("shingles"))):
+        a, b = (np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in (own, first))
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        out[i] = 100 * both >= PERCENT * (len(a) + len(b) - both)
+    return out
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A forest of the near pairs of each run of buckets."""
     for table, starts in _by_group(batches, "key"):
@@ -335,20 +397,25 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use_memory("neardup")
+        seen: set[int] = set()  # equal rows give their set once
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                sets = [shingle_set(t) for t in part.column(3).to_pylist()]
-                same = pa.array([node_of(s) == v for s, v in zip(sets, part.column(0).to_pylist())])  # an id may have other texts
+                sets, same = [], []
+                for node, t in zip(part.column(0).to_pylist(), part.column(3).to_pylist()):
+                    sets.append(np.empty(0, np.uint64) if node in seen else shingle_set(t))
+                    same.append(len(sets[-1]) > 0 and node_of(sets[-1]) == node)  # an id may have other texts
+                    if same[-1]:
+                        seen.add(node)
+                same = pa.array(same, pa.bool_())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "root", "size", "shingles"]).filter(same)
 
     rows = docs.join(F.broadcast(wanted) if few else wanted.hint("merge"), "doc_id").select("node", "root", "size", "text")
     return rows.mapInArrow(build, "node long, root long, size long, shingles binary")
 
 
-def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row."""
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+def _grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, n, node and lead (the smallest doc_id of the group and its node) of every row of (doc_id, text)."""
     table = stored(described(docs), "sketches")
     linked = table.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
     nodes = stored(
@@ -358,35 +425,62 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
     members = _bands(nodes)
     buckets = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     shared = salted_lookup(members.drop("n"), buckets, "key", F.col("node"), 8, how="inner")
-    compared = _in_blocks(shared.join(nodes.select("node", "n", "registers").hint("merge"), "node"), "key")
-    near = compared.select("key", "i", "j", "own", "node", "n", "registers").mapInArrow(_compare, "a long, b long").distinct()
+    blocks, edges = _met(shared.join(nodes.select("node", "n", "registers").hint("merge"), "node"), "key", ["n", "registers"], _near_first, "buckets")
+    near = blocks.select("key", "i", "j", "own", "node", "n", "registers").mapInArrow(_compare, "a long, b long")
+    near = (near if edges is None else near.unionByName(edges)).distinct()
     clusters = components(near)
     sizes = clusters.groupBy("root").agg(F.count("*").alias("size"))
     wanted = salted_lookup(clusters.join(nodes.select("node", "doc_id").hint("merge"), "node"), sizes, "root", F.col("node"))
-    met = _in_blocks(_shingle_sets(docs, stored(wanted, "clusters")), "root")
-    labels = components(met.select("root", "i", "j", "own", "node", "shingles").mapInArrow(_link, "a long, b long"))
-
-    rooted = nodes.join(labels.hint("merge"), "node", "left").select("node", "doc_id", "copies", F.coalesce("root", "node").alias("root"), F.col("root").isNotNull().alias("found"))
-    least = rooted.where("found").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_found = salted_lookup(rooted.where("found"), least, "root", F.col("node")).select("node", "component_id")
-    of_copies = rooted.where("not found and copies > 1").select("node", F.col("doc_id").alias("component_id"))
+    blocks, edges = _met(_shingle_sets(docs, stored(wanted, "clusters")), "root", ["shingles"], _linked_first, "sets")
+    links = blocks.select("root", "i", "j", "own", "node", "shingles").mapInArrow(_link, "a long, b long")
+    labels = components(links if edges is None else links.unionByName(edges))
+
+    rooted = nodes.join(labels.hint("merge"), "node", "left").select("node", "doc_id", "copies", "root")
+    least = rooted.where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("lead"))
+    of_found = salted_lookup(rooted.where("root is not null"), least, "root", F.col("node")).select("node", "lead")
+    of_copies = rooted.where("root is null and copies > 1").select("node", F.struct("doc_id", "node").alias("lead"))
     answer = salted_lookup(table.select("doc_id", "n", "node"), of_found.unionByName(of_copies), "node", F.col("doc_id"))
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return answer.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    alone = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "node"))
+    return answer.select("doc_id", "n", "node", F.when(F.col("doc_id").isNotNull(), F.coalesce("lead", alone)).alias("lead"))
+
+
+def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row."""
+    found = _grouped(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")))
+    kept = F.coalesce(F.col("doc_id") == F.col("lead.doc_id"), F.lit(True))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.col("lead.doc_id").alias("component_id"), kept.alias("kept"))
 
 
 def deduplicated(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
-    """The rows of ``docs`` that stay: one of each group, all without a doc_id; columns as given."""
-    answer = stored(near_duplicates(docs, doc_id, text), "groups")
-    known = answer.where(F.col("doc_id").isNotNull())
-    leaving = known.where("not kept").select("doc_id").distinct()
-    if leaving.limit(PICK_ROWS + 1).count() <= PICK_ROWS:
-        leaving = F.broadcast(leaving)
-    else:
-        leaving = leaving.hint("merge")
-    leaving = leaving.withColumnRenamed("doc_id", "_leaving")
-    rest = docs.join(leaving, docs[doc_id].cast("long") == F.col("_leaving"), "left_anti")
-    if known.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return rest
-    nth = F.row_number().over(Window.partitionBy(doc_id).orderBy(F.col(text).asc_nulls_last()))
-    return rest.withColumn("_nth", nth).where((F.col("_nth") == 1) | F.col(doc_id).isNull()).drop("_nth")
+    """The rows of ``docs`` that stay: one of each group, all without a doc_id or a word; columns as given.
+
+    The texts of a group go, not their ids: a row leaves if its (doc_id, node)
+    is not its group's lead. Only rows with an id that such a text or a
+    repeated row has are looked at again.
+    """
+    found = stored(_grouped(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))), "groups")
+    texts = found.where("doc_id is not null and node is not null").groupBy("doc_id", "node", "lead").agg(F.count("*").alias("times"))
+    stays = (F.col("doc_id") == F.col("lead.doc_id")) & (F.col("node") == F.col("lead.node"))
+    again = stored(texts.select("doc_id", "node", "times", stays.alias("stays")).where("not stays or times > 1"), "again")
+    ids = again.select(F.col("doc_id").alias("again")).distinct()
+    few = ids.limit(PICK_ROWS + 1).count() <= PICK_ROWS
+    ids = F.broadcast(ids) if few else ids.hint("merge")
+    packed = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"), row_of(docs).alias("row"))
+    clear = packed.join(ids, F.col("id") == F.col("again"), "left_anti")
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_memory("neardup")
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                sets = map(shingle_set, part.column(1).to_pylist())
+                nodes = pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), nodes], ["id", "row", "node"])
+
+    doubtful = packed.join(ids, F.col("id") == F.col("again"), "left_semi")
+    schema = StructType([packed.schema["id"], packed.schema["row"], StructField("node", LongType())])
+    named = doubtful.mapInArrow(name, schema)
+    known = again.select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"), "stays")
+    judged = named.join(F.broadcast(known) if few and known.limit(PICK_ROWS + 1).count() <= PICK_ROWS else known.hint("merge"), (F.col("id") == F.col("_id")) & (F.col("node") == F.col("_node")), "left")
+    once = judged.where("stays").groupBy("id", "node").agg(F.first("row").alias("row")).select("row")  # equal sets under one id, combined before the shuffle
+    return rows_again(clear.select("row").unionByName(judged.where("stays is null").select("row")).unionByName(once), docs)

@@ -120,3 +120,18 @@ def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (10, 11), (12, 11), (20, 20)] + [(100, i) for i in range(101, 160)] + [(i, i + 1) for i in range(200, 230)]
     got = {r["node"]: r["root"] for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {got[i] for i in (1, 2, 3, 4)} == {1} and {got[i] for i in (10, 11, 12)} == {10} and {got[i] for i in range(100, 160)} == {100} and {got[i] for i in range(200, 231)} == {200}
+
+
+def test_every_text_of_an_id_is_judged_alone(spark):
+    a, b, x, y = (family(s, 1, 0, 30)[0] for s in (1, 2, 3, 4))
+    rows = [(1, a), (5, a), (5, b), (7, x), (7, y), (7, y), (7, None), (9, " "), (None, a), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(map(tuple, neardup.deduplicated(docs).collect()))
+    assert got == Counter({(1, a): 1, (5, b): 1, (7, x): 1, (7, y): 1, (7, None): 1, (9, " "): 1, (None, a): 2})
+
+
+def test_large_groups_meet_their_first_member(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    texts = family(6, 60, 3) + family(7, 30, 1) + [family(8, 1, 0)[0]] * 40
+    rows = [(i, t) for i, t in enumerate(texts)]
+    same(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)), rows)
