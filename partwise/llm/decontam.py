@@ -10,11 +10,13 @@ rows are located by walking to sampled suffix positions, and the occurrences
 are merged into removal spans.
 
 Benchmarks go in blocks of ``block_chars`` characters, each broadcast for one
-pass over the documents; spans of several passes are merged.
+pass over the documents; spans of several passes are merged, and a table is
+stored between passes so that the plan stays of one size.
 
 Defined cases: a null text has no words and no hits; a null item text has no
 phrase; a null item id reads ``null``; equal rows are judged alike, each in a
-row of its own; empty tables give no hits or no rows.
+row of its own; other columns are handed through by position (one named like a
+result, ``_found_...``, gives way to it); empty tables give no hits or no rows.
 """
 
 from __future__ import annotations
@@ -24,15 +26,17 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import use_memory
+from .common import packed_schema, row_of, rows_again, stored, use_memory, with_results
 
 #: Word bytes are 0-9, a-z (A-Z lower-cased) and everything above 0x7F.
 FOLD = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 END = b"~"  # never a word, so it marks the end of a document
-SHARD = 2000
+SHARD, SHARD_BYTES = 2000, 16 << 20
 SAMPLE = 8
 
 
@@ -211,47 +215,65 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-RESULT = "_n_words long, _n_hit long, _items array<string>, _spans array<struct<start:long,end:long>>"
+RESULT = "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
+_SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _pass(docs: DataFrame, text: str, phrases: Phrases, first: bool) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(phrases)
-    keep = [f for f in docs.schema.fields if not f.name.startswith("_found_")]
-    names = [f"_c{i}" for i in range(len(keep))]
-    earlier = [] if first else ["_found_spans", "_found_items"]
-    sent_rows = docs.select(F.col(text).cast("string").alias("_text"), *[F.col(f"`{f.name}`").alias(c) for f, c in zip(keep, names)], *earlier)
-    schema = ", ".join(f"{c} {f.dataType.simpleString()}" for f, c in zip(keep, names)) + (", " if keep else "") + RESULT
+def shards(batch: pa.RecordBatch, texts: pa.Array) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``SHARD`` rows and, but for a single text, ``SHARD_BYTES`` bytes of text."""
+    sizes = np.array(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    lo, total = 0, 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > lo and (i - lo >= SHARD or total + size > SHARD_BYTES):
+            yield batch.slice(lo, i - lo)
+            lo, total = i, 0
+        total += size
+    if lo < len(sizes):
+        yield batch.slice(lo)
+
+
+def _pass(rows: DataFrame, phrases: Phrases, first: bool) -> DataFrame:
+    """(text, row) with the results of one block of phrases, those of earlier blocks merged in."""
+    sent = rows.sparkSession.sparkContext.broadcast(phrases)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use_memory("decontam")
         for batch in batches:
-            for lo in range(0, batch.num_rows, SHARD):
-                part = batch.slice(lo, SHARD)
-                n, spans, items = scan_shard(part.column(0).to_pylist(), sent.value)
-                if earlier:
-                    for i, (s, x) in enumerate(zip(part.column("_found_spans").to_pylist(), part.column("_found_items").to_pylist())):
+            for part in shards(batch, batch.column("text")):
+                n, spans, items = scan_shard(part.column("text").to_pylist(), sent.value)
+                if not first:
+                    for i, (s, x) in enumerate(zip(part.column("spans").to_pylist(), part.column("items").to_pylist())):
                         spans[i] = merged(spans[i] + [(y["start"], y["end"]) for y in s])
                         items[i].update(x)
-                kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-                columns = [part.column(i + 1) for i in range(len(names))] + [
-                    pa.array(n, pa.int64()),
-                    pa.array([sum(b - a for a, b in s) for s in spans], pa.int64()),
-                    pa.array([sorted(x) for x in items], pa.list_(pa.string())),
-                    pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], kind),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, [*names, "_n_words", "_n_hit", "_items", "_spans"])
+                columns = [
+                    part.column("text"), part.column("row"), pa.array(n, pa.int64()), pa.array([sum(b - a for a, b in s) for s in spans], pa.int64()),
+                    pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], _SPAN),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["text", "row", "n_words", "n_hit", "items", "spans"])
 
-    out = sent_rows.mapInArrow(scan, schema)
-    return out.select(*[F.col(c).alias(f.name) for f, c in zip(keep, names)], *[F.col(f"_{c}").alias(f"_found_{c}") for c in ("n_words", "n_hit", "items", "spans")])
+    schema = StructType([rows.schema["text"], *packed_schema(rows, RESULT).fields])
+    return rows.mapInArrow(scan, schema)
 
 
-def find_benchmark(docs: DataFrame, benchmark: DataFrame, text="text", item_id="item_id", item_text="text", width: int = 10, block_chars: int = 8_000_000) -> DataFrame:
-    """The rows of ``docs`` with ``_found_n_words``, ``_found_n_hit``, ``_found_items`` and ``_found_spans``."""
+def _searched(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_text: str, width: int, block_chars: int) -> DataFrame:
     items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("item"), F.col(item_text).cast("string").alias("t"))
     chars = items.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
     blocks = max(1, -(-chars // block_chars))
-    out = docs
+    out = docs.select(F.col(text).cast("string").alias("text"), row_of(docs).alias("row"))
     for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item", "t"), F.lit(blocks)) == b).collect()  # bounded by block_chars
-        out = _pass(out, text, Phrases([(r["item"], r["t"]) for r in rows], width), b == 0)
+        own = items.where(F.pmod(F.xxhash64("item", "t"), F.lit(blocks)) == b).collect()  # bounded by block_chars
+        out = _pass(out, Phrases([(r["item"], r["t"]) for r in own], width), b == 0)
+        if blocks > 1:
+            out = stored(out, "decontam-block")
     return out
+
+
+def find_benchmark(docs: DataFrame, benchmark: DataFrame, text="text", item_id="item_id", item_text="text", width: int = 10, block_chars: int = 2_000_000) -> DataFrame:
+    """The rows of ``docs`` with ``_found_n_words``, ``_found_n_hit``, ``_found_items`` and ``_found_spans``."""
+    found = _searched(docs, benchmark, text, item_id, item_text, width, block_chars)
+    return with_results(found, docs, {f"_found_{c}": c for c in ("n_words", "n_hit", "items", "spans")})
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, text="text", item_id="item_id", item_text="text", width: int = 10, block_chars: int = 2_000_000) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark passage, columns as given."""
+    return rows_again(_searched(docs, benchmark, text, item_id, item_text, width, block_chars).where("n_hit = 0"), docs)

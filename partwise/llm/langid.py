@@ -14,7 +14,10 @@ else (document frequencies, predictions) covers all rows and whole texts.
 Defined cases: a null text or one without a letter is ``und`` with score 0;
 rows with null lang or null doc_id are not learned from (a null doc_id counts
 as held out); without any learning row every text is ``und``; ties go to the
-first language in code-point order.
+first language in code-point order. Other columns are handed through by position
+(one named like a result, ``_lang_...``, gives way to it). Equal rows are drawn for
+the sample together; an empty table gives an empty result. A model takes half a
+megabyte for each distinct ``lang`` value, which driver and workers hold.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, use_memory
+from .common import packed_schema, quoted, row_of, rows_again, stored, use_memory, with_results
 
 BUCKETS = 1 << 15
 ORDERS = 3
@@ -78,8 +81,9 @@ class Model:
     temperature: float = 1.0
 
     def logits(self, text: str) -> np.ndarray:
-        v = np.bincount(ngram_buckets(text), minlength=BUCKETS) * self.idf
-        return v @ self.weights / np.sqrt(v @ v)
+        idx, tf = np.unique(ngram_buckets(text).astype(np.uint16), return_counts=True)
+        v = tf * self.idf[idx]
+        return v @ self.weights[idx] / np.sqrt(v @ v)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not self.languages or not has_letter(text):
@@ -215,7 +219,7 @@ def train(rows: DataFrame, per_language: int = 1500) -> Model:
         return Model([], np.zeros(BUCKETS), np.zeros((BUCKETS, 0)))
     found = _statistics(rows)
     idf = np.log((1 + found[-1]) / (1 + found[:-1])) + 1
-    chance = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("sample")), 11) / float(2**53)
+    chance = F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit("sample")), 11) / float(2**53)
     share = F.lit(0.0)
     for name in languages:
         share = F.when(F.col("lang") == name, F.lit(min(1.0, per_language / sizes[name]))).otherwise(share)
@@ -225,12 +229,10 @@ def train(rows: DataFrame, per_language: int = 1500) -> Model:
     return Model(languages, idf, weights, _temperature(sample.where(held), weights))
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """All rows and columns of ``docs`` with ``_lang_pred`` and ``_lang_score``."""
+def _predicted(docs: DataFrame, model: Model, text: str) -> DataFrame:
+    """row (all columns of ``docs``), pred, score."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    names = [f"_c{i}" for i in range(len(docs.columns))]
-    rows = docs.select(F.col(text).cast("string").alias("_text"), *[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)])
-    schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields))
+    rows = docs.select(F.col(text).cast("string").alias("text"), row_of(docs).alias("row"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use_memory("langid")
@@ -238,16 +240,27 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 found = [sent.value.predict(t) for t in part.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(i + 1) for i in range(len(names))] + [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
-                    [*names, "_lang_pred", "_lang_score"],
-                )
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["row", "pred", "score"])
+
+    return rows.mapInArrow(apply, packed_schema(rows, "pred string, score double"))
+
+
+def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """All rows and columns of ``docs`` with ``_lang_pred`` and ``_lang_score``."""
+    return with_results(_predicted(docs, model, text), docs, {"_lang_pred": "pred", "_lang_score": "score"})
+
+
+def model_of(docs: DataFrame, folds: int = 5, per_language: int = 1500) -> Model:
+    """A model of the rows of docs (doc_id, text, lang) outside fold 0."""
+    return train(docs.where(fold(F.col("doc_id"), folds) != 0).select("doc_id", "text", "lang"), per_language)
+
 
-    out = rows.mapInArrow(apply, f"{schema}, _lang_pred string, _lang_score double")
-    return out.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)], "_lang_pred", "_lang_score")
+def recognised(docs: DataFrame, least: float) -> DataFrame:
+    """The rows of ``docs`` whose predicted language has a calibrated probability of ``least`` or more; columns as given."""
+    found = _predicted(docs, model_of(docs), "text")
+    return rows_again(found.where((F.col("pred") != UNKNOWN) & (F.col("score") >= least)), docs)
 
 
 def identified(docs: DataFrame, keep: list[str], folds: int = 5, per_language: int = 1500) -> DataFrame:
-    """``keep`` columns of docs (doc_id, text, lang) with the prediction of a model of the rows outside fold 0."""
-    learn = docs.where(fold(F.col("doc_id"), folds) != 0).select("doc_id", "text", "lang")
-    return predict(docs.select(*keep), train(learn, per_language))
+    """``keep`` columns of docs with the prediction of its model."""
+    return predict(docs.select(*map(quoted, keep)), model_of(docs, folds, per_language))

@@ -1,31 +1,43 @@
 """License notices: MinHash bands over overlapping windows, then exact containment.
 
-Notices are a constant table. A notice of S word 5-shingles belongs to the
-window size ``w``, the largest power of two up to S / 2 (at least 1). Documents
-are cut into windows of ``w`` shingles, ``max(1, w / 2)`` apart; notices into
-windows at every offset. A whole notice in a text therefore holds a window that
-equals one of the notice's, which collides in every band. With ``BANDS`` bands
-of ``ROWS`` minima a window of Jaccard similarity 0.6 still collides with
-probability 0.97, one of 0.75 with 0.9986, and an altered notice has several
-windows. Retrieved notices are verified by the exact share of their shingles
-that the text around the window holds (``CONTAINED`` or more).
-
-Only windows that hold a shingle of some notice are formed: any other has
-containment 0. Everything is DataFrame expressions; no Python runs on executors.
-
-Defined cases: null texts and texts under five words hold no notice; rows with
-one doc_id (null too) report together; other columns are ignored; an empty
+Notices are a table of texts. A notice of S word 5-shingles belongs to the
+window size ``w``, the largest of ``WIDTHS`` up to S / 2 (at least 1). Texts are
+cut into windows of every width, ``max(1, w / 2)`` shingles apart; notices into
+windows at every offset. A window's signature is one minimum of hashes for each
+of ``BANDS`` bands (of one row), built from the minima of half windows, of those
+of the next smaller width, and so on; windows that agree in a band retrieve a
+notice. A whole notice in a text holds a window that equals one of the notice's,
+which agrees in every band; a window of Jaccard similarity 0.6 agrees in some
+band with probability 0.9993, and of a notice contained to 0.75 some window is
+that similar on average of its windows. Retrieved notices are verified by the
+exact share of their shingles that the text around the window holds
+(``CONTAINED`` or more).
+
+Everything is DataFrame expressions; no Python runs on executors. A text's
+shingles go in pieces of ``PIECE`` with ``reach`` (the longest notice) of their
+neighbours on both sides. The notices' band keys are broadcast up to
+``BROADCAST_KEYS`` rows, else joined by a shuffle.
+
+Defined cases: null texts and texts under five words hold no notice, a notice
+under five words is never found; rows with one doc_id (null too) report together;
+repeated matches of a license give one row; other columns are ignored; an empty
 table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHINGLE = 5
-BANDS, ROWS = 8, 2
+BANDS = 8
+WIDTHS = (1, 4, 16, 64)
 CONTAINED = 0.75
+PIECE = 1 << 14
+#: Rows of band keys (16 bytes) or notices that may be broadcast.
+BROADCAST_KEYS = 1_000_000
 
 # Notice texts by SPDX identifier.
 NOTICES = [
@@ -45,6 +57,42 @@ NOTICES = [
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    (
+        "MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    (
+        "BSD-2-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
+    (
+        "BSD-3-Clause",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    (
+        "Zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    ),
+    (
+        "Unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.",
+    ),
+    (
+        "BSL-1.0",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.",
+    ),
+    (
+        "Apache-2.0",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    ),
+    (
+        "GPL-3.0-or-later",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    ),
 ]
 
 
@@ -59,67 +107,73 @@ def shingles(text: Column) -> Column:
     return F.element_at(F.transform(F.array(words), of), 1)  # the words are bound once
 
 
-def band_keys(window: Column, width: Column) -> Column:
-    """One key for each band of the MinHash signature of a window."""
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-    def least(j: int) -> Column:
-        return F.array_min(F.transform(window, lambda x: F.xxhash64(x, F.lit(j))))
 
-    return F.array(*[F.xxhash64(width, F.lit(b), *[least(b * ROWS + r) for r in range(ROWS)]) for b in range(BANDS)])
+def _numbers(n: Column) -> Column:
+    """0 .. n - 1, empty for n < 1."""
+    return F.when(n > 0, F.sequence(F.lit(0), (n - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
 
 
-def notice_table(spark: SparkSession, notices: list[tuple[str, str]]) -> list[dict]:
-    """The notices with their distinct shingles and window width (a constant, small table)."""
-    rows = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(notices)], "notice int, license string, text string")
-    out = [r.asDict() for r in rows.select("notice", "license", shingles(F.col("text")).alias("s")).collect()]
-    for r in out:
-        half, r["w"] = len(r["s"]) // 2, 1
-        while r["w"] * 2 <= half:
-            r["w"] *= 2
-    return out
+def _halved(values: Column, by: int) -> Column:
+    """Minima of runs of ``by`` values."""
+    return F.transform(_numbers(F.ceil(F.size(values) / by)), lambda i: F.array_min(F.slice(values, i * by + 1, by)))
 
 
-def _window_starts(w: int) -> Column:
-    """(w, at) of the windows of one width that hold one of the places in ``hits``."""
-    step = max(1, w // 2)
+def band_keys(s: Column) -> Column:
+    """(at, key) for each window of each width of an array of shingles, and each band."""
 
-    def covering(place: Column) -> Column:
-        last = (F.floor(place / step) * step).cast("int")
-        return F.filter(F.array(*[last - k * step for k in range(-(-w // step))]), lambda a: a >= 0)
+    def of_width(w: int, band: int, halves: Column) -> Column:
+        one = lambda i: F.struct((i * (w // 2)).alias("at"), F.xxhash64(F.lit(w), F.lit(band), F.least(F.get(halves, i), F.get(halves, i + 1))).alias("key"))
+        return F.transform(_numbers(F.greatest(F.size(halves) - 1, F.least(F.size(halves), F.lit(1)))), one)
 
-    return F.transform(F.array_distinct(F.flatten(F.transform("hits", covering))), lambda a: F.struct(F.lit(w).alias("w"), a.alias("at")))
+    def of_band(band: int) -> Column:
+        hashes = F.transform(s, lambda x: F.xxhash64(x, F.lit(band)))
+        narrow, middle, wide = WIDTHS[1:]
+        step = lambda w, v: narrow // 2 if v is None else (w // 2) // (v // 2)
+        return bound(_halved(hashes, step(narrow, None)), lambda a: bound(_halved(a, step(middle, narrow)), lambda b: bound(_halved(b, step(wide, middle)), lambda c: F.concat(of_width(narrow, band, a), of_width(middle, band, b), of_width(wide, band, c)))))
 
+    single = F.transform(s, lambda x, i: F.struct(i.alias("at"), F.xxhash64(F.lit(1), F.lit(0), x).alias("key")))
+    return F.concat(single, *[of_band(b) for b in range(BANDS)])
 
-def license_matches(docs: DataFrame, doc_id="doc_id", text="text", notices: list[tuple[str, str]] = NOTICES) -> DataFrame:
-    """doc_id, license, containment (best), position (word of the first match)."""
-    spark = docs.sparkSession
-    known = notice_table(spark, notices)
-    every = sorted({x for r in known for x in r["s"]})
-    reach = max(len(r["s"]) for r in known)
-    widths = sorted({r["w"] for r in known})
 
-    cut = [(r["notice"], r["w"], r["s"][i : i + r["w"]]) for r in known for i in range(len(r["s"]) - r["w"] + 1)]
-    bands = spark.createDataFrame(cut, "notice int, w int, s array<bigint>").select("notice", "w", F.explode(band_keys(F.col("s"), F.col("w"))).alias("band")).distinct()
-    facts = spark.createDataFrame([(r["notice"], r["license"], sorted(set(r["s"]))) for r in known], "notice int, license string, own array<bigint>")
+def notice_tables(notices: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of (license, text): (notice, license, w, own) with distinct shingles, and (key, notice) of the windows at all offsets."""
+    each = notices.where("text is not null").select("license", shingles(F.col("text")).alias("s")).where(F.size("s") > 0)
+    n = F.size("s")
+    w = F.coalesce(*[F.when(n >= 2 * w, F.lit(w)) for w in reversed(WIDTHS)], F.lit(1))
+    each = each.select(F.xxhash64("license", "s").alias("notice"), "license", "s", w.alias("w")).distinct()
+    cut = each.select("notice", "w", F.explode(F.transform(_numbers(n - F.col("w") + 1), lambda i: F.slice(F.col("s"), i + 1, F.col("w")))).alias("win"))
+    least = lambda b: F.when(F.col("w") == 1, F.get("win", F.lit(0))).otherwise(F.array_min(F.transform("win", lambda x: F.xxhash64(x, F.lit(b)))))
+    keys = F.array(*[F.xxhash64(F.col("w"), F.lit(b), least(b)) for b in range(BANDS)])
+    keys = cut.select("notice", F.explode(F.when(F.col("w") == 1, F.slice(keys, 1, 1)).otherwise(keys)).alias("key")).distinct()
+    return each.select("notice", "license", "w", F.array_distinct("s").alias("own")), keys
 
-    base = docs.select(F.col(doc_id).alias("doc_id"), shingles(F.col(text)).alias("s")).where(F.exists("s", lambda x: x.isin(every)))
-    hits = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: F.get("s", i).isin(every))
-    starts = F.concat(*[_window_starts(w) for w in widths])
-    windows = base.withColumn("hits", hits).withColumn("win", starts)
-    around = F.transform(
-        "win",
-        lambda x: F.struct(
-            x["w"].alias("w"), x["at"].alias("at"), F.slice("s", x["at"] + 1, x["w"]).alias("own"),
-            F.slice("s", F.greatest(x["at"] - reach, F.lit(0)) + 1, x["w"] + 2 * reach).alias("near"),
-        ),
-    )
-    each = windows.select("doc_id", F.explode(around).alias("x")).select("doc_id", "x.*")
-    keyed = each.select("doc_id", "w", "at", "near", F.explode(F.array_distinct(band_keys(F.col("own"), F.col("w")))).alias("band"))
-    # Both tables below are constants of some hundred rows.
-    found = keyed.join(F.broadcast(bands), ["w", "band"]).join(F.broadcast(facts), "notice")
-    share = F.size(F.array_intersect("own", "near")) / F.size("own")
-    first = F.when(F.size(F.array_intersect("own", "near")) > 0, F.col("at"))
+
+def notice_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(NOTICES, "license string, text string")
+
+
+def license_matches(docs: DataFrame, doc_id="doc_id", text="text", notices: DataFrame | None = None) -> DataFrame:
+    """doc_id, license, containment (best), position (word of the first shared shingle)."""
+    facts, keys = notice_tables(notice_table(docs.sparkSession) if notices is None else notices)
+    small, reach = facts.agg(F.count("*"), F.coalesce(F.max(F.size("own")), F.lit(1))).first()
+    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    sent = (lambda t: F.broadcast(t)) if few and small <= BROADCAST_KEYS // 64 else (lambda t: t.hint("shuffle_hash"))
+
+    base = docs.select(F.col(doc_id).alias("doc_id"), shingles(F.col(text)).alias("s")).where(F.size("s") > 0)
+    piece = lambda i: F.struct(F.greatest(i * PIECE - reach, F.lit(0)).alias("off"), F.slice(F.col("s"), F.greatest(i * PIECE - reach, F.lit(0)) + 1, F.lit(PIECE + 2 * reach)).alias("part"))
+    pieces = base.select("doc_id", F.explode(F.transform(_numbers(F.ceil(F.size("s") / PIECE)), piece)).alias("p")).select("doc_id", "p.off", "p.part")
+    windows = pieces.select("doc_id", "off", "part", F.explode(band_keys(F.col("part"))).alias("x")).select("doc_id", "off", "part", "x.at", "x.key")
+    found = windows.join(sent(keys), "key").join(sent(facts), "notice")
+
+    start = F.greatest(F.col("at") - F.size("own"), F.lit(0))
+    near = found.select("doc_id", "license", "own", F.col("off"), start.alias("start"), F.slice("part", start + 1, F.col("w") + 2 * F.size("own")).alias("near"))
+    shared = near.withColumn("shared", F.array_intersect("near", "own"))
+    first = F.col("off") + F.col("start") + F.array_position("near", F.get("shared", F.lit(0))) - 1
     return (
-        found.withColumn("containment", share).withColumn("first", first).where(F.col("containment") >= CONTAINED)
+        shared.select("doc_id", "license", (F.size("shared") / F.size("own")).alias("containment"), first.alias("first")).where(F.col("containment") >= CONTAINED)
         .groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), F.min("first").cast("long").alias("position"))
     )

@@ -5,26 +5,24 @@ of its id and text and ``w`` its quality weight. A source whose target is
 ``t`` words repeats whole epochs first (``floor(t / size)``) and takes the rest
 in key order until the running word count is nearest to what is left.
 
-The running count needs no sort of a source: a histogram over key buckets
-(their number follows the row count) finds the bucket in which the target is
-crossed, and only that bucket's documents are ordered. What remains is one
+The running count needs no sort of a source: word counts between quantiles of
+its keys show where the target is crossed, that piece is cut again in the same
+way, and only the last one's few documents are ordered. What remains is one
 cut-off per source, applied to all rows as an expression.
 
 Defined cases: null text has size 0; a null source is a source of its own, last
 in order; quality weights that are null or not above 0 count as 1; equal rows
-are taken together; sources without words get target 0; an empty table gives
-an empty result. Columns of the input never clash: internal names start with
-``_mix_``.
+are taken together, ties between keys go to the smaller id; sources without words
+get target 0; an empty table gives an empty result. Other columns are handed
+through by position, so no name of theirs can clash.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lookup, stored
+from .common import lookup, row_of, rows_again, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -34,16 +32,23 @@ def n_words(text: Column) -> Column:
 
 
 def keyed(docs: DataFrame, doc_id: str, text: str, source: str, quality: Column, seed: int) -> DataFrame:
-    """Input rows with source, size, sampling key and a tie-breaking hash."""
-    tie = F.xxhash64(F.col(text))
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(doc_id), tie), 11) + 1) / F.lit(float(2**53))
+    """Source, id, size, sampling key and tie-breaking hash of every row, and the row itself.
+
+    ``u`` is drawn from the MD5 of seed, id and text, which every engine has.
+    """
+    read = F.coalesce(F.col(text).cast("string"), F.lit("\0"))
+    drawn = F.md5(F.concat_ws("\x1f", F.lit(str(seed)), F.coalesce(F.col(doc_id).cast("string"), F.lit("\0")), read).cast("binary"))
+    u = (F.conv(F.substring(drawn, 1, 12), 16, 10).cast("double") + 1) / F.lit(float(2**48))
     w = F.when(quality > 0, quality).otherwise(F.lit(1.0))
-    return docs.withColumns(
-        {"_mix_source": F.col(source), "_mix_id": F.col(doc_id), "_mix_size": n_words(F.col(text)), "_mix_tie": tie, "_mix_key": -F.log(u) / w}
-    )
+    return docs.select(
+        F.col(source).alias("_mix_source"), F.col(doc_id).alias("_mix_id"), n_words(F.col(text)).alias("_mix_size"), drawn.alias("_mix_tie"),
+        (-F.log(u) / w).alias("_mix_key"), row_of(docs).alias("row"),
+    )
 
 
 KEYS = ["_mix_source", "_mix_id", "_mix_size", "_mix_tie", "_mix_key"]
+#: Key ranges that a round of the search for the cut-off tells apart, and rows that are ordered at last.
+RANGES, LAST = 64, 4096
 
 
 def targets(sized: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
@@ -72,49 +77,64 @@ def targets(sized: DataFrame, weights: tuple[float, ...], share: float, cap: flo
     return levels.select("_mix_source", "source_size", target.cast("double").alias("target"))
 
 
-def mix_plan(sized: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, per_bucket: int = 2048) -> DataFrame:
-    """One row per source: size, target, whole epochs and the cut-off of the last, partial epoch.
+def _crossing(sized: DataFrame, plan: DataFrame) -> DataFrame:
+    """Per source the key range [low, high] in which its rest is crossed, its rows, and the words below it.
 
-    ``per_bucket``: documents that a key bucket holds on average over all sources.
+    Every round cuts each source's range at quantiles of its own keys, whatever
+    weights they have, and keeps the piece with the crossing, until no piece
+    has more than ``LAST`` rows or it is a single key. Rows of one key lie together.
     """
-    rows = sized.count()
-    buckets = 1024 if rows <= 1024 * per_bucket else 2 ** math.ceil(math.log2(rows / per_bucket))
-    bucket = F.least(F.floor((1 - F.exp(-F.col("_mix_key"))) * buckets), F.lit(buckets - 1)).cast("long")
+    begin = plan.where("_rest > 0").select("_mix_source", "_rest", F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"), F.lit(0).cast("long").alias("below"), F.lit(2**62).alias("rows"))
+    done, open_ = None, stored(begin, "mix-ranges")
+    while not open_.isEmpty():
+        inside = lookup(sized.select("_mix_source", "_mix_key", "_mix_size", "_mix_tie"), open_, ["_mix_source"], F.col("_mix_tie"))
+        inside = inside.where((F.col("_mix_key") >= F.col("low")) & (F.col("_mix_key") <= F.col("high")))
+        share = [(i + 1) / RANGES for i in range(RANGES - 1)]
+        cuts = inside.groupBy("_mix_source").agg(F.percentile_approx("_mix_key", share, 20 * RANGES).alias("cuts"), F.max("_mix_key").alias("most"))
+        cuts = stored(cuts.select("_mix_source", F.array_distinct(F.concat("cuts", F.array("most"))).alias("cuts")), "mix-cuts")
+        # The piece of a key: the first cut that isn't below it.
+        placed = lookup(inside, cuts, ["_mix_source"], F.col("_mix_tie"))
+        piece = F.aggregate("cuts", F.lit(0), lambda n, c: n + (c < F.col("_mix_key")).cast("int"))
+        along = Window.partitionBy("_mix_source").orderBy("piece").rowsBetween(Window.unboundedPreceding, 0)
+        pieces = placed.withColumn("piece", piece).groupBy("_mix_source", "piece").agg(
+            F.sum("_mix_size").alias("words"), F.count("*").alias("n"), F.min("_mix_key").alias("least"), F.max("_mix_key").alias("most"), *[F.first(c).alias(c) for c in ("_rest", "below")]
+        )
+        upto = pieces.withColumn("upto", F.col("below") + F.sum("words").over(along))
+        crossed = upto.where((F.col("upto") >= F.col("_rest")) & (F.col("upto") - F.col("words") < F.col("_rest")))
+        found = stored(crossed.select("_mix_source", "_rest", F.col("least").alias("low"), F.col("most").alias("high"), (F.col("upto") - F.col("words")).alias("below"), F.col("n").alias("rows")), "mix-ranges")
+        closed = found.where((F.col("rows") <= LAST) | (F.col("high") == F.col("low")))
+        done = closed if done is None else done.unionByName(closed)
+        open_ = found.where((F.col("rows") > LAST) & (F.col("high") > F.col("low")))
+    return done if done is not None else begin.limit(0)
+
+
+def mix_plan(sized: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """One row per source: size, target, whole epochs, and the cut-off of the last, partial epoch (key, id, tie)."""
     plan = stored(
         targets(sized, weights, share, cap)
         .withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
         .withColumn("_rest", F.col("target") - F.col("epochs") * F.col("source_size")),
         "mix-targets",
     )
-    sized = sized.select(*KEYS).withColumn("_bucket", bucket)
-    along = Window.partitionBy("_mix_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    histogram = sized.groupBy("_mix_source", "_bucket").agg(F.sum("_mix_size").alias("_in")).withColumn("_upto", F.sum("_in").over(along))
-    crossing = (
-        lookup(histogram, plan.select("_mix_source", "_rest"), ["_mix_source"], F.col("_bucket"))
-        .where((F.col("_rest") > 0) & (F.col("_upto") >= F.col("_rest")) & (F.col("_upto") - F.col("_in") < F.col("_rest")))
-        .select("_mix_source", F.col("_bucket").alias("_cross"), (F.col("_upto") - F.col("_in")).alias("_below"), "_rest")
-    )
-    crossing = stored(crossing, "mix-crossing")
-    inside = lookup(sized, crossing, ["_mix_source"], F.col("_mix_tie")).where(F.col("_bucket") == F.col("_cross"))
-    by_key = Window.partitionBy("_mix_source").orderBy("_mix_key", "_mix_id", "_mix_tie")  # equal rows are peers
-    at = inside.withColumn("_at", F.col("_below") + F.sum("_mix_size").over(by_key)).withColumn("_off", F.abs(F.col("_at") - F.col("_rest")))
+    crossing = stored(_crossing(sized, plan), "mix-crossing")
+    inside = lookup(sized.select(*KEYS), crossing, ["_mix_source"], F.col("_mix_tie"))
+    inside = inside.where((F.col("_mix_key") >= F.col("low")) & (F.col("_mix_key") <= F.col("high")))
+    # Rows of one key, id and tie are equal; they are one step, which is taken whole.
+    steps = inside.groupBy("_mix_source", "_mix_key", "_mix_id", "_mix_tie").agg(F.sum("_mix_size").alias("words"), *[F.first(c).alias(c) for c in ("_rest", "below")])
+    by_key = Window.partitionBy("_mix_source").orderBy("_mix_key", "_mix_id", "_mix_tie").rowsBetween(Window.unboundedPreceding, 0)
+    at = steps.withColumn("_at", F.col("below") + F.sum("words").over(by_key)).withColumn("_off", F.abs(F.col("_at") - F.col("_rest")))
     cut = at.groupBy("_mix_source").agg(
-        F.min(F.struct("_off", "_at", F.struct("_mix_key", "_mix_id", "_mix_tie").alias("cut"))).alias("_best"),
-        F.first("_cross").alias("_cross"),
-        F.first(F.abs(F.col("_below") - F.col("_rest"))).alias("_off_below"),
-    )
-    cut = cut.select(
-        "_mix_source",
-        F.col("_cross").alias("cut_bucket"),
-        F.when(F.col("_best._off") < F.col("_off_below"), F.col("_best.cut")).alias("cut"),
+        F.min(F.struct("_off", "_at", F.struct("_mix_key", "_mix_id", "_mix_tie").alias("cut"))).alias("_best"), F.first(F.abs(F.col("below") - F.col("_rest"))).alias("_off_below"), F.min("_mix_key").alias("_least")
     )
-    return stored(lookup(plan, cut, ["_mix_source"], F.col("source_size")).withColumn("buckets", F.lit(buckets)), "mix-plan")
+    # Nearer without any step: everything below the range.
+    before = F.struct(F.col("_least").alias("_mix_key"), F.lit(None).cast(sized.schema["_mix_id"].dataType).alias("_mix_id"), F.lit("").alias("_mix_tie"))
+    cut = cut.select("_mix_source", F.when(F.col("_best._off") < F.col("_off_below"), F.col("_best.cut")).otherwise(before).alias("cut"))
+    return stored(lookup(plan, cut, ["_mix_source"], F.col("source_size")), "mix-plan")
 
 
 def with_mix(sized: DataFrame, plan: DataFrame) -> DataFrame:
     """The rows of ``sized`` with their source's size and target, ``copies`` and ``taken`` words."""
-    bucket = F.least(F.floor((1 - F.exp(-F.col("_mix_key"))) * F.col("buckets")), F.col("buckets") - 1).cast("long")
-    chosen = (bucket < F.col("cut_bucket")) | ((bucket == F.col("cut_bucket")) & (F.struct("_mix_key", "_mix_id", "_mix_tie") <= F.col("cut")))
+    chosen = F.struct("_mix_key", "_mix_id", "_mix_tie") <= F.col("cut")
     out = lookup(sized, plan, ["_mix_source"], F.col("_mix_tie"))
     copies = (F.col("epochs") + F.when(F.coalesce(chosen, F.lit(False)), 1).otherwise(0)).cast("long")
     return out.withColumn("_mix_copies", copies).withColumn("_mix_taken", F.col("_mix_copies") * F.col("_mix_size"))
@@ -131,9 +151,8 @@ def mixed_documents(docs: DataFrame, quality: Column, doc_id="doc_id", text="tex
     """The mix itself: every document once per copy taken, with the columns of ``docs``."""
     rows = keyed(docs, doc_id, text, source, quality, seed)
     sized = stored(rows.select(*KEYS), "mix-sizes")
-    out = with_mix(rows, mix_plan(sized, **plan))
-    columns = [F.col(c) for c in docs.columns]
-    return out.where(F.col("_mix_copies") > 0).withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies")))).select(*columns)
+    out = with_mix(rows, mix_plan(sized, **plan)).where(F.col("_mix_copies") > 0)
+    return rows_again(out.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies"))).alias("_copy")), docs)
 
 
 def text_quality(text: Column) -> Column:

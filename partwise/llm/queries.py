@@ -72,7 +72,7 @@ def op8_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import personal_data
 
     found = personal_data(read(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "n_added")
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,8 @@ File format, little-endian, one or more parts per file, each followed by a line
 feed: ``HUF1``, then u32 header length, a JSON header (counts, maximum length),
 u8 code lengths by id, i64 doc ids, u8 flags of null ids, u32 ids per document,
 u32 bytes per document, u32 checkpoints, and the bit strings. Files and
-parts are in ascending order of doc_id: file ``k`` holds the ``k``-th range.
+parts are in ascending order of doc_id. A range of doc_id is one or more files
+of at most ``PARTS`` parts, a part about ``PART_BYTES`` or a single longer document.
 
 The files are written by Spark's text writer (bytes as they are) and read by the
 ``binaryFile`` source, so any file system that Spark reaches will do.
@@ -19,6 +20,7 @@ The files are written by Spark's text writer (bytes as they are) and read by the
 Defined cases: a null text is empty and has only the end id; null doc_ids come
 first; equal doc_ids are kept, in the order of their ids' bytes; an empty table
 gives no file. Special-token strings in texts are encoded as the library does.
+Other columns are ignored. Ids must be below 65,536.
 """
 
 from __future__ import annotations
@@ -32,16 +34,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, remember_in, stored, use_memory
+from .common import forget, new_path, remember_in, stored, use_memory
 
 MAX_LENGTH = 16
 STEP = 256
 MAGIC = b"HUF1"
 #: Words whose ids a worker process remembers; the memory is emptied when full.
 REMEMBERED = 1_200_000
+#: Longer words (in bytes or characters) aren't remembered, so the memory is bounded by bytes too.
+LONG_WORD = 64
+#: Bytes of ids that a range of doc_id holds about, bytes of a part (but for a single longer document), parts of a file.
+RANGE_BYTES, PART_BYTES, PARTS = 64 << 20, 4 << 20, 32
 
 _encoders: dict[str, _Words] = {}
 LATIN = [chr(c) for c in range(0xC0, 0x100) if chr(c) not in "×÷"]
@@ -65,19 +72,39 @@ def _encoder(path: str) -> _Words:
     return _encoders[path]
 
 
+def _cuts_at_blanks(setup: dict) -> bool:
+    """Whether the ids of a text are those of its words: the file drops white space and cuts at it, and has no other steps."""
+    normal, before = setup["normalizer"] or {}, setup["pre_tokenizer"] or {}
+    steps = normal.get("normalizers", []) if normal.get("type") == "Sequence" else [normal]
+    kinds = [(x.get("type"), (x.get("pattern") or {}).get("Regex"), x.get("content")) for x in steps]
+    parts = before.get("pretokenizers", [])
+    if kinds != [("NFC", None, None), ("Replace", r"\s+", " "), ("Lowercase", None, None)] or [x["type"] for x in parts] != ["Split", "ByteLevel"]:
+        return False
+    split, level = parts
+    runs = split["pattern"].get("Regex", "").split("|")[-3:]
+    return split["behavior"] == "Removed" and split["invert"] and runs == [r"[\p{L}]+", r"[\p{N}]", r"[^\s\p{L}\p{N}]+"] and not level["add_prefix_space"] and not level["use_regex"]
+
+
 class _Words(dict):
     """Ids (as bytes) of the words that this process has met; new ones are encoded when asked for.
 
-    A word of ASCII and Latin-1 letters with ASCII punctuation (no apostrophe)
-    after them passes normalizer and pre-tokenizer as its lower-case letters
-    and its punctuation, so the library's model is asked for these pieces, and
-    each is remembered; any other word takes the whole way.
+    Where the file's own steps cut at white space (``whole`` is false), a word of
+    ASCII and Latin-1 letters with ASCII punctuation (no apostrophe) after them
+    passes normalizer and pre-tokenizer as its lower-case letters and its
+    punctuation, so the library's model is asked for these pieces, and each is
+    remembered; any other word takes the whole way. Texts with a special token,
+    and all texts of any other file, are encoded as a whole.
     """
 
     def __init__(self, tokenizer):
         super().__init__()
         self.tokenizer, self.model, self.pieces = tokenizer, tokenizer.model, {}
-        self.letters = {ord(c): "".join(x for x, _ in tokenizer.pre_tokenizer.pre_tokenize_str(c)) for c in LATIN}
+        self.whole = not _cuts_at_blanks(json.loads(tokenizer.to_str()))
+        special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special))).search if special else None
+        self.size = 0
+        if not self.whole:
+            self.letters = {ord(c): "".join(x for x, _ in tokenizer.pre_tokenizer.pre_tokenize_str(c)) for c in LATIN}
 
     def __missing__(self, word: bytes) -> bytes:
         m = _plain_word.match(text := word.decode())
@@ -86,14 +113,20 @@ class _Words(dict):
             if m[2]:
                 ids += self._piece(m[2])
         else:
-            ids = array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        self[word] = ids
+            ids = self.encode(text)
+        if len(word) <= LONG_WORD:
+            self[word] = ids
         return ids
 
+    def encode(self, text: str) -> bytes:
+        return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
     def _piece(self, piece: str) -> bytes:
         got = self.pieces.get(piece)
         if got is None:
-            got = self.pieces[piece] = array("H", [x.id for x in self.model.tokenize(piece.translate(self.letters))]).tobytes()
+            got = array("H", [x.id for x in self.model.tokenize(piece.translate(self.letters))]).tobytes()
+            if len(piece) <= LONG_WORD:
+                self.pieces[piece] = got
         return got
 
     def shrink(self) -> None:
@@ -105,17 +138,16 @@ class _Words(dict):
 def encode_texts(texts: list[str | None], path: str) -> list[bytes]:
     """Ids of whole texts as little-endian u16.
 
-    The pre-tokenizer never joins characters over white space, so a text's ids
+    Where the pre-tokenizer never joins characters over white space, a text's ids
     are those of its words (cut at ASCII white space), one after the other;
-    the library encodes each word once and the process remembers it. Texts in
-    which a special token could start go through the library as a whole.
+    the library encodes each word once and the process remembers it.
     """
     known = _encoder(path)
     known.shrink()
     ids_of, out = known.__getitem__, []
     for t in texts:
-        if t and "<|" in t:
-            out.append(array("H", known.tokenizer.encode(t, add_special_tokens=False).ids).tobytes())
+        if t and (known.whole or known.special and known.special(t)):
+            out.append(known.encode(t))
         else:
             out.append(b"".join(map(ids_of, (t or "").encode().split())))
     return out
@@ -264,15 +296,12 @@ def decode_ids(data: np.ndarray, byte_starts: np.ndarray, counts: np.ndarray, ch
     return out[np.arange(step)[None, :] < left[:, None]]
 
 
-def _ranges(tokens: DataFrame, files: int) -> list[int]:
-    """Inner bounds of ``files`` ranges of doc_id with about equal rows."""
-    if files <= 1:
-        return []
-    return sorted(set(int(x) for x in tokens.approxQuantile("doc_id", [i / files for i in range(1, files)], 0.1 / files)))
+def write_tokens(tokens: DataFrame, path: str, ranges: int) -> np.ndarray:
+    """Write (doc_id, ids) as Huffman files in ascending order of doc_id; returns the code lengths.
 
-
-def write_tokens(tokens: DataFrame, path: str, files: int) -> np.ndarray:
-    """Write (doc_id, ids) as Huffman files in ascending order of doc_id; returns the code lengths."""
+    Spark's range partitioning deals the rows by (doc_id, count, bits), so rows of
+    one doc_id may lie in several ranges, and a range in several files.
+    """
     lengths = code_lengths(id_counts(tokens))
     spark = tokens.sparkSession
     code = spark.sparkContext.broadcast((canonical_codes(lengths), lengths))  # at most 65,536 entries
@@ -280,8 +309,7 @@ def write_tokens(tokens: DataFrame, path: str, files: int) -> np.ndarray:
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, sizes = code.value
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
+            for part in _pieces(batch, batch.column(1), PART_BYTES):
                 raw, offsets = _flat(part.column(1))
                 ids, starts = raw.view("<u2"), offsets // 2
                 data, at, within = encode_ids(ids, starts, codes, sizes)
@@ -289,35 +317,39 @@ def write_tokens(tokens: DataFrame, path: str, files: int) -> np.ndarray:
                 bits = [data[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(starts)), pa.array(checks, pa.binary()), pa.array(bits, pa.binary())], ["doc_id", "n", "checks", "bits"])
 
-    bounds = _ranges(tokens, files)
-    part = _bucket(F.col("doc_id"), bounds)
     coded = tokens.select("doc_id", "ids").mapInArrow(compress, "doc_id long, n long, checks binary, bits binary")
-    dealt = coded.withColumn("part", part.cast("int")).repartitionById(len(bounds) + 1, F.col("part"))
-    ordered = dealt.sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "n", "bits").drop("part")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("n"), F.col("mark")]
+    dealt = coded.withColumn("mark", F.xxhash64("bits")).withColumn("dealt", F.spark_partition_id()).repartitionByRange(ranges, *order, F.col("dealt"))
+    ordered = dealt.sortWithinPartitions(*order, "dealt").select("doc_id", "n", "checks", "bits")
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = code.value[1]
         for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array([_part(batch, sizes)], pa.binary())], ["part"])
+            for part in _pieces(batch, batch.column(3), PART_BYTES):
+                yield pa.RecordBatch.from_arrays([pa.array([_part(part, sizes)], pa.binary())], ["part"])
 
     (
         ordered.mapInArrow(assemble, "part binary")
         .select(F.col("part").cast("string").alias("value"))
         .write.option("lineSep", "\n")
+        .option("maxRecordsPerFile", PARTS)
         .option("compression", "none")
         .text(path)
     )
     return lengths
 
 
-def _bucket(column: Column, bounds: list[int]) -> Column:
-    """How many of the sorted bounds are below the column's value (null: 0), by halving."""
-    if not bounds:
-        return F.lit(0)
-    mid = len(bounds) // 2
-    right = _bucket(column, bounds[mid + 1 :]) + F.lit(mid + 1)
-    return F.when(column > bounds[mid], right).otherwise(_bucket(column, bounds[:mid]))
+def _pieces(batch: pa.RecordBatch, column: pa.Array, at_most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose binary column has ``at_most`` bytes together, or one row."""
+    sizes = np.array(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    lo, total = 0, 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > lo and total + size > at_most:
+            yield batch.slice(lo, i - lo)
+            lo, total = i, 0
+        total += size
+    if lo < len(sizes):
+        yield batch.slice(lo)
 
 
 def _part(batch: pa.RecordBatch, lengths: np.ndarray) -> bytes:
@@ -379,19 +411,21 @@ def read_tokens(df_files: DataFrame) -> DataFrame:
     return df_files.mapInArrow(decode, "path string, doc_id long, local long, n_tokens long, ids_crc32 long")
 
 
-def through_files(docs: DataFrame, tokenizer: str | None = None, doc_id="doc_id", text="text", end_id: int = 1, rows_per_file: int = 8192) -> DataFrame:
+def through_files(docs: DataFrame, tokenizer: str | None = None, doc_id="doc_id", text="text", end_id: int = 1, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Encode, write, read back: doc_id, start, n_tokens, ids_crc32 of every document.
 
     ``start`` adds up per file first: one row per file is ranked, never the documents.
     """
     spark = docs.sparkSession
     tokens = stored(token_table(docs, tokenizer or default_tokenizer(), doc_id, text, end_id), "tokens")
-    rows = tokens.count()
+    size = tokens.agg(F.coalesce(F.sum(F.length("ids")), F.lit(0))).first()[0]
     path = new_path(spark, "huffman")
-    write_tokens(tokens, path, max(1, -(-rows // rows_per_file)))
+    write_tokens(tokens, path, max(1, -(-size // range_bytes)))
+    forget(tokens)
     found = stored(read_tokens(spark.read.format("binaryFile").load(path).select("path", "content")), "decoded")
     sizes = found.groupBy("path").agg(F.sum("n_tokens").alias("in_file"))
-    before = Window.orderBy(F.regexp_extract("path", r"part-(\d+)", 1).cast("long")).rowsBetween(Window.unboundedPreceding, -1)
+    place = [F.regexp_extract("path", p, 1).cast("long") for p in (r"part-(\d+)", r"-c(\d+)")]
+    before = Window.orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
     first = sizes.select("path", F.coalesce(F.sum("in_file").over(before), F.lit(0)).alias("before"))
     out = found.join(first.hint("merge"), "path")
     return out.select("doc_id", (F.col("before") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")

@@ -8,21 +8,26 @@ record ids (from digest and page id), timestamps (14 digits to ISO 8601),
 record types and SHA-256 digests. Payloads of ``min_revisit`` bytes or more
 that occur before (smallest page id first) become revisit records.
 
-Archives are gzipped files of at most ``per_file`` records, written by Spark's
-text writer with the record separator as line separator (the separator is the
-one that the formats ask for) and read by the ``binaryFile`` source, so any
-file system that Spark reaches will do.
+Archives are gzipped files of at most ``PER_FILE`` segments. A segment holds whole
+records of ``SEGMENT`` bytes together, or a single larger one, so files are bounded
+by bytes, not by rows; they are read as a stream, record by record. Spark's text
+writer writes them with the record separator as line separator (the separator is
+the one that the formats ask for) and the ``binaryFile`` source reads them, so
+any file system that Spark reaches will do.
 
 Defined cases: a null payload is empty; a null URL becomes
 ``http://unknown.invalid/``; white space in URLs is percent-encoded; records
 without page id come last among equals; equal rows with one page id give one
-response and revisits to the same id; an empty table gives empty archives.
+response and revisits to the same id; other columns are ignored; an empty table
+gives empty archives.
 """
 
 from __future__ import annotations
 
 import gzip
 import hashlib
+import io
+import itertools
 import uuid
 from collections.abc import Iterator
 from urllib.parse import quote
@@ -35,7 +40,12 @@ from pyspark.sql import functions as F
 from .common import new_path, salted_lookup, stored
 
 MIN_REVISIT = 100
-PER_FILE = 1024
+#: Bytes of whole records that are written together, and how many such segments a file has.
+SEGMENT, PER_FILE = 4 << 20, 32
+#: Rows that a reading task hands over together.
+ROWS = 4096
+#: Revisit records up to which their table (three numbers each) is broadcast to the archives; beyond it the archives are shuffled once.
+BROADCAST_REVISITS = 1_000_000
 #: Fields of record headers by ARC version.
 FIELDS = {
     1: ["URL", "IP-address", "Archive-date", "Content-type", "Archive-length"],
@@ -44,12 +54,12 @@ FIELDS = {
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def _write(records: DataFrame, path: str, separator: str, per_file: int) -> None:
-    """Write the ``record`` column, bytes as they are, ``separator`` after each."""
+def _write(records: DataFrame, path: str, separator: str) -> None:
+    """Write the segments of the ``record`` column, bytes as they are, ``separator`` after each."""
     (
         records.select(F.col("record").cast("string").alias("value"))
         .write.option("lineSep", separator)
-        .option("maxRecordsPerFile", per_file)
+        .option("maxRecordsPerFile", PER_FILE)
         .option("compression", "gzip")
         .option("zlib.compress.level", "BEST_SPEED")
         .text(path)
@@ -60,8 +70,35 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-def _plain(content: bytes) -> bytes:
-    return gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
+def _stream(content: bytes | pa.Buffer) -> io.BufferedIOBase:
+    raw = pa.BufferReader(content)
+    return gzip.GzipFile(fileobj=raw) if bytes(memoryview(content)[:2]) == b"\x1f\x8b" else io.BufferedReader(raw)
+
+
+class Segments:
+    """Whole records of one task, gathered into rows of about ``SEGMENT`` bytes."""
+
+    def __init__(self, separator: bytes, first):
+        self.separator, self.first, self.n = separator, first, 0
+        self.held, self.size = [], 0
+
+    def add(self, record: bytes) -> Iterator[pa.RecordBatch]:
+        if self.held and self.size + len(record) > SEGMENT:
+            yield from self.flush()
+        if not self.held and self.n % PER_FILE == 0:  # a new file begins
+            self.held.append(self.first(self.n // PER_FILE))
+        self.held.append(record)
+        self.size += len(record)
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            yield pa.RecordBatch.from_arrays([pa.array([self.separator.join(self.held)], pa.binary())], ["record"])
+            self.held, self.size, self.n = [], 0, self.n + 1
+
+
+def _rows(rows: Iterator[tuple], names: list[str], kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    while some := list(itertools.islice(rows, ROWS)):
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in some], t) for i, t in enumerate(kinds)], names)
 
 
 def _arc_version_block(version: int, name: str, date: str) -> bytes:
@@ -70,55 +107,45 @@ def _arc_version_block(version: int, name: str, date: str) -> bytes:
     return f"filedesc://{name} 0.0.0.0 {date} text/plain{extra} {len(body)}\n{body}".encode()
 
 
-def write_arc(pages: DataFrame, path: str, page_id="page_id", url="url", html="html", date: str = "20240101000000", per_file: int = PER_FILE) -> None:
+def write_arc(pages: DataFrame, path: str, page_id="page_id", url="url", html="html", date: str = "20240101000000") -> None:
     """Write pages as ARC files, versions 1 and 2 in turn by partition."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        version, n = 1 + part % 2, 0
+        version = 1 + part % 2
+        out = Segments(b"\n", lambda n: _arc_version_block(version, f"part-{part}-{n}.arc", date))
         for batch in batches:
-            out = []
-            for key, address, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if n % per_file == 0:
-                    out.append(_arc_version_block(version, f"part-{part}-{n // per_file}.arc", date))
-                    n += 1
-                payload = payload or b""
+            for key, address, html_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                payload = html_.as_py() or b""
                 own = f"X-Page-Id: {key}\r\n" if key is not None else ""
                 http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n{own}\r\n".encode()
                 where = quote(address, safe="%/:=&?~#+!$,;'@()*[]") if address else "http://unknown.invalid/"
                 extra = f" 200 - - 0 part-{part}.arc" if version == 2 else ""
                 head = f"{where} 0.0.0.0 {date} text/html{extra} {len(http) + len(payload)}\n".encode()
-                out.append(b"".join((head, http, payload)))
-                n += 1
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+                yield from out.add(b"".join((head, http, payload)))
+        yield from out.flush()
 
     rows = pages.select(F.col(page_id).cast("long"), F.col(url).cast("string"), F.encode(F.col(html).cast("string"), "UTF-8"))
-    _write(rows.mapInArrow(build, "record binary"), path, "\n", per_file)
+    _write(rows.mapInArrow(build, "record binary"), path, "\n")
 
 
-def arc_records(content: bytes) -> Iterator[tuple[dict, bytes]]:
+def arc_records(content: bytes | pa.Buffer) -> Iterator[tuple[dict, bytes]]:
     """(header fields, block) of each record of an ARC file."""
-    data, at, version = _plain(content), 0, None
-    while at < len(data):
-        end = data.find(b"\n", at)
-        end = len(data) if end < 0 else end
-        line = data[at:end]
-        at = end + 1
+    data, version = _stream(content), None
+    while line := data.readline():
+        line = line.rstrip(b"\n")
         if not line.strip():
             continue
         if version is None:
-            size = int(line.rsplit(b" ", 1)[1])
-            version = int(data[at : at + size].split(b" ", 1)[0])
-            at += size
+            version = int(data.read(int(line.rsplit(b" ", 1)[1])).split(b" ", 1)[0])
             continue
         values = line.rsplit(b" ", len(FIELDS[version]) - 1)
         if len(values) != len(FIELDS[version]):
             raise ValueError(f"an ARC {version} record header has {len(values)} fields")
-        size = int(values[-1])
-        if at + size > len(data):
+        block = data.read(int(values[-1]))
+        if len(block) < int(values[-1]):
             raise ValueError("an ARC record is shorter than declared")
-        yield dict(zip(FIELDS[version], (v.decode("latin-1") for v in values))), data[at : at + size]
-        at += size
+        yield dict(zip(FIELDS[version], (v.decode("latin-1") for v in values))), block
 
 
 def _http(block: bytes) -> tuple[dict[str, str], int]:
@@ -139,23 +166,20 @@ def _urn(*parts: object) -> str:
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per ARC record without its payload."""
+    kinds = [pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.int64()]
     for batch in batches:
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-            rows = []
-            for n, (_, block) in enumerate(arc_records(content.as_py())):
-                headers, cut = _http(block)
-                rows.append((path, n, _number(headers.get("x-page-id")), hashlib.sha256(memoryview(block)[cut:]).digest(), len(block) - cut))
-            names = ["path", "n", "page_id", "digest", "bytes"]
-            kinds = [pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
+            records = ((n, block, *_http(block)) for n, (_, block) in enumerate(arc_records(content.as_buffer())))
+            rows = ((path, n, _number(headers.get("x-page-id")), hashlib.sha256(memoryview(block)[cut:]).digest(), len(block) - cut) for n, block, headers, cut in records)
+            yield from _rows(rows, ["path", "n", "page_id", "digest", "bytes"], kinds)
 
 
 def _revisits(records: DataFrame, min_revisit: int) -> DataFrame:
-    """path -> its records that revisit an earlier response, with that response's page id.
+    """(path, again): the records of a file that revisit an earlier response, with that response's page id.
 
     The groups of equal payloads are pre-aggregated; the way back to the
     records is a salted join, so a payload that a third of the pages share
-    spreads over the salts. A path has at most ``per_file`` records.
+    spreads over the salts. A file has a bounded number of records.
     """
     own = F.struct(F.col("page_id").isNull().alias("last"), "page_id", "path", "n")
     large = records.where(F.col("bytes") >= min_revisit).withColumn("own", own)
@@ -174,16 +198,16 @@ def _iso(date: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
-def _convert(min_revisit: int, per_file: int):
+def _convert(min_revisit: int):
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, n = TaskContext.get().partitionId(), 0
+        part, date = TaskContext.get().partitionId(), ["19700101000000"]
+        info = lambda n: _warc_record("warcinfo", _iso(date[0]), b"software: partwise\r\n", [("WARC-Record-ID", _urn("info", part, n)), ("Content-Type", "application/warc-fields")])
+        out = Segments(b"\r\n\r\n", info)
         for batch in batches:
             for path, content, again in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                refers, out = {x["n"]: x["refers_to"] for x in again or ()}, []
-                for i, (arc, block) in enumerate(arc_records(content.as_py())):
-                    if n % per_file == 0:
-                        out.append(_warc_record("warcinfo", _iso(arc["Archive-date"]), b"software: partwise\r\n", [("WARC-Record-ID", _urn("info", part, n)), ("Content-Type", "application/warc-fields")]))
-                        n += 1
+                refers = {x["n"]: x["refers_to"] for x in again or ()}
+                for i, (arc, block) in enumerate(arc_records(content.as_buffer())):
+                    date[0] = arc["Archive-date"]
                     headers, cut = _http(block)
                     page, digest = headers.get("x-page-id"), hashlib.sha256(memoryview(block)[cut:]).hexdigest()
                     fields = [("WARC-Target-URI", arc["URL"]), ("WARC-IP-Address", arc["IP-address"]), ("WARC-Payload-Digest", "sha256:" + digest), ("Content-Type", "application/http; msgtype=response")]
@@ -191,57 +215,58 @@ def _convert(min_revisit: int, per_file: int):
                         first = refers[i]
                         fields += [("WARC-Record-ID", _urn("revisit", path, i)), ("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", _urn("response", digest, first))]
                         fields += [("X-Refers-To-Page-Id", str(first))] * (first is not None)
-                        out.append(_warc_record("revisit", _iso(arc["Archive-date"]), block[:cut], fields))
+                        yield from out.add(_warc_record("revisit", _iso(date[0]), block[:cut], fields))
                     else:
                         alone = len(block) - cut < min_revisit
                         fields.append(("WARC-Record-ID", _urn("small", path, i) if alone else _urn("response", digest, _number(page))))
-                        out.append(_warc_record("response", _iso(arc["Archive-date"]), block, fields))
-                    n += 1
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+                        yield from out.add(_warc_record("response", _iso(date[0]), block, fields))
+        yield from out.flush()
 
     return convert
 
 
-def convert_arc(spark: SparkSession, arc_path: str, warc_path: str, min_revisit: int = MIN_REVISIT, per_file: int = PER_FILE) -> None:
+def convert_arc(spark: SparkSession, arc_path: str, warc_path: str, min_revisit: int = MIN_REVISIT) -> None:
     """Convert the ARC files under ``arc_path`` to WARC files under ``warc_path``."""
     records = stored(_files(spark, arc_path).mapInArrow(_describe, "path string, n int, page_id long, digest binary, bytes long"), "arc-records")
-    todo = _files(spark, arc_path).join(_revisits(records, min_revisit).hint("merge"), "path", "left")
-    _write(todo.mapInArrow(_convert(min_revisit, per_file), "record binary"), warc_path, "\r\n\r\n", per_file)
+    again = stored(_revisits(records, min_revisit), "arc-revisits")
+    few = (again.agg(F.sum(F.size("again"))).first()[0] or 0) <= BROADCAST_REVISITS
+    todo = _files(spark, arc_path).join(F.broadcast(again) if few else again.hint("merge"), "path", "left")
+    _write(todo.mapInArrow(_convert(min_revisit), "record binary"), warc_path, "\r\n\r\n")
 
 
-def warc_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+def warc_records(content: bytes | pa.Buffer) -> Iterator[tuple[dict[str, str], bytes]]:
     """(header fields in lower case, block) of each record of a WARC file."""
-    data, at = _plain(content), 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0 or not data.startswith(b"WARC/", at):
+    data = _stream(content)
+    while line := data.readline():
+        if not line.startswith(b"WARC/"):
             raise ValueError("not a WARC record")
-        lines = data[at:end].decode().split("\r\n")[1:]
-        fields = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        size = int(fields["content-length"])
-        if end + 4 + size > len(data):
+        fields: dict[str, str] = {}
+        while (line := data.readline()) not in (b"\r\n", b""):
+            name, _, value = line.decode().partition(":")
+            fields[name.lower()] = value.strip()
+        block = data.read(int(fields["content-length"]))
+        if len(block) < int(fields["content-length"]):
             raise ValueError("a WARC record is shorter than declared")
-        yield fields, data[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
+        yield fields, block
+        data.read(4)
+
+
+def _page(fields: dict[str, str], block: bytes) -> tuple:
+    kind = fields["warc-type"]
+    headers, cut = _http(block)
+    digest = fields["warc-payload-digest"].removeprefix("sha256:")
+    if kind == "response" and hashlib.sha256(memoryview(block)[cut:]).hexdigest() != digest:
+        raise ValueError("a payload differs from its digest")
+    size = len(block) - cut if kind == "response" else int(headers["content-length"])
+    return _number(headers.get("x-page-id")), fields["warc-target-uri"], size, digest, kind, _number(fields.get("x-refers-to-page-id")), fields["warc-record-id"], fields["warc-date"]
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["page_id", "target_uri", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "warc_date"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
     for batch in batches:
         for content in batch.column(1):
-            rows = []
-            for fields, block in warc_records(content.as_py()):
-                kind = fields["warc-type"]
-                if kind == "warcinfo":
-                    continue
-                headers, cut = _http(block)
-                digest = fields["warc-payload-digest"].removeprefix("sha256:")
-                if kind == "response" and hashlib.sha256(memoryview(block)[cut:]).hexdigest() != digest:
-                    raise ValueError("a payload differs from its digest")
-                size = len(block) - cut if kind == "response" else int(headers["content-length"])
-                rows.append((_number(headers.get("x-page-id")), fields["warc-target-uri"], size, digest, kind, _number(fields.get("x-refers-to-page-id")), fields["warc-record-id"], fields["warc-date"]))
-            names = ["page_id", "target_uri", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "warc_date"]
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
+            yield from _rows((_page(*r) for r in warc_records(content.as_buffer()) if r[0]["warc-type"] != "warcinfo"), names, kinds)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:

@@ -1,5 +1,7 @@
+import random
 import re
 
+from partwise.llm import licenses
 from partwise.llm.common import read
 from partwise.llm.licenses import NOTICES, license_matches
 from partwise.llm.queries import op9_license_scan
@@ -38,6 +40,30 @@ def test_every_notice_anywhere_and_altered(spark):
     assert got == brute(rows)
 
 
+def test_recall_at_every_containment(spark):
+    rng = random.Random(3)
+    rows = []
+    for n, (_, text) in enumerate(NOTICES):
+        w = re.sub("[^a-z0-9]+", " ", text.lower()).split()
+        for k in range(1, 40 if len(w) > 40 else 4):  # up to 0.75 of the shingles are left
+            v = list(w)
+            for _ in range(rng.randint(1, max(1, len(w) // 18))):
+                v[rng.randrange(len(v))] = f"x{rng.random()}"[:9].replace(".", "")
+            rows.append((1000 * n + k, " ".join([f"y{rng.random()}" for _ in range(rng.randint(0, 40))] + v + ["and", "more"])))
+    got = {(r["doc_id"], r["license"]) for r in license_matches(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute(rows)
+    assert got <= want and len(want) > 300
+    assert len(got) >= 0.99 * len(want), (len(got), len(want))
+
+
+def test_long_texts_go_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(licenses, "PIECE", 50)
+    rng = random.Random(4)
+    rows = [(i, " ".join([f"w{rng.random()}" for _ in range(rng.randint(0, 700))]) + " " + text + " tail") for i, (_, text) in enumerate(NOTICES)]
+    got = {(r["doc_id"], r["license"]) for r in license_matches(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+
+
 def test_awkward_rows(spark):
     docs = awkward(spark, [(30, "Released under the MIT License.", "en", "a"), (30, "Released under the MIT License.", "en", "a"), (None, "Licensed under CC BY-NC 4.0.", "en", "a")])
     got = sorted(map(tuple, license_matches(docs).collect()), key=repr)

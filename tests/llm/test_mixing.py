@@ -1,8 +1,11 @@
+import hashlib
+import math
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
+from partwise.llm import mixing
 from partwise.llm.common import read
 from partwise.llm.mixing import keyed, mixed_documents, mixed_report, targets, text_quality
 from partwise.llm.queries import op1_mix_sources
@@ -65,10 +68,37 @@ def test_empty(spark):
     assert mixed_report(empty(spark), F.lit(1.0)).count() == 0
 
 
-def test_many_buckets_agree_with_few(spark):
+def brute(docs, quality, seed=17):
+    """Which documents are taken how often: keys sorted within the source, whole epochs first, then up to the boundary nearest to the rest."""
+    sizes, by_source = defaultdict(int), defaultdict(list)
+    for d in docs:
+        n = len(words(d["text"]))
+        sizes[d["source"]] += n
+        mark = hashlib.md5("\x1f".join((str(seed), "\0" if d["doc_id"] is None else str(d["doc_id"]), "\0" if d["text"] is None else d["text"])).encode()).hexdigest()
+        key = -math.log((int(mark[:12], 16) + 1) / 2.0**48) / quality(d)
+        by_source[d["source"]].append((key, -1 if d["doc_id"] is None else d["doc_id"], mark, n))
+    out = []
+    for s, target in filled(sizes).items():
+        epochs = math.floor(target / sizes[s] + 1e-12) if sizes[s] else 0
+        rest, upto, best = target - epochs * sizes[s], 0, (abs(target - epochs * sizes[s]), 0, None)
+        rows = sorted(by_source[s])
+        for i, (*where, n) in enumerate(rows):
+            upto += n
+            if i + 1 == len(rows) or rows[i + 1][:3] != tuple(where):
+                best = min(best, (abs(upto - rest), upto, tuple(where)), key=lambda x: x[:2])
+        for *where, n in rows:
+            more = rest > 1e-9 and best[2] is not None and tuple(where) <= best[2]
+            out.append((None if where[1] < 0 else where[1], n * (epochs + more)))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("weight", [0.1, 1.0, 1e4])
+def test_chosen_keys_against_brute_force(spark, monkeypatch, weight):
+    monkeypatch.setattr(mixing, "RANGES", 4)
+    monkeypatch.setattr(mixing, "LAST", 5)
     docs = read(spark, SF, "documents")
-    a, b = (mixed_report(docs, F.lit(1.0), per_bucket=n).collect() for n in (1, 100_000))
-    assert sorted(a) == sorted(b)
+    got = mixed_report(docs, F.lit(weight)).collect()
+    assert sorted(((r["doc_id"], r["taken"]) for r in got), key=repr) == brute(docs.collect(), lambda d: weight)
 
 
 def test_targets_fill_up(spark):

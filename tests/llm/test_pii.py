@@ -97,10 +97,64 @@ def test_identifiers_with_blanks_are_found_whole(spark):
     assert got[101] == "phone:23:37"
 
 
+def brute_added(rows):
+    """The graph scorer again, with dictionaries: added spans by doc_id."""
+    known, of, places = {}, {}, []
+    for i, text in rows:
+        for kind, a, b, patterns, instance in pii.mentions(text or "", pii.base_spans(text or "")):
+            if kind:
+                known[instance] = min(pii.EVERY.index(kind), known.get(instance, 9))
+            for p in patterns:
+                of.setdefault(p, set()).add(instance)
+            if kind not in pii.KINDS:
+                places.append((i, a, b, patterns))
+    while True:
+        good = {}
+        for p, own in of.items():
+            hits = [sum(known.get(x) == k for x in own) for k in range(len(pii.EVERY))]
+            best = max(range(len(hits)), key=lambda k: (hits[k], -k))
+            if hits[best] >= pii.SUPPORT and hits[best] >= pii.CONFIDENCE * len(own):
+                good[p] = best
+        more = dict(known)
+        for p, k in good.items():
+            for x in of[p]:
+                more[x] = min(k, more.get(x, 9))
+        if more == known:
+            break
+        known = more
+    found = {}
+    for i, a, b, patterns in places:
+        if any(p in good for p in patterns):
+            found.setdefault(i, set()).add((pii.EVERY[min(good[p] for p in patterns if p in good)], a, b))
+    return {i: sorted(f"{k}:{a}:{b}" for k, a, b in own if not any(c <= a and b <= d and (c, d) != (a, b) for _, c, d in own)) for i, own in found.items()}
+
+
+def test_added_spans_against_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = [(r["doc_id"], r["text"]) for r in read(spark, sf, "documents").collect()]
+    want = brute_added(rows)
+    got = {}
+    for r in op8_pii_bootstrap(spark, sf).collect():
+        base = {f"{k}:{a}:{b}" for k, a, b in brute(dict(rows)[r["doc_id"]] or "")}
+        more = sorted(set(filter(None, r["spans"].split(","))) - base)
+        assert len(more) == r["n_added"]
+        if more:
+            got[r["doc_id"]] = more
+    assert got == want and len(got) > 5
+
+
+def test_planted_secrets_are_found_and_other_tokens_left_alone(spark):
+    rows = [(i, f"word{i} api_key: {hashlib.sha1(str(i).encode()).hexdigest()} here") for i in range(30)]
+    rows += [(100, "other api_key: Zx81-QQtr-9917-aaTT-0042 here"), (101, "part no. Zx81-QQtr-9917-aaTT-0043 here"), (102, "commit " + hashlib.sha1(b"c").hexdigest() + " by us")]
+    got = {r["doc_id"]: r["spans"] for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[100] == "secret:15:39" and got[101] == "" and got[102] == ""
+    assert all(got[i].startswith("secret:") for i in range(30))
+
+
 def test_rounds_go_on_to_the_last_generation(spark):
     # Nine of ten instances of a pattern are those of the one before; only the first has nine seeds.
     chain = [(f"p{g}", f"i{g + k}") for g in range(5) for k in range(10)]
     seeds = {f"i{k}" for k in range(9)}
-    table = spark.createDataFrame([(p, i, 0 if i in seeds else 4, "seed" if i in seeds else "") for p, i in chain], "pattern string, instance string, rank int, kind string")
+    table = spark.createDataFrame([(p, i, 0 if i in seeds else len(pii.EVERY)) for p, i in chain], "pattern string, instance string, rank int")
     assert {r["pattern"] for r in pii.good_patterns(table).collect()} == {f"p{g}" for g in range(5)}
     assert {r["pattern"] for r in pii.good_patterns(table, rounds=2).collect()} == {"p0", "p1"}

@@ -37,7 +37,27 @@ def test_query_against_library(spark):
 def test_awkward_rows_in_several_files(spark):
     docs = awkward(spark, [(11, "It's <|endoftext|> J̌ ǰ ½ x's y'all", "en", "a"), (12, "Ünïcödé ÀÉ, ÿ; a_b", "en", "a")])
     want = expected([(r["doc_id"], r["text"]) for r in docs.collect()])
-    assert sorted(map(tuple, tokens.through_files(docs, rows_per_file=3).collect()), key=repr) == want
+    assert sorted(map(tuple, tokens.through_files(docs, range_bytes=200).collect()), key=repr) == want
+
+
+def test_any_other_tokenizer_file_encodes_whole_texts(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["two  blanks\n and a line", "<|endoftext|>", " x", "plain words"]
+    tok = Tokenizer.from_file(path)
+    got = [np.frombuffer(x, dtype="<u2").tolist() for x in tokens.encode_texts(texts, path)]
+    assert got == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert tokens._encoder(path).whole and not tokens._encoder(tokens.default_tokenizer()).whole
+
+
+def test_small_parts_and_files(spark, monkeypatch):
+    monkeypatch.setattr(tokens, "PART_BYTES", 64)
+    monkeypatch.setattr(tokens, "PARTS", 2)
+    docs = awkward(spark, [(100 + i, f"word{i} and more {i}", "en", "a") for i in range(60)])
+    want = expected([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert sorted(map(tuple, tokens.through_files(docs, range_bytes=10_000).collect()), key=repr) == want
 
 
 def test_empty(spark):
