@@ -23,19 +23,17 @@ LEAST_SCORE = 0.5
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a recognised language."""
-    found = langid.identified(docs, docs.columns)
-    return found.where((F.col("_lang_pred") != langid.UNKNOWN) & (F.col("_lang_score") >= LEAST_SCORE)).select(*docs.columns)
+    return langid.recognised(docs, LEAST_SCORE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each near-duplicate group."""
-    return neardup.deduplicated(docs).select(*docs.columns)
+    return neardup.deduplicated(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark passage."""
-    found = decontam.find_benchmark(docs, read(spark, sf_dir, "benchmark"))
-    return found.where(F.col("_found_n_hit") == 0).select(*docs.columns)
+    return decontam.decontaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
