@@ -8,7 +8,7 @@ of ``BANDS`` bands (of one row), built from the minima of half windows, of those
 of the next smaller width, and so on; windows that agree in a band retrieve a
 notice. A whole notice in a text holds a window that equals one of the notice's,
 which agrees in every band; a window of Jaccard similarity 0.6 agrees in some
-band with probability 0.9993, and of a notice contained to 0.75 some window is
+band with probability 0.996, and of a notice contained to 0.75 some window is
 that similar on average of its windows. Retrieved notices are verified by the
 exact share of their shingles that the text around the window holds
 (``CONTAINED`` or more).
@@ -32,8 +32,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHINGLE = 5
-BANDS = 8
-WIDTHS = (1, 4, 16, 64)
+BANDS = 6
+WIDTHS = (1, 8, 32)
 CONTAINED = 0.75
 PIECE = 1 << 14
 #: Rows of band keys (16 bytes) or notices that may be broadcast.
@@ -108,7 +108,7 @@ def shingles(text: Column) -> Column:
 
 
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
+    """``body`` of a value that is computed once (a value that a lambda looks into would be computed for each element)."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
@@ -117,26 +117,33 @@ def _numbers(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), (n - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
 
 
-def _halved(values: Column, by: int) -> Column:
-    """Minima of runs of ``by`` values."""
-    return F.transform(_numbers(F.ceil(F.size(values) / by)), lambda i: F.array_min(F.slice(values, i * by + 1, by)))
+def _mask(band: int) -> Column:
+    """The order of a band: hashes by their distance (exclusive or) to a constant, so the least is a random member."""
+    return F.lit((band + 1) * 0x9E3779B97F4A7C15 % 2**63)
+
+
+def _key(least: Column, w: int, at: Column | int = 0) -> Column:
+    """48 bits of a minimum and the width, and below them the place (under 2^16)."""
+    return F.shiftleft(least.bitwiseXOR(F.lit(w * 0x5851F42D4C957F2D % 2**63)), 16).bitwiseOR(F.lit(at).cast("long") if isinstance(at, int) else at.cast("long"))
 
 
 def band_keys(s: Column) -> Column:
-    """(at, key) for each window of each width of an array of shingles, and each band."""
+    """A key with its place for each window of each width of an array of shingles, and each band."""
+    _, narrow, wide = WIDTHS
+    step, more = narrow // 2, wide // narrow
+
+    def minima(values: Column, by: int, read: Callable[[Column], Column]) -> Column:
+        return F.transform(_numbers(F.ceil(F.size(values) / by)), lambda i: F.least(*[read(F.get(values, i * by + j)) for j in range(by)]))
 
-    def of_width(w: int, band: int, halves: Column) -> Column:
-        one = lambda i: F.struct((i * (w // 2)).alias("at"), F.xxhash64(F.lit(w), F.lit(band), F.least(F.get(halves, i), F.get(halves, i + 1))).alias("key"))
-        return F.transform(_numbers(F.greatest(F.size(halves) - 1, F.least(F.size(halves), F.lit(1)))), one)
+    def of_width(w: int, halves: Column) -> Column:
+        n = F.greatest(F.size(halves) - 1, F.least(F.size(halves), F.lit(1)))
+        return F.transform(_numbers(n), lambda i: _key(F.least(F.get(halves, i), F.get(halves, i + 1)), w, i * (w // 2)))
 
     def of_band(band: int) -> Column:
-        hashes = F.transform(s, lambda x: F.xxhash64(x, F.lit(band)))
-        narrow, middle, wide = WIDTHS[1:]
-        step = lambda w, v: narrow // 2 if v is None else (w // 2) // (v // 2)
-        return bound(_halved(hashes, step(narrow, None)), lambda a: bound(_halved(a, step(middle, narrow)), lambda b: bound(_halved(b, step(wide, middle)), lambda c: F.concat(of_width(narrow, band, a), of_width(middle, band, b), of_width(wide, band, c)))))
+        first = minima(s, step, lambda x: x.bitwiseXOR(_mask(band)))
+        return bound(first, lambda a: bound(minima(a, more, lambda x: x), lambda b: F.concat(of_width(narrow, a), of_width(wide, b))))
 
-    single = F.transform(s, lambda x, i: F.struct(i.alias("at"), F.xxhash64(F.lit(1), F.lit(0), x).alias("key")))
-    return F.concat(single, *[of_band(b) for b in range(BANDS)])
+    return F.concat(F.transform(s, lambda x, i: _key(x, 1, i)), *[of_band(b) for b in range(BANDS)])
 
 
 def notice_tables(notices: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -146,10 +153,12 @@ def notice_tables(notices: DataFrame) -> tuple[DataFrame, DataFrame]:
     w = F.coalesce(*[F.when(n >= 2 * w, F.lit(w)) for w in reversed(WIDTHS)], F.lit(1))
     each = each.select(F.xxhash64("license", "s").alias("notice"), "license", "s", w.alias("w")).distinct()
     cut = each.select("notice", "w", F.explode(F.transform(_numbers(n - F.col("w") + 1), lambda i: F.slice(F.col("s"), i + 1, F.col("w")))).alias("win"))
-    least = lambda b: F.when(F.col("w") == 1, F.get("win", F.lit(0))).otherwise(F.array_min(F.transform("win", lambda x: F.xxhash64(x, F.lit(b)))))
-    keys = F.array(*[F.xxhash64(F.col("w"), F.lit(b), least(b)) for b in range(BANDS)])
-    keys = cut.select("notice", F.explode(F.when(F.col("w") == 1, F.slice(keys, 1, 1)).otherwise(keys)).alias("key")).distinct()
-    return each.select("notice", "license", "w", F.array_distinct("s").alias("own")), keys
+    least = lambda b: F.array_min(F.transform("win", lambda x: x.bitwiseXOR(_mask(b))))
+    keys = lambda w: F.array(*[_key(least(b), w) for b in range(BANDS)])
+    own = F.when(F.col("w") == 1, F.array(_key(F.get("win", F.lit(0)), 1)))
+    for width in WIDTHS[1:]:
+        own = own.when(F.col("w") == width, keys(width))
+    return each.select("notice", "license", "w", F.array_distinct("s").alias("own")), cut.select("notice", F.explode(own).alias("key")).distinct()
 
 
 def notice_table(spark: SparkSession) -> DataFrame:
@@ -163,10 +172,14 @@ def license_matches(docs: DataFrame, doc_id="doc_id", text="text", notices: Data
     few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
     sent = (lambda t: F.broadcast(t)) if few and small <= BROADCAST_KEYS // 64 else (lambda t: t.hint("shuffle_hash"))
 
+    length = min(PIECE, 2**16 - 2 * reach - 1)
+    if length < 1:
+        raise ValueError(f"a notice of {reach} shingles is too long")
     base = docs.select(F.col(doc_id).alias("doc_id"), shingles(F.col(text)).alias("s")).where(F.size("s") > 0)
-    piece = lambda i: F.struct(F.greatest(i * PIECE - reach, F.lit(0)).alias("off"), F.slice(F.col("s"), F.greatest(i * PIECE - reach, F.lit(0)) + 1, F.lit(PIECE + 2 * reach)).alias("part"))
-    pieces = base.select("doc_id", F.explode(F.transform(_numbers(F.ceil(F.size("s") / PIECE)), piece)).alias("p")).select("doc_id", "p.off", "p.part")
-    windows = pieces.select("doc_id", "off", "part", F.explode(band_keys(F.col("part"))).alias("x")).select("doc_id", "off", "part", "x.at", "x.key")
+    piece = lambda i: F.struct(F.greatest(i * length - reach, F.lit(0)).alias("off"), F.slice(F.col("s"), F.greatest(i * length - reach, F.lit(0)) + 1, F.lit(length + 2 * reach)).alias("part"))
+    pieces = base.select("doc_id", F.explode(F.transform(_numbers(F.ceil(F.size("s") / length)), piece)).alias("p")).select("doc_id", "p.off", "p.part")
+    windows = pieces.select("doc_id", "off", "part", F.explode(band_keys(F.col("part"))).alias("x"))
+    windows = windows.select("doc_id", "off", "part", F.col("x").bitwiseAND(F.lit(2**16 - 1)).cast("int").alias("at"), F.col("x").bitwiseAND(F.lit(-(2**16))).alias("key"))
     found = windows.join(sent(keys), "key").join(sent(facts), "notice")
 
     start = F.greatest(F.col("at") - F.size("own"), F.lit(0))
