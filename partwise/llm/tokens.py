@@ -48,7 +48,7 @@ REMEMBERED = 1_200_000
 #: Longer words (in bytes or characters) aren't remembered, so the memory is bounded by bytes too.
 LONG_WORD = 64
 #: Bytes of ids that a range of doc_id holds about, bytes of a part (but for a single longer document), parts of a file.
-RANGE_BYTES, PART_BYTES, PARTS = 64 << 20, 4 << 20, 32
+RANGE_BYTES, PART_BYTES, PARTS = 32 << 20, 4 << 20, 32
 
 _encoders: dict[str, _Words] = {}
 LATIN = [chr(c) for c in range(0xC0, 0x100) if chr(c) not in "×÷"]
