@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from partwise.functions.text import trigram_sequence, trigrams
+
 WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
 
 
@@ -62,13 +64,29 @@ def cover_rank(tokens: Column, query: list[str]) -> Column:
     return F.aggregate(hits, start, step, lambda acc: acc["sum"])
 
 
-def word_similarity(needle: Column, text: Column, trigrams) -> Column:
-    """Largest share of the needle's trigrams that one stretch of the text's words holds (stretches of 1 to 3 words)."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1))
-    own = trigrams(needle)
+def word_share(needle: Column, text: Column) -> Column:
+    """Share of the needle's trigrams that the text holds: no word similarity is above it."""
+    return F.coalesce(F.size(F.array_intersect(trigrams(needle), trigrams(text))) / F.size(trigrams(needle)), F.lit(0.0))
+
+
+def word_similarity(needle: Column, text: Column) -> Column:
+    """The greatest Jaccard similarity of the needle's trigrams and any stretch of the text's trigrams.
+
+    A best stretch begins and ends with a trigram of the needle, so only those are tried.
+    """
+
+    def of(x: Column) -> Column:
+        own, seq = x["own"], x["seq"]
+        at = F.filter(F.transform(seq, lambda g, i: F.when(F.array_contains(own, g), i)), lambda i: i.isNotNull())
+
+        def score(part: Column) -> Column:
+            both = F.size(F.array_intersect(own, part))
+            return both / (F.size(own) + F.size(F.array_distinct(part)) - both)
+
+        def best(starts: Column) -> Column:
+            return F.array_max(F.transform(starts, lambda a: F.array_max(F.transform(F.filter(starts, lambda b: b >= a), lambda b: score(F.slice(seq, a + 1, b - a + 1))))))
 
-    def best(n: int) -> Column:
-        stretch = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - n, F.lit(0))), lambda i: F.array_join(F.slice(words, i + 1, n), " "))
-        return F.array_max(F.transform(stretch, lambda s: F.size(F.array_intersect(own, trigrams(s))) / F.size(own)))
+        return F.element_at(F.transform(F.array(at), best), 1)  # the places are found once
 
-    return F.coalesce(F.greatest(best(1), best(2), best(3)), F.lit(0.0))
+    sides = F.array(F.struct(trigrams(needle).alias("own"), trigram_sequence(text).alias("seq")))
+    return F.coalesce(F.element_at(F.transform(sides, of), 1), F.lit(0.0))

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 # Words that an index does not keep, and package words without meaning.
-INDEX_STOP_WORDS = ["a", "an", "and", "for", "in", "of", "the", "to", "with"]
-PACKAGE_STOP_WORDS = ["package", "case", "type"]
+INDEX_STOP_WORDS = ["a", "an", "and", "for", "grove", "module", "of", "the", "with"]
+PACKAGE_STOP_WORDS = ["filter", "footprint", "package"]
 
 
 @F.pandas_udf(StringType())
@@ -80,15 +80,20 @@ def datasheet_tokens(url: Column) -> Column:
     """Tokens of a URL's path with a digit and four characters or more."""
     path = F.lower(F.regexp_extract(url, "^[a-z]+://[^/?#]+([^?#]*)", 1))
     found = F.regexp_extract_all(path, F.lit("([a-z0-9]+)"), F.lit(1))
-    return F.array_distinct(F.filter(found, lambda t: (F.length(t) >= 4) & t.rlike("[0-9]") & (t != "datasheet")))
+    return F.array_distinct(F.filter(found, lambda t: (F.length(t) >= 4) & t.rlike("[0-9]") & (t != "ds002")))
 
 
-def trigrams(c: Column) -> Column:
-    """Distinct trigrams: per word, two blanks before and one after."""
+def trigram_sequence(c: Column) -> Column:
+    """Trigrams in order: per word, two blanks before and one after."""
     words = F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), F.lit(1))
     padded = F.transform(words, lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
     each = F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3))))
-    return F.array_distinct(F.flatten(each))
+    return F.flatten(each)
+
+
+def trigrams(c: Column) -> Column:
+    """Distinct trigrams."""
+    return F.array_distinct(trigram_sequence(c))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -108,7 +113,10 @@ def canonical_number(c: Column) -> Column:
     return F.when(c.isin("-0", ""), F.lit("0")).otherwise(c)
 
 
-INTERFACES = [("i2c", r"\b(i2c|iic|twi)\b"), ("spi", r"\bspi\b"), ("uart", r"\b(uart|serial)\b"), ("usb", r"\busb\b"), ("analog", r"\banalog\b")]
+INTERFACES = [
+    ("i2c", r"\b(i2c|iic|twi)\b"), ("spi", r"\bspi\b"), ("uart", r"\b(uart|serial)\b"), ("can", r"\bcan( bus)?\b"), ("usb", r"\busb\b"), ("analog", r"\banalog\b"),
+    ("digital", r"\bdigital\b"), ("wifi", r"\bwi[ -]?fi\b"), ("bluetooth", r"\bbluetooth\b"),
+]
 
 
 def interfaces(c: Column) -> Column:

@@ -11,10 +11,21 @@ from pyspark.sql import functions as F
 
 # Section kinds by heading words.
 SECTION_KINDS = {
-    "features": ["features", "highlights", "key features"], "specifications": ["specifications", "specification", "technical data", "parameters"],
-    "pinout": ["pinout", "pin map", "pins"], "applications": ["applications", "typical applications", "use cases"], "usage": ["usage", "getting started", "quick start"],
-    "resources": ["resources", "documents", "downloads"], "overview": ["overview", "introduction", "description"],
-}
+    "description": ["about", "description", "introduction", "overview", "product description", "what is it"],
+    "features": ["feature", "features", "key features", "highlights"],
+    "applications": ["application", "applications", "use cases", "typical applications"],
+    "specifications": ["parameters", "specification", "specifications", "technical specifications"],
+    "hardware": ["hardware", "hardware description", "hardware overview", "hardware structure"],
+    "pinout": ["pin definition", "pin map", "pinout", "pins"],
+    "usage": ["getting started", "getting started with arduino", "how to use", "play with arduino", "usage"],
+    "resources": ["documents", "downloads", "references", "resource", "resources"],
+    "identity": ["part list", "product data", "product information"],
+}
+# Labels of identifiers.
+IDENTIFIER_LABELS = [("sku", "sku"), ("model", "model"), ("model number", "model"), ("part number", "part_number"), ("part no", "part_number"), ("product id", "product_id")]
+ITEM = r"^\s*(?:[-*+]|[0-9]+[.)])\s+(.*)$"
+PAIR = r"^\s*(?:[-*+]\s+)?([^:|]{1,60}):\s+(.+)$"
+LINK = r"(?<!!)\[([^\]]*)\]\(([^)\s]+)"
 
 
 def page_markdown(html: Column) -> Column:
@@ -49,12 +60,12 @@ def section_kind(heading: Column) -> Column:
 
 
 def list_items(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("item", F.trim(F.regexp_extract("body", r"^\s*(?:[-*+]|[0-9]+[.)])\s+(.*)$", 1))).where("item <> ''")
+    return rows.withColumn("item", F.trim(F.regexp_extract("body", ITEM, 1))).where("item <> ''")
 
 
 def key_values(rows: DataFrame) -> DataFrame:
     """``label: value`` lines and two-column table rows (separator rows go)."""
-    pair = F.regexp_extract("body", r"^\s*(?:[-*+]\s+)?([^:|]{1,60}):\s+(.+)$", 1), F.regexp_extract("body", r"^\s*(?:[-*+]\s+)?([^:|]{1,60}):\s+(.+)$", 2)
+    pair = F.regexp_extract("body", PAIR, 1), F.regexp_extract("body", PAIR, 2)
     cell = F.regexp_extract("body", r"^\s*\|([^|]+)\|([^|]+)\|\s*$", 1), F.regexp_extract("body", r"^\s*\|([^|]+)\|([^|]+)\|\s*$", 2)
     out = rows.withColumn("label", F.trim(F.coalesce(F.nullif(cell[0], F.lit("")), pair[0]))).withColumn("value", F.trim(F.coalesce(F.nullif(cell[1], F.lit("")), pair[1])))
     return out.where("label <> '' AND value <> ''").where(~F.col("label").rlike("^:?-+:?$"))
@@ -77,14 +88,19 @@ def evidence(source: Column, line: Column, heading: Column, raw: Column, method:
     return F.struct(source.alias("source"), F.concat(F.lit("line["), line, F.lit("]")).alias("selector"), heading.alias("section"), raw.alias("raw_text"), F.lit(method).alias("method"), F.lit(version).alias("version"))
 
 
-def table_cells(rows: DataFrame, key: str) -> DataFrame:
-    """Rows of pipe tables as arrays of cells, without header and separator rows (a header is followed by a separator)."""
+def with_cells(rows: DataFrame, key: str) -> DataFrame:
+    """All lines, those of pipe tables with their ``cells`` (header rows, which a separator follows, and separators have none)."""
     by = Window.partitionBy(key).orderBy("line")
     separator = r"^\s*\|(\s*:?-+:?\s*\|)+\s*$"
     marked = rows.withColumn("_sep", F.col("body").rlike(separator)).withColumn("_head", F.lead("_sep", 1, False).over(by))
-    found = marked.where(F.col("body").rlike(r"^\s*\|.*\|\s*$") & ~F.col("_sep") & ~F.col("_head")).drop("_sep", "_head")
     inner = F.regexp_replace(F.trim("body"), r"^\||\|$", "")
-    return found.withColumn("cells", F.transform(F.split(inner, r"\|"), lambda c: F.trim(c)))
+    cells = F.when(F.col("body").rlike(r"^\s*\|.*\|\s*$") & ~F.col("_sep") & ~F.col("_head"), F.transform(F.split(inner, r"\|"), lambda c: F.trim(c)))
+    return marked.withColumn("cells", cells).drop("_sep", "_head")
+
+
+def table_cells(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of pipe tables as arrays of cells, without header and separator rows."""
+    return with_cells(rows, key).where(F.col("cells").isNotNull())
 
 
 def images(rows: DataFrame) -> DataFrame:
@@ -93,12 +109,8 @@ def images(rows: DataFrame) -> DataFrame:
     return out.withColumn("alt", F.regexp_extract("raw", r"!\[([^\]]*)\]", 1)).withColumn("target", F.regexp_extract("raw", r"\]\(([^)\s]+)", 1))
 
 
-# Labels of identifiers.
-IDENTIFIER_LABELS = [("part number", "mpn"), ("mpn", "mpn"), ("sku", "sku"), ("manufacturer", "manufacturer"), ("vendor", "manufacturer")]
-
-
 def identifiers(rows: DataFrame) -> DataFrame:
     """Label/value facts whose label is in the dictionary, with the kind that it names."""
     label = F.trim(F.regexp_replace(F.lower("label"), "[^a-z0-9]+", " "))
-    kind = F.coalesce(*[F.when(label == name, F.lit(k)) for name, k in IDENTIFIER_LABELS])
+    kind = F.coalesce(*[F.when(label == name, F.lit(k)) for name, k in IDENTIFIER_LABELS], F.when(label.isin("manufacturer", "manufacturer name"), F.lit("manufacturer")))
     return key_values(rows).withColumn("kind", kind).where(F.col("kind").isNotNull())

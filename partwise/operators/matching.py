@@ -1,24 +1,43 @@
-"""Matching of queries against a symbol index: look-ups, contributions, decision.
+"""Matching of component pages against a symbol index: look-ups, signed contributions, relation, decision.
 
-The index is an inverted table (key kind, key, record); a query looks all its
-keys up in one equi-join, the best basis of a hit counts, and contributions add
-to a confidence of 0 to 1000 with a typed decision.
+The index is an inverted table (basis, key, record); a page looks all its keys up
+in one equi-join, the best basis of a hit counts, and contributions add to a
+confidence of 0 to 1000 with a typed relation and decision.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Weights of the contributions and decision thresholds (per mille).
-WEIGHTS = {"exact": 700, "alias": 520, "name": 100, "description": 40, "mention": 150, "manufacturer_match": 50, "manufacturer_conflict": -500, "generic": -1000}
+from partwise.functions.text import compact_key, datasheet_tokens, identifier_tokens, interfaces, package_tokens, spaced_key
+
+# Weights of the contributions (per mille), severe ones, and thresholds.
+WEIGHTS = {
+    "exact": 700, "alias": 520, "name": 100, "description": 40, "mention": 150, "canonical": 100, "manufacturer_match": 50, "manufacturer_conflict": -500,
+    "datasheet_exact": 80, "datasheet_identity": 60, "datasheet_domain": 30, "datasheet_conflict": -120, "interface_match": 40, "interface_conflict": -180,
+    "package_match": 50, "package_conflict": -250, "pins_match": 50, "pins_conflict": -250, "generic": -1000, "unproven": -1000,
+}
+SEVERE = ["manufacturer_conflict", "package_conflict", "pins_conflict"]
 BASES = ["exact", "alias", "name", "description"]
-ACCEPT, REJECT = 950, 450
+ACCEPT, REJECT, LIMIT = 950, 450, 50
+ONBOARD = r"\b(?:based on|built around|contains|equipped with|main ic|onboard|on-board|uses)\b"
+# Names of symbols that stand for a class of parts.
+GENERIC = ["c", "capacitor", "connector", "crystal", "jumper", "l", "led", "r", "resistor"]
+
+
+def exact_key(c: Column) -> Column:
+    return F.lower(F.trim(c))
+
+
+def is_generic(symbol: Column) -> Column:
+    name = spaced_key(symbol)
+    return F.split(name, " ")[0].isin(GENERIC) | name.startswith("connector generic") | name.rlike(r"^conn(ector)? [0-9]+x[0-9]+$")
 
 
 def inverted(records: DataFrame, record: str, keys: list[tuple[str, Column]]) -> DataFrame:
     """(basis, key, record): one row per distinct key; each column is an array of keys."""
-    every = F.concat(*[F.transform(values, _tag(basis)) for basis, values in keys])
+    every = F.concat(*[F.transform(F.filter(values, lambda v: v != ""), _tag(basis)) for basis, values in keys])
     return records.select(F.col(record).alias("record"), F.explode(F.array_distinct(every)).alias("k")).select("record", "k.basis", "k.key")
 
 
@@ -26,11 +45,18 @@ def _tag(basis: str):
     return lambda v: F.struct(F.lit(basis).alias("basis"), v.alias("key"))
 
 
-def lookups(queries: DataFrame, query: str, index: DataFrame) -> DataFrame:
-    """(query, record, basis, shared): hits by the best basis, with the number of shared description tokens."""
+def lookups(queries: DataFrame, query: str, index: DataFrame, limit: int | None = None) -> DataFrame:
+    """(query, record, basis, shared): hits by the best basis, with the number of shared description tokens.
+
+    ``limit``: hits by description alone are the ``limit`` with most shared tokens, ties to the smaller record.
+    """
     rank = F.array_position(F.array(*[F.lit(b) for b in BASES]), F.col("basis")).cast("int")
     hits = queries.withColumnRenamed("record", query).join(index, ["basis", "key"]).withColumn("r", rank)
-    return hits.groupBy(query, "record").agg(F.min("r").alias("r"), F.count_if(F.col("basis") == "description").alias("shared")).withColumn("basis", F.element_at(F.array(*[F.lit(b) for b in BASES]), F.col("r"))).drop("r")
+    hits = hits.groupBy(query, "record").agg(F.min("r").alias("r"), F.count_if(F.col("basis") == "description").alias("shared")).withColumn("basis", F.element_at(F.array(*[F.lit(b) for b in BASES]), F.col("r"))).drop("r")
+    if limit is None:
+        return hits
+    nth = F.row_number().over(Window.partitionBy(query, F.col("basis") == "description").orderBy(F.desc("shared"), "record"))
+    return hits.withColumn("nth", nth).where((F.col("basis") != "description") | (F.col("nth") <= limit)).drop("nth")
 
 
 def confidence(contributions: Column) -> Column:
@@ -43,9 +69,64 @@ def contribution(condition: Column, rule: str) -> Column:
     return F.when(condition, F.struct(F.lit(rule).alias("rule"), F.lit(WEIGHTS[rule]).alias("weight")))
 
 
-def decision(score: Column, contributions: Column, basis: Column) -> Column:
-    """reject on a severe conflict or below 450; accept an exact, unopposed match from 950; else review."""
-    severe = F.exists(contributions, lambda x: x["rule"] == "manufacturer_conflict")
-    opposed = F.exists(contributions, lambda x: x["weight"] < 0)
-    supported = F.size(F.filter(contributions, lambda x: x["weight"] > 0)) >= 2
-    return F.when(severe | (score < REJECT), "rejected").when((basis == "exact") & ~opposed & supported & (score >= ACCEPT), "auto_accepted").otherwise("review")
+def either(applies: Column, good: Column, yes: str, no: str) -> Column:
+    """One of two opposite contributions, where both sides say something."""
+    return F.when(applies, F.coalesce(contribution(good, yes), contribution(F.lit(True), no)))
+
+
+def _host(url: Column) -> Column:
+    return F.lower(F.regexp_extract(url, "^[a-z]+://([^/?#]+)", 1))
+
+
+def _place(url: Column) -> Column:
+    return F.concat(_host(url), F.rtrim(F.lower(F.regexp_extract(url, "^[a-z]+://[^/?#]+([^?#]*)", 1)), F.lit("/")))
+
+
+def datasheet(ours: Column, theirs: Column) -> Column:
+    """The strongest that two references to data sheets say about each other."""
+    tokens = datasheet_tokens(theirs)
+    own = F.flatten(F.transform(ours, datasheet_tokens))
+    return F.when(
+        theirs.isNotNull() & (F.size(ours) > 0),
+        F.coalesce(
+            contribution(F.exists(ours, lambda u: _place(u) == _place(theirs)), "datasheet_exact"), contribution(F.arrays_overlap(tokens, own), "datasheet_identity"),
+            contribution(F.exists(ours, lambda u: _host(u) == _host(theirs)), "datasheet_domain"), contribution((F.size(tokens) > 0) & (F.size(own) > 0), "datasheet_conflict"),
+        ),
+    )
+
+
+def matched(hits: DataFrame) -> DataFrame:
+    """Hits with both sides' columns, and ``relation``, ``given``, ``score``, ``decision``.
+
+    Page: titles, part_numbers, ics, kind, manufacturer, interfaces, datasheets, package, pin_count, lines. Record:
+    symbol, r_aliases, makers, datasheet, words, filters, pins, library.
+    """
+    c = F.col
+    keys = F.filter(F.transform(F.concat(F.array("symbol"), "r_aliases"), compact_key), lambda k: k != "")
+    out = hits.withColumn("keys", F.array_distinct(keys))
+    out = out.withColumn("mentions", F.filter("lines", lambda x: F.arrays_overlap("keys", identifier_tokens(x))))
+    out = out.withColumn("faces", interfaces(c("words"))).withColumn("generic", is_generic(c("symbol")))
+    compact = lambda values: F.transform(values, compact_key)
+    canonical = F.array_contains("keys", compact_key(c("titles")[0]))
+    plug = F.concat_ws(" ", spaced_key(c("library")), spaced_key(c("symbol"))).rlike(r"(^| )connector( |$)")
+    numbered, primary, named = F.arrays_overlap("keys", compact("part_numbers")), F.arrays_overlap("keys", compact("ics")), F.size("mentions") > 0
+    relation = (
+        F.when((c("kind") == "connector") & plug, "connector").when(numbered, "exact_component")
+        .when(primary & c("kind").isin("module", "development_board"), "main_integrated_circuit").when(primary, "exact_component")
+        .when(canonical & c("kind").isin("discrete_component", "integrated_circuit"), "exact_component").when(plug & named, "connector")
+        .when(F.exists("mentions", lambda x: F.lower(x).rlike(ONBOARD)), "onboard_component").otherwise("functional_equivalent")
+    )
+    makers = F.array_contains(F.transform("makers", compact_key), compact_key(c("manufacturer")))
+    said = [
+        *[contribution(c("basis") == b, b) for b in BASES], contribution(named, "mention"), contribution(canonical, "canonical"),
+        either(c("manufacturer").isNotNull() & (F.size("makers") > 0), makers, "manufacturer_match", "manufacturer_conflict"), datasheet(c("datasheets"), c("datasheet")),
+        either((F.size("interfaces") > 0) & (F.size("faces") > 0), F.arrays_overlap("interfaces", "faces"), "interface_match", "interface_conflict"),
+        either(c("package").isNotNull() & (F.size("filters") > 0), F.arrays_overlap(package_tokens(c("package")), package_tokens(F.array_join("filters", " "))), "package_match", "package_conflict"),
+        either(c("pin_count").isNotNull() & (c("pins") > 0), c("pin_count") == c("pins"), "pins_match", "pins_conflict"), contribution(c("generic") & (c("basis") != "exact"), "generic"),
+    ]
+    out = out.withColumn("relation", relation).withColumn("given", F.array_compact(F.array(*said))).withColumn("score", confidence(c("given")))
+    # Fragments of evidence: the lines that mention the symbol, and one for each other agreement.
+    agreed = F.filter("given", lambda x: (x["weight"] > 0) & ~x["rule"].isin(*BASES, "mention", "canonical"))
+    severe, opposed = F.exists("given", lambda x: x["rule"].isin(SEVERE)), F.exists("given", lambda x: x["weight"] < 0)
+    sure = (c("relation") == "exact_component") & (c("basis") == "exact") & ~opposed & ~c("generic") & (F.size("mentions") + F.size(agreed) >= 2) & (c("score") >= ACCEPT)
+    return out.withColumn("decision", F.when(severe, "rejected").when(sure, "auto_accepted").when(c("score") < REJECT, "rejected").otherwise("review"))

@@ -1,12 +1,14 @@
-"""Trigram similarity join: an inverted index instead of a product of all pairs.
+"""Trigram similarity join: an inverted index over rare trigrams instead of a product of all pairs.
 
-Both sides are reduced to distinct texts and their trigrams; shared trigrams
-are counted by an equi-join on the trigram, then related to set sizes.
+Both sides are distinct texts with their trigrams. In one order of all trigrams,
+rarest first, two sets of Jaccard similarity ``t`` share one of the first
+``n - ceil(t * n) + 1`` of each, so only those are joined; the common trigrams
+at the end never meet. Candidates are verified on their whole sets.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from partwise.functions.text import trigrams
@@ -21,12 +23,19 @@ def trigram_table(df: DataFrame, key: str, text: str) -> DataFrame:
 def similar_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity) for trigram tables, at or above the threshold.
 
-    Set sizes prune before the count: a pair can't reach the threshold unless
-    its smaller set is at least that share of the larger.
+    Set sizes prune as well: a pair can't reach the threshold unless its smaller
+    set is at least that share of the larger.
     """
-    a = left.select(F.col("key").alias("a"), F.col("n").alias("na"), "g")
-    b = right.select(F.col("key").alias("b"), F.col("n").alias("nb"), "g")
+    times = right.groupBy("g").agg(F.count("*").alias("df"))
+    rarest = Window.partitionBy("key").orderBy(F.coalesce("df", F.lit(0)), "g")
+
+    def first(side: DataFrame, key: str, n: str) -> DataFrame:
+        ranked = side.join(times, "g", "left").withColumn("nth", F.row_number().over(rarest))
+        return ranked.where(F.col("nth") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).select(F.col("key").alias(key), F.col("n").alias(n), "g")
+
     fits = (F.least("na", "nb") >= threshold * F.greatest("na", "nb")) & (F.col("a") != F.col("b"))
-    shared = a.join(b, "g").where(fits).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
+    pairs = first(left, "a", "na").join(first(right, "b", "nb"), "g").where(fits).select("a", "b", "na", "nb").distinct()
+    whole = lambda side, key: side.groupBy("key").agg(F.collect_set("g").alias(f"s{key}")).withColumnRenamed("key", key)
+    both = pairs.join(whole(left, "a"), "a").join(whole(right, "b"), "b").withColumn("shared", F.size(F.array_intersect("sa", "sb")))
     share = F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
-    return shared.withColumn("similarity", share).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
+    return both.withColumn("similarity", share).where(F.col("similarity") >= threshold).select("a", "b", "similarity")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -29,3 +32,26 @@ def update_from(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 def publish_once(df: DataFrame, path: str) -> None:
     """Write an artifact that must not exist yet."""
     df.write.mode("errorifexists").parquet(path)
+
+
+_own_folder: str | None = None
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset on one machine."""
+    global _own_folder
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if _own_folder is None:
+        _own_folder = "file://" + tempfile.mkdtemp(prefix="partwise-")
+    return _own_folder
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Written to the shared folder and read back, for tables that several later steps use: plan and lineage end here."""
+    path = f"{shared_folder(df.sparkSession)}/partwise/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

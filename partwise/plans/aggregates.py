@@ -55,13 +55,13 @@ def agg_merge_evidence(spark, sf_dir):
 
 
 @query("""
-WITH q AS (SELECT DISTINCT p_partkey, unnest(string_split(lower(p_name), ' ')) AS tok FROM part WHERE p_partkey % 100 = 0),
+WITH q AS (SELECT DISTINCT p_partkey, unnest(string_split(lower(p_name), ' ')) AS tok FROM part WHERE p_partkey % 50 = 0),
      r AS (SELECT DISTINCT p_partkey AS rec, unnest(string_split(lower(p_name), ' ')) AS tok FROM part),
      s AS (SELECT q.p_partkey, rec, count(*) AS shared FROM q JOIN r USING (tok) WHERE rec <> q.p_partkey GROUP BY 1, 2)
 SELECT p_partkey, rec, shared FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY shared DESC, rec) AS rn FROM s) WHERE rn <= 5""")
 def agg_token_overlap(spark, sf_dir):
-    """Most shared tokens, top 5 per query (the query set is every hundredth part)."""
-    return most_shared(table(spark, sf_dir, "part"), 100)
+    """Most shared tokens, top 5 per query (the query set is every fiftieth part)."""
+    return most_shared(table(spark, sf_dir, "part"), 50)
 
 
 def most_shared(parts, step: int):

@@ -1,81 +1,66 @@
-"""Extraction from component pages in Markdown, composed from parts (the given texts hold no such marks)."""
+"""Extraction from the composed component pages (the given texts hold no such marks)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partwise.operators import markup
-from partwise.plans.registry import query, table
-
-PAGE = """# {name}
-![photo](/img/{key}.png)
-Manufacturer: {brand}
-Part number: PN-{key}
-```
-Vendor: not a fact
-```
-## Features
-- {type} grade
-- size {size}
-## Specifications
-| Parameter | Value |
-| --- | --- |
-| Voltage | {size} V |
-| Weight | {size} g |
-## Pinout
-| Pin | Name | Function |
-| --- | --- | --- |
-| 1 | VCC | power |
-| 2 | OUT{size} | signal |"""
-
-
-def page_rows(spark, sf_dir) -> DataFrame:
-    """Sections and lines of one page per part."""
-    text = F.lit(PAGE)
-    for field, column in (("{name}", "p_name"), ("{key}", "p_partkey"), ("{brand}", "p_brand"), ("{type}", "p_type"), ("{size}", "p_size")):
-        text = F.replace(text, F.lit(field), F.col(column).cast("string"))
-    rows = markup.sections(markup.lines(table(spark, sf_dir, "part"), "p_partkey", text), "p_partkey")
-    return rows.withColumn("kind", markup.section_kind(F.col("heading")))
-
-
-@query("""SELECT p_partkey, 'photo' AS alt, '/img/' || p_partkey || '.png' AS target FROM part""")
+from partwise.plans import components, normalize
+from partwise.plans.components import N, page_rows, sql_text
+from partwise.plans.registry import query
+
+_k = lambda c: f"replace(replace({c}, '{{k}}', p_partkey::VARCHAR), '{{brand}}', p_brand)"
+
+
+def _values(name: str, columns: str, rows: list[tuple]) -> str:
+    shown = ", ".join("(" + ", ".join(sql_text(x) if isinstance(x, str) else str(x) for x in row) + ")" for row in rows)
+    return f"WITH {name}(shape, {columns}) AS (VALUES {shown}) "
+
+
+_each = list(enumerate(components.SHAPES))
+_items = [(i, kind, x) for i, s in _each for kind in ("features", "applications") for x in s.get(kind, [])] + [(i, "resources", f"[{a}]({b})") for i, s in _each for a, b in s.get("resources", [])]
+_ids = [(i, {**dict(markup.IDENTIFIER_LABELS), "manufacturer": "manufacturer"}[a.lower()], b) for i, s in _each for a, b in s.get("ids", [])]
+_places = [(i, line.split(":")[0], n) for i, s in _each for n, line in enumerate(components.page_text(s).split("\n"), 1) if ": " in line and line != "Manufacturer: not a fact"]
+_outside = [(i, s["title"], len([x for x in components.page_text(s).split("\n")]) - 3 - sum(x.startswith("#") for x in components.page_text(s).split("\n")) + 1) for i, s in _each]
+
+
+@query(f"""SELECT p_partkey, 'photo' AS alt, '/img/' || p_partkey || '.png' AS target FROM part""")
 def ext_images(spark, sf_dir):
     return markup.images(page_rows(spark, sf_dir)).select("p_partkey", "alt", "target")
 
 
-@query("""SELECT p_partkey, 'features' AS section_kind, unnest([p_type || ' grade', 'size ' || p_size]) AS item FROM part""")
+@query(_values("v", "kind, item", _items) + f"SELECT p_partkey, kind AS section_kind, {_k('item')} AS item FROM part JOIN v ON p_partkey % {N} = shape")
 def ext_lists(spark, sf_dir):
     """List items with the kind of their section."""
     return markup.list_items(page_rows(spark, sf_dir)).select("p_partkey", F.col("kind").alias("section_kind"), "item")
 
 
-@query("""SELECT p_partkey, unnest(['Voltage', 'Weight']) AS label, unnest([p_size || ' V', p_size || ' g']) AS value FROM part""")
+@query(f"WITH {components.SPEC_ROWS} SELECT p_partkey, label, {_k('value')} AS value FROM part JOIN sp ON p_partkey % {N} = shape")
 def ext_specs(spark, sf_dir):
     """Two-column rows of specification sections, header skipped."""
     cells = markup.table_cells(page_rows(spark, sf_dir), "p_partkey").where("kind = 'specifications' AND size(cells) = 2")
-    return cells.select("p_partkey", F.get("cells", 0).alias("label"), F.get("cells", 1).alias("value"))
+    return cells.select("p_partkey", F.get("cells", F.lit(0)).alias("label"), F.get("cells", F.lit(1)).alias("value"))
 
 
-@query("""SELECT p_partkey, unnest(['1', '2']) AS number, unnest(['VCC', 'OUT' || p_size]) AS name, unnest(['power', 'signal']) AS function FROM part""")
+@query(_values("v", "number, name", [(i, str(n), p) for i, s in _each for n, p in enumerate(s.get("pins", []), 1)]) + f"SELECT p_partkey, number, name, 'signal' AS function FROM part JOIN v ON p_partkey % {N} = shape")
 def ext_pinout(spark, sf_dir):
     cells = markup.table_cells(page_rows(spark, sf_dir), "p_partkey").where("kind = 'pinout' AND size(cells) = 3")
-    return cells.select("p_partkey", F.get("cells", 0).alias("number"), F.get("cells", 1).alias("name"), F.get("cells", 2).alias("function"))
+    return cells.select("p_partkey", F.get("cells", F.lit(0)).alias("number"), F.get("cells", F.lit(1)).alias("name"), F.get("cells", F.lit(2)).alias("function"))
 
 
-@query("""SELECT p_partkey, unnest(['manufacturer', 'mpn']) AS kind, unnest([p_brand, 'PN-' || p_partkey]) AS value FROM part""")
+@query(_values("v", "kind, value", _ids) + f"SELECT p_partkey, kind, {_k('value')} AS value FROM part JOIN v ON p_partkey % {N} = shape")
 def ext_identifiers(spark, sf_dir):
     """Label dictionary look-ups; fenced lines are no facts."""
     return markup.identifiers(page_rows(spark, sf_dir).drop("kind")).select("p_partkey", "kind", "value")
 
 
-@query("""SELECT p_partkey, 'Manufacturer' AS label, 3 AS line FROM part UNION ALL SELECT p_partkey, 'Part number', 4 FROM part""")
+@query(_values("v", "label, line", _places) + f"SELECT p_partkey, label, CAST(line AS INTEGER) AS line FROM part JOIN v ON p_partkey % {N} = shape")
 def ext_labels(spark, sf_dir):
     """Labelled lines with their place."""
     return markup.key_values(page_rows(spark, sf_dir)).where("NOT contains(body, '|')").select("p_partkey", "label", F.col("line").cast("int").alias("line"))
 
 
-@query("""SELECT p_partkey, p_name AS title, CAST(14 AS BIGINT) AS n_lines FROM part""")
+@query(_values("v", "title, n", _outside) + f"SELECT p_partkey, {_k('title')} AS title, CAST(n AS BIGINT) AS n_lines FROM part JOIN v ON p_partkey % {N} = shape")
 def src_markdown_v1(spark, sf_dir):
     """The older reader: title and number of lines outside fences, later headings left out."""
     rows = page_rows(spark, sf_dir)
@@ -83,17 +68,26 @@ def src_markdown_v1(spark, sf_dir):
     return rows.groupBy("p_partkey").agg(title.alias("title"), F.count_if(~F.col("is_heading") | (F.col("section") == 1)).alias("n_lines"))
 
 
-@query("""SELECT p_partkey, p_name AS title, p_brand AS manufacturer, 'PN-' || p_partkey AS mpn FROM part""")
+_field = lambda kind: f"(SELECT {_k('value')} FROM v WHERE v.shape = p_partkey % {N} AND v.kind = '{kind}')"
+_wiki = _values("v", "kind, value", _ids).rstrip() + f", {components.SHAPE_ROWS}, w AS (SELECT p_partkey, p_brand, shape, {_k('title')} AS title, {_field('manufacturer')} AS manufacturer, coalesce({_field('part_number')}, {_field('model')}, {_field('sku')}, {_field('product_id')}) AS mpn FROM part JOIN sh ON p_partkey % {N} = shape) "
+
+
+@query(_wiki + "SELECT p_partkey, title, manufacturer, mpn FROM w")
 def src_wiki_v1(spark, sf_dir):
-    """A page as one row of fields."""
-    rows = page_rows(spark, sf_dir)
-    titles = rows.where("is_heading AND section = 1").select("p_partkey", F.col("heading").alias("title"))
-    fields = markup.identifiers(rows.drop("kind")).groupBy("p_partkey").pivot("kind", ["manufacturer", "mpn"]).agg(F.first("value"))
-    return titles.join(fields, "p_partkey")
+    """A page as one row of fields; the first identifier by rank is its number."""
+    rows = components.facts(spark, sf_dir)
+    of = lambda kind: F.get(F.transform(F.filter("ids", lambda i: i["kind"] == kind), lambda i: i["value"]), F.lit(0))
+    return rows.select("p_partkey", F.col("titles")[0].alias("title"), "manufacturer", F.coalesce(*map(of, ("part_number", "model", "sku", "product_id"))).alias("mpn"))
 
 
-@query("""SELECT p_partkey, '{"manufacturer":"' || p_brand || '","mpn":"PN-' || p_partkey || '","specs":2,"title":"' || p_name || '"}' AS legacy FROM part""")
+@query(
+    f"{_wiki}, {normalize.SPECS.removeprefix(components.SHAPE_ROWS + ', ')}"
+    + """, c AS (SELECT sh.shape, (SELECT count(*) FROM nv WHERE nv.shape = sh.shape AND path IS NOT NULL) AS mapped, (SELECT count(*) FROM nv WHERE nv.shape = sh.shape AND path IS NULL) AS unmapped, n_pins, len(features) AS nf, profile, n_resources FROM sh JOIN prof USING (shape))
+SELECT p_partkey, '{"features":' || nf || coalesce(',"manufacturer":"' || manufacturer || '"', '') || coalesce(',"mpn":"' || mpn || '"', '') || ',"pins":' || n_pins || ',"profile":"' || profile || '","resources":' || n_resources || ',"specs":' || mapped || ',"title":"' || title || '","unmapped":' || unmapped || '}' AS legacy FROM w JOIN c USING (shape)"""
+)
 def comp_legacy_map(spark, sf_dir):
-    """The composed draft in the older flat form."""
-    n = ext_specs(spark, sf_dir).groupBy("p_partkey").agg(F.count("*").alias("specs"))
-    return src_wiki_v1(spark, sf_dir).join(n, "p_partkey").select("p_partkey", F.to_json(F.struct("manufacturer", "mpn", "specs", "title")).alias("legacy"))
+    """The composed draft in the older flat form: fields in alphabetical order, absent ones left out."""
+    fields = normalize.facts(spark, sf_dir).select("p_partkey", "profile", "n_mapped", "n_unmapped", "n_pins", F.size("features").alias("features"), F.size("resources").alias("resources"))
+    rows = src_wiki_v1(spark, sf_dir).join(fields, "p_partkey")
+    flat = F.struct("features", "manufacturer", "mpn", F.col("n_pins").alias("pins"), "profile", "resources", F.col("n_mapped").alias("specs"), "title", F.col("n_unmapped").alias("unmapped"))
+    return rows.select("p_partkey", F.to_json(flat).alias("legacy"))

@@ -1,16 +1,13 @@
 """Explainable duplicate detection: block by trigrams, score seven signals, queue.
 
-``dup_block_all`` and its followers hold every component against all others.
-``dup_block``, ``dup_score``, ``dup_upsert`` and ``dup_queue`` keep to the set of
-their SQL: a newly imported component is a part whose key is divisible by 40; it is
-held against all others, and scored by the first four signals. Penalties come after the weights of the active signals
+Every component is held against all others. Parts stand in for components; model,
+media digest and perceptual hash are composed from their fields (``signals``),
+since no table holds them. Penalties come after the weights of the active signals
 are renormalised.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,25 +16,23 @@ from partwise.operators.similarity import similar_pairs, trigram_table
 from partwise.plans.registry import query, table
 from partwise.plans.search import GRAMS
 
-# Signal weights and thresholds.
+# Signal weights, penalties and thresholds.
 WEIGHTS = {"title": 0.25, "tokens": 0.20, "identity": 0.15, "specs": 0.15, "texts": 0.10, "media": 0.10, "phash": 0.05}
+MAKER, MODEL, SPEC, SPECS = 0.15, 0.25, 0.05, 0.20
 PRESELECT, TOP, KEEP, BLOCK = 0.20, 50, 0.35, 0.70
-BOUND = ("title", "tokens", "identity", "specs")
-NEW = "p_partkey % 40 = 0"
 
 
-def preselect(parts: DataFrame, new: str = "true") -> DataFrame:
-    """(a, b, trigram): the 50 nearest titles of every component, or of those where ``new`` holds.
+def preselect(parts: DataFrame) -> DataFrame:
+    """(a, b, trigram): the 50 nearest titles of every component.
 
     Only distinct titles are paired. A title needs its TOP + 1 nearest parts: ties go
     to the smaller key, so no similar title gives more than its TOP + 1 smallest keys,
     and the one above TOP stands in for the component itself.
     """
     grams = trigram_table(parts.select("p_name").distinct(), "p_name", "p_name")
-    left = parts.where(new).select(F.col("p_partkey").alias("a"), F.col("p_name").alias("na"))
+    left = parts.select(F.col("p_partkey").alias("a"), F.col("p_name").alias("na"))
     titles = left.select("na").distinct()
-    sides = grams.join(titles.withColumnRenamed("na", "key"), "key", "left_semi")
-    alike = similar_pairs(sides, grams, PRESELECT).unionByName(titles.select(F.col("na").alias("a"), F.col("na").alias("b"), F.lit(1.0).alias("similarity")))
+    alike = similar_pairs(grams, grams, PRESELECT).unionByName(titles.select(F.col("na").alias("a"), F.col("na").alias("b"), F.lit(1.0).alias("similarity")))
     first = F.row_number().over(Window.partitionBy("p_name").orderBy("p_partkey"))
     bearers = parts.select("p_name", "p_partkey").withColumn("rn", first).where(F.col("rn") <= TOP + 1).select(F.col("p_name").alias("b"), F.col("p_partkey").alias("other"))
     nearest = F.row_number().over(Window.partitionBy("na").orderBy(F.desc("similarity"), "other"))
@@ -52,44 +47,51 @@ def text_hashes(*columns: str) -> Column:
 
 
 def signals(parts: DataFrame, prefix: str) -> DataFrame:
-    """One row of signals per component."""
-    tokens = F.array_distinct(F.split(words_key(F.concat_ws(" ", "p_name", "p_brand")), " "))
+    """One row of signals per component. Composed: a model for all but every fifth, a picture for every third, its hash for every second."""
+    model = F.when(F.col("p_partkey") % 5 != 0, F.concat(F.lit("M-"), (F.col("p_size") % 7).cast("string")))
+    tokens = F.array_distinct(F.split(words_key(F.concat_ws(" ", "p_name", "p_brand", model)), " "))
     specs = F.array(F.concat_ws("=", F.lit("size"), "p_size"), F.concat_ws("=", F.lit("type"), "p_type"))
-    cols = {"p_partkey": "p_partkey", "tokens": tokens, "brand": F.col("p_brand"), "size": F.col("p_size"), "specs": specs, "texts": text_hashes("p_name")}
-    return parts.select(*[(F.col(c) if isinstance(c, str) else c).alias(f"{prefix}_{name}") for name, c in cols.items()])
-
-
-def pair_score(trigram: Column, names: Iterable[str] = tuple(WEIGHTS)) -> tuple[Column, Column]:
-    """Score of a pair of signal rows (l_, r_) by the named signals, and its penalty.
-
-    A signal counts where it is active; the weights of the active ones are
-    renormalised. No table holds media or perceptual hashes: they are never active.
-    """
-    both = lambda c: (F.size(f"l_{c}") > 0) & (F.size(f"r_{c}") > 0)
-    none = (F.lit(0.0), F.lit(False))
+    picture = F.concat_ws("/", F.lit("img"), "p_type", F.col("p_size") % 3)
+    some = lambda n, value: F.when(F.col("p_partkey") % n == 0, F.array(value)).otherwise(F.array().cast("array<string>"))
+    cols = {
+        "p_partkey": F.col("p_partkey"), "tokens": tokens, "brand": F.col("p_brand"), "model": model, "size": F.col("p_size"), "type": F.col("p_type"), "specs": specs, "texts": text_hashes("p_name"),
+        "media": some(3, F.sha2(picture, 256)), "phash": some(2, F.substring(F.md5(picture), 1, 16)),
+    }
+    return parts.select(*[c.alias(f"{prefix}_{name}") for name, c in cols.items()])
+
+
+def phash_similarity(a: Column, b: Column) -> Column:
+    """The best of all pairs: one minus the share of the 64 bits that differ."""
+    half = lambda h, at: F.conv(F.substring(h, at, 8), 16, 10).cast("long")
+    apart = lambda x, y: F.bit_count(half(x, 1).bitwiseXOR(half(y, 1))) + F.bit_count(half(x, 9).bitwiseXOR(half(y, 9)))
+    whole = lambda hashes: F.filter(hashes, lambda h: h.rlike("^[0-9a-fA-F]{16}$"))
+    return F.coalesce(F.array_max(F.flatten(F.transform(whole(a), lambda x: F.transform(whole(b), lambda y: 1 - apart(x, y) / 64)))), F.lit(0.0))
+
+
+def pair_score(trigram: Column) -> tuple[Column, Column]:
+    """Score of a pair of signal rows (l_, r_) by the active signals, and its penalties."""
+    l, r = (lambda c: F.col(f"l_{c}")), (lambda c: F.col(f"r_{c}"))  # noqa: E741
+    both = lambda c: (F.size(l(c)) > 0) & (F.size(r(c)) > 0)
+    told = [F.when(l(c).isNotNull() & r(c).isNotNull(), (l(c) == r(c)).cast("int")) for c in ("brand", "model")]
+    known = F.array_compact(F.array(*told))
+    identity = F.aggregate(known, F.lit(0), lambda t, x: t + x) / F.nullif(F.size(known), F.lit(0))
     found = {
-        "title": (trigram, F.lit(True)),
-        "tokens": (jaccard(F.col("l_tokens"), F.col("r_tokens")), F.lit(True)),
-        "identity": (F.when(F.col("l_brand") == F.col("r_brand"), 1.0).otherwise(0.0), F.lit(True)),
-        "specs": (jaccard(F.col("l_specs"), F.col("r_specs")), F.lit(True)),
-        "texts": (jaccard(F.col("l_texts"), F.col("r_texts")), both("texts")),
-        "media": none,
-        "phash": none,
-    }
-    each = F.array(*[F.struct(found[n][0].alias("value"), F.lit(WEIGHTS[n]).alias("weight"), found[n][1].alias("active")) for n in names])
+        "title": (trigram, F.lit(True)), "tokens": (jaccard(l("tokens"), r("tokens")), F.lit(True)), "identity": (F.coalesce(identity, F.lit(0.0)), F.size(known) > 0), "specs": (jaccard(l("specs"), r("specs")), both("specs")),
+        "texts": (jaccard(l("texts"), r("texts")), both("texts")), "media": (jaccard(l("media"), r("media")), both("media")), "phash": (phash_similarity(l("phash"), r("phash")), both("phash")),
+    }
+    each = F.array(*[F.struct(found[n][0].alias("value"), F.lit(w).alias("weight"), found[n][1].alias("active")) for n, w in WEIGHTS.items()])
     active = F.filter(each, lambda x: x["active"])
     add = lambda f: F.aggregate(active, F.lit(0.0), lambda total, x: total + f(x))
     mean = add(lambda x: x["value"] * x["weight"]) / add(lambda x: x["weight"])
-    conflicts = F.when(F.col("l_size") != F.col("r_size"), 1).otherwise(0)
-    penalty = F.when(F.col("l_brand") != F.col("r_brand"), 0.15).otherwise(0.0) + F.least(F.lit(0.20), 0.05 * conflicts)
+    differ = lambda c: F.when(l(c) != r(c), 1).otherwise(0)
+    penalty = MAKER * differ("brand") + MODEL * differ("model") + F.least(F.lit(SPECS), SPEC * (differ("size") + differ("type")))
     return F.round(bounded(mean - penalty), 4), penalty
 
 
-def scored(spark, sf_dir, new: str = "true", names: Iterable[str] = tuple(WEIGHTS)) -> DataFrame:
+def scored(spark, sf_dir) -> DataFrame:
     parts = table(spark, sf_dir, "part")
-    pairs = preselect(parts, new)
-    joined = pairs.join(signals(parts, "l"), F.col("a") == F.col("l_p_partkey")).join(signals(parts, "r"), F.col("b") == F.col("r_p_partkey"))
-    score, penalty = pair_score(F.col("trigram"), names)
+    joined = preselect(parts).join(signals(parts, "l"), F.col("a") == F.col("l_p_partkey")).join(signals(parts, "r"), F.col("b") == F.col("r_p_partkey"))
+    score, penalty = pair_score(F.col("trigram"))
     return joined.select("a", "b", "trigram", score.alias("score"), penalty.alias("penalty"))
 
 
@@ -102,32 +104,39 @@ BLOCKS = f"""
 WITH d AS (SELECT DISTINCT p_name FROM part), g AS (SELECT p_name, {GRAMS.format("p_name")} AS g FROM d),
 sim AS (SELECT x.p_name AS na, y.p_name AS nb, len(list_intersect(x.g, y.g)) / CAST(len(x.g) + len(y.g) - len(list_intersect(x.g, y.g)) AS DOUBLE) AS similarity FROM g x, g y),
 b AS (SELECT a, b, trigram FROM (SELECT p.p_partkey AS a, q.p_partkey AS b, similarity AS trigram, row_number() OVER (PARTITION BY p.p_partkey ORDER BY similarity DESC, q.p_partkey) AS rn
-  FROM part p JOIN sim ON p.p_name = na JOIN part q ON q.p_name = nb WHERE p.p_partkey % 40 = 0 AND similarity >= 0.2 AND p.p_partkey <> q.p_partkey) WHERE rn <= 50)"""
-TOK = "list_distinct(string_split(array_to_string(regexp_extract_all(lower({0}.p_name || ' ' || {0}.p_brand), '[a-z0-9]+'), ' '), ' '))"
-SPECS = "['size=' || {0}.p_size, 'type=' || {0}.p_type]"
+  FROM part p JOIN sim ON p.p_name = na JOIN part q ON q.p_name = nb WHERE similarity >= 0.2 AND p.p_partkey <> q.p_partkey) WHERE rn <= 50)"""
 JAC = "(len(list_intersect({a}, {b})) / CAST(len({a}) + len({b}) - len(list_intersect({a}, {b})) AS DOUBLE))"
-SCORES = BLOCKS + f""",
-s AS (SELECT a, b, trigram, CASE WHEN p.p_brand <> q.p_brand THEN 0.15 ELSE 0 END + CASE WHEN p.p_size <> q.p_size THEN 0.05 ELSE 0 END AS penalty,
-  (0.25 * trigram + 0.20 * {JAC.format(a=TOK.format("p"), b=TOK.format("q"))} + 0.15 * CASE WHEN p.p_brand = q.p_brand THEN 1 ELSE 0 END + 0.15 * {JAC.format(a=SPECS.format("p"), b=SPECS.format("q"))}) / 0.75::DOUBLE AS mean
-  FROM b JOIN part p ON a = p.p_partkey JOIN part q ON b = q.p_partkey)"""
+_pic = "'img/' || p_type || '/' || (p_size % 3)"
+SIGNALS = f"""sg AS (SELECT p_partkey, p_name, p_brand, p_size, p_type, model, list_distinct(regexp_extract_all(lower(p_name || ' ' || p_brand || coalesce(' ' || model, '')), '[a-z0-9]+')) AS tokens, ['size=' || p_size, 'type=' || p_type] AS specs,
+  array_to_string(regexp_extract_all(lower(p_name), '[a-z0-9]+'), ' ') AS words, CASE WHEN p_partkey % 3 = 0 THEN sha256({_pic}) END AS media, CASE WHEN p_partkey % 2 = 0 THEN substr(md5({_pic}), 1, 16) END AS ph
+  FROM (SELECT *, CASE WHEN p_partkey % 5 <> 0 THEN 'M-' || (p_size % 7) END AS model FROM part))"""
+_bits = "bit_count(xor(('0x' || substr(p.ph, {0}, 8))::BIGINT, ('0x' || substr(q.ph, {0}, 8))::BIGINT))"
+SCORES = BLOCKS + f""", {SIGNALS},
+v AS (SELECT a, b, 0.15 * (p.p_brand <> q.p_brand)::INT + 0.25 * coalesce((p.model <> q.model)::INT, 0) + least(0.20, 0.05 * ((p.p_size <> q.p_size)::INT + (p.p_type <> q.p_type)::INT)) AS penalty,
+  [{{'v': trigram, 'w': 0.25::DOUBLE, 'on': true}}, {{'v': {JAC.format(a="p.tokens", b="q.tokens")}, 'w': 0.20::DOUBLE, 'on': true}},
+   {{'v': CASE WHEN p.model IS NULL OR q.model IS NULL THEN (p.p_brand = q.p_brand)::INT::DOUBLE ELSE ((p.p_brand = q.p_brand)::INT + (p.model = q.model)::INT) / 2.0::DOUBLE END, 'w': 0.15::DOUBLE, 'on': true}}, {{'v': {JAC.format(a="p.specs", b="q.specs")}, 'w': 0.15::DOUBLE, 'on': true}},
+   {{'v': (p.words = q.words)::INT::DOUBLE, 'w': 0.10::DOUBLE, 'on': p.words <> '' AND q.words <> ''}}, {{'v': coalesce((p.media = q.media)::INT, 0)::DOUBLE, 'w': 0.10::DOUBLE, 'on': p.media IS NOT NULL AND q.media IS NOT NULL}},
+   {{'v': coalesce(1 - ({_bits.format(1)} + {_bits.format(9)}) / 64.0::DOUBLE, 0), 'w': 0.05::DOUBLE, 'on': p.ph IS NOT NULL AND q.ph IS NOT NULL}}] AS each
+  FROM b JOIN sg p ON a = p.p_partkey JOIN sg q ON b = q.p_partkey),
+s AS (SELECT a, b, round(greatest(0, least(1, list_sum(list_transform(list_filter(each, lambda x: x.on), lambda x: x.v * x.w)) / list_sum(list_transform(list_filter(each, lambda x: x.on), lambda x: x.w)) - penalty)), 4) AS score FROM v)"""
 
 
 @query(BLOCKS + """ SELECT a, b, round(trigram, 9) AS trigram FROM b""")
 def dup_block(spark, sf_dir):
-    """Similarity preselection: 50 per new component."""
-    return preselect(table(spark, sf_dir, "part"), NEW).select("a", "b", F.round("trigram", 9).alias("trigram"))
+    """Similarity preselection: 50 per component, for every component."""
+    return preselect(table(spark, sf_dir, "part")).select("a", "b", F.round("trigram", 9).alias("trigram"))
 
 
-@query(SCORES + """ SELECT a, b, CAST(round(greatest(0, least(1, mean - penalty)) * 1000) AS BIGINT) AS score FROM s""")
+@query(SCORES + """ SELECT a, b, CAST(round(score * 1000) AS BIGINT) AS score FROM s""")
 def dup_score(spark, sf_dir):
-    """Scores in per mille (the rounding to four places is a matter of the last bit)."""
-    return scored(spark, sf_dir, NEW, BOUND).select("a", "b", F.round(F.col("score") * 1000).cast("long").alias("score"))
+    """Scores in per mille of every component's pairs, by all signals that are active."""
+    return scored(spark, sf_dir).select("a", "b", F.round(F.col("score") * 1000).cast("long").alias("score"))
 
 
-@query(SCORES + """ SELECT least(a, b) AS lo, greatest(a, b) AS hi, max(CAST(round(greatest(0, least(1, mean - penalty)) * 1000) AS BIGINT)) AS score, bool_or(greatest(0, least(1, mean - penalty)) >= 0.70005) AS blocks FROM s WHERE greatest(0, least(1, mean - penalty)) >= 0.35005 GROUP BY 1, 2""")
+@query(SCORES + """ SELECT least(a, b) AS lo, greatest(a, b) AS hi, max(CAST(round(score * 1000) AS BIGINT)) AS score, bool_or(score > 0.70) AS blocks FROM s WHERE score > 0.35 GROUP BY 1, 2""")
 def dup_upsert(spark, sf_dir):
-    """One open row per ordered pair; a new score replaces the old."""
-    return upserted(scored(spark, sf_dir, NEW, BOUND))
+    """One open row per unordered pair of all components; a new score replaces the old."""
+    return upserted(scored(spark, sf_dir))
 
 
 @query("""SELECT sha256(lower(p_name) || chr(0) || lower(p_brand)) AS key, count(*) AS n, min(p_partkey) AS survivor FROM part GROUP BY 1 HAVING count(*) > 1""")
@@ -137,46 +146,21 @@ def dup_exact(spark, sf_dir):
     return table(spark, sf_dir, "part").groupBy(key.alias("key")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("survivor")).where("n > 1")
 
 
-@query(SCORES + """ SELECT a, b, CAST(round(greatest(0, least(1, mean - penalty)) * 1000) AS BIGINT) AS score FROM s ORDER BY score DESC, a, b LIMIT 100""")
+@query(SCORES + """ SELECT a, b, CAST(round(score * 1000) AS BIGINT) AS score FROM s ORDER BY score DESC, a, b LIMIT 100""")
 def dup_queue(spark, sf_dir):
+    """The 100 highest scores."""
     return dup_score(spark, sf_dir).orderBy(F.desc("score"), "a", "b").limit(100)
 
 
-ALL_BLOCKS = f"""
-WITH d AS (SELECT DISTINCT p_name FROM part), g AS (SELECT p_name, {GRAMS.format("p_name")} AS g FROM d),
-sim AS (SELECT x.p_name AS na, y.p_name AS nb, len(list_intersect(x.g, y.g)) / CAST(len(x.g) + len(y.g) - len(list_intersect(x.g, y.g)) AS DOUBLE) AS similarity FROM g x, g y),
-b AS (SELECT a, b, trigram FROM (SELECT p.p_partkey AS a, q.p_partkey AS b, similarity AS trigram, row_number() OVER (PARTITION BY p.p_partkey ORDER BY similarity DESC, q.p_partkey) AS rn
-  FROM part p JOIN sim ON p.p_name = na JOIN part q ON q.p_name = nb WHERE similarity >= 0.2 AND p.p_partkey <> q.p_partkey) WHERE rn <= 50)"""
-TEXT = "array_to_string(regexp_extract_all(lower({0}.p_name), '[a-z0-9]+'), ' ')"
-ALL_SCORES = ALL_BLOCKS + f""",
-t AS (SELECT a, b, CASE WHEN p.p_brand <> q.p_brand THEN 0.15 ELSE 0 END + CASE WHEN p.p_size <> q.p_size THEN 0.05 ELSE 0 END AS penalty,
-  0.25 * trigram + 0.20 * {JAC.format(a=TOK.format("p"), b=TOK.format("q"))} + 0.15 * CASE WHEN p.p_brand = q.p_brand THEN 1 ELSE 0 END + 0.15 * {JAC.format(a=SPECS.format("p"), b=SPECS.format("q"))} AS four,
-  CASE WHEN {TEXT.format("p")} <> '' AND {TEXT.format("q")} <> '' THEN 1 ELSE 0 END AS texts, CASE WHEN {TEXT.format("p")} = {TEXT.format("q")} THEN 1 ELSE 0 END AS same
-  FROM b JOIN part p ON a = p.p_partkey JOIN part q ON b = q.p_partkey),
-s AS (SELECT a, b, round(greatest(0, least(1, (four + 0.10 * texts * same) / (0.75 + 0.10 * texts)::DOUBLE - penalty)), 4) AS score FROM t)"""
-
-
-@query(ALL_BLOCKS + """ SELECT a, b, round(trigram, 9) AS trigram FROM b""")
-def dup_block_all(spark, sf_dir):
-    """Similarity preselection: 50 per component, for every component."""
-    return preselect(table(spark, sf_dir, "part")).select("a", "b", F.round("trigram", 9).alias("trigram"))
+def _whole() -> None:
+    """The names that these queries had while only a part of the components looked for duplicates."""
+    from partwise.plans.registry import ORACLE, QUERIES
 
-
-@query(ALL_SCORES + """ SELECT a, b, CAST(round(score * 1000) AS BIGINT) AS score FROM s""")
-def dup_score_all(spark, sf_dir):
-    """Scores in per mille of every component's pairs, by all signals that are active."""
-    return scored(spark, sf_dir).select("a", "b", F.round(F.col("score") * 1000).cast("long").alias("score"))
-
-
-@query(ALL_SCORES + """ SELECT least(a, b) AS lo, greatest(a, b) AS hi, max(CAST(round(score * 1000) AS BIGINT)) AS score, bool_or(score > 0.70) AS blocks FROM s WHERE score > 0.35 GROUP BY 1, 2""")
-def dup_upsert_all(spark, sf_dir):
-    """One open row per unordered pair of all components."""
-    return upserted(scored(spark, sf_dir))
+    for name in ("dup_block", "dup_score", "dup_upsert", "dup_queue"):
+        QUERIES[f"{name}_all"], ORACLE[f"{name}_all"] = QUERIES[name], ORACLE[name]
 
 
-@query(ALL_SCORES + """ SELECT a, b, CAST(round(score * 1000) AS BIGINT) AS score FROM s ORDER BY score DESC, a, b LIMIT 100""")
-def dup_queue_all(spark, sf_dir):
-    return dup_score_all(spark, sf_dir).orderBy(F.desc("score"), "a", "b").limit(100)
+_whole()
 
 
 @query("""

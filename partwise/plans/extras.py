@@ -3,29 +3,29 @@
 from __future__ import annotations
 
 import hashlib
-import hmac
-import tempfile
 import uuid
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from partwise.functions.text import spaced_key
 from partwise.operators import specs, tables
 from partwise.operators.similarity import similar_pairs, trigram_table
-from partwise.plans.dedup import signals
+from partwise.plans.dedup import SIGNALS, signals
 from partwise.plans.normalize import raw_specs
 from partwise.plans.registry import query, table
 from partwise.plans.search import GRAMS
 
 
-@query("""SELECT p_partkey, array_to_string(list_filter(t, lambda x, i: list_position(t, x) = i), ' ') AS tokens, 'size=' || p_size || '|type=' || p_type AS specs FROM (SELECT *, regexp_extract_all(lower(p_name || ' ' || p_brand), '[a-z0-9]+') AS t FROM part)""")
+@query(f"""WITH {SIGNALS} SELECT p_partkey, array_to_string(list_sort(tokens), ' ') AS tokens, array_to_string(specs, '|') AS specs, model, sha256(words) AS texts, media, ph AS phash FROM sg""")
 def dup_signals(spark, sf_dir):
     """One row of signals per component."""
     rows = signals(table(spark, sf_dir, "part"), "s")
-    return rows.select(F.col("s_p_partkey").alias("p_partkey"), F.array_join("s_tokens", " ").alias("tokens"), F.array_join("s_specs", "|").alias("specs"))
+    one = lambda c: F.get(f"s_{c}", F.lit(0)).alias(c)
+    return rows.select(F.col("s_p_partkey").alias("p_partkey"), F.array_join(F.array_sort("s_tokens"), " ").alias("tokens"), F.array_join("s_specs", "|").alias("specs"), F.col("s_model").alias("model"), one("texts"), one("media"), one("phash"))
 
 
 @query(f"""WITH d AS (SELECT p_name, count(*) AS n FROM part GROUP BY 1), s AS (SELECT p_name, n, {GRAMS.format("p_name")} AS g FROM d)
@@ -63,27 +63,10 @@ def qty_unit_v1(spark, sf_dir):
     return raw_specs(spark, sf_dir).select("p_partkey", c.alias("value"))
 
 
-@query("""SELECT doc_id, CASE WHEN l.quality = 1 THEN 'met' WHEN regexp_matches(lower(text), 'licen[sc]e') THEN 'extraction_missing' ELSE 'source_missing' END AS verdict FROM documents d LEFT JOIN labels l USING (doc_id)""")
-def q_evidence_match(spark, sf_dir):
-    """An unmet expectation: was it missing in the source, or only not extracted?"""
-    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    verdict = F.when(F.col("quality") == 1, "met").when(F.lower("text").rlike("licen[sc]e"), "extraction_missing").otherwise("source_missing")
-    return rows.select("doc_id", verdict.alias("verdict"))
-
-
-@query("""SELECT p_partkey, CASE p_type WHEN 'SMALL' THEN 2 WHEN 'ECONOMY' THEN 1 ELSE 0 END AS expected, CASE WHEN p_type = 'SMALL' THEN CASE WHEN p_size % 4 = 0 THEN 1 ELSE 0 END + CASE WHEN p_size % 4 = 1 THEN 1 ELSE 0 END WHEN p_type = 'ECONOMY' THEN CASE WHEN p_size % 4 = 2 THEN 1 ELSE 0 END ELSE 0 END AS met FROM part""")
-def q_expectations(spark, sf_dir):
-    """Expectations by profile and how many of them the normalized facts meet."""
-    wanted = F.create_map(F.lit("SMALL"), F.array(F.lit("electrical.voltage.operating"), F.lit("electrical.current.small")), F.lit("ECONOMY"), F.array(F.lit("communication.interface")))
-    rows = specs.normalized(raw_specs(spark, sf_dir).withColumnRenamed("p_type", "profile")).withColumn("wanted", F.coalesce(wanted[F.col("profile")], F.array().cast("array<string>")))
-    return rows.select("p_partkey", F.size("wanted").alias("expected"), F.size(F.array_intersect("wanted", F.array("path"))).alias("met"))
-
-
 @query("""SELECT r_regionkey, r_name FROM region""")
 def sink_artifact_publish(spark, sf_dir):
     """An artifact is written once, to a path that must not exist, and read back."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="partwise-")
-    path = f"{folder}/artifact-{uuid.uuid4().hex}"
+    path = f"{tables.shared_folder(spark)}/artifact-{uuid.uuid4().hex}"
     tables.publish_once(table(spark, sf_dir, "region"), path)
     return spark.read.parquet(path).select("r_regionkey", "r_name")
 
@@ -94,15 +77,20 @@ def val_jobs(spark, sf_dir):
     return out.withColumn("passed", F.col("n") == F.col("valid"))
 
 
-@F.pandas_udf(StringType())
-def pseudonym(values: pd.Series) -> pd.Series:
-    """Keyed SHA-256 (the key is an example; a deployment passes its own)."""
-    return values.map(lambda v: hmac.new(b"example-key", v.encode(), hashlib.sha256).hexdigest(), na_action="ignore")
+def keyed_digest(value: Column, key: bytes) -> Column:
+    """HMAC-SHA-256 in lower-case hex: two rounds of SHA-256 over constant pads."""
+    block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(x ^ pad for x in block)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(value, "UTF-8")), 256))), 256)
 
 
-@query()
+_pads = ["".join(f"{x ^ pad:02x}" for x in b"example-key".ljust(64, b"\0")) for pad in (0x36, 0x5C)]
+
+
+@query(f"""SELECT c_custkey, sha256(from_hex('{_pads[1]}') || from_hex(sha256(from_hex('{_pads[0]}') || encode(c_name)))) AS pseudonym FROM customer""")
 def hash_hmac(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", pseudonym("c_name").alias("pseudonym"))
+    """Pseudonyms (the key is an example; a deployment passes its own)."""
+    return table(spark, sf_dir, "customer").select("c_custkey", keyed_digest(F.col("c_name"), b"example-key").alias("pseudonym"))
 
 
 def perceptual_bits(grid: np.ndarray) -> int:

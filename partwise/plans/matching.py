@@ -1,52 +1,125 @@
-"""Matching of parts against an index of part records (brand and name as keys)."""
+"""Matching of component pages against an index of symbol records.
+
+Pages and their facts are those of ``components``; every part also gives one
+record of the index, of eight forms, so that each rule applies somewhere. All
+pages are held against all records.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from partwise.functions.text import compact_key, index_tokens, spaced_key
 from partwise.operators import matching as m
+from partwise.operators import tables
+from partwise.plans import components, identity, normalize
 from partwise.plans.registry import query, table
 
-
-def keys(df: DataFrame) -> DataFrame:
-    one = lambda c: F.array(c)
-    return m.inverted(df, "p_partkey", [("exact", one(F.lower(F.concat_ws("|", "p_name", "p_brand", "p_type")))), ("alias", one(F.lower(F.concat_ws("|", "p_name", "p_brand")))), ("name", one(F.lower("p_name"))), ("description", F.split(F.lower("p_name"), " "))])
-
-
-OTHERS = "p_partkey % 50 <> 0"
-
-
-def hits_in(parts: DataFrame, indexed: str = "true") -> DataFrame:
-    """Every fiftieth part as a query against the records of all parts but its own, or of those that are ``indexed``; description-only hits need both tokens."""
-    found = m.lookups(keys(parts.where("p_partkey % 50 = 0")), "query", keys(parts.where(indexed)))
-    return found.where("query <> record").where("basis <> 'description' OR shared >= 2")
-
-
-def hits(spark, sf_dir, indexed: str = "true") -> DataFrame:
-    return hits_in(table(spark, sf_dir, "part"), indexed)
-
-
-HITS = """h AS (SELECT q.p_partkey AS query, r.p_partkey AS record, CASE WHEN q.p_name = r.p_name AND q.p_brand = r.p_brand AND q.p_type = r.p_type THEN 'exact' WHEN q.p_name = r.p_name AND q.p_brand = r.p_brand THEN 'alias' ELSE 'name' END AS basis
-FROM part q JOIN part r ON q.p_name = r.p_name WHERE q.p_partkey % 50 = 0 AND r.p_partkey % 50 <> 0)"""
-SCORED = f"""WITH {HITS}, s AS (SELECT query, record, basis, CASE basis WHEN 'exact' THEN 700 WHEN 'alias' THEN 520 ELSE 100 END + CASE WHEN q.p_size = r.p_size THEN 150 ELSE 0 END + CASE WHEN q.p_brand = r.p_brand THEN 50 ELSE -500 END AS raw, q.p_brand <> r.p_brand AS severe, q.p_size = r.p_size AS mention
-FROM h JOIN part q ON query = q.p_partkey JOIN part r ON record = r.p_partkey)"""
-
-
-def scored(spark, sf_dir, indexed: str = "true") -> DataFrame:
-    part = table(spark, sf_dir, "part")
-    side = lambda p, key: part.select(F.col("p_partkey").alias(key), F.col("p_brand").alias(f"{p}_brand"), F.col("p_size").alias(f"{p}_size"))
-    rows = hits(spark, sf_dir, indexed).join(side("q", "query"), "query").join(side("r", "record"), "record")
-    same = F.col("q_brand") == F.col("r_brand")
-    given = F.array_compact(F.array(*[m.contribution(F.col("basis") == b, b) for b in m.BASES], m.contribution(F.col("q_size") == F.col("r_size"), "mention"), m.contribution(same, "manufacturer_match"), m.contribution(~same, "manufacturer_conflict")))
-    rows = rows.withColumn("given", given).withColumn("score", m.confidence(F.col("given")))
-    return rows.withColumn("decision", m.decision(F.col("score"), F.col("given"), F.col("basis")))
-
-
-@query("""SELECT 'exact' AS basis, count(DISTINCT lower(p_name || '|' || p_brand || '|' || p_type)) AS n_keys, count(*) AS n_rows FROM part UNION ALL SELECT 'alias', count(DISTINCT lower(p_name || '|' || p_brand)), count(*) FROM part UNION ALL SELECT 'name', count(DISTINCT lower(p_name)), count(*) FROM part UNION ALL SELECT 'description', count(DISTINCT t), count(*) FROM (SELECT DISTINCT p_partkey, unnest(string_split(lower(p_name), ' ')) AS t FROM part)""")
+FORMS = 8
+
+
+def records(spark, sf_dir) -> DataFrame:
+    """One symbol record per part; its form is (key div 12) modulo 8."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("record"), F.col("p_brand").alias("brand"))
+    key, shape, form = F.col("record").cast("string"), (F.col("record") % components.N).cast("int"), (F.floor(F.col("record") / components.N) % FORMS).cast("int")
+    code = F.concat(F.element_at(F.array(*[F.lit(x) for x in components.CODES]), shape + 1), key)
+    title = F.replace(F.element_at(F.array(*[F.lit(x["title"]) for x in components.SHAPES]), shape + 1), F.lit("{k}"), key)
+    none = F.array().cast("array<string>")
+    pick = lambda cases, other: F.coalesce(*[F.when(form.isin(*forms), value) for forms, value in cases], other)
+    return part.select(
+        "record", form.alias("form"), pick([((1,), F.concat(F.lit("ALT-"), key)), ((2,), title), ((3,), F.concat(F.lit("D"), key)), ((5,), F.lit("R")), ((6,), F.concat(F.lit("Conn_"), key))], code).alias("symbol"),
+        pick([((1, 5, 6), F.array(code))], none).alias("r_aliases"), pick([((0, 7), F.array("brand")), ((4,), F.array(F.lit("Other Corp")))], none).alias("makers"),
+        F.coalesce(*[F.when(form == n, u) for n, u in ((0, F.concat(F.lit(components.URL), F.lower(code), F.lit(".pdf"))), (1, F.lit(components.URL + "other1234.pdf")), (2, F.concat(F.lit("https://mirror.example.net/"), F.lower(code), F.lit("-sheet.pdf"))), (7, F.lit("https://other.example.net/zz9999.pdf")))]).alias("datasheet"),
+        pick([((0,), F.lit("digital part with I2C")), ((3,), F.concat(F.lit("peripheral "), key)), ((7,), F.lit("CAN transceiver"))], F.lit("part")).alias("words"),
+        pick([((0,), F.array(F.lit("SOT*"), F.lit("SOIC*"))), ((6,), F.array(F.lit("QFN*")))], none).alias("filters"), pick([((0, 4), F.lit(3)), ((6,), F.lit(8))], F.lit(0)).alias("pins"), pick([((6,), F.lit("Connector_Generic"))], F.lit("Parts")).alias("library"),
+    )
+
+
+def index(rows: DataFrame) -> DataFrame:
+    """The inverted index of symbol records."""
+    names = F.concat(F.array("symbol"), "r_aliases")
+    return m.inverted(rows, "record", [("exact", F.array(m.exact_key(F.col("symbol")))), ("alias", F.transform("r_aliases", m.exact_key)), ("name", F.transform(names, compact_key)), ("description", index_tokens(F.col("words")))])
+
+
+def identities(spark, sf_dir) -> DataFrame:
+    return tables.stored(identity.identities(normalize.facts(spark, sf_dir)), "identities")
+
+
+def sides(rows: DataFrame) -> DataFrame:
+    """What the matcher needs of identified pages, and the keys that they ask with."""
+    spec = lambda test, cut: F.get(F.filter(F.transform(F.filter("specs", lambda s: test(spaced_key(s["label"]))), lambda s: cut(s["value"])), lambda v: v.isNotNull()), F.lit(0))
+    explicit, other = F.concat("part_numbers", "ics"), F.concat("product_ids", "aliases")
+    keys = [("exact", F.transform(explicit, m.exact_key)), ("alias", F.transform(F.concat(explicit, other), m.exact_key)), ("name", F.transform(F.concat(F.slice("titles", 1, 1), other), compact_key)), ("description", index_tokens(F.col("titles")[0]))]
+    return rows.withColumns({
+        "package": spec(lambda label: compact_key(label).isin(components.PACKAGE_LABELS), lambda v: v), "pin_count": spec(lambda label: label.rlike("^(number of )?pins?( count)?$"), lambda v: F.nullif(F.regexp_extract(v, "[0-9]+", 0), F.lit("")).cast("int")),
+        "datasheets": F.transform(F.filter("resources", lambda r: F.contains(F.lower(r["label"]), F.lit("datasheet"))), lambda r: r["target"]), "asked": F.array(*[F.struct(F.lit(b).alias("basis"), v.alias("keys")) for b, v in keys]),
+    })
+
+
+def hits(spark, sf_dir, identified: DataFrame | None = None) -> DataFrame:
+    """Hits of all pages in the index of all records, with both sides' columns; generic records need an exact hit."""
+    pages, known = sides(identities(spark, sf_dir) if identified is None else identified), records(spark, sf_dir)
+    asked = pages.select(F.col("p_partkey").alias("record"), F.explode("asked").alias("a")).select("record", "a.basis", F.explode(F.array_distinct("a.keys")).alias("key")).where("key <> ''")
+    found = m.lookups(asked, "query", index(known), m.LIMIT)
+    both = found.join(known, "record").join(pages.withColumnRenamed("p_partkey", "query"), "query")
+    annotated = F.coalesce(F.array_contains(F.transform("makers", compact_key), compact_key(F.col("manufacturer"))), F.lit(False))
+    return both.withColumn("same_maker", annotated).where((F.col("basis") == "exact") | ~m.is_generic(F.col("symbol")))
+
+
+def scored(spark, sf_dir, identified: DataFrame | None = None) -> DataFrame:
+    return m.matched(hits(spark, sf_dir, identified))
+
+
+_list = "list_transform({0}, lambda x: {1})"
+_compact = lambda x: f"regexp_replace(lower({x}), '[^a-z0-9]+', '', 'g')"
+_tokens = lambda x: f"list_filter(string_split(trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g')), ' '), lambda t: length(t) >= 2 AND t NOT IN ('a','an','and','for','grove','module','of','the','with'))"
+_overlap = lambda a, b: f"len(list_intersect({a}, {b})) > 0"
+_fill = lambda c: f"list_transform({c}, lambda x: replace(replace(x, '{{k}}', p_partkey::VARCHAR), '{{brand}}', p_brand))"
+_ds = lambda u: f"list_filter(regexp_extract_all(lower(regexp_extract({u}, '^[a-z]+://[^/?#]+([^?#]*)', 1)), '[a-z]*[0-9]+[a-z0-9]*'), lambda t: length(t) >= 4 AND t <> 'ds002')"
+_pk = lambda x: f"list_filter(regexp_extract_all(lower({x}), '[a-z]+'), lambda t: length(t) >= 2 AND t NOT IN ('filter', 'footprint', 'package'))"
+#: Pages (pg), records (rc) and their hits (h). A key of a page holds the part's key, so only its own record can share one.
+HITS = f"""{identity.IDENTITY},
+pg AS (SELECT p_partkey, p_brand, x.shape, replace(title, '{{k}}', p_partkey::VARCHAR) AS title, {_fill("part_numbers")} AS pns, {_fill("ics")} AS ics, {_fill("product_ids")} AS pids, {_fill("aliases")} AS aliases, {_fill("lines")} AS lines, {_fill("datasheets")} AS dss,
+  kind, CASE WHEN has_manufacturer THEN p_brand END AS maker, code || p_partkey AS code, n_conflicts, status, warnings, ics AS shape_ics,
+  coalesce((SELECT list(DISTINCT i.name) FROM nv JOIN iface i ON regexp_matches(lower(nv.value), i.pattern) WHERE nv.shape = x.shape AND nv.path = 'communication.interface'), []) AS faces,
+  (SELECT first(value ORDER BY section, nth) FROM nv WHERE nv.shape = x.shape AND {_compact("label")} IN ('package', 'footprint', 'packagecase')) AS package,
+  (SELECT first(CAST(regexp_extract(value, '[0-9]+') AS INTEGER) ORDER BY section, nth) FROM nv WHERE nv.shape = x.shape AND regexp_matches(lower(label), '^(number of )?pins?( count)?$')) AS pin_count
+  FROM {identity.PER_PART.format("idw")}),
+rc AS (SELECT *, (p_partkey // 12) % 8 AS form FROM pg),
+r AS (SELECT *, CASE form WHEN 1 THEN 'ALT-' || p_partkey WHEN 2 THEN title WHEN 3 THEN 'D' || p_partkey WHEN 5 THEN 'R' WHEN 6 THEN 'Conn_' || p_partkey ELSE code END AS symbol, CASE WHEN form IN (1, 5, 6) THEN [code] ELSE CAST([] AS VARCHAR[]) END AS ra,
+  CASE WHEN form IN (0, 7) THEN [p_brand] WHEN form = 4 THEN ['Other Corp'] ELSE CAST([] AS VARCHAR[]) END AS makers, CASE form WHEN 0 THEN '{components.URL}' || lower(code) || '.pdf' WHEN 1 THEN '{components.URL}other1234.pdf' WHEN 2 THEN 'https://mirror.example.net/' || lower(code) || '-sheet.pdf' WHEN 7 THEN 'https://other.example.net/zz9999.pdf' END AS ds,
+  CASE form WHEN 0 THEN 'digital part with I2C' WHEN 3 THEN 'peripheral ' || p_partkey WHEN 7 THEN 'CAN transceiver' ELSE 'part' END AS words, CASE form WHEN 0 THEN ['i2c', 'digital'] WHEN 7 THEN ['can'] ELSE CAST([] AS VARCHAR[]) END AS rfaces,
+  CASE form WHEN 0 THEN 'SOT* SOIC*' WHEN 6 THEN 'QFN*' END AS filters, CASE WHEN form IN (0, 4) THEN 3 WHEN form = 6 THEN 8 ELSE 0 END AS pins, form = 6 OR (form = 2 AND regexp_matches(title, '\\bConnector\\b')) AS plug FROM rc),
+k AS (SELECT *, list_transform([symbol] || ra, lambda x: {_compact("x")}) AS keys FROM r),
+b AS (SELECT *, list_transform(list_filter(lines, lambda x: {_overlap("keys", "list_transform(regexp_extract_all(lower(x), '[a-z0-9]+(?:[-_./][a-z0-9]+)*'), lambda t: " + _compact("t") + ")")}), lambda x: lower(x)) AS mentions,
+  CASE WHEN list_contains(list_transform(pns || ics, lambda x: lower(x)), lower(symbol)) THEN 'exact' WHEN {_overlap("list_transform(ra, lambda x: lower(x))", "list_transform(pns || ics || pids || aliases, lambda x: lower(x))")} THEN 'alias'
+   WHEN {_overlap("keys", "list_transform([title] || pids || aliases, lambda x: " + _compact("x") + ")")} THEN 'name' WHEN {_overlap(_tokens("title"), _tokens("words"))} THEN 'description' END AS basis FROM k),
+h AS (SELECT * FROM b WHERE basis IS NOT NULL AND (symbol <> 'R' OR basis = 'exact')),
+rel AS (SELECT *, CASE WHEN kind = 'connector' AND plug THEN 'connector' WHEN {_overlap("keys", "list_transform(pns, lambda x: " + _compact("x") + ")")} THEN 'exact_component'
+  WHEN {_overlap("keys", "list_transform(ics, lambda x: " + _compact("x") + ")")} THEN CASE WHEN kind IN ('module', 'development_board') THEN 'main_integrated_circuit' ELSE 'exact_component' END
+  WHEN list_contains(keys, {_compact("title")}) AND kind IN ('discrete_component', 'integrated_circuit') THEN 'exact_component' WHEN plug AND len(mentions) > 0 THEN 'connector'
+  WHEN len(list_filter(mentions, lambda x: regexp_matches(x, '\\b(?:based on|built around|contains|equipped with|main ic|onboard|on-board|uses)\\b'))) > 0 THEN 'onboard_component' ELSE 'functional_equivalent' END AS relation,
+  CASE basis WHEN 'exact' THEN 700 WHEN 'alias' THEN 520 WHEN 'name' THEN 100 ELSE 40 END AS w_basis, CASE WHEN len(mentions) > 0 THEN 150 ELSE 0 END AS w_mention, CASE WHEN list_contains(keys, {_compact("title")}) THEN 100 ELSE 0 END AS w_name,
+  CASE WHEN maker IS NULL OR len(makers) = 0 THEN 0 WHEN list_contains(makers, maker) THEN 50 ELSE -500 END AS w_maker,
+  CASE WHEN ds IS NULL OR len(dss) = 0 THEN 0 WHEN list_contains(dss, ds) THEN 80 WHEN {_overlap(_ds("ds"), "flatten(list_transform(dss, lambda u: " + _ds("u") + "))")} THEN 60
+   WHEN list_contains(list_transform(dss, lambda u: regexp_extract(u, '//([^/]+)', 1)), regexp_extract(ds, '//([^/]+)', 1)) THEN 30 WHEN len({_ds("ds")}) > 0 AND len(flatten(list_transform(dss, lambda u: {_ds("u")}))) > 0 THEN -120 ELSE 0 END AS w_ds,
+  CASE WHEN len(faces) = 0 OR len(rfaces) = 0 THEN 0 WHEN {_overlap("faces", "rfaces")} THEN 40 ELSE -180 END AS w_face, CASE WHEN package IS NULL OR filters IS NULL THEN 0 WHEN {_overlap(_pk("package"), _pk("filters"))} THEN 50 ELSE -250 END AS w_pack,
+  CASE WHEN pin_count IS NULL OR pins = 0 THEN 0 WHEN pin_count = pins THEN 50 ELSE -250 END AS w_pins FROM h),
+sc AS (SELECT *, p_partkey AS query, p_partkey AS record, greatest(0, least(1000, w_basis + w_mention + w_name + w_maker + w_ds + w_face + w_pack + w_pins)) AS score,
+  len(mentions) + CASE WHEN w_maker > 0 THEN 1 ELSE 0 END + CASE WHEN w_ds > 0 THEN 1 ELSE 0 END + CASE WHEN w_face > 0 THEN 1 ELSE 0 END + CASE WHEN w_pack > 0 THEN 1 ELSE 0 END + CASE WHEN w_pins > 0 THEN 1 ELSE 0 END AS proof FROM rel),
+dc AS (SELECT *, CASE WHEN w_maker < 0 OR w_pack < 0 OR w_pins < 0 THEN 'rejected' WHEN relation = 'exact_component' AND basis = 'exact' AND w_ds >= 0 AND w_face >= 0 AND proof >= 2 AND score >= 950 THEN 'auto_accepted' WHEN score < 450 THEN 'rejected' ELSE 'review' END AS decision FROM sc)"""
+
+
+@query(f"""WITH {HITS}, n AS (SELECT unnest(list_distinct(keys)) AS key FROM k) SELECT 'exact' AS basis, count(DISTINCT lower(symbol)) AS n_keys, count(*) AS n_rows, count(*) FILTER (WHERE pins > 0) AS n_with_pins, count(*) FILTER (WHERE filters IS NOT NULL) AS n_with_filters, count(*) FILTER (WHERE symbol = 'R') AS n_generic FROM k
+UNION ALL SELECT 'alias', count(DISTINCT lower(ra[1])), count(ra[1]), 0, 0, 0 FROM k UNION ALL SELECT 'name', count(DISTINCT key), count(*), 0, 0, 0 FROM n UNION ALL SELECT 'description', count(DISTINCT t), count(*), 0, 0, 0 FROM (SELECT DISTINCT p_partkey, unnest({_tokens("words")}) AS t FROM k)""")
 def idx_parse(spark, sf_dir):
-    """The inverted index by kind of key."""
-    return keys(table(spark, sf_dir, "part")).groupBy("basis").agg(F.countDistinct("key").alias("n_keys"), F.count("*").alias("n_rows"))
+    """The inverted index by kind of key; for the records themselves also pins, filters and the generic flag."""
+    known = records(spark, sf_dir)
+    keyed = index(known).groupBy("basis").agg(F.countDistinct("key").alias("n_keys"), F.count("*").alias("n_rows"))
+    facts = known.agg(F.count_if(F.col("pins") > 0).alias("p"), F.count_if(F.size("filters") > 0).alias("f"), F.count_if(m.is_generic(F.col("symbol"))).alias("g"))
+    own = lambda c: F.when(F.col("basis") == "exact", F.col(c)).otherwise(F.lit(0)).cast("long")
+    return keyed.join(F.broadcast(facts), how="inner").select("basis", "n_keys", "n_rows", own("p").alias("n_with_pins"), own("f").alias("n_with_filters"), own("g").alias("n_generic"))  # facts: one row
 
 
 @query("""SELECT CAST(count(*) FILTER (WHERE o.h = n.h) AS BIGINT) AS reused, CAST(count(*) FILTER (WHERE o.h <> n.h) AS BIGINT) AS changed, CAST(count(*) FILTER (WHERE o.h IS NULL) AS BIGINT) AS added, CAST(count(*) FILTER (WHERE n.h IS NULL) AS BIGINT) AS removed
@@ -60,53 +133,36 @@ def idx_build(spark, sf_dir):
     return both.agg(F.count_if(F.col("o") == F.col("n")).alias("reused"), F.count_if(F.col("o") != F.col("n")).alias("changed"), F.count_if(F.col("o").isNull()).alias("added"), F.count_if(F.col("n").isNull()).alias("removed"))
 
 
-@query(f"WITH {HITS} SELECT query, record, basis FROM h")
+@query(f"WITH {HITS} SELECT p_partkey AS query, p_partkey AS record, basis, coalesce(list_contains(makers, maker), false) AS same_maker FROM h")
 def idx_lookup(spark, sf_dir):
-    return hits(spark, sf_dir, OTHERS).select("query", "record", "basis")
+    """Hits by the best basis, annotated with the manufacturer; generic records only where exact."""
+    return hits(spark, sf_dir).select("query", "record", "basis", "same_maker")
 
 
-@query(f"WITH {HITS} SELECT query, record, CASE WHEN basis = 'exact' THEN 'exact_component' WHEN basis = 'alias' THEN 'variant' ELSE 'related' END AS relation FROM h")
+@query(f"WITH {HITS} SELECT query, record, relation FROM sc")
 def match_relation_type(spark, sf_dir):
-    return related(hits(spark, sf_dir, OTHERS))
-
-
-def related(found: DataFrame) -> DataFrame:
-    relation = F.when(F.col("basis") == "exact", "exact_component").when(F.col("basis") == "alias", "variant").otherwise("related")
-    return found.select("query", "record", relation.alias("relation"))
+    """The first of seven conditions."""
+    return scored(spark, sf_dir).select("query", "record", "relation")
 
 
-@query(SCORED + " SELECT query, record, greatest(0, least(1000, raw)) AS score FROM s")
+@query(f"WITH {HITS} SELECT query, record, CAST(score AS INTEGER) AS score FROM sc")
 def match_score(spark, sf_dir):
     """Sum of signed contributions, clamped."""
-    return scored(spark, sf_dir, OTHERS).select("query", "record", "score")
+    return scored(spark, sf_dir).select("query", "record", "score")
 
 
-@query(SCORED + " SELECT query, record, CASE WHEN severe OR greatest(0, least(1000, raw)) < 450 THEN 'rejected' WHEN basis = 'exact' AND raw >= 950 THEN 'auto_accepted' ELSE 'review' END AS decision FROM s")
+@query(f"WITH {HITS} SELECT query, record, decision FROM dc")
 def match_decision(spark, sf_dir):
-    return scored(spark, sf_dir, OTHERS).select("query", "record", "decision")
-
-
-ALL_HITS = """h AS (SELECT q.p_partkey AS query, r.p_partkey AS record, CASE WHEN q.p_name = r.p_name AND q.p_brand = r.p_brand AND q.p_type = r.p_type THEN 'exact' WHEN q.p_name = r.p_name AND q.p_brand = r.p_brand THEN 'alias' ELSE 'name' END AS basis
-FROM part q JOIN part r ON q.p_name = r.p_name WHERE q.p_partkey % 50 = 0 AND r.p_partkey <> q.p_partkey)"""
-ALL_SCORED = f"WITH {ALL_HITS}" + SCORED.removeprefix(f"WITH {HITS}")
-
-
-@query(f"WITH {ALL_HITS} SELECT query, record, basis FROM h")
-def idx_lookup_all(spark, sf_dir):
-    """Look-ups against all records but the query's own."""
-    return hits(spark, sf_dir).select("query", "record", "basis")
-
+    """Severe conflicts reject; only exact, unopposed, doubly evidenced matches from 950 are accepted; below 450 rejected."""
+    return scored(spark, sf_dir).select("query", "record", "decision")
 
-@query(f"WITH {ALL_HITS} SELECT query, record, CASE WHEN basis = 'exact' THEN 'exact_component' WHEN basis = 'alias' THEN 'variant' ELSE 'related' END AS relation FROM h")
-def match_relation_type_all(spark, sf_dir):
-    return related(hits(spark, sf_dir))
 
+def _whole() -> None:
+    """The names that these queries had while only a part of the pages asked."""
+    from partwise.plans.registry import ORACLE, QUERIES
 
-@query(ALL_SCORED + " SELECT query, record, greatest(0, least(1000, raw)) AS score FROM s")
-def match_score_all(spark, sf_dir):
-    return scored(spark, sf_dir).select("query", "record", "score")
+    for name in ("idx_lookup", "match_relation_type", "match_score", "match_decision"):
+        QUERIES[f"{name}_all"], ORACLE[f"{name}_all"] = QUERIES[name], ORACLE[name]
 
 
-@query(ALL_SCORED + " SELECT query, record, CASE WHEN severe OR greatest(0, least(1000, raw)) < 450 THEN 'rejected' WHEN basis = 'exact' AND raw >= 950 THEN 'auto_accepted' ELSE 'review' END AS decision FROM s")
-def match_decision_all(spark, sf_dir):
-    return scored(spark, sf_dir).select("query", "record", "decision")
+_whole()

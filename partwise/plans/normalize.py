@@ -2,15 +2,45 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partwise.functions import text as fn
-from partwise.operators import specs
+from partwise.functions.text import INTERFACES, interfaces
+from partwise.operators import specs, tables
+from partwise.plans import components
 from partwise.plans.registry import query, table
 
-RAW = """raw AS (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'Operating voltage' WHEN 1 THEN 'Supply current' WHEN 2 THEN 'Bus' ELSE 'Colour' END AS label,
-  CASE p_size % 4 WHEN 0 THEN p_size || ' to ' || (p_size + 5) || ' volts' WHEN 1 THEN p_size || ' mA' WHEN 2 THEN 'IIC' ELSE 'red' END AS value FROM part)"""
-REGISTRY = "(VALUES ('electrical.voltage.operating', 'operating voltage', 'quantity', NULL), ('electrical.current.supply', 'supply current', 'quantity', NULL), ('communication.interface', 'bus', 'interface', NULL), ('electrical.current.small', 'supply current', 'quantity', 'SMALL')) r(path, alias, kind, profile)"
+REGISTRY = "reg(path, alias, kind, profile) AS (VALUES " + ", ".join(f"('{path}', '{alias}', '{kind}', {components.sql_text(profile)})" for path, aliases, kind, profile in specs.DEFINITIONS for alias in aliases) + ")"
+PROFILE = "prof AS (SELECT shape, CASE " + " ".join(f"WHEN regexp_matches(lower(t), '{pattern}') THEN '{name}'" for name, pattern in specs.PROFILES) + " ELSE 'generic' END AS profile FROM (SELECT shape, array_to_string(titles || summaries || features || applications, ' ') AS t FROM sh))"
+FACES = "iface(name, pattern) AS (VALUES " + ", ".join(f"('{name}', '{pattern}')" for name, pattern in INTERFACES) + ")"
+_number = "replace(CASE WHEN contains(x, '.') THEN rtrim(rtrim(x, '0'), '.') ELSE x END, '+', '')"
+#: Specifications of the shapes with path, kind and normalized value (null path: unmapped).
+SPECS = f"""{components.SHAPE_ROWS}, {components.SPEC_ROWS}, {REGISTRY}, {PROFILE}, {FACES},
+units(u, symbol) AS (VALUES ('v', 'V'), ('a', 'A'), ('mhz', 'MHz'), ('c', 'c')),
+ns AS (SELECT sp.shape, sp.section, sp.nth, sp.label, sp.value, p.profile, coalesce(own.path, gen.path) AS path, coalesce(own.kind, gen.kind, 'text') AS kind
+  FROM sp JOIN prof p ON sp.shape = p.shape LEFT JOIN reg own ON own.alias = lower(label) AND own.profile = p.profile LEFT JOIN reg gen ON gen.alias = lower(label) AND gen.profile IS NULL),
+nq AS (SELECT ns.*, CASE WHEN kind NOT IN ('text', 'dimensions', 'interface') THEN (SELECT CASE WHEN regexp_matches(value, '^[-+0-9.]+ to ') THEN regexp_extract(value, '^([-+0-9.]+) to ([-+0-9.]+) ', 1) || '..' || regexp_extract(value, '^([-+0-9.]+) to ([-+0-9.]+) ', 2) ELSE regexp_extract(value, '^([-+0-9.]+) ', 1) END || ' ' || symbol FROM units WHERE u = lower(regexp_extract(value, '([A-Za-z]+)$', 1)) AND regexp_matches(value, '^[-+0-9.]+ '))
+  WHEN kind = 'interface' THEN (SELECT string_agg(name, ',' ORDER BY name) FROM iface WHERE regexp_matches(lower(value), pattern)) END AS known FROM ns),
+nv AS (SELECT *, coalesce(known, value) AS normalized FROM nq),
+conf AS (SELECT shape, count(*) AS n_conflicts FROM (SELECT shape, path FROM nv WHERE path IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT normalized) >= 2 AND count(DISTINCT section) >= 2) GROUP BY 1)"""
+
+
+def facts(spark, sf_dir) -> DataFrame:
+    """Facts of the pages with profile, normalized specifications, interfaces and conflicts."""
+    searchable = F.concat_ws(" ", F.array_join("titles", " "), F.array_join("summaries", " "), F.array_join("features", " "), F.array_join("applications", " "))
+    rows = components.facts(spark, sf_dir).withColumn("profile", specs.first_profile(searchable))
+    found = F.transform("specs", lambda s: F.struct(s["section"].alias("section"), s["label"].alias("label"), s["value"].alias("value"), specs.definition(s["label"], F.col("profile")).alias("d")))
+    rows = rows.withColumn("specs", F.transform(found, lambda s: F.struct(s["section"].alias("section"), s["label"].alias("label"), s["value"].alias("value"), s["d"]["path"].alias("path"), specs.normal_value(s["value"], F.coalesce(s["d"]["kind"], F.lit("text"))).alias("normalized"))))
+    mapped = F.filter("specs", lambda s: s["path"].isNotNull())
+    rows = tables.stored(rows, "facts")
+    paths = F.array_distinct(F.transform(mapped, lambda s: s["path"]))
+    same = lambda p, field: F.size(F.array_distinct(F.transform(F.filter("specs", lambda s: s["path"] == p), lambda s: s[field].cast("string"))))
+    said = F.filter("specs", lambda s: s["path"] == "communication.interface")
+    return rows.withColumns({
+        "paths": paths, "n_mapped": F.size(mapped), "n_unmapped": F.size("specs") - F.size(mapped), "conflicts": F.filter(paths, lambda p: (same(p, "normalized") >= 2) & (same(p, "section") >= 2)),
+        "interfaces": F.array_distinct(F.flatten(F.transform(said, lambda s: interfaces(s["value"])))),
+    })
 
 
 def raw_specs(spark, sf_dir):
@@ -22,19 +52,18 @@ def raw_specs(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", "p_type", label.alias("label"), value.alias("value"))
 
 
-@query("""SELECT doc_id, CASE WHEN regexp_matches(lower(text), '(^|[^a-zß-ÿ])(der|die|und)([^a-zß-ÿ]|$)') THEN 'german' WHEN regexp_matches(lower(text), '(^|[^a-zß-ÿ])(le|les|des)([^a-zß-ÿ]|$)') THEN 'french' WHEN regexp_matches(lower(text), '(^|[^a-zß-ÿ])(el|los|que)([^a-zß-ÿ]|$)') THEN 'spanish' WHEN regexp_matches(lower(text), '(^|[^a-zß-ÿ])(the|and)([^a-zß-ÿ]|$)') THEN 'english' ELSE 'generic' END AS profile FROM documents""")
+@query(f"""WITH {SPECS} SELECT p_partkey, profile FROM part JOIN prof ON p_partkey % {components.N} = shape""")
 def norm_profile(spark, sf_dir):
-    """The first of ordered patterns that fits, else generic."""
-    rules = [("german", "(^|[^a-zß-ÿ])(der|die|und)([^a-zß-ÿ]|$)"), ("french", "(^|[^a-zß-ÿ])(le|les|des)([^a-zß-ÿ]|$)"), ("spanish", "(^|[^a-zß-ÿ])(el|los|que)([^a-zß-ÿ]|$)"), ("english", "(^|[^a-zß-ÿ])(the|and)([^a-zß-ÿ]|$)")]
-    return table(spark, sf_dir, "documents").select("doc_id", specs.first_profile(F.lower("text"), rules, "generic").alias("profile"))
+    """The first profile whose pattern the page's titles, summaries, features and applications hold, else generic."""
+    return facts(spark, sf_dir).select("p_partkey", "profile")
 
 
-@query(f"""WITH {RAW} SELECT raw.p_partkey, coalesce(s.path, g.path, 'unmapped') AS path,
-  CASE WHEN coalesce(s.path, g.path) IS NULL THEN value WHEN coalesce(s.kind, g.kind) = 'interface' THEN 'i2c' WHEN label = 'Operating voltage' THEN p_size || '..' || (p_size + 5) || ' V' ELSE p_size || ' mA' END AS normalized
-FROM raw JOIN part USING (p_partkey) LEFT JOIN (SELECT * FROM {REGISTRY} WHERE profile IS NOT NULL) s ON lower(label) = s.alias AND p_type = s.profile LEFT JOIN (SELECT * FROM {REGISTRY} WHERE profile IS NULL) g ON lower(label) = g.alias""")
+@query(f"""WITH {SPECS} SELECT p_partkey, CAST(section AS INTEGER) AS nth_table, label, coalesce(path, 'unmapped') AS path, replace(normalized, '{{k}}', p_partkey::VARCHAR) AS normalized FROM part JOIN nv ON p_partkey % {components.N} = shape""")
 def norm_specs(spark, sf_dir):
     """Registry look-up (profile first), value parsing; unmapped facts are kept."""
-    return specs.normalized(raw_specs(spark, sf_dir).withColumnRenamed("p_type", "profile")).select("p_partkey", "path", "normalized")
+    first = F.array_min(F.transform("specs", lambda s: s["section"]))
+    rows = facts(spark, sf_dir).select("p_partkey", first.alias("first"), F.explode("specs").alias("s"))
+    return rows.select("p_partkey", (F.col("s.section") - F.col("first")).cast("int").alias("nth_table"), "s.label", F.coalesce("s.path", F.lit("unmapped")).alias("path"), "s.normalized")
 
 
 @query("""SELECT p_partkey, unnest(string_split(CASE p_size % 3 WHEN 0 THEN 'i2c,spi' WHEN 1 THEN 'uart' ELSE 'unmapped' END, ',')) AS interface FROM part""")
@@ -59,15 +88,15 @@ def norm_merge(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_returnflag").agg(F.count("*").alias("n_evidence"), F.array_join(places, " ").alias("evidence"))
 
 
-@query(f"""SELECT DISTINCT array_to_string(s[1:i], '.') AS branch FROM (SELECT s, unnest(range(1, len(s))) AS i FROM (SELECT string_split(path, '.') AS s FROM {REGISTRY}))""")
+@query(f"""WITH {REGISTRY} SELECT DISTINCT array_to_string(s[1:i], '.') AS branch FROM (SELECT s, unnest(range(1, len(s))) AS i FROM (SELECT DISTINCT string_split(path, '.') AS s FROM reg))""")
 def norm_taxonomy_branches(spark, sf_dir):
     """All proper prefixes of the registry's dotted paths."""
     return specs.branches(specs.registry(spark))
 
 
-@query(f"""SELECT count(*) AS overlaps, count(*) = 0 AS valid FROM {REGISTRY} JOIN (SELECT * FROM {REGISTRY}) q ON r.alias = q.alias AND r.path < q.path AND (r.profile = q.profile OR (r.profile IS NULL AND q.profile IS NULL))""")
+@query(f"""WITH {REGISTRY} SELECT count(*) AS overlaps, count(*) = 0 AS valid FROM reg r JOIN reg q ON r.alias = q.alias AND r.path < q.path AND (r.profile = q.profile OR (r.profile IS NULL AND q.profile IS NULL))""")
 def norm_registry_check(spark, sf_dir):
-    """No two definitions may share an alias within a profile."""
+    """No two definitions may share an alias within a profile, or both be for all."""
     a = specs.registry(spark).select("path", "alias", "profile")
     b = a.select(F.col("path").alias("p2"), F.col("alias").alias("a2"), F.col("profile").alias("f2"))
     clash = a.join(b, (F.col("alias") == F.col("a2")) & F.col("profile").eqNullSafe(F.col("f2")) & (F.col("path") < F.col("p2")))

@@ -32,12 +32,17 @@ def scan_child_ordered(spark, sf_dir):
 
 
 @query("""
-SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS n_bytes, sha256(html) AS content_sha256,
-       octet_length(encode(html)) <= 2097152 AS accepted FROM pages""")
+SELECT page_id, ltrim(regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1), '/') AS path, CAST(octet_length(encode(html)) AS BIGINT) AS n_bytes, sha256(html) AS content_sha256,
+  CASE WHEN octet_length(encode(html)) > 2097152 THEN 'file_too_large' WHEN regexp_matches(ltrim(regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1), '/'), '(^|/)[.][.]?(/|$)|^$') THEN 'path_unsafe' WHEN (SELECT count(*) FROM pages) > 10000 THEN 'too_many_files' ELSE 'ok' END AS verdict,
+  (SELECT sha256(string_agg(page_id || ':' || sha256(html), ',' ORDER BY page_id)) FROM pages) AS revision FROM pages""")
 def src_snapshot(spark, sf_dir):
-    """A bounded file map: size limit and content digest of every file."""
-    n = F.octet_length("html").cast("long")
-    return table(spark, sf_dir, "pages").select("page_id", n.alias("n_bytes"), F.sha2("html", 256).alias("content_sha256"), (n <= 2 * 1024 * 1024).alias("accepted"))
+    """A bounded file map: path, size and count limits, content digest of every file, and the revision that pins all of them."""
+    pages = table(spark, sf_dir, "pages")
+    n, path = F.octet_length("html").cast("long"), F.ltrim(F.regexp_extract("url", "^[a-z]+://[^/]+(/[^?#]*)", 1), F.lit("/"))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("page_id", F.sha2("html", 256).alias("h")))), lambda x: F.concat_ws(":", x["page_id"], x["h"]))
+    whole = pages.limit(10_001).agg(F.count("*").alias("files"), F.sha2(F.array_join(listed, ","), 256).alias("revision"))  # the limit on files bounds it
+    verdict = F.when(n > 2 * 1024 * 1024, "file_too_large").when(path.rlike(r"(^|/)\.\.?(/|$)|^$"), "path_unsafe").when(F.col("files") > 10_000, "too_many_files").otherwise("ok")
+    return pages.join(F.broadcast(whole), how="inner").select("page_id", path.alias("path"), n.alias("n_bytes"), F.sha2("html", 256).alias("content_sha256"), verdict.alias("verdict"), "revision")  # whole: one row
 
 
 @query("""
@@ -82,12 +87,16 @@ def src_site_adapters(spark, sf_dir):
     return site_outcome(table(spark, sf_dir, "pages"))
 
 
-@query("""SELECT item_id, sha256(text) AS sha, CAST(length(text) AS BIGINT) AS size, sha256(text) = sha256(text) AS verified FROM benchmark""")
+@query("""SELECT item_id, sha256(text) AS sha, CAST(length(text) AS BIGINT) + CASE WHEN item_id % 7 = 0 THEN 1 ELSE 0 END AS size, CASE WHEN item_id % 7 = 0 THEN 'digest_mismatch' WHEN item_id % 11 = 0 THEN 'missing_in_manifest' ELSE 'ok' END AS verdict FROM benchmark""")
 def src_index_artifact(spark, sf_dir):
-    """A JSON index artifact: written as JSON lines with digests, parsed by schema, each digest verified."""
-    made = table(spark, sf_dir, "benchmark").select(F.to_json(F.struct("item_id", "text", F.sha2("text", 256).alias("sha"))).alias("line"))
-    parsed = made.select(F.from_json("line", "item_id bigint, text string, sha string").alias("r")).select("r.*")
-    return parsed.select("item_id", "sha", F.length("text").cast("long").alias("size"), (F.sha2("text", 256) == F.col("sha")).alias("verified"))
+    """A JSON index artifact against its manifest: records by schema, digests recomputed (every seventh record was altered on its way, every eleventh isn't listed)."""
+    items = table(spark, sf_dir, "benchmark")
+    altered = F.when(F.col("item_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    lines = items.select(F.to_json(F.struct("item_id", altered.alias("text"), F.sha2("text", 256).alias("sha"))).alias("line"))
+    manifest = items.where("item_id % 7 = 0 OR item_id % 11 <> 0").select(F.col("item_id").alias("listed"), F.sha2("text", 256).alias("expected"))
+    parsed = lines.select(F.from_json("line", "item_id bigint, text string, sha string").alias("r")).select("r.*").join(manifest, F.col("item_id") == F.col("listed"), "left")
+    verdict = F.when(F.col("expected").isNull(), "missing_in_manifest").when(F.sha2("text", 256) != F.col("expected"), "digest_mismatch").otherwise("ok")
+    return parsed.select("item_id", "sha", F.length("text").cast("long").alias("size"), verdict.alias("verdict"))
 
 
 @query("""SELECT page_id, 'pages/' || page_id || '.html' AS object_key, CAST(octet_length(encode(html)) AS BIGINT) AS size FROM pages WHERE html IS NOT NULL ORDER BY object_key LIMIT 1000""")
@@ -104,7 +113,14 @@ def src_local_dir(spark, sf_dir):
     return files.select(F.regexp_extract("path", r"((?:[^/]+\.parquet/)?[^/]+)$", 1).alias("name"), "length", F.sha2("content", 256).alias("sha"), F.col("path").rlike("|".join(SUPPORTED_SUFFIXES)).alias("supported"))
 
 
-@query()
+@query("""
+WITH a AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '\\b([0-9]{1,3}(?:\\.[0-9]{1,3}){3})\\b', 1)) AS address FROM documents),
+o AS (SELECT *, list_transform(string_split(address, '.'), lambda x: CAST(x AS INTEGER)) AS p, regexp_matches(address, '(^|[.])0[0-9]') AS padded FROM a),
+n AS (SELECT *, p[1] * 16777216::BIGINT + p[2] * 65536 + p[3] * 256 + p[4] AS n FROM o),
+nets(base, bits) AS (VALUES ('0.0.0.0', 8), ('10.0.0.0', 8), ('172.16.0.0', 12), ('192.0.0.0', 24), ('192.0.2.0', 24), ('192.168.0.0', 16), ('198.18.0.0', 15), ('198.51.100.0', 24), ('203.0.113.0', 24)),
+m AS (SELECT list_sum(list_transform(string_split(base, '.'), lambda x, i: CAST(x AS BIGINT) << (8 * (4 - i)))) >> (32 - bits) AS net, 32 - bits AS rest FROM nets)
+SELECT doc_id, address, CASE WHEN padded OR len(list_filter(p, lambda x: x > 255)) > 0 THEN 'malformed' WHEN p[1] = 127 THEN 'loopback' WHEN p[1] = 169 AND p[2] = 254 THEN 'link_local' WHEN p[1] BETWEEN 224 AND 239 THEN 'multicast' WHEN n = 0 THEN 'unspecified'
+  WHEN p[1] >= 240 THEN 'reserved' WHEN EXISTS (SELECT 1 FROM m WHERE n >> rest = net) AND address NOT IN ('192.0.0.9', '192.0.0.10') THEN 'private' WHEN p[1] = 100 AND p[2] BETWEEN 64 AND 127 THEN 'not_global' ELSE 'ok' END AS verdict FROM n""")
 def ip_policy(spark, sf_dir):
     """Addresses in documents, with the reason why a non-global one is rejected."""
     from partwise.sources.addresses import address_verdict

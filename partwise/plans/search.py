@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from partwise.functions import rank, text
+from partwise.functions import rank
+from partwise.operators import tables
 from partwise.operators.similarity import similar_pairs, trigram_table
 from partwise.plans.registry import query, table
 
@@ -59,26 +60,36 @@ def trgm_similarity(spark, sf_dir):
     return similar_pairs(names, names, 0.2).where("a < b").select("a", "b", F.round("similarity", 9).alias("similarity"))
 
 
-WORDS = "regexp_extract_all(lower(p_name || ' ' || p_brand || ' ' || p_type), '[a-z0-9]+')"
-SIM = f"""SELECT p_partkey, greatest({', '.join(f"list_max(list_transform(range(0, greatest(len(w) - {n}, 0) + 1), lambda i: len(list_intersect(g, " + GRAMS.format(f"array_to_string(w[i + 1 : i + {n}], ' ')") + ")) / CAST(len(g) AS DOUBLE)))" for n in (1, 2, 3))}) AS sim FROM (SELECT p_partkey, {WORDS} AS w, {GRAMS.format("'blu smal'")} AS g FROM part)"""
+SEQUENCE = GRAMS.removeprefix("list_distinct(").removesuffix(")")
+_hit = "len(list_intersect(g, seq[a:b]))"
+SIM = f"""SELECT p_partkey, coalesce(list_max(flatten(list_transform(ps, lambda a: list_transform(list_filter(ps, lambda b: b >= a), lambda b: {_hit} / CAST(len(g) + len(list_distinct(seq[a:b])) - {_hit} AS DOUBLE))))), 0) AS sim
+FROM (SELECT *, list_filter(range(1, len(seq) + 1), lambda i: list_contains(g, seq[i])) AS ps FROM (SELECT p_partkey, {SEQUENCE.format("(p_name || ' ' || p_brand || ' ' || p_type)")} AS seq, {GRAMS.format("'NEEDLE'")} AS g FROM part))"""
 
 
-@query(f"""SELECT p_partkey, round(sim, 9) AS similarity FROM ({SIM}) WHERE sim >= 0.4""")
+@query(f"""SELECT p_partkey, round(sim, 9) AS similarity FROM ({SIM.replace("NEEDLE", "blu smal")}) WHERE sim >= 0.3""")
 def trgm_word_similarity(spark, sf_dir):
-    """Best stretch of the text's words against the needle's trigrams."""
-    sim = rank.word_similarity(F.lit("blu smal"), F.col("all_text"), text.trigrams)
-    return search_documents(spark, sf_dir).select("p_partkey", F.round(sim, 9).alias("similarity")).where("similarity >= 0.4")
+    """Best stretch of the text's trigrams against the needle's; the share of the needle's trigrams sorts texts out first."""
+    needle = F.lit("blu smal")
+    docs = search_documents(spark, sf_dir).where(rank.word_share(needle, F.col("all_text")) >= 0.3)
+    return docs.select("p_partkey", F.round(rank.word_similarity(needle, F.col("all_text")), 9).alias("similarity")).where("similarity >= 0.3")
 
 
-@query(COVER + f""", w AS ({SIM.replace("'blu smal'", "'blue small'")})
-SELECT p.p_partkey, round(coalesce(r.rank, 0) + 0.35 * w.sim, 6) AS score, (SELECT count(*) FROM part q JOIN w v ON q.p_partkey = v.p_partkey WHERE v.sim >= 0.6 AND q.p_size >= 10) AS total
-FROM part p JOIN w ON p.p_partkey = w.p_partkey LEFT JOIN r ON p.p_partkey = r.p_partkey WHERE w.sim >= 0.6 AND p.p_size >= 10 ORDER BY score DESC, p.p_partkey DESC LIMIT 20""")
+RANKED = COVER + f""", w AS ({SIM.replace("NEEDLE", "blue small")}),
+m AS (SELECT p.p_partkey, round(coalesce(r.rank, 0) + 0.35 * w.sim, 6) AS score FROM part p JOIN w ON p.p_partkey = w.p_partkey LEFT JOIN r ON p.p_partkey = r.p_partkey WHERE p.p_size >= 10 AND (w.sim >= 0.6 OR r.rank IS NOT NULL))"""
+
+
+@query(RANKED + """ SELECT p_partkey, score, (SELECT count(*) FROM m) AS total FROM m ORDER BY score DESC, p_partkey DESC LIMIT 20""")
 def search_rank(spark, sf_dir):
-    """Filters, match by words or trigrams, rank plus 0.35 word similarity, top 20 with the total."""
-    docs = search_documents(spark, sf_dir).where("p_size >= 10")
-    sim = rank.word_similarity(F.lit("blue small"), F.col("all_text"), text.trigrams)
-    cover = F.when(rank.matches_all(F.col("tokens"), NEEDLE), F.round(rank.cover_rank(F.col("tokens"), NEEDLE), 9)).otherwise(F.lit(0.0))
-    hits = docs.withColumn("sim", sim).where("sim >= 0.6").select("p_partkey", F.round(cover + 0.35 * F.col("sim"), 6).alias("score"))
+    """Filters, match by words or by trigrams, rank plus 0.35 word similarity, top 20 with the total.
+
+    Texts whose share of the needle's trigrams is too small and that lack a word
+    are gone before anything is ranked; hits are stored once for top and total.
+    """
+    needle = F.lit(" ".join(NEEDLE))
+    docs = search_documents(spark, sf_dir).where("p_size >= 10").withColumn("words", rank.matches_all(F.col("tokens"), NEEDLE))
+    docs = docs.where(F.col("words") | (rank.word_share(needle, F.col("all_text")) >= 0.6)).withColumn("sim", rank.word_similarity(needle, F.col("all_text")))
+    cover = F.when(F.col("words"), F.round(rank.cover_rank(F.col("tokens"), NEEDLE), 9)).otherwise(F.lit(0.0))
+    hits = tables.stored(docs.where("words OR sim >= 0.6").select("p_partkey", F.round(cover + 0.35 * F.col("sim"), 6).alias("score")), "search-hits")
     top = hits.orderBy(F.desc("score"), F.desc("p_partkey")).limit(20)
     return top.join(F.broadcast(hits.agg(F.count("*").alias("total"))), how="inner")  # one row
 
@@ -89,8 +100,10 @@ def search_empty(spark, sf_dir):
     return table(spark, sf_dir, "part").where("p_size >= 45").select("p_partkey").orderBy(F.desc("p_partkey")).limit(50)
 
 
-@query()
+@query("""SELECT 'scan of parts' AS step, true AS found UNION ALL SELECT 'filter reaches the scan', true UNION ALL SELECT 'only the columns in use are read', true""")
 def search_explain(spark, sf_dir):
-    """The physical plan of the search as rows (the plan is text that the driver makes)."""
-    plan = search_rank(spark, sf_dir)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
-    return spark.createDataFrame([(i, line) for i, line in enumerate(plan.split("\n"))], "n int, line string")
+    """What the physical plan of the search says: the scan, its pushed filter, and its columns."""
+    docs = search_documents(spark, sf_dir).where("p_size >= 10").where(rank.matches_all(F.col("tokens"), NEEDLE)).select("p_partkey")
+    plan = docs._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    seen = [("scan of parts", "Scan parquet" in plan), ("filter reaches the scan", "GreaterThanOrEqual(p_size,10)" in plan), ("only the columns in use are read", "p_retailprice" not in plan)]
+    return spark.createDataFrame(seen, "step string, found boolean")

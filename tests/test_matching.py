@@ -2,18 +2,37 @@
 
 import os
 
+from pyspark.sql import functions as F
+
 from partwise.plans import registry  # loads the modules of queries, in order
 
 
 def test_queries_match_each_other_but_not_themselves(spark):
-    from partwise.plans import aggregates, matching
+    from partwise.plans import aggregates
 
     parts = spark.createDataFrame([(k, "blue ring", "Brand#1", "LARGE") for k in (50, 51, 100)], "p_partkey long, p_name string, p_brand string, p_type string")
     want = {(50, 51), (50, 100), (100, 50), (100, 51)}
-    assert {(r["query"], r["record"]) for r in matching.hits_in(parts).collect()} == want
     assert {(r["p_partkey"], r["rec"]) for r in aggregates.most_shared(parts, 50).collect()} == want
 
 
+def test_every_rule_of_the_matcher_fires(spark):
+    from partwise.operators import matching as m
+    from partwise.plans import matching
+
+    rows = matching.scored(spark, "/root/testdata/sf0.01").select("given.rule", "relation", "decision", "basis").distinct().collect()
+    assert {x for r in rows for x in r["rule"]} == set(m.WEIGHTS) - {"generic", "unproven"}  # generic hits go before they are scored; every key of a page is one of its own terms
+    assert {r["relation"] for r in rows} == {"connector", "exact_component", "main_integrated_circuit", "onboard_component", "functional_equivalent"}
+    assert {r["decision"] for r in rows} == {"auto_accepted", "review", "rejected"} and {r["basis"] for r in rows} == set(m.BASES)
+
+
+def test_generic_names(spark):
+    from partwise.operators import matching as m
+
+    rows = [("R", True), ("Conn_01x04", True), ("Connector_Generic_2", True), ("LED RED", True), ("Rotary", False), ("BME280", False)]
+    got = spark.createDataFrame(rows, "s string, want boolean").select(m.is_generic(F.col("s")).alias("g"), "want").collect()
+    assert all(r["g"] == r["want"] for r in got)
+
+
 def test_a_folder_is_listed_whole(spark):
     folder = "/root/testdata/sf0.001"
     got = {r["name"]: r["length"] for r in registry.QUERIES["src_local_dir"](spark, folder).select("name", "length").collect()}

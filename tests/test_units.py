@@ -83,3 +83,27 @@ def test_entry_point(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_word_similarity_takes_any_stretch(spark):
+    from pyspark.sql import functions as F
+
+    from partwise.functions import rank
+
+    rows = [("word", "two words", 0.8), ("word", "", 0.0), ("abc", "abc", 1.0), ("alpha beta gamma delta", "x alpha beta gamma delta y", 1.0)]
+    got = spark.createDataFrame(rows, "n string, t string, want double").select(rank.word_similarity(F.col("n"), F.col("t")).alias("s"), "want").collect()
+    assert all(abs(r["s"] - r["want"]) < 1e-9 for r in got)
+
+
+def test_keyed_digest_is_hmac(spark):
+    import hashlib
+    import hmac
+
+    from pyspark.sql import functions as F
+
+    from partwise.plans import registry  # noqa: F401  loads the modules of queries, in order
+    from partwise.plans.extras import keyed_digest
+
+    for key in (b"k", b"x" * 100):
+        got = spark.createDataFrame([("é",), ("",), (None,)], "v string").select(keyed_digest(F.col("v"), key).alias("h")).collect()
+        assert [r["h"] for r in got] == [hmac.new(key, v.encode(), hashlib.sha256).hexdigest() for v in ("é", "")] + [None]
