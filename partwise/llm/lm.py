@@ -20,7 +20,8 @@ both stay of bounded size. Words are keyed by a 64-bit hash.
 
 Defined cases: a null text is empty: one end token, one end byte; a null
 doc_id counts as learned from; equal rows count as often as they occur; with no
-training rows the base score is 0 for each token and each bit has chance 1/2.
+training rows the base score is 0 for each token and each bit has chance 1/2; other columns
+are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -88,17 +89,6 @@ def grams_of(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     return key[keep], starts - DEPTH * np.arange(len(parts))
 
 
-def _tally(keys: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    if not keys:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    return key, np.bincount(inverse, weights=np.concatenate(times).astype(np.float64), minlength=len(key)).astype(np.int64)
-
-
-def _hashed(words) -> np.ndarray:
-    return np.fromiter(map(word_key, words), dtype=np.int64, count=len(words))
-
-
 def packed(keys: np.ndarray) -> bytes:
     """Ascending keys as byte planes of their differences."""
     steps = np.diff(keys.view(np.uint64), prepend=np.uint64(0))
@@ -329,7 +319,7 @@ def scored(docs: DataFrame, doc_id="doc_id", text="text", folds: int = 7, held:
     size = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("c"), F.count("*").alias("n")).first()
     chunks = max(1, -(-size["c"] // CHUNK_CHARS), -(-size["n"] // 200_000), min(FEW_CHUNKS, size["c"] // LEAST_CHARS))
     remainder = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds, F.lit(0))
-    docs = docs.withColumn("learn", remainder != held).withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(chunks)).cast("int"))
+    docs = docs.withColumn("learn", remainder != held).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
 
     reports = stored(docs.groupBy("chunk").applyInArrow(_chunk_counts(chunks), REPORT), "lm-counts")
     released(spark)

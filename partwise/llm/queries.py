@@ -85,4 +85,46 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_mix_sources, op2_pivot_top_k, op3_arc_to_warc, op4_huffman_tokens, op5_context_tree_score, op6_fm_decontaminate, op7_setsketch_near_duplicates, op8_pii_bootstrap, op9_license_scan, op10_language_id)
 }
 
-ORACLE: dict[str, str] = {}
+# The same rows by plain SQL where it can express the contract (ASCII case only; words as the contracts say).
+_upper, _lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_folded = f"translate(coalesce(text, ''), '{_upper}', '{_lower}')"
+_blank_words = f"regexp_extract_all({_folded}, '[^\\x20\\x09-\\x0D]+')"
+
+ORACLE: dict[str, str] = {
+    "op1_mix_sources": f"""
+WITH d AS (SELECT doc_id, source, text, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, md5('17' || chr(31) || coalesce(doc_id::VARCHAR, chr(0)) || chr(31) || coalesce(text, chr(0))) AS tie,
+  CASE WHEN length(text) > 0 THEN greatest(0.1::DOUBLE, length(translate(text, '0123456789*#$%&|<>{{}}[]=_~^@+\\/', '')) / CAST(length(text) AS DOUBLE)) ELSE 1.0::DOUBLE END AS w FROM documents),
+k AS (SELECT *, -ln((('0x' || substr(tie, 1, 12))::BIGINT + 1) / CAST(281474976710656 AS DOUBLE)) / w AS key FROM d),
+s AS (SELECT source, CAST(sum(size) AS DOUBLE) AS n, [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS w FROM d GROUP BY source),
+l AS (SELECT *, 2 * n / w AS full_at, row_number() OVER (ORDER BY 2 * n / w, source NULLS LAST) AS rn FROM s),
+v AS (SELECT *, (1.5::DOUBLE * sum(n) OVER () - coalesce(sum(2 * n) OVER (ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY rn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM l),
+t AS (SELECT source, n, CASE WHEN full_at <= level THEN 2 * n ELSE least(2 * n, first_value(CASE WHEN full_at > level THEN level END IGNORE NULLS) OVER (ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) * w) END AS target FROM v),
+e AS (SELECT *, CASE WHEN n > 0 THEN floor(target / n) ELSE 0 END AS epochs FROM t),
+a AS (SELECT k.doc_id, k.size, e.source, e.n, e.target, e.epochs, e.target - e.epochs * e.n AS rest, sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id, tie RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source),
+c AS (SELECT source, arg_min(upto, (abs(upto - rest), upto)) AS best FROM (SELECT source, upto, rest FROM a UNION ALL SELECT source, 0, max(rest) FROM a GROUP BY source) GROUP BY source)
+SELECT doc_id, size, CAST(n AS BIGINT) AS source_size, target, CAST(size * (epochs + CASE WHEN rest > 0 AND upto <= best THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM a JOIN c ON a.source IS NOT DISTINCT FROM c.source""",
+    "op2_pivot_top_k": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rn AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rn FROM s) WHERE rn <= 5""",
+    "op3_arc_to_warc": """
+WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n, sha256(coalesce(html, '')) AS digest FROM pages), f AS (SELECT *, n >= 100 AND page_id <> min(page_id) OVER (PARTITION BY digest) AS again, min(page_id) OVER (PARTITION BY digest) AS first FROM p)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to FROM f""",
+    "op6_fm_decontaminate": f"""
+WITH w AS (SELECT doc_id, regexp_extract_all({_folded}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, ws, least(len(ws), 10) AS n FROM (SELECT item_id, regexp_extract_all({_folded}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM benchmark) WHERE len(ws) > 0),
+g AS (SELECT DISTINCT item_id, n, array_to_string(ws[i : i + n - 1], ' ') AS gram FROM (SELECT *, unnest(range(1, len(ws) - n + 2)) AS i FROM b)),
+o AS (SELECT doc_id, n, i, array_to_string(ws[i : i + n - 1], ' ') AS gram FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM w, (SELECT DISTINCT n FROM g) WHERE len(ws) >= n)),
+h AS (SELECT doc_id, item_id, o.i, o.n FROM o JOIN g ON o.n = g.n AND o.gram = g.gram),
+p AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS place FROM (SELECT DISTINCT doc_id, i, n FROM h)) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS digest FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(digest, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM w LEFT JOIN p ON w.doc_id = p.doc_id LEFT JOIN t ON w.doc_id = t.doc_id""",
+    "op7_setsketch_near_duplicates": f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_blank_words} AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i : i + 4], ' ') AS sh FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS (SELECT x.doc_id AS a, y.doc_id AS b FROM s x JOIN s y ON x.sh = y.sh AND x.doc_id <> y.doc_id JOIN n p ON p.doc_id = x.doc_id JOIN n q ON q.doc_id = y.doc_id GROUP BY 1, 2, p.n, q.n HAVING 100 * count(*) >= 75 * (p.n + q.n - count(*))),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS least FROM r GROUP BY a)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, least(w.doc_id, coalesce(c.least, w.doc_id)) AS component_id, w.doc_id <= coalesce(c.least, w.doc_id) AS kept FROM w LEFT JOIN n ON w.doc_id = n.doc_id LEFT JOIN c ON w.doc_id = c.a""",
+}

@@ -6,16 +6,20 @@ bound over all pivots turns into an upper bound of the inner product,
 ``(|q|^2 + |x|^2 - bound^2) / 2``. Candidates are evaluated in the order of
 that bound until it falls below the k-th best score.
 
-Queries go in blocks of bounded bytes (``block_bytes``), each sent to all
-partitions of the candidates; a partition returns its k best for a query, and a
-ranked window merges them. Pivots and first thresholds come from a bounded
-sample of rows (``sample``); they only prune, the result is exact.
+Pivots come from a bounded sample of rows (``sample``). The distances of all rows
+to them are computed once and stored with the vectors; so are the queries, each
+with a first threshold, its k-th best score in the sample. Both only prune, the
+result is exact. Queries go in blocks of bounded bytes (``block_bytes``), each
+sent to all partitions of the stored table; a partition returns its k best for a
+query, and a ranked window merges them. With several blocks each one's results
+are stored, so the plan stays of one size.
 
 Defined cases: null vectors, vectors with null or non-finite components and
 rows without id take no part; vectors of unlike lengths are never compared; a
 query id that occurs in several rows asks with its smallest vector; rows with
 the query's id are not its candidates; any other repeated row counts as often
-as it occurs; ties go to the smaller id. Scores beyond 64 bits are clipped.
+as it occurs; ties go to the smaller id; other columns are ignored; an empty table
+gives an empty result. Scores beyond 64 bits are clipped.
 """
 
 from __future__ import annotations
@@ -27,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import new_path, stored
+
 
 def _vectors(ids: pa.Array, vectors: pa.Array, scale: float) -> list[tuple[np.ndarray, np.ndarray]]:
     """(ids, integer vectors as float64) of the valid rows, one pair for each length."""
@@ -83,26 +89,19 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.n
 
 
 class Block:
-    """A block of queries of one vector length, with pivots and first thresholds."""
+    """A block of queries of one vector length, with their distances to the pivots and first thresholds."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, sample: tuple[np.ndarray, np.ndarray], pivots: int, k: int):
-        self.ids, self.q, self.k = ids, vectors, k
-        self.pivots = _far_apart(sample[1] if len(sample[0]) else vectors, pivots)
-        self.to_pivots = _distances(vectors, self.pivots)
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, to_pivots: np.ndarray, floor: np.ndarray, k: int):
+        self.ids, self.q, self.to_pivots, self.floor, self.k = ids, vectors, to_pivots, floor, k
         self.norms = (vectors**2).sum(1)
-        self.floor = np.full(len(ids), -np.inf)
-        for i in range(len(ids)):
-            others = sample[0] != ids[i]
-            if others.sum() >= k:
-                self.floor[i] = np.sort(_scores(sample[1][others], vectors[i]))[-k]
 
-    def search(self, found: dict, ids: np.ndarray, x: np.ndarray, step: int = 512, at_once: int = 128) -> None:
+    def search(self, found: dict, ids: np.ndarray, x: np.ndarray, to_pivots: np.ndarray, step: int = 512, at_once: int = 128) -> None:
         """Update ``found`` (query row -> ids, scores) with the candidates ``x``."""
-        norms, to_pivots = (x**2).sum(1), _distances(x, self.pivots)
+        norms = (x**2).sum(1)
         for lo in range(0, len(self.ids), at_once):
             part = slice(lo, lo + at_once)
             bound = np.zeros((len(self.ids[part]), len(ids)))
-            for p in range(len(self.pivots)):
+            for p in range(to_pivots.shape[1]):
                 np.maximum(bound, np.abs(np.subtract.outer(self.to_pivots[part, p], to_pivots[:, p])), out=bound)
             most = np.add.outer(self.norms[part], norms)
             slack = 1 + 1e-9 * most  # rounding never lowers an upper bound
@@ -124,34 +123,74 @@ class Block:
                 found[i] = own_ids, own
 
 
-def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0, pivots: int = 32, sample: int = 2048, block_bytes: int = 4 << 20) -> DataFrame:
+MEASURED = "id long, d int, x binary, dist binary, floor double"
+
+
+def _measured(rows: DataFrame, pivots: dict[int, np.ndarray], scale: float, sample: dict[int, tuple[np.ndarray, np.ndarray]] | None, k: int) -> DataFrame:
+    """Valid vectors of (id, v) as numbers with their distances to the pivots of their length; with a ``sample`` also the k-th best score in it."""
+    sent = rows.sparkSession.sparkContext.broadcast((pivots, sample))  # bounded by the sample
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, drawn = sent.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                for ids, x in _vectors(part.column(0), part.column(1), scale):
+                    dist = _distances(x, own.get(x.shape[1], np.zeros((0, x.shape[1]))))
+                    floor = np.full(len(ids), -np.inf)
+                    if drawn is not None and x.shape[1] in drawn:
+                        other_ids, other = drawn[x.shape[1]]
+                        for i in range(len(ids)):
+                            scores = _scores(other, x[i])[other_ids != ids[i]]
+                            if len(scores) >= k:
+                                floor[i] = np.partition(scores, -k)[-k]
+                    columns = [pa.array(ids), pa.array(np.full(len(ids), x.shape[1], np.int32)), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in dist], pa.binary()), pa.array(floor)]
+                    yield pa.RecordBatch.from_arrays(columns, ["id", "d", "x", "dist", "floor"])
+
+    return rows.mapInArrow(measure, MEASURED)
+
+
+def _unpacked(batch: pa.RecordBatch | pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
+    """(ids, vectors, distances, floors) for each vector length of a batch of measured rows."""
+    d, ids, floor = (np.asarray(batch.column(c).to_numpy(zero_copy_only=False) if isinstance(batch.column(c), pa.Array) else batch.column(c).to_numpy()) for c in ("d", "id", "floor"))
+    x, dist = batch.column("x").to_pylist(), batch.column("dist").to_pylist()
+    for size in np.unique(d):
+        at = np.nonzero(d == size)[0]
+        yield ids[at], *(np.frombuffer(b"".join(c[i] for i in at)).reshape(len(at), -1) if size or c is dist else np.zeros((len(at), 0)) for c in (x, dist)), floor[at]
+
+
+def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0, pivots: int = 32, sample: int = 2048, block_bytes: int = 32 << 20) -> DataFrame:
     """query_id, rank, vec_id, score of the k best candidates of every query row."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
-    queries = rows.where(is_query & F.col("id").isNotNull() & F.col("v").isNotNull()).groupBy("id").agg(F.min("v").alias("v"))
-    size = queries.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("v")), F.lit(1)).alias("d")).first()
-    blocks = max(1, -(-size["n"] * max(1, size["d"]) * 8 // block_bytes))
     drawn = {x.shape[1]: (i, x) for i, x in _vectors(*_columns(rows.orderBy(F.xxhash64("id"), "id").limit(sample)), scale)}
-    parts = None
+    chosen = {d: _far_apart(x, pivots) for d, (_, x) in drawn.items()}
+    table = stored(_measured(rows, chosen, scale, None, k), "pivot-table")
+    valid = F.col("v").isNotNull() & F.forall("v", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)))
+    asked = rows.where(is_query & F.col("id").isNotNull() & valid).groupBy("id").agg(F.min("v").alias("v"))
+    queries = stored(_measured(asked, chosen, scale, drawn, k), "pivot-queries")
+    size = queries.agg(F.coalesce(F.sum(F.length("x") + F.length("dist")), F.lit(0))).first()[0]
+    blocks, path, out = max(1, -(-size // block_bytes)), new_path(spark, "pivot-found"), None
     for b in range(blocks):
-        own = queries.where(F.pmod(F.xxhash64(F.lit(b"block"), F.col("id")), F.lit(blocks)) == b)
-        none = lambda d: (np.empty(0, np.int64), np.zeros((0, d)))
-        sent = spark.sparkContext.broadcast([Block(i, x, drawn.get(x.shape[1], none(x.shape[1])), pivots, k) for i, x in _vectors(*_columns(own), scale)])
+        own = queries.where(F.pmod(F.xxhash64(F.lit(b"block"), F.col("id")), F.lit(blocks)) == b).toArrow()  # about block_bytes
+        sent = spark.sparkContext.broadcast([Block(i, x, dist, floor, k) for i, x, dist, floor in _unpacked(own)])
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             found: list[dict] = [{} for _ in sent.value]
             for batch in batches:
-                for ids, x in _vectors(batch.column(0), batch.column(1), scale):
+                for ids, x, dist, _ in _unpacked(batch):
                     for own, block in zip(found, sent.value):
                         if block.q.shape[1] == x.shape[1]:
-                            block.search(own, ids, x)
+                            block.search(own, ids, x, dist)
             for own, block in zip(found, sent.value):
                 for i, (ids, scores) in own.items():
                     if len(ids):
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), block.ids[i])), pa.array(ids), pa.array(scores)], ["query_id", "vec_id", "score"])
 
-        part = rows.mapInArrow(search, "query_id long, vec_id long, score long")
-        parts = part if parts is None else parts.unionByName(part)
+        out = table.mapInArrow(search, "query_id long, vec_id long, score long")
+        if blocks > 1:
+            out.write.mode("append").parquet(path)
+    parts = out if blocks == 1 else spark.read.schema(out.schema).parquet(path)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return parts.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 

@@ -27,7 +27,7 @@ def test_query_against_brute_force(spark):
 
 
 def test_awkward_vectors(spark):
-    rows = [(0, [1.0, 2.0]), (50, [0.5, -1.0]), (1, [1.0, 2.0]), (1, [1.0, 2.0]), (2, None), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (None, [1.0, 1.0]), (6, [1.0, 2.0, 3.0]), (100, [1.0, 0.0, 0.0]), (7, [3e7, 1.0]), (8, []), (50, [0.5, -1.0])]
+    rows = [(0, [1.0, 2.0]), (50, [0.5, -1.0]), (1, [1.0, 2.0]), (1, [1.0, 2.0]), (2, None), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (None, [1.0, 1.0]), (6, [1.0, 2.0, 3.0]), (100, [1.0, 0.0, 0.0]), (7, [3e7, 1.0]), (8, []), (50, [0.5, -1.0]), (50, [None, 1.0])]
     df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<double>, score string, rank int")
     got = sorted(map(tuple, exact_top_k(df, F.col("id") % 50 == 0).collect()))
     assert got == brute(rows, lambda i: i % 50 == 0)
