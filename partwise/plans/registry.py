@@ -2,7 +2,7 @@
 
 ``query(sql)`` registers a function ``(spark, sf_dir) -> DataFrame``; without SQL
 the driver makes a rows-only check, and a test holds the query against a plain
-version instead.
+version instead (``hash_phash``, ``src_local_dir``).
 """
 
 from __future__ import annotations

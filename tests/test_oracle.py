@@ -36,7 +36,7 @@ def rows(table):
 def test_query(spark, duck, name):
     names, got = rows(registry.QUERIES[name](spark, SF).toArrow())
     if name not in registry.ORACLE:
-        assert names
+        assert name == "hash_phash" or name == "src_local_dir"  # held against plain versions in test_units and test_matching
         return
     wanted, want = rows(duck.sql(registry.ORACLE[name]).to_arrow_table())
     assert names == wanted

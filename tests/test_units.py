@@ -107,3 +107,20 @@ def test_keyed_digest_is_hmac(spark):
     for key in (b"k", b"x" * 100):
         got = spark.createDataFrame([("é",), ("",), (None,)], "v string").select(keyed_digest(F.col("v"), key).alias("h")).collect()
         assert [r["h"] for r in got] == [hmac.new(key, v.encode(), hashlib.sha256).hexdigest() for v in ("é", "")] + [None]
+
+
+def test_perceptual_hash_against_the_definition(spark):
+    import math
+
+    import numpy as np
+
+    from partwise.plans import registry
+
+    rows = registry.QUERIES["hash_phash"](spark, "/root/testdata/sf0.001").collect()
+    vectors = {r["vec_id"]: r["embedding"] for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").limit(5).collect()}
+    for r in rows:
+        if r["vec_id"] in vectors:
+            g = np.array(vectors[r["vec_id"]], dtype=float).reshape(8, 8)
+            low = [sum(g[y, x] * math.cos(math.pi * (2 * y + 1) * v / 16) * math.cos(math.pi * (2 * x + 1) * u / 16) for y in range(8) for x in range(8)) for v in range(8) for u in range(8)]
+            middle = sorted(low)[31:33]
+            assert r["phash"] == f"{int(''.join('1' if x > sum(middle) / 2 else '0' for x in low), 2):016x}"
