@@ -1,10 +1,12 @@
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from partwise.llm import neardup
 from partwise.llm.common import read, stored
 
-from helpers import awkward
+from helpers import awkward, words
 from test_decontam import brute as hits
 from test_neardup import brute as groups
 from test_tokens import expected
@@ -37,8 +39,31 @@ def test_stages_against_plain_versions(spark):
     assert sorted(map(tuple, docs.collect()), key=repr) == expected(mixed)
 
 
-def test_stages_take_awkward_rows(spark):
-    docs = awkward(spark)
+def test_stages_take_awkward_rows_and_columns(spark):
+    clashing = ["a.b", "`q`", "_found_x", "_found_items", "_lang_pred", "_lang_score", "_leaving", "_mix_size", "row", "id", "again", "_copy"]
+    docs = awkward(spark).select("*", *[F.concat_ws("-", F.lit(c), "doc_id").alias(c) for c in clashing])
+    columns, seen = docs.columns, [Counter(map(tuple, docs.collect()))]
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs, SF).columns == docs.columns, name
+        docs = stage(spark, docs, SF)
+        assert docs.columns == columns, name
+        docs = stored(docs, name)
+        seen.append(Counter(map(tuple, docs.collect())))
+        assert set(seen[-1]) <= set(seen[-2]), name
+    language, unique, clean, mixed = seen[1:]
+    texts = [(r[0], r[1]) for r in language.elements()]
+    assert Counter((r[0], r[1]) for r in unique.elements()) == Counter(kept(texts))
+    assert clean == unique and all(n <= 2 for n in mixed.values())
+    assert sorted(map(tuple, corpus_pipeline.token_ids(spark, docs, SF).collect()), key=repr) == expected([(r[0], r[1]) for r in mixed.elements()])
     assert neardup.deduplicated(docs.limit(0)).count() == 0
+
+
+def kept(texts):
+    """One text of each group by its own words (the awkward texts are equal or far apart); all without id or words."""
+    out, groups = [], set()
+    for i, t in sorted(texts, key=lambda x: (x[0] is None, x[0] or 0)):
+        w = tuple(words(t))
+        if i is None or not w or w not in groups:
+            out.append((i, t))
+        if i is not None:
+            groups.add(w)
+    return out
