@@ -81,8 +81,9 @@ class Model:
     temperature: float = 1.0
 
     def logits(self, text: str) -> np.ndarray:
-        idx, tf = np.unique(ngram_buckets(text).astype(np.uint16), return_counts=True)
-        v = tf * self.idf[idx]
+        times = np.bincount(ngram_buckets(text), minlength=BUCKETS)
+        idx = np.flatnonzero(times)
+        v = times[idx] * self.idf[idx]
         return v @ self.weights[idx] / np.sqrt(v @ v)
 
     def predict(self, text: str | None) -> tuple[str, float]:
