@@ -81,6 +81,12 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_matches(read(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .centroids import clustered
+
+    return clustered(read(spark, sf_dir, "embeddings"))
+
+
 def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .urls import judged, rule_table
 
@@ -88,7 +94,7 @@ def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op2_pivot_top_k, op3_arc_to_warc, op4_huffman_tokens, op5_context_tree_score, op6_fm_decontaminate, op7_setsketch_near_duplicates, op8_pii_bootstrap, op9_license_scan, op10_language_id, op12_url_filter)
+    f.__name__: f for f in (op1_mix_sources, op2_pivot_top_k, op3_arc_to_warc, op4_huffman_tokens, op5_context_tree_score, op6_fm_decontaminate, op7_setsketch_near_duplicates, op8_pii_bootstrap, op9_license_scan, op10_language_id, op11_centroid_clusters, op12_url_filter)
 }
 
 # The same rows by plain SQL where it can express the contract (ASCII case only; words as the contracts say).
@@ -96,6 +102,23 @@ _upper, _lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _folded = f"translate(coalesce(text, ''), '{_upper}', '{_lower}')"
 _blank_words = f"regexp_extract_all({_folded}, '[^\\x20\\x09-\\x0D]+')"
 
+
+def _clusters_sql(rounds: int = 10) -> str:
+    """Lloyd's rounds one after another; all products are exact in doubles for components under 2^20."""
+    parts = ["""v AS MATERIALIZED (SELECT vec_id, e, list_dot_product(e, e) AS ee, row_number() OVER () AS r FROM (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0))""",
+             "c0 AS MATERIALIZED (SELECT c, e, list_dot_product(e, e) AS ee FROM (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id) NULLS LAST, e) - 1 AS c, e FROM v) WHERE c < 8)"]
+    for i in range(rounds + 1):
+        parts.append(f"a{i} AS MATERIALIZED (SELECT r, vec_id, v.e, min(struct_pack(d := v.ee - 2 * list_dot_product(v.e, c.e) + c.ee, c := c.c)) AS best FROM v, c{i} c GROUP BY r, vec_id, v.e)")
+        if i < rounds:
+            parts.append(f"s{i} AS (SELECT c, p, floor(sum(x) / count(*)) AS x FROM (SELECT best.c AS c, unnest(e) AS x, unnest(range(64)) AS p FROM a{i}) GROUP BY c, p)")
+            parts.append(f"c{i + 1} AS MATERIALIZED (SELECT c, e, list_dot_product(e, e) AS ee FROM (SELECT o.c, coalesce(n.e, o.e) AS e FROM c{i} o LEFT JOIN (SELECT c, list(x ORDER BY p) AS e FROM s{i} GROUP BY c) n ON o.c = n.c))")
+    return (
+        "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, CAST(best.c AS INTEGER) AS cluster, CAST(best.d AS BIGINT) AS distance, CAST(sum(best.d) OVER (PARTITION BY best.c) AS BIGINT) AS cluster_inertia, CAST(sum(best.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(list_transform(c.e, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256 FROM a{rounds} a JOIN c{rounds} c ON a.best.c = c.c"""
+    )
+
+
 ORACLE: dict[str, str] = {
     "op1_mix_sources": f"""
 WITH d AS (SELECT doc_id, source, text, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, md5('17' || chr(31) || coalesce(doc_id::VARCHAR, chr(0)) || chr(31) || coalesce(text, chr(0))) AS tie,
@@ -133,6 +156,7 @@ l AS (SELECT x.doc_id AS a, y.doc_id AS b FROM s x JOIN s y ON x.sh = y.sh AND x
 r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
 c AS (SELECT a, min(b) AS least FROM r GROUP BY a)
 SELECT w.doc_id, coalesce(n, 0) AS n_shingles, least(w.doc_id, coalesce(c.least, w.doc_id)) AS component_id, w.doc_id <= coalesce(c.least, w.doc_id) AS kept FROM w LEFT JOIN n ON w.doc_id = n.doc_id LEFT JOIN c ON w.doc_id = c.a""",
+    "op11_centroid_clusters": _clusters_sql(),
     "op12_url_filter": f"""
 WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), '{_upper}', '{_lower}') AS host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 r(host, path, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
