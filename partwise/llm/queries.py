@@ -93,8 +93,14 @@ def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(read(spark, sf_dir, "pages").select("page_id", "url"), rule_table(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op13_tput_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical import ranked
+
+    return ranked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op2_pivot_top_k, op3_arc_to_warc, op4_huffman_tokens, op5_context_tree_score, op6_fm_decontaminate, op7_setsketch_near_duplicates, op8_pii_bootstrap, op9_license_scan, op10_language_id, op11_centroid_clusters, op12_url_filter)
+    f.__name__: f for f in (op1_mix_sources, op2_pivot_top_k, op3_arc_to_warc, op4_huffman_tokens, op5_context_tree_score, op6_fm_decontaminate, op7_setsketch_near_duplicates, op8_pii_bootstrap, op9_license_scan, op10_language_id, op11_centroid_clusters, op12_url_filter, op13_tput_search)
 }
 
 # The same rows by plain SQL where it can express the contract (ASCII case only; words as the contracts say).
@@ -162,4 +168,13 @@ WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)'
 r(host, path, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
 f AS (SELECT p.host, p.path, max_by(struct_pack(rule := r.host || r.path, verdict := r.verdict), length(r.host || r.path)) AS best FROM (SELECT DISTINCT host, path FROM p) p JOIN r ON (p.host = r.host OR suffix(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY ALL)
 SELECT page_id, p.host, p.path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict FROM p LEFT JOIN f ON p.host = f.host AND p.path = f.path""",
+    "op13_tput_search": f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_folded}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ts FROM documents),
+s AS (SELECT CAST(count(*) AS BIGINT) AS n_all, CAST(sum(len(ts)) AS BIGINT) AS l_all FROM t WHERE len(ts) > 0),
+p AS (SELECT r, doc_id, len(ts) AS n, term, count(*) AS tf FROM (SELECT r, doc_id, ts, unnest(ts) AS term FROM t) GROUP BY ALL),
+d AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * any_value(n_all) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, s GROUP BY term),
+i AS (SELECT term, w, r, doc_id, (1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_all) // l_all)) AS impact FROM p JOIN d USING (term), s),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all({_folded}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM (SELECT item_id, min(text) AS text FROM benchmark GROUP BY item_id)) GROUP BY ALL),
+f AS (SELECT item_id, r, doc_id, CAST(sum(times * w * impact) AS BIGINT) AS score FROM q JOIN i USING (term) GROUP BY ALL)
+SELECT item_id, CAST(rn AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rn FROM f WHERE score > 0) WHERE rn <= 20""",
 }
