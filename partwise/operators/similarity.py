@@ -1,41 +1,76 @@
 """Trigram similarity join: an inverted index over rare trigrams instead of a product of all pairs.
 
-Both sides are distinct texts with their trigrams. In one order of all trigrams,
-rarest first, two sets of Jaccard similarity ``t`` share one of the first
-``n - ceil(t * n) + 1`` of each, so only those are joined; the common trigrams
-at the end never meet. Candidates are verified on their whole sets.
+Both sides are distinct texts with their trigrams in one order, rarest first. Two
+sets of Jaccard similarity ``t`` share one of the first ``n - ceil(t n) + 1`` of each,
+so only those are joined. A pair is taken up at its first common trigram: there
+what is left of both sets bounds what they can share, which drops most pairs
+before their sets are compared, and no pair has to be made distinct afterwards.
+Trigrams that more than ``BLOCK`` texts have among their first are split: the right side
+is dealt over blocks, the left side goes to each of them.
+
+Texts are names and titles: a row carries its whole set of trigrams.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from partwise.functions.text import trigrams
 
+#: Right sides of one trigram that meet in one place.
+BLOCK = 2048
+
 
 def trigram_table(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, n, g): one row per distinct text's trigram."""
-    sets = df.select(F.col(key).alias("key"), trigrams(F.col(text)).alias("s")).where(F.size("s") > 0)
-    return sets.select("key", F.size("s").alias("n"), F.explode("s").alias("g"))
+    """(key, s): the distinct trigrams of each text; texts without one are left out."""
+    return df.select(F.col(key).alias("key"), trigrams(F.col(text)).alias("s")).where(F.size("s") > 0)
+
+
+def _at_least(threshold: float, total: Column) -> Column:
+    """The smallest integer at or above ``threshold * total``, whatever the rounding of the product."""
+    return F.ceil(F.lit(threshold) * total - 1e-9)
+
+
+def _first_grams(side: DataFrame, times: DataFrame, threshold: float) -> DataFrame:
+    """(key, s, n, pos, g): a row for each of the first trigrams of a set."""
+    each = side.select("key", F.explode("s").alias("g")).join(times, "g", "left")
+    sets = each.groupBy("key").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "g"))).alias("o"))
+    sets = sets.select("key", F.transform("o", lambda x: x["g"]).alias("s"), F.size("o").alias("n"))
+    first = F.slice("s", F.lit(1), (F.col("n") - _at_least(threshold, F.col("n")) + 1).cast("int"))
+    return sets.select("key", "s", "n", F.posexplode(first).alias("pos", "g"))
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, similarity) for trigram tables, at or above the threshold.
+    """(a, b, similarity) of unlike keys for two trigram tables, at or above the threshold."""
+    times = right.select(F.explode("s").alias("g")).groupBy("g").agg(F.count("*").alias("df"))
+    ours, theirs = (_first_grams(side, times, threshold) for side in (left, right))
+    hot = theirs.groupBy("g").agg(F.count("*").alias("f")).where(F.col("f") > BLOCK).select("g", F.ceil(F.col("f") / BLOCK).cast("int").alias("blocks"))
+    blocks = F.coalesce("blocks", F.lit(1))
+    ours = ours.join(hot, "g", "left").select("g", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("key").alias("a"), F.col("s").alias("sa"), F.col("n").alias("na"), F.col("pos").alias("pa"))
+    theirs = theirs.join(hot, "g", "left").select("g", F.pmod(F.xxhash64("key"), blocks).cast("int").alias("block"), F.col("key").alias("b"), F.col("s").alias("sb"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
+    both = F.col("na") + F.col("nb")
+    fits = F.least("na", "nb") >= _at_least(threshold, F.greatest("na", "nb"))
+    fits &= F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= _at_least(threshold / (1 + threshold), both)
+    met = ours.join(theirs, ["g", "block"]).where((F.col("a") != F.col("b")) & fits)
+    met = met.select("a", "b", "g", F.array_intersect("sa", "sb").alias("common"), both.alias("both")).where(F.get("common", F.lit(0)) == F.col("g"))
+    shared = F.size("common")
+    return met.select("a", "b", (shared / (F.col("both") - shared)).alias("similarity")).where(F.col("similarity") >= threshold)
+
+
+def nearest(items: DataFrame, key: str, text: str, threshold: float, k: int) -> DataFrame:
+    """(a, b, similarity): the k items of most similar text for every item with text, ties to the smaller key.
 
-    Set sizes prune as well: a pair can't reach the threshold unless its smaller
-    set is at least that share of the larger.
+    Only distinct texts are paired. A text needs its k + 1 nearest items: ties go to the smaller key, so no similar
+    text gives more than its k + 1 smallest keys, and the one above k stands in for the item itself.
     """
-    times = right.groupBy("g").agg(F.count("*").alias("df"))
-    rarest = Window.partitionBy("key").orderBy(F.coalesce("df", F.lit(0)), "g")
-
-    def first(side: DataFrame, key: str, n: str) -> DataFrame:
-        ranked = side.join(times, "g", "left").withColumn("nth", F.row_number().over(rarest))
-        return ranked.where(F.col("nth") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).select(F.col("key").alias(key), F.col("n").alias(n), "g")
-
-    fits = (F.least("na", "nb") >= threshold * F.greatest("na", "nb")) & (F.col("a") != F.col("b"))
-    pairs = first(left, "a", "na").join(first(right, "b", "nb"), "g").where(fits).select("a", "b", "na", "nb").distinct()
-    whole = lambda side, key: side.groupBy("key").agg(F.collect_set("g").alias(f"s{key}")).withColumnRenamed("key", key)
-    both = pairs.join(whole(left, "a"), "a").join(whole(right, "b"), "b").withColumn("shared", F.size(F.array_intersect("sa", "sb")))
-    share = F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
-    return both.withColumn("similarity", share).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
+    own = items.select(F.col(key).alias("a"), F.col(text).alias("ta")).where(F.col("ta") != "")
+    texts = own.select("ta").distinct()
+    grams = trigram_table(texts, "ta", "ta")
+    alike = similar_pairs(grams, grams, threshold).unionByName(grams.select(F.col("key").alias("a"), F.col("key").alias("b"), F.lit(1.0).alias("similarity")))
+    first = F.row_number().over(Window.partitionBy("ta").orderBy("a"))
+    bearers = own.withColumn("rn", first).where(F.col("rn") <= k + 1).select(F.col("ta").alias("b"), F.col("a").alias("other"))
+    by_text = F.row_number().over(Window.partitionBy("ta").orderBy(F.desc("similarity"), "other"))
+    near = alike.withColumnRenamed("a", "ta").join(bearers, "b").withColumn("rn", by_text).where(F.col("rn") <= k + 1).select("ta", "other", "similarity")
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "other"))
+    return own.join(near, "ta").where("a <> other").withColumn("rn", rank).where(F.col("rn") <= k).select("a", F.col("other").alias("b"), "similarity")

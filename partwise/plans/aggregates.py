@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from partwise.plans.registry import query, table
+from partwise.plans.registry import also, query, table
 
 MONEY = "decimal(18,2)"
 
@@ -64,22 +65,23 @@ def agg_token_overlap(spark, sf_dir):
     return most_shared(table(spark, sf_dir, "part"), 50)
 
 
-def most_shared(parts, step: int):
-    from pyspark.sql import Window
+def most_shared(parts, step: int, k: int = 5):
+    """(p_partkey, rec, shared): the k parts that share most tokens of their names with every ``step``-th part.
 
-    tokens = parts.select("p_partkey", F.explode(F.array_distinct(F.split(F.lower("p_name"), " "))).alias("tok"))
-    shared = tokens.where(F.col("p_partkey") % step == 0).join(tokens.withColumnRenamed("p_partkey", "rec"), "tok").where("rec <> p_partkey").groupBy("p_partkey", "rec").agg(F.count("*").alias("shared"))
-    rank = F.row_number().over(Window.partitionBy("p_partkey").orderBy(F.desc("shared"), "rec"))
-    return shared.withColumn("rn", rank).where("rn <= 5").select("p_partkey", "rec", "shared")
+    Only distinct names are held against each other. Ties go to the smaller key, so a name needs its k + 1 smallest
+    keys: one of them may be the asking part itself.
+    """
+    nth = lambda by, *order: F.row_number().over(Window.partitionBy(by).orderBy(*order))
+    tokens = lambda names, key: names.select(F.col("p_name").alias(key), F.explode(F.array_distinct(F.split(F.lower("p_name"), " "))).alias("tok"))
+    asking = parts.where(F.col("p_partkey") % step == 0).select("p_partkey", "p_name")
+    pairs = tokens(asking.select("p_name").distinct(), "ours").join(tokens(parts.select("p_name").distinct(), "theirs"), "tok").groupBy("ours", "theirs").agg(F.count("*").alias("shared"))
+    bearers = parts.select(F.col("p_name").alias("theirs"), F.col("p_partkey").alias("rec")).withColumn("nth", nth("theirs", "rec")).where(F.col("nth") <= k + 1).drop("nth")
+    near = pairs.join(bearers, "theirs").withColumn("nth", nth("ours", F.desc("shared"), "rec")).where(F.col("nth") <= k + 1).select(F.col("ours").alias("p_name"), "rec", "shared")
+    found = asking.join(near, "p_name").where("rec <> p_partkey").withColumn("nth", nth("p_partkey", F.desc("shared"), "rec"))
+    return found.where(F.col("nth") <= k).select("p_partkey", "rec", "shared")
 
 
-@query("""
-WITH t AS (SELECT DISTINCT p_partkey, unnest(string_split(lower(p_name), ' ')) AS tok FROM part),
-     s AS (SELECT q.p_partkey, r.p_partkey AS rec, count(*) AS shared FROM t q JOIN t r USING (tok) WHERE q.p_partkey % 50 = 0 AND r.p_partkey <> q.p_partkey GROUP BY 1, 2)
-SELECT p_partkey, rec, shared FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY shared DESC, rec) AS rn FROM s) WHERE rn <= 5""")
-def agg_token_overlap_all(spark, sf_dir):
-    """Most shared tokens, top 5 per query, over the whole query set: every fiftieth part."""
-    return most_shared(table(spark, sf_dir, "part"), 50)
+also("agg_token_overlap_all", of="agg_token_overlap")  # its name while the plain one asked for fewer parts
 
 
 @query("""SELECT event_type AS code, count(*) AS n, count(DISTINCT user_id) AS n_sources, min(event_id) AS first_seen FROM events GROUP BY event_type""")

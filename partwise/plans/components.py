@@ -99,7 +99,7 @@ def facts(spark, sf_dir) -> DataFrame:
         return F.struct(F.lit(name).alias("role"), a.alias("a"), (F.lit("") if b is None else b).alias("b"), (a if raw is None else raw).alias("raw"))
 
     found = (
-        F.when(body.rlike("^# "), role("title", F.trim(F.substring(body, 3, 1000))))
+        F.when(body.rlike("^# "), role("title", F.trim(F.substr(body, F.lit(3)))))
         .when(F.col("is_heading"), None)
         .when((kind == "pinout") & (F.size(cells) == 3), role("pin", cells[0], cells[1], F.array_join(cells, " | ")))
         .when((kind == "specifications") & (F.size(cells) == 2), role("spec", cells[0], cells[1], F.array_join(cells, " | ")))

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from partwise.functions.text import bounded, jaccard, words_key
-from partwise.operators.similarity import similar_pairs, trigram_table
-from partwise.plans.registry import query, table
+from partwise.operators.similarity import nearest
+from partwise.plans.registry import also, query, table
 from partwise.plans.search import GRAMS
 
 # Signal weights, penalties and thresholds.
@@ -22,23 +22,21 @@ MAKER, MODEL, SPEC, SPECS = 0.15, 0.25, 0.05, 0.20
 PRESELECT, TOP, KEEP, BLOCK = 0.20, 50, 0.35, 0.70
 
 
+def model_of() -> Column:
+    """The composed model of a part: one of fifty by its size, null for every fifth part."""
+    return F.when(F.col("p_partkey") % 5 != 0, F.concat(F.lit("M-"), F.lpad(((F.col("p_size") * 3797) % 100_000).cast("string"), 5, "0")))
+
+
 def preselect(parts: DataFrame) -> DataFrame:
-    """(a, b, trigram): the 50 nearest titles of every component.
+    """(a, b, trigram): the 50 nearest of every component by title or, where ``parts`` has one, by model, whichever is nearer.
 
-    Only distinct titles are paired. A title needs its TOP + 1 nearest parts: ties go
-    to the smaller key, so no similar title gives more than its TOP + 1 smallest keys,
-    and the one above TOP stands in for the component itself.
+    The nearest by each alone hold them all: what is not among the 50 nearest by either has 50 ahead of it.
     """
-    grams = trigram_table(parts.select("p_name").distinct(), "p_name", "p_name")
-    left = parts.select(F.col("p_partkey").alias("a"), F.col("p_name").alias("na"))
-    titles = left.select("na").distinct()
-    alike = similar_pairs(grams, grams, PRESELECT).unionByName(titles.select(F.col("na").alias("a"), F.col("na").alias("b"), F.lit(1.0).alias("similarity")))
-    first = F.row_number().over(Window.partitionBy("p_name").orderBy("p_partkey"))
-    bearers = parts.select("p_name", "p_partkey").withColumn("rn", first).where(F.col("rn") <= TOP + 1).select(F.col("p_name").alias("b"), F.col("p_partkey").alias("other"))
-    nearest = F.row_number().over(Window.partitionBy("na").orderBy(F.desc("similarity"), "other"))
-    near = alike.withColumnRenamed("a", "na").join(bearers, "b").withColumn("rn", nearest).where(F.col("rn") <= TOP + 1).select("na", "other", "similarity")
-    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "other"))
-    return left.join(near, "na").where("a <> other").withColumn("rn", rank).where(F.col("rn") <= TOP).select("a", F.col("other").alias("b"), F.col("similarity").alias("trigram"))
+    near = nearest(parts, "p_partkey", "p_name", PRESELECT, TOP)
+    if "model" in parts.columns:
+        near = near.unionByName(nearest(parts, "p_partkey", "model", PRESELECT, TOP))
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("trigram"), "b"))
+    return near.groupBy("a", "b").agg(F.max("similarity").alias("trigram")).withColumn("rn", rank).where(F.col("rn") <= TOP).drop("rn")
 
 
 def text_hashes(*columns: str) -> Column:
@@ -48,7 +46,7 @@ def text_hashes(*columns: str) -> Column:
 
 def signals(parts: DataFrame, prefix: str) -> DataFrame:
     """One row of signals per component. Composed: a model for all but every fifth, a picture for every third, its hash for every second."""
-    model = F.when(F.col("p_partkey") % 5 != 0, F.concat(F.lit("M-"), (F.col("p_size") % 7).cast("string")))
+    model = model_of()
     tokens = F.array_distinct(F.split(words_key(F.concat_ws(" ", "p_name", "p_brand", model)), " "))
     specs = F.array(F.concat_ws("=", F.lit("size"), "p_size"), F.concat_ws("=", F.lit("type"), "p_type"))
     picture = F.concat_ws("/", F.lit("img"), "p_type", F.col("p_size") % 3)
@@ -90,7 +88,7 @@ def pair_score(trigram: Column) -> tuple[Column, Column]:
 
 def scored(spark, sf_dir) -> DataFrame:
     parts = table(spark, sf_dir, "part")
-    joined = preselect(parts).join(signals(parts, "l"), F.col("a") == F.col("l_p_partkey")).join(signals(parts, "r"), F.col("b") == F.col("r_p_partkey"))
+    joined = preselect(parts.withColumn("model", model_of())).join(signals(parts, "l"), F.col("a") == F.col("l_p_partkey")).join(signals(parts, "r"), F.col("b") == F.col("r_p_partkey"))
     score, penalty = pair_score(F.col("trigram"))
     return joined.select("a", "b", "trigram", score.alias("score"), penalty.alias("penalty"))
 
@@ -100,16 +98,19 @@ def upserted(pairs: DataFrame) -> DataFrame:
     return kept.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.max(F.round(F.col("score") * 1000).cast("long")).alias("score"), F.bool_or(F.col("score") > BLOCK).alias("blocks"))
 
 
+_model = "CASE WHEN p_partkey % 5 <> 0 THEN 'M-' || lpad(CAST((p_size * 3797) % 100000 AS VARCHAR), 5, '0') END"
+_near = lambda t: f"""{t}d AS (SELECT DISTINCT {t} FROM pm WHERE {t} <> ''), {t}g AS (SELECT {t}, {GRAMS.format(t)} AS g FROM {t}d),
+{t}s AS (SELECT x.{t} AS ta, y.{t} AS tb, len(list_intersect(x.g, y.g)) / CAST(len(x.g) + len(y.g) - len(list_intersect(x.g, y.g)) AS DOUBLE) AS similarity FROM {t}g x, {t}g y)"""
 BLOCKS = f"""
-WITH d AS (SELECT DISTINCT p_name FROM part), g AS (SELECT p_name, {GRAMS.format("p_name")} AS g FROM d),
-sim AS (SELECT x.p_name AS na, y.p_name AS nb, len(list_intersect(x.g, y.g)) / CAST(len(x.g) + len(y.g) - len(list_intersect(x.g, y.g)) AS DOUBLE) AS similarity FROM g x, g y),
-b AS (SELECT a, b, trigram FROM (SELECT p.p_partkey AS a, q.p_partkey AS b, similarity AS trigram, row_number() OVER (PARTITION BY p.p_partkey ORDER BY similarity DESC, q.p_partkey) AS rn
-  FROM part p JOIN sim ON p.p_name = na JOIN part q ON q.p_name = nb WHERE similarity >= 0.2 AND p.p_partkey <> q.p_partkey) WHERE rn <= 50)"""
+WITH pm AS (SELECT p_partkey, p_name, {_model} AS model FROM part), {_near("p_name")}, {_near("model")},
+al AS (SELECT p.p_partkey AS a, q.p_partkey AS b, similarity FROM p_names JOIN pm p ON p.p_name = ta JOIN pm q ON q.p_name = tb WHERE similarity >= 0.2
+  UNION ALL SELECT p.p_partkey, q.p_partkey, similarity FROM models JOIN pm p ON p.model = ta JOIN pm q ON q.model = tb WHERE similarity >= 0.2),
+b AS (SELECT a, b, trigram FROM (SELECT a, b, max(similarity) AS trigram, row_number() OVER (PARTITION BY a ORDER BY max(similarity) DESC, b) AS rn FROM al WHERE a <> b GROUP BY a, b) WHERE rn <= 50)"""
 JAC = "(len(list_intersect({a}, {b})) / CAST(len({a}) + len({b}) - len(list_intersect({a}, {b})) AS DOUBLE))"
 _pic = "'img/' || p_type || '/' || (p_size % 3)"
 SIGNALS = f"""sg AS (SELECT p_partkey, p_name, p_brand, p_size, p_type, model, list_distinct(regexp_extract_all(lower(p_name || ' ' || p_brand || coalesce(' ' || model, '')), '[a-z0-9]+')) AS tokens, ['size=' || p_size, 'type=' || p_type] AS specs,
   array_to_string(regexp_extract_all(lower(p_name), '[a-z0-9]+'), ' ') AS words, CASE WHEN p_partkey % 3 = 0 THEN sha256({_pic}) END AS media, CASE WHEN p_partkey % 2 = 0 THEN substr(md5({_pic}), 1, 16) END AS ph
-  FROM (SELECT *, CASE WHEN p_partkey % 5 <> 0 THEN 'M-' || (p_size % 7) END AS model FROM part))"""
+  FROM (SELECT *, {_model} AS model FROM part))"""
 _bits = "bit_count(xor(('0x' || substr(p.ph, {0}, 8))::BIGINT, ('0x' || substr(q.ph, {0}, 8))::BIGINT))"
 SCORES = BLOCKS + f""", {SIGNALS},
 v AS (SELECT a, b, 0.15 * (p.p_brand <> q.p_brand)::INT + 0.25 * coalesce((p.model <> q.model)::INT, 0) + least(0.20, 0.05 * ((p.p_size <> q.p_size)::INT + (p.p_type <> q.p_type)::INT)) AS penalty,
@@ -124,7 +125,7 @@ s AS (SELECT a, b, round(greatest(0, least(1, list_sum(list_transform(list_filte
 @query(BLOCKS + """ SELECT a, b, round(trigram, 9) AS trigram FROM b""")
 def dup_block(spark, sf_dir):
     """Similarity preselection: 50 per component, for every component."""
-    return preselect(table(spark, sf_dir, "part")).select("a", "b", F.round("trigram", 9).alias("trigram"))
+    return preselect(table(spark, sf_dir, "part").withColumn("model", model_of())).select("a", "b", F.round("trigram", 9).alias("trigram"))
 
 
 @query(SCORES + """ SELECT a, b, CAST(round(score * 1000) AS BIGINT) AS score FROM s""")
@@ -152,15 +153,8 @@ def dup_queue(spark, sf_dir):
     return dup_score(spark, sf_dir).orderBy(F.desc("score"), "a", "b").limit(100)
 
 
-def _whole() -> None:
-    """The names that these queries had while only a part of the components looked for duplicates."""
-    from partwise.plans.registry import ORACLE, QUERIES
-
-    for name in ("dup_block", "dup_score", "dup_upsert", "dup_queue"):
-        QUERIES[f"{name}_all"], ORACLE[f"{name}_all"] = QUERIES[name], ORACLE[name]
-
-
-_whole()
+for _name in ("dup_block", "dup_score", "dup_upsert", "dup_queue"):  # their names while the plain ones looked at a part of the components
+    also(f"{_name}_all", of=_name)
 
 
 @query("""

@@ -7,17 +7,16 @@ import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from partwise.functions.text import spaced_key
 from partwise.operators import specs, tables
 from partwise.operators.similarity import similar_pairs, trigram_table
-from partwise.plans.dedup import SIGNALS, signals
+from partwise.plans.dedup import BLOCKS, PRESELECT, SIGNALS, model_of, signals
 from partwise.plans.normalize import raw_specs
 from partwise.plans.registry import query, table
-from partwise.plans.search import GRAMS
 
 
 @query(f"""WITH {SIGNALS} SELECT p_partkey, array_to_string(list_sort(tokens), ' ') AS tokens, array_to_string(specs, '|') AS specs, model, sha256(words) AS texts, media, ph AS phash FROM sg""")
@@ -28,13 +27,29 @@ def dup_signals(spark, sf_dir):
     return rows.select(F.col("s_p_partkey").alias("p_partkey"), F.array_join(F.array_sort("s_tokens"), " ").alias("tokens"), F.array_join("s_specs", "|").alias("specs"), F.col("s_model").alias("model"), one("texts"), one("media"), one("phash"))
 
 
-@query(f"""WITH d AS (SELECT p_name, count(*) AS n FROM part GROUP BY 1), s AS (SELECT p_name, n, {GRAMS.format("p_name")} AS g FROM d)
-SELECT a.p_name AS name, CAST(sum(b.n) AS BIGINT) AS n_similar FROM s a JOIN s b ON a.p_name <> b.p_name AND len(list_intersect(a.g, b.g)) / CAST(len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)) AS DOUBLE) >= 0.3 GROUP BY 1""")
+@query(BLOCKS + """, m AS (SELECT DISTINCT a, b FROM al WHERE a <> b) SELECT a AS p_partkey, count(*) AS n_similar FROM m GROUP BY a""")
 def join_trigram_self(spark, sf_dir):
-    """How many components have a similar title: distinct titles are paired, their counts added."""
-    counts = table(spark, sf_dir, "part").groupBy("p_name").agg(F.count("*").alias("n"))
-    names = trigram_table(counts, "p_name", "p_name")
-    return similar_pairs(names, names, 0.3).join(counts, F.col("b") == F.col("p_name")).groupBy(F.col("a").alias("name")).agg(F.sum("n").alias("n_similar"))
+    """How many other components have a similar title or a similar model.
+
+    Distinct titles and distinct models are paired; a component counts those by title and those by model, less those by
+    both, which are found from the pairs of titles whose bearers have similar models.
+    """
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_name", model_of().alias("model"))
+
+    def alike(text: str) -> DataFrame:
+        grams = trigram_table(rows.select(text).where(F.col(text) != "").distinct(), text, text)
+        return similar_pairs(grams, grams, PRESELECT).select("a", "b").unionByName(grams.select(F.col("key").alias("a"), F.col("key").alias("b")))
+
+    titles, models = alike("p_name"), alike("model")
+    kinds = rows.groupBy("p_name", "model").agg(F.count("*").alias("n"))  # components of one title and model count together
+    bearing = lambda text: kinds.where(F.col(text) != "").groupBy(F.col(text).alias("b")).agg(F.sum("n").alias("n"))
+    by_title = titles.join(bearing("p_name"), "b").groupBy(F.col("a").alias("p_name")).agg(F.sum("n").alias("by_title"))
+    by_model = models.join(bearing("model"), "b").groupBy(F.col("a").alias("model")).agg(F.sum("n").alias("by_model"))
+    ours, theirs = kinds.select(F.col("p_name").alias("ta"), F.col("model").alias("a")), kinds.select(F.col("p_name").alias("tb"), F.col("model").alias("b"), "n")
+    both = ours.join(models, "a").join(theirs, "b").join(titles.select(F.col("a").alias("ta"), F.col("b").alias("tb")), ["ta", "tb"]).groupBy(F.col("ta").alias("p_name"), F.col("a").alias("model")).agg(F.sum("n").alias("by_both"))
+    n = F.coalesce("by_title", F.lit(0)) + F.coalesce("by_model", F.lit(0)) - F.coalesce("by_both", F.lit(0)) - 1
+    found = rows.join(by_title, "p_name", "left").join(by_model, "model", "left").join(both, ["p_name", "model"], "left")
+    return found.select("p_partkey", n.alias("n_similar")).where("n_similar > 0")
 
 
 @query("""SELECT o_orderkey, o_orderdate < TIMESTAMP '1998-01-01' - INTERVAL 30 DAY AS lease_expired FROM orders WHERE o_orderstatus = 'P'""")

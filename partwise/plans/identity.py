@@ -87,7 +87,7 @@ def identities(facts: DataFrame) -> DataFrame:
     ))
     other = lambda v: spaced_key(v) != spaced_key(F.col("titles")[0])
     known_ic = lambda v: F.exists("ics", lambda x: spaced_key(x) == spaced_key(v))
-    aliases = F.array_distinct(F.concat(F.filter(F.slice("titles", 2, 1000), other), F.filter("models", lambda v: other(v) & ~known_ic(v))))
+    aliases = F.array_distinct(F.concat(F.filter(F.slice("titles", F.lit(2), F.greatest(F.size("titles") - 1, F.lit(0))), other), F.filter("models", lambda v: other(v) & ~known_ic(v))))
     return out.withColumn("status", status).withColumn("warnings", codes).withColumn("aliases", aliases)
 
 

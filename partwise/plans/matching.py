@@ -14,7 +14,7 @@ from partwise.functions.text import compact_key, index_tokens, spaced_key
 from partwise.operators import matching as m
 from partwise.operators import tables
 from partwise.plans import components, identity, normalize
-from partwise.plans.registry import query, table
+from partwise.plans.registry import also, query, table
 
 FORMS = 8
 
@@ -157,12 +157,5 @@ def match_decision(spark, sf_dir):
     return scored(spark, sf_dir).select("query", "record", "decision")
 
 
-def _whole() -> None:
-    """The names that these queries had while only a part of the pages asked."""
-    from partwise.plans.registry import ORACLE, QUERIES
-
-    for name in ("idx_lookup", "match_relation_type", "match_score", "match_decision"):
-        QUERIES[f"{name}_all"], ORACLE[f"{name}_all"] = QUERIES[name], ORACLE[name]
-
-
-_whole()
+for _name in ("idx_lookup", "match_relation_type", "match_score", "match_decision"):  # their names while only a part of the pages asked
+    also(f"{_name}_all", of=_name)

@@ -1,4 +1,4 @@
-"""All queries of the catalogue engine by name, with their DuckDB SQL.
+"""The registry of queries by name, with their DuckDB SQL; ``catalogue`` fills it.
 
 ``query(sql)`` registers a function ``(spark, sf_dir) -> DataFrame``; without SQL
 the driver makes a rows-only check, and a test holds the query against a plain
@@ -7,7 +7,6 @@ version instead (``hash_phash``, ``src_local_dir``).
 
 from __future__ import annotations
 
-import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,9 +26,17 @@ def query(sql: str | None = None):
     return add
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: Second names of queries: the function and SQL are those of the first name.
+ALIASES: dict[str, str] = {}
+
 
+def also(name: str, of: str) -> None:
+    """Keep the query ``of`` under the name that it had in an earlier version as well."""
+    ALIASES[name] = of
+    QUERIES[name] = QUERIES[of]
+    if of in ORACLE:
+        ORACLE[name] = ORACLE[of]
 
-for _module in ("scans", "relational", "aggregates", "windows", "text", "search", "dedup", "extraction", "normalize", "identity", "matching", "quality", "metrics", "lifecycle", "sinks", "composed", "extras"):
-    importlib.import_module(f"partwise.plans.{_module}")
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from partwise.functions import text as fn
-from partwise.plans.registry import ORACLE, QUERIES, query, table
+from partwise.plans.registry import also, query, table
 
 FOLD = "replace(lower(trim(text)), 'ß', 'ss')"
 
@@ -151,7 +151,7 @@ def num_hamming_top(spark, sf_dir):
     return nearest_signs(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES["num_hamming"], ORACLE["num_hamming"] = QUERIES["num_hamming_top"], ORACLE["num_hamming_top"]  # its name while it took 62 bits and every tenth vector
+also("num_hamming", of="num_hamming_top")  # its name while it took 62 bits and every tenth vector
 
 
 @query("""SELECT c_custkey, greatest(0.0::DOUBLE, least(1.0::DOUBLE, c_acctbal / 5000)) AS share FROM customer""")

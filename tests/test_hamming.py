@@ -1,6 +1,6 @@
 """Sign hashes: every component counts, every vector can be a neighbour."""
 
-from partwise.plans import registry  # loads the modules of queries, in order
+from partwise.plans import catalogue as registry  # loads the modules of queries, in order
 
 
 def test_last_signs_count_and_all_rows_are_candidates(spark):

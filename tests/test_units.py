@@ -101,7 +101,7 @@ def test_keyed_digest_is_hmac(spark):
 
     from pyspark.sql import functions as F
 
-    from partwise.plans import registry  # noqa: F401  loads the modules of queries, in order
+    from partwise.plans import catalogue as registry  # noqa: F401  loads the modules of queries, in order
     from partwise.plans.extras import keyed_digest
 
     for key in (b"k", b"x" * 100):
@@ -114,7 +114,7 @@ def test_perceptual_hash_against_the_definition(spark):
 
     import numpy as np
 
-    from partwise.plans import registry
+    from partwise.plans import catalogue as registry
 
     rows = registry.QUERIES["hash_phash"](spark, "/root/testdata/sf0.001").collect()
     vectors = {r["vec_id"]: r["embedding"] for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").limit(5).collect()}
