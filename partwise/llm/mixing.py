@@ -11,9 +11,12 @@ way, and only the last one's few documents are ordered. What remains is one
 cut-off per source, applied to all rows as an expression.
 
 Defined cases: null text has size 0; a null source is a source of its own, last
-in order; quality weights that are null or not above 0 count as 1; equal rows
-are taken together, ties between keys go to the smaller id; sources without words
-get target 0; an empty table gives an empty result. Other columns are handed
+in order; quality weights that are null or not above 0 count as 1; ties between
+keys go to the smaller id; where the cut falls among rows equal in source, id and
+text, as many of them are taken as come nearest to the target (by partition and
+place, so that no task orders the whole group); sources without words get target
+0; texts are only hashed and counted by Spark's own expressions, whatever their
+length; an empty table gives an empty result. Other columns are handed
 through by position, so no name of theirs can clash.
 """
 
@@ -119,24 +122,36 @@ def mix_plan(sized: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: fl
     crossing = stored(_crossing(sized, plan), "mix-crossing")
     inside = lookup(sized.select(*KEYS), crossing, ["_mix_source"], F.col("_mix_tie"))
     inside = inside.where((F.col("_mix_key") >= F.col("low")) & (F.col("_mix_key") <= F.col("high")))
-    # Rows of one key, id and tie are equal; they are one step, which is taken whole.
-    steps = inside.groupBy("_mix_source", "_mix_key", "_mix_id", "_mix_tie").agg(F.sum("_mix_size").alias("words"), *[F.first(c).alias(c) for c in ("_rest", "below")])
+    # Rows of one key, id and tie are equal; they are one step, of which the nearest number is taken.
+    steps = inside.groupBy("_mix_source", "_mix_key", "_mix_id", "_mix_tie").agg(F.sum("_mix_size").alias("words"), F.count("*").alias("_n"), *[F.first(c).alias(c) for c in ("_rest", "below")])
     by_key = Window.partitionBy("_mix_source").orderBy("_mix_key", "_mix_id", "_mix_tie").rowsBetween(Window.unboundedPreceding, 0)
-    at = steps.withColumn("_at", F.col("below") + F.sum("words").over(by_key)).withColumn("_off", F.abs(F.col("_at") - F.col("_rest")))
+    each, before = F.col("words") / F.col("_n"), F.col("below") + F.sum("words").over(by_key) - F.col("words")
+    some = F.when(each > 0, F.greatest(F.lit(0), F.least(F.col("_n"), F.ceil((F.col("_rest") - F.col("_before")) / each - 0.5)))).otherwise(F.col("_n")).cast("long")
+    at = steps.withColumn("_before", before).withColumn("_some", some).withColumn("_at", (F.col("_before") + F.col("_some") * each).cast("long")).withColumn("_off", F.abs(F.col("_at") - F.col("_rest")))
     cut = at.groupBy("_mix_source").agg(
-        F.min(F.struct("_off", "_at", F.struct("_mix_key", "_mix_id", "_mix_tie").alias("cut"))).alias("_best"), F.first(F.abs(F.col("below") - F.col("_rest"))).alias("_off_below"), F.min("_mix_key").alias("_least")
+        F.min(F.struct("_off", "_at", F.struct("_mix_key", "_mix_id", "_mix_tie").alias("cut"), "_some", "_n")).alias("_best"), F.first(F.abs(F.col("below") - F.col("_rest"))).alias("_off_below"), F.min("_mix_key").alias("_least")
     )
     # Nearer without any step: everything below the range.
     before = F.struct(F.col("_least").alias("_mix_key"), F.lit(None).cast(sized.schema["_mix_id"].dataType).alias("_mix_id"), F.lit("").alias("_mix_tie"))
-    cut = cut.select("_mix_source", F.when(F.col("_best._off") < F.col("_off_below"), F.col("_best.cut")).otherwise(before).alias("cut"))
+    better = F.col("_best._off") < F.col("_off_below")
+    cut = cut.select("_mix_source", F.when(better, F.col("_best.cut")).otherwise(before).alias("cut"), F.when(better, F.col("_best._some")).alias("_some"), F.when(better, F.col("_best._n")).alias("_n"))
     return stored(lookup(plan, cut, ["_mix_source"], F.col("source_size")), "mix-plan")
 
 
 def with_mix(sized: DataFrame, plan: DataFrame) -> DataFrame:
     """The rows of ``sized`` with their source's size and target, ``copies`` and ``taken`` words."""
-    chosen = F.struct("_mix_key", "_mix_id", "_mix_tie") <= F.col("cut")
-    out = lookup(sized, plan, ["_mix_source"], F.col("_mix_tie"))
-    copies = (F.col("epochs") + F.when(F.coalesce(chosen, F.lit(False)), 1).otherwise(0)).cast("long")
+    where = F.struct("_mix_key", "_mix_id", "_mix_tie")
+    out = lookup(sized, plan, ["_mix_source"], F.col("_mix_tie")).withColumn("_more", F.coalesce(where <= F.col("cut"), F.lit(False)))
+    if not plan.where("_some < _n").isEmpty():  # a cut among equal rows
+        parted = F.coalesce(where.eqNullSafe(F.col("cut")) & (F.col("_some") < F.col("_n")), F.lit(False))
+        equal = stored(out.where(parted).withColumns({"_part": F.spark_partition_id(), "_place": F.monotonically_increasing_id()}), "mix-equal")
+        ahead = F.sum("n").over(Window.partitionBy("_mix_source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+        parts = equal.groupBy("_mix_source", "_part").agg(F.count("*").alias("n")).withColumn("ahead", F.coalesce(ahead, F.lit(0))).drop("n")  # a row for each partition
+        nth = F.row_number().over(Window.partitionBy("_mix_source", "_part").orderBy("_place"))  # no more rows than a partition had
+        numbered = lookup(equal.withColumn("_nth", nth), parts, ["_mix_source", "_part"], F.col("_place"))
+        numbered = numbered.withColumn("_more", F.col("_nth") + F.col("ahead") <= F.col("_some"))
+        out = out.where(~parted).unionByName(numbered.select(*out.columns))
+    copies = (F.col("epochs") + F.when(F.col("_more"), 1).otherwise(0)).cast("long")
     return out.withColumn("_mix_copies", copies).withColumn("_mix_taken", F.col("_mix_copies") * F.col("_mix_size"))
 
 

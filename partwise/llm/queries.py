@@ -135,7 +135,7 @@ l AS (SELECT *, 2 * n / w AS full_at, row_number() OVER (ORDER BY 2 * n / w, sou
 v AS (SELECT *, (1.5::DOUBLE * sum(n) OVER () - coalesce(sum(2 * n) OVER (ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY rn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM l),
 t AS (SELECT source, n, CASE WHEN full_at <= level THEN 2 * n ELSE least(2 * n, first_value(CASE WHEN full_at > level THEN level END IGNORE NULLS) OVER (ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) * w) END AS target FROM v),
 e AS (SELECT *, CASE WHEN n > 0 THEN floor(target / n) ELSE 0 END AS epochs FROM t),
-a AS (SELECT k.doc_id, k.size, e.source, e.n, e.target, e.epochs, e.target - e.epochs * e.n AS rest, sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id, tie RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source),
+a AS (SELECT k.doc_id, k.size, e.source, e.n, e.target, e.epochs, e.target - e.epochs * e.n AS rest, sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id, tie ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source),
 c AS (SELECT source, arg_min(upto, (abs(upto - rest), upto)) AS best FROM (SELECT source, upto, rest FROM a UNION ALL SELECT source, 0, max(rest) FROM a GROUP BY source) GROUP BY source)
 SELECT doc_id, size, CAST(n AS BIGINT) AS source_size, target, CAST(size * (epochs + CASE WHEN rest > 0 AND upto <= best THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM a JOIN c ON a.source IS NOT DISTINCT FROM c.source""",
     "op2_pivot_top_k": """

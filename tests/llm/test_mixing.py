@@ -106,3 +106,16 @@ def test_targets_fill_up(spark):
     got = {r["_mix_source"]: r["target"] for r in targets(keyed(docs, "doc_id", "text", "source", F.lit(1.0), 1), (5, 2, 1), 1.5, 2.0).collect()}
     want = filled({"a": 1, "b": 100, "c": 1000, None: 3})
     assert got == pytest.approx(want)
+
+
+@pytest.mark.parametrize("n", [1000, 10_000])
+def test_cut_among_equal_rows(spark, n):
+    """One row repeated: as many of it are taken as come nearest to the target."""
+    rows = [(1, "a b c d e f g h i", "a")] * n + [(k, f"x y {k}", "b") for k in range(2, 400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    got = mixed_report(docs, F.lit(None).cast("double")).collect()
+    check(docs.collect(), got)
+    one = [r for r in got if r["doc_id"] == 1]
+    assert abs(sum(r["taken"] for r in one) - one[0]["target"]) <= 9 and len({r["taken"] for r in one}) == 2
+    copies = mixed_documents(docs, F.lit(None).cast("double")).groupBy("doc_id").count().collect()
+    assert {r["doc_id"]: 9 * r["count"] for r in copies}[1] == sum(r["taken"] for r in one)
