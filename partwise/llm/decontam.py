@@ -9,12 +9,14 @@ kept as a wavelet matrix; all phrases are searched backwards at once, their
 rows are located by walking to sampled suffix positions, and the occurrences
 are merged into removal spans.
 
-Benchmarks go in blocks of ``block_chars`` characters, each broadcast for one
-pass over the documents; spans of several passes are merged, and a table is
-stored between passes so that the plan stays of one size.
+Benchmarks go in blocks of about ``block_chars`` characters, each broadcast for one
+pass over the documents: equal items are one, and a long item is cut into stretches
+that overlap by ``width - 1`` words. Spans of several passes are merged, and a table
+is stored between passes so that the plan stays of one size; the table before goes.
 
 Defined cases: a null text has no words and no hits; a null item text has no
-phrase; a null item id reads ``null``; equal rows are judged alike, each in a
+phrase; a null item id reads ``null``; a very long text is a shard of its own, whose
+arrays take some 60 bytes a word that phrases use; equal rows are judged alike, each in a
 row of its own; other columns are handed through by position (one named like a
 result, ``_found_...``, gives way to it); empty tables give no hits or no rows.
 """
@@ -29,12 +31,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from .common import packed_schema, row_of, rows_again, stored, use_memory, with_results
+from .common import forget, packed_schema, row_of, rows_again, stored, use_memory, with_results
 
 #: Word bytes are 0-9, a-z (A-Z lower-cased) and everything above 0x7F.
 FOLD = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
+WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 END = b"~"  # never a word, so it marks the end of a document
 SHARD, SHARD_BYTES = 2000, 16 << 20
 SAMPLE = 8
@@ -232,39 +234,53 @@ def shards(batch: pa.RecordBatch, texts: pa.Array) -> Iterator[pa.RecordBatch]:
         yield batch.slice(lo)
 
 
-def _pass(rows: DataFrame, phrases: Phrases, first: bool) -> DataFrame:
-    """(text, row) with the results of one block of phrases, those of earlier blocks merged in."""
+def _pass(rows: DataFrame, at: int, phrases: Phrases, first: bool) -> DataFrame:
+    """(row) with the results of one block of phrases, those of earlier blocks merged in; ``at``: where a row has its text."""
     sent = rows.sparkSession.sparkContext.broadcast(phrases)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use_memory("decontam")
         for batch in batches:
-            for part in shards(batch, batch.column("text")):
+            texts = pc.struct_field(batch.column("row"), [at]).cast(pa.string())
+            for part in shards(batch.append_column("text", texts), texts):
                 n, spans, items = scan_shard(part.column("text").to_pylist(), sent.value)
                 if not first:
                     for i, (s, x) in enumerate(zip(part.column("spans").to_pylist(), part.column("items").to_pylist())):
                         spans[i] = merged(spans[i] + [(y["start"], y["end"]) for y in s])
                         items[i].update(x)
                 columns = [
-                    part.column("text"), part.column("row"), pa.array(n, pa.int64()), pa.array([sum(b - a for a, b in s) for s in spans], pa.int64()),
+                    part.column("row"), pa.array(n, pa.int64()), pa.array([sum(b - a for a, b in s) for s in spans], pa.int64()),
                     pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], _SPAN),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["text", "row", "n_words", "n_hit", "items", "spans"])
+                yield pa.RecordBatch.from_arrays(columns, ["row", "n_words", "n_hit", "items", "spans"])
 
-    schema = StructType([rows.schema["text"], *packed_schema(rows, RESULT).fields])
-    return rows.mapInArrow(scan, schema)
+    return rows.mapInArrow(scan, packed_schema(rows, RESULT))
+
+
+def _pieces(items: DataFrame, width: int, block_chars: int) -> DataFrame:
+    """Distinct (item, t): items longer than a quarter of a block as stretches of words that share ``width - 1`` words, so that every window is in one of them."""
+    step = max(1, block_chars // 64)
+    words = F.regexp_extract_all(F.translate("t", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(WORD), 0)
+    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - width, F.lit(0)), F.lit(step))
+    cut = F.transform(starts, lambda i: F.array_join(F.slice("words", i + 1, F.lit(step + width - 1)), " "))
+    long = items.where(F.length("t") > block_chars // 4).select("item", words.alias("words")).select("item", F.explode(cut).alias("t"))
+    return items.where(F.length("t") <= block_chars // 4).unionByName(long).distinct()
 
 
 def _searched(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_text: str, width: int, block_chars: int) -> DataFrame:
     items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("item"), F.col(item_text).cast("string").alias("t"))
+    items = stored(_pieces(items, width, block_chars), "decontam-items")
     chars = items.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
     blocks = max(1, -(-chars // block_chars))
-    out = docs.select(F.col(text).cast("string").alias("text"), row_of(docs).alias("row"))
+    out, before = docs.select(row_of(docs).alias("row")), None
     for b in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item", "t"), F.lit(blocks)) == b).collect()  # bounded by block_chars
-        out = _pass(out, Phrases([(r["item"], r["t"]) for r in own], width), b == 0)
+        out = _pass(out, docs.columns.index(text), Phrases([(r["item"], r["t"]) for r in own], width), b == 0)
         if blocks > 1:
             out = stored(out, "decontam-block")
+            if before is not None:
+                forget(before)
+            before = out
     return out
 
 

@@ -79,3 +79,22 @@ def test_index_against_scan():
         for p, a, b in zip(phrases, low, high):
             want = [i for i in range(len(text)) if text[i : i + len(p)].tolist() == p]
             assert sorted(index.locate(np.arange(a, max(a, b))).tolist()) == want
+
+
+def test_long_and_repeated_items_go_in_bounded_blocks(spark, monkeypatch):
+    """One item repeated and one longer than a block: no block holds more than its bound allows."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(rng.randint(1, 3)))
+    long = [word() for _ in range(3000)]
+    items = [(1, "x y z " * 5)] * 500 + [(2, " ".join(long)), (2, " ".join(long)), (3, "only four words here"), (4, None), (5, "")]
+    docs = [(i, " ".join(long[i * 37 : i * 37 + 15]) + " and " + " ".join(long[-12:])) for i in range(60)] + [(90, "x y z " * 3), (91, "Only FOUR words here"), (92, " ".join(long[i] for i in range(9)))]
+    sizes, own = [], decontam._pass
+
+    def counted(rows, at, phrases, first):
+        sizes.append(len(phrases.sizes))
+        return own(rows, at, phrases, first)
+
+    monkeypatch.setattr(decontam, "_pass", counted)
+    got = decontam.find_benchmark(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_chars=1000)
+    assert found(got) == brute(docs, items)
+    assert len(sizes) > 5 and max(sizes) < 1200  # of 3,000 windows
