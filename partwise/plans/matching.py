@@ -111,17 +111,6 @@ sc AS (SELECT *, p_partkey AS query, p_partkey AS record, greatest(0, least(1000
 dc AS (SELECT *, CASE WHEN w_maker < 0 OR w_pack < 0 OR w_pins < 0 THEN 'rejected' WHEN relation = 'exact_component' AND basis = 'exact' AND w_ds >= 0 AND w_face >= 0 AND proof >= 2 AND score >= 950 THEN 'auto_accepted' WHEN score < 450 THEN 'rejected' ELSE 'review' END AS decision FROM sc)"""
 
 
-@query(f"""WITH {HITS}, n AS (SELECT unnest(list_distinct(keys)) AS key FROM k) SELECT 'exact' AS basis, count(DISTINCT lower(symbol)) AS n_keys, count(*) AS n_rows, count(*) FILTER (WHERE pins > 0) AS n_with_pins, count(*) FILTER (WHERE filters IS NOT NULL) AS n_with_filters, count(*) FILTER (WHERE symbol = 'R') AS n_generic FROM k
-UNION ALL SELECT 'alias', count(DISTINCT lower(ra[1])), count(ra[1]), 0, 0, 0 FROM k UNION ALL SELECT 'name', count(DISTINCT key), count(*), 0, 0, 0 FROM n UNION ALL SELECT 'description', count(DISTINCT t), count(*), 0, 0, 0 FROM (SELECT DISTINCT p_partkey, unnest({_tokens("words")}) AS t FROM k)""")
-def idx_parse(spark, sf_dir):
-    """The inverted index by kind of key; for the records themselves also pins, filters and the generic flag."""
-    known = records(spark, sf_dir)
-    keyed = index(known).groupBy("basis").agg(F.countDistinct("key").alias("n_keys"), F.count("*").alias("n_rows"))
-    facts = known.agg(F.count_if(F.col("pins") > 0).alias("p"), F.count_if(F.size("filters") > 0).alias("f"), F.count_if(m.is_generic(F.col("symbol"))).alias("g"))
-    own = lambda c: F.when(F.col("basis") == "exact", F.col(c)).otherwise(F.lit(0)).cast("long")
-    return keyed.join(F.broadcast(facts), how="inner").select("basis", "n_keys", "n_rows", own("p").alias("n_with_pins"), own("f").alias("n_with_filters"), own("g").alias("n_generic"))  # facts: one row
-
-
 @query("""SELECT CAST(count(*) FILTER (WHERE o.h = n.h) AS BIGINT) AS reused, CAST(count(*) FILTER (WHERE o.h <> n.h) AS BIGINT) AS changed, CAST(count(*) FILTER (WHERE o.h IS NULL) AS BIGINT) AS added, CAST(count(*) FILTER (WHERE n.h IS NULL) AS BIGINT) AS removed
 FROM (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 10 <> 0) o FULL JOIN (SELECT doc_id, sha256(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 11 <> 0) n ON o.doc_id = n.doc_id""")
 def idx_build(spark, sf_dir):

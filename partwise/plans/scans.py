@@ -160,12 +160,3 @@ def src_sexpr(spark, sf_dir):
     from partwise.sources.sexpr import symbols
 
     return symbols(libraries(spark, sf_dir))
-
-
-@query("""SELECT CAST(item_id // 20 AS VARCHAR) AS path, count(*) AS n_symbols, count(*) AS n_pins, min('S' || item_id) AS first_symbol FROM benchmark GROUP BY 1""")
-def src_symbol_lib_v1(spark, sf_dir):
-    """Symbols and pins per library."""
-    from partwise.sources.sexpr import symbols
-
-    found = symbols(libraries(spark, sf_dir)).where("error IS NULL")
-    return found.groupBy("path").agg(F.count("*").alias("n_symbols"), F.sum("n_pins").alias("n_pins"), F.min("symbol").alias("first_symbol"))
