@@ -20,7 +20,7 @@ WEIGHTS = {
 }
 SEVERE = ["manufacturer_conflict", "package_conflict", "pins_conflict"]
 BASES = ["exact", "alias", "name", "description"]
-ACCEPT, REJECT, LIMIT = 950, 450, 50
+ACCEPT, REJECT, LIMIT = 950, 450, 100
 ONBOARD = r"\b(?:based on|built around|contains|equipped with|main ic|onboard|on-board|uses)\b"
 # Names of symbols that stand for a class of parts.
 GENERIC = ["c", "capacitor", "connector", "crystal", "jumper", "l", "led", "r", "resistor"]
@@ -45,18 +45,40 @@ def _tag(basis: str):
     return lambda v: F.struct(F.lit(basis).alias("basis"), v.alias("key"))
 
 
-def lookups(queries: DataFrame, query: str, index: DataFrame, limit: int | None = None) -> DataFrame:
-    """(query, record, basis, shared): hits by the best basis, with the number of shared description tokens.
+def _nth(by: str | list[str], *order: Column | str) -> Column:
+    return F.row_number().over(Window.partitionBy(*([by] if isinstance(by, str) else by)).orderBy(*order))
 
-    ``limit``: hits by description alone are the ``limit`` with most shared tokens, ties to the smaller record.
+
+def by_description(asked: DataFrame, query: str, index: DataFrame, limit: int) -> DataFrame:
+    """(query, record): the ``limit`` records that share most tokens with the query, ties to the smaller record.
+
+    Queries that ask with the same tokens of the index are one, and so are records with the same tokens: only distinct
+    sets meet. A set of records stands for its ``limit`` smallest, as no other of them can be among the best.
+    """
+    tokens = lambda side, key, name: side.groupBy(key).agg(F.array_sort(F.collect_set("key")).alias(name))
+    known = index.select("key").distinct()
+    ours, theirs = tokens(asked.join(known, "key", "left_semi"), query, "ours"), tokens(index, "record", "theirs")
+    each = lambda sets, name: sets.select(name).distinct().select(name, F.explode(name).alias("key"))
+    shared = each(ours, "ours").join(each(theirs, "theirs"), "key").groupBy("ours", "theirs").agg(F.count("*").alias("shared"))
+    bearers = theirs.withColumn("nth", _nth("theirs", "record")).where(F.col("nth") <= limit).drop("nth")
+    best = shared.join(bearers, "theirs").withColumn("nth", _nth("ours", F.desc("shared"), "record")).where(F.col("nth") <= limit).select("ours", "record")
+    return ours.join(best, "ours").select(query, "record")
+
+
+def lookups(queries: DataFrame, query: str, index: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """(query, record, basis): the ``limit`` first hits of every query by best basis, then record.
+
+    ``queries``: (record, basis, key) of those who ask. Of a key that many records bear, only the ``limit`` smallest can come
+    among the first ``limit`` of any query, so a key gives no more; hits by description are the ``limit`` nearest.
     """
+    asked = queries.withColumnRenamed("record", query)
     rank = F.array_position(F.array(*[F.lit(b) for b in BASES]), F.col("basis")).cast("int")
-    hits = queries.withColumnRenamed("record", query).join(index, ["basis", "key"]).withColumn("r", rank)
-    hits = hits.groupBy(query, "record").agg(F.min("r").alias("r"), F.count_if(F.col("basis") == "description").alias("shared")).withColumn("basis", F.element_at(F.array(*[F.lit(b) for b in BASES]), F.col("r"))).drop("r")
-    if limit is None:
-        return hits
-    nth = F.row_number().over(Window.partitionBy(query, F.col("basis") == "description").orderBy(F.desc("shared"), "record"))
-    return hits.withColumn("nth", nth).where((F.col("basis") != "description") | (F.col("nth") <= limit)).drop("nth")
+    short = index.where("basis <> 'description'").withColumn("nth", _nth(["basis", "key"], "record")).where(F.col("nth") <= limit).drop("nth")
+    keyed = asked.where("basis <> 'description'").join(short, ["basis", "key"]).select(query, "record", rank.alias("r"))
+    described = by_description(asked.where("basis = 'description'").select(query, "key"), query, index.where("basis = 'description'").select("key", "record"), limit)
+    hits = keyed.unionByName(described.withColumn("r", F.lit(len(BASES)))).groupBy(query, "record").agg(F.min("r").alias("r"))
+    kept = hits.withColumn("nth", _nth(query, "r", "record")).where(F.col("nth") <= limit)
+    return kept.select(query, "record", F.element_at(F.array(*[F.lit(b) for b in BASES]), F.col("r")).alias("basis"))
 
 
 def confidence(contributions: Column) -> Column:

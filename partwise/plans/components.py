@@ -18,7 +18,7 @@ from partwise.plans.registry import table
 URL = "https://files.example.com/ds/"
 SHAPES: list[dict] = [
     dict(title="Grove Temperature Sensor {k}", summary="A temperature and humidity sensing module based on BME{k} for I2C.", description=("Overview", "It measures air temperature in a wide measurement range."), features=["High accuracy", "Low power"], applications=["Weather stations"], usage=("Getting Started", "Connect the module and open the sketch."), specs=[("Specification", [("Operating voltage", "3.3 V"), ("Temperature range", "-40 to 85 C"), ("Interface", "I2C"), ("Sensor IC", "BME{k}")])], pins=["VCC", "GND", "SDA"], ids=[("SKU", "SKU-{k}"), ("Manufacturer", "{brand}")], resources=[("Datasheet", URL + "bme{k}.pdf")]),
-    dict(title="OLED Display {k}", summary="A small screen.", description=("Introduction", "The panel shows text and graphics."), features=["High contrast"], specs=[("Specifications", [("Operating voltage", "3.3 V"), ("Resolution", "128 x 64"), ("Bus", "SPI"), ("Main IC", "SSD{k}")]), ("Technical Specifications", [("Operating voltage", "5 V")])], pins=["VCC", "CLK"], ids=[("Model", "SSD{k}"), ("Manufacturer", "{brand}")], resources=[("Datasheet", URL + "ssd{k}.pdf"), ("Library", "https://git.example.com/lib")]),
+    dict(title="OLED Display {k}", summary="A small screen.", description=("Introduction", "The panel shows text and graphics."), features=["High contrast"], specs=[("Specifications", [("Operating voltage", "3.3 V"), ("Resolution", "128 x 64"), ("Bus", "SPI"), ("Main IC", "SSD{k}")]), ("Technical Specifications", [("Operating voltage", "5 V")])], pins=["VCC", "CLK"], ids=[("Model", "SSD{k}"), ("SKU", "DISPLAY-KIT"), ("Manufacturer", "{brand}")], resources=[("Datasheet", URL + "ssd{k}.pdf"), ("Library", "https://git.example.com/lib")]),
     dict(title="LoRa Radio Module {k}", summary="Long range wireless link.", applications=["Farms", "Meters"], specs=[("Parameters", [("Frequency", "868 MHz"), ("Interface", "SPI"), ("Package", "QFN-24"), ("Pin count", "3")])], pins=["VCC", "MISO"], ids=[("Part number", "SX{k}"), ("Manufacturer", "{brand}")], resources=[("Datasheet", "https://radio.example.org/sx.pdf")]),
     dict(title="Servo Motor Driver {k}", summary="Drives two motors from a control board.", features=["Two channels"], specs=[("Specifications", [("Max current", "2 A"), ("Package", "SOIC")])], ids=[("Part number", "DRV{k}")], usage=("Play with Arduino", "Upload the example and watch the shaft.")),
     dict(title="XIAO Development Board {k}", summary="A board with USB.", description=("What is it", "A tiny board for learning."), features=["USB"], applications=["Wearables"], usage=("Usage", "Press reset twice."), specs=[("Specifications", [("Processor", "dual core"), ("Supply voltage", "5 V"), ("MCU", "ESP{k}"), ("Protocol", "USB")])], pins=["5V", "GND", "D0"], ids=[("Product ID", "PID-{k}"), ("Manufacturer", "{brand}")], resources=[("Schematic", "https://files.example.com/sch/{k}.pdf")]),

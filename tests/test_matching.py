@@ -37,3 +37,45 @@ def test_a_folder_is_listed_whole(spark):
     folder = "/root/testdata/sf0.001"
     got = {r["name"]: r["length"] for r in registry.QUERIES["src_local_dir"](spark, folder).select("name", "length").collect()}
     assert got == {n: os.path.getsize(f"{folder}/{n}") for n in os.listdir(folder) if n.endswith(".parquet")}
+
+
+def test_records_compete_for_pages(spark):
+    """Pages without a hit, with one, and with more than are kept; two accepted records block a page."""
+    from partwise.plans import matching, quality
+
+    sf = "/root/testdata/sf0.01"
+    counts = {r["query"]: r["n"] for r in matching.scored(spark, sf).groupBy("query").agg(F.count("*").alias("n")).collect()}
+    pages = spark.read.parquet(f"{sf}/part.parquet").count()
+    assert max(counts.values()) == 100 and sum(n == 100 for n in counts.values()) > 100 and any(n == 1 for n in counts.values()) and len(counts) < pages
+    twice = {r["p_partkey"] for r in quality.facts(spark, sf).where("n_accepted > 1").collect()}
+    assert twice and not {r["p_partkey"] for r in quality.evaluated(spark, sf).where("route <> 'reject'").collect()} & twice
+
+
+def lookup_by_definition(queries, index, limit):
+    from collections import Counter
+
+    bases, out = ["exact", "alias", "name", "description"], []
+    for q in {q for q, _, _ in queries}:
+        best, shared = {}, Counter(r for a, b, k in queries if a == q and b == "description" for b2, k2, r in index if b2 == b and k2 == k)
+        near = sorted(shared, key=lambda r: (-shared[r], r))[:limit]
+        for a, b, k in queries:
+            for b2, k2, r in index:
+                if a == q and b == b2 and k == k2 and (b != "description" or r in near):
+                    best[r] = min(best.get(r, 9), bases.index(b))
+        out += [(q, r, bases[n]) for n, r in sorted((n, r) for r, n in best.items())[:limit]]
+    return sorted(out)
+
+
+def test_capped_lookups_against_the_definition(spark):
+    import random
+
+    from partwise.operators import matching as m
+
+    rng = random.Random(6)
+    bases = {"exact": 40, "alias": 6, "name": 4, "description": 7}
+    index = {(b, f"{b[0]}{rng.randint(0, n)}", r) for b, n in bases.items() for r in range(80) for _ in range(2)} | {("name", "n0", r) for r in range(80)}
+    queries = {(q, b, f"{b[0]}{rng.randint(0, n + 2)}") for b, n in bases.items() for q in range(30) for _ in range(rng.randint(0, 3))}
+    i = spark.createDataFrame(sorted(index), "basis string, key string, record long")
+    q = spark.createDataFrame(sorted(queries), "record long, basis string, key string")
+    for limit in (3, 10, 200):
+        assert sorted(map(tuple, m.lookups(q, "query", i, limit).collect())) == lookup_by_definition(sorted(queries), sorted(index), limit)
