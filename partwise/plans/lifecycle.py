@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partwise.operators import lifecycle
@@ -31,11 +32,39 @@ def st_media_claim(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", action.alias("action"))
 
 
-@query("""SELECT conv_id, count(*) AS revision, max_by(role, turn) AS last_action, count(*) FILTER (WHERE role = 'assistant') > 0 AND max_by(role, turn) = 'assistant' AS confirmable FROM conversations GROUP BY conv_id""")
+def review_start(user: int) -> lifecycle.Review:
+    """Every draft: three enrichments, two of one external identity; the third is stale for every fourth draft."""
+    own = {"e0": ["suggested", "r0", "x"], "e1": ["suggested", "r1", "x"], "e2": ["stale" if user is not None and user % 4 == 0 else "suggested", "r2", "y"]}
+    return lifecycle.Review(own, ["i0", "i1"], ["s0", "s1"], {"p1", "p2", "p3", "p4"}, identity="i0")
+
+
+def review_actions(events: DataFrame) -> DataFrame:
+    """The event log read as actions on drafts: seven kinds by turns; every eleventh names the revision that it expects."""
+    e, n = F.col("event_id"), F.floor(F.col("event_id") / 7)
+    named = lambda letter, number: F.concat(F.lit(letter), number.cast("string"))
+    action = F.element_at(F.array(*[F.lit(x) for x in lifecycle.ACTIONS]), (e % 7 + 1).cast("int"))
+    target = F.when(e % 7 < 3, named("e", n % 4)).when(e % 7 == 3, named("i", n % 3)).when(e % 7 == 4, named("s", n % 3)).when(e % 7 == 5, named("c", n % 4))
+    value = F.when(e % 7 == 2, named("r", F.floor(e / 28) % 3)).when(e % 7 == 4, named("p", F.floor(e / 21) % 5))
+    return events.select("user_id", "event_id", action.alias("action"), target.alias("target"), value.alias("value"), F.when(e % 11 == 0, e % 40).alias("expected"))
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT user_id, event_id % 7 AS a, event_id // 7 AS n, (event_id // 28) % 3 AS rel, (event_id // 21) % 5 AS path, CASE WHEN event_id % 11 = 0 THEN event_id % 40 END AS expected, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
+f AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS rn, CAST(1 AS BIGINT) AS rev, false AS conf, [0, 0, CASE WHEN user_id % 4 = 0 THEN 3 ELSE 0 END] AS s, CAST([0, 1, 2] AS BIGINT[]) AS r, CAST(0 AS BIGINT) AS ident, CAST([NULL, NULL] AS BIGINT[]) AS m, [false, false, false, false] AS iss, CAST(0 AS BIGINT) AS refused, '' AS code FROM e
+ UNION ALL SELECT user_id, rn, CASE WHEN c = 'ok' THEN rev + 1 ELSE rev END, conf OR (c = 'ok' AND a = 6), CASE WHEN c = 'ok' AND a < 3 THEN list_transform(s, lambda x, i: CASE WHEN i = n % 4 + 1 THEN [1, 2, 0][a + 1] ELSE x END) ELSE s END,
+  CASE WHEN c = 'ok' AND a = 2 THEN list_transform(r, lambda x, i: CASE WHEN i = n % 4 + 1 THEN rel ELSE x END) ELSE r END, CASE WHEN c = 'ok' AND a = 3 THEN n % 3 ELSE ident END, CASE WHEN c = 'ok' AND a = 4 THEN list_transform(m, lambda x, i: CASE WHEN i = n % 3 + 1 THEN path ELSE x END) ELSE m END,
+  CASE WHEN c = 'ok' AND a = 5 THEN list_transform(iss, lambda x, i: x OR i = n % 4 + 1) ELSE iss END, CASE WHEN c = 'ok' THEN refused ELSE refused + 1 END, c
+ FROM (SELECT f.user_id, e.rn, f.rev, f.conf, f.s, f.r, f.ident, f.m, f.iss, f.refused, e.a, e.n, e.rel, e.path,
+  CASE WHEN expected <> rev THEN 'import_review_revision_conflict' WHEN conf THEN 'import_review_already_confirmed' WHEN a < 3 AND n % 4 = 3 THEN 'enrichment_not_found' WHEN a < 3 AND s[n % 4 + 1] = 3 THEN 'stale_enrichment_review_forbidden'
+   WHEN a = 2 AND r[n % 4 + 1] = rel THEN 'enrichment_relation_unchanged' WHEN a = 2 AND n % 4 < 2 AND r[2 - n % 4] = rel THEN 'enrichment_relation_conflict' WHEN a = 3 AND n % 3 = 2 THEN 'identity_candidate_not_found' WHEN a = 3 AND n % 3 = ident THEN 'identity_candidate_already_selected'
+   WHEN a = 4 AND path = 0 THEN 'specification_taxonomy_path_unknown' WHEN a = 4 AND n % 3 = 2 THEN 'unmapped_specification_not_found' WHEN a = 6 AND (list_contains(s, 0) OR list_contains(s, 3)) THEN 'draft_enrichments_unresolved' WHEN a = 6 AND (m[1] IS NULL OR m[2] IS NULL) THEN 'draft_specifications_unmapped' ELSE 'ok' END AS c
+  FROM f JOIN e ON e.user_id = f.user_id AND e.rn = f.rn + 1))
+SELECT user_id, rev AS revision, CASE WHEN conf THEN 'confirmed' ELSE 'pending' END AS status, array_to_string(list_transform(s, lambda x, i: 'e' || (i - 1) || '=' || ['suggested', 'accepted', 'rejected', 'stale'][x + 1]), ',') AS enrichments, array_to_string(list_transform(r, lambda x, i: 'e' || (i - 1) || '=r' || x), ',') AS relations,
+ 'i' || ident AS identity, array_to_string(list_filter(list_transform(m, lambda x, i: 's' || (i - 1) || '=p' || x), lambda x: x IS NOT NULL), ',') AS mapped, array_to_string(list_filter(list_transform(iss, lambda x, i: CASE WHEN x THEN 'c' || (i - 1) END), lambda x: x IS NOT NULL), ',') AS issues, refused AS n_refused, code AS last_code
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY rn DESC) AS l FROM f) WHERE l = 1""")
 def st_review(spark, sf_dir):
-    """Fold of an action log: one revision per action, confirmable if the last one resolves."""
-    out = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("revision"), F.max_by("role", "turn").alias("last_action"), F.count_if(F.col("role") == "assistant").alias("n"))
-    return out.select("conv_id", "revision", "last_action", ((F.col("n") > 0) & (F.col("last_action") == "assistant")).alias("confirmable"))
+    """Fold of an action log: seven actions with their checks of revision, state and target; confirmed only if all is resolved and mapped."""
+    return lifecycle.reviewed(review_actions(table(spark, sf_dir, "events")), "user_id", ["event_id"], review_start)
 
 
 @query("""SELECT d.doc_id, CASE WHEN l.quality IS NULL THEN 'suggested' WHEN d.source <> 'src1' AND d.doc_id % 7 = 0 THEN 'stale' WHEN l.toxic = 1 THEN 'conflict' WHEN l.quality = 1 THEN 'accepted' ELSE 'rejected' END AS status FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from partwise.operators.lifecycle import BLOCK, LIMIT, WINDOW
+from partwise.operators.lifecycle import throttle_step
 
 
 def event_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -38,14 +38,11 @@ STATE = "since long, n long, until long, blocks long"
 
 
 def _fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    since, n, until, blocks = state.get if state.exists else (None, 0, None, 0)
-    for t in sorted(int(x) for frame in frames for x in frame["seconds"]):
-        if since is None or since + WINDOW <= t:
-            since, n, until = t, 0, None
-        n += 1
-        if n >= LIMIT:
-            until, blocks = t + BLOCK, blocks + 1
-    state.update((since, n, until, blocks))
+    now = tuple(state.get) if state.exists else (None, 0, None, 0)
+    for t in sorted(int(x) for frame in frames for x in frame["seconds"]):  # one micro-batch's rows of a key, as numbers
+        now = throttle_step(now, t)
+    state.update(now)
+    since, n, until, blocks = now
     yield pd.DataFrame({"key": [key[0]], "since": [since], "n": [n], "until": pd.array([until], dtype="Int64"), "blocks": [blocks]})
 
 
