@@ -1,10 +1,14 @@
-"""Sinks and mutations as new versions of tables."""
+"""Sinks and mutations: versioned tables, read back as written, and plain joins."""
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partwise.operators import tables as t
+from partwise.operators.versioned import VersionedTable
 from partwise.plans.registry import query, table
 
 
@@ -14,33 +18,44 @@ def halves(spark, sf_dir):
     return orders.where("o_orderkey % 3 <> 0"), orders.where("o_orderkey % 2 = 0").withColumn("o_orderstatus", F.lit("N"))
 
 
+def versioned(rows: DataFrame, keys: list[str], buckets: int = 16) -> VersionedTable:
+    """A new versioned table in the shared folder."""
+    return VersionedTable.create(rows, f"{t.shared_folder(rows.sparkSession)}/partwise/table-{uuid.uuid4().hex}", keys, buckets)
+
+
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus ELSE 'N' END AS o_orderstatus FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0""")
 def sink_insert_ignore(spark, sf_dir):
-    """Rows with a known key are ignored."""
+    """Rows with a known key are ignored; the table is read back as written."""
     old, new = halves(spark, sf_dir)
-    return t.insert_ignore(old, new, ["o_orderkey"]).select("o_orderkey", "o_orderstatus")
+    stored = versioned(old, ["o_orderkey"])
+    return stored.read(stored.insert_ignore(new)).select("o_orderkey", "o_orderstatus")
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'N' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0""")
 def sink_upsert(spark, sf_dir):
-    """Rows with a known key replace it."""
+    """Rows with a known key replace it; the table is read back as written."""
     old, new = halves(spark, sf_dir)
-    return t.upsert(old, new, ["o_orderkey"]).select("o_orderkey", "o_orderstatus")
+    stored = versioned(old, ["o_orderkey"])
+    return stored.read(stored.upsert(new)).select("o_orderkey", "o_orderstatus")
 
 
-@query("""SELECT (SELECT count(*) FROM orders WHERE o_orderkey % 3 <> 0) + (SELECT count(*) FROM orders WHERE o_orderkey % 2 = 0) AS n_rows""")
+@query("""SELECT version, o_orderkey, o_orderstatus FROM (SELECT o_orderkey, o_orderstatus, unnest([0, 1]) AS version FROM orders WHERE o_orderkey % 3 <> 0 UNION ALL SELECT o_orderkey, 'N', 1 FROM orders WHERE o_orderkey % 2 = 0)""")
 def sink_append_log(spark, sf_dir):
+    """A log keeps every entry: both versions as read back, the second with the batch added."""
     old, new = halves(spark, sf_dir)
-    return old.unionByName(new).agg(F.count("*").alias("n_rows"))
+    stored = versioned(old, ["o_orderkey"])
+    stored.append(new)
+    each = [stored.read(v).select(F.lit(v).alias("version"), "o_orderkey", "o_orderstatus") for v in (0, 1)]
+    return each[0].unionByName(each[1])
 
 
 @query("""SELECT conv_id, string_agg(role, ',' ORDER BY turn) AS roles FROM conversations WHERE conv_id % 2 = 0 OR turn = 0 GROUP BY conv_id""")
 def sink_replace_children(spark, sf_dir):
-    """Child lists live as arrays on their parent and are overwritten as a whole."""
-    turns = table(spark, sf_dir, "conversations")
-    lists = lambda df: df.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("c"))
-    out = t.upsert(lists(turns.where("turn = 0")), lists(turns.where("conv_id % 2 = 0")), ["conv_id"])
-    return out.select("conv_id", F.array_join(F.transform("c", lambda x: x["role"]), ",").alias("roles"))
+    """The turns of a conversation are its children: those in the batch replace all that were there."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    stored = versioned(turns.where("turn = 0"), ["conv_id"])
+    rows = stored.read(stored.replace_children(turns.where("conv_id % 2 = 0")))
+    return rows.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]), ",").alias("roles"))
 
 
 @query("""SELECT DISTINCT p_type AS name, 'custom-' || substr(sha256(p_type), 1, 16) AS key FROM part""")
