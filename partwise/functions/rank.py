@@ -8,10 +8,15 @@ weights, divided by one plus the gap of other positions in it.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from partwise.functions.text import trigram_sequence, trigrams
+from partwise.functions.text import trigrams
 
 WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
 
@@ -69,24 +74,50 @@ def word_share(needle: Column, text: Column) -> Column:
     return F.coalesce(F.size(F.array_intersect(trigrams(needle), trigrams(text))) / F.size(trigrams(needle)), F.lit(0.0))
 
 
-def word_similarity(needle: Column, text: Column) -> Column:
-    """The greatest Jaccard similarity of the needle's trigrams and any stretch of the text's trigrams.
+def best_stretch(own: set[str], sequence: Iterable[str]) -> float:
+    """The greatest Jaccard similarity of ``own`` and any stretch of a sequence, in one sweep.
 
-    A best stretch begins and ends with a trigram of the needle, so only those are tried.
+    A best stretch holds its first and its last member once: without a repeated end it has the same members. So for
+    each end that is in ``own``, walking back over the distinct members by their latest place meets every start that matters;
+    the walk stops where even all of ``own`` could not make up for the members in between.
     """
+    latest: dict[str, None] = {}
+    best, most = 0.0, len(own)
+    if not own:
+        return best
+    for gram in sequence:
+        latest.pop(gram, None)
+        latest[gram] = None
+        if gram not in own:
+            continue
+        shared = other = 0
+        for x in reversed(latest):
+            if x in own:
+                shared += 1
+                best = max(best, shared / (most + other))
+                if shared == most:
+                    break
+            else:
+                other += 1
+                if best * (most + other) >= most:
+                    break
+    return best
+
+
+def grams_in_order(text: str) -> list[str]:
+    """The trigrams of a text as ``trigram_sequence`` has them: of every word, with two blanks before and one after."""
+    return [f"  {w} "[i : i + 3] for w in re.findall("[a-z0-9]+", text.lower()) for i in range(len(w) + 1)]
+
+
+@F.pandas_udf(DoubleType())
+def _best_stretches(needle: pd.Series, text: pd.Series) -> pd.Series:
+    return pd.Series([best_stretch(set(grams_in_order(a)), grams_in_order(b)) if a and b else 0.0 for a, b in zip(needle, text)], dtype=float)
+
+
+#: Marked so that no filter on its result moves it into a join's condition, where Python cannot run.
+_once_a_row = _best_stretches.asNondeterministic()
 
-    def of(x: Column) -> Column:
-        own, seq = x["own"], x["seq"]
-        at = F.filter(F.transform(seq, lambda g, i: F.when(F.array_contains(own, g), i)), lambda i: i.isNotNull())
-
-        def score(part: Column) -> Column:
-            both = F.size(F.array_intersect(own, part))
-            return both / (F.size(own) + F.size(F.array_distinct(part)) - both)
 
-        def best(starts: Column) -> Column:
-            return F.array_max(F.transform(starts, lambda a: F.array_max(F.transform(F.filter(starts, lambda b: b >= a), lambda b: score(F.slice(seq, a + 1, b - a + 1))))))
-
-        return F.element_at(F.transform(F.array(at), best), 1)  # the places are found once
-
-    sides = F.array(F.struct(trigrams(needle).alias("own"), trigram_sequence(text).alias("seq")))
-    return F.coalesce(F.element_at(F.transform(sides, of), 1), F.lit(0.0))
+def word_similarity(needle: Column, text: Column) -> Column:
+    """The greatest Jaccard similarity of the needle's trigrams and any stretch of the text's trigrams; 0 where either has none."""
+    return _once_a_row(needle, text)

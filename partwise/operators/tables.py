@@ -61,7 +61,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 _once: dict[tuple, DataFrame] = {}
 
 
-def once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+def stored_by(df: DataFrame, name: str, folder: str, order: list[str]) -> DataFrame:
+    """Like ``stored``, one folder for each value of the column ``folder``, sorted within: readers skip by both."""
+    path = f"{shared_folder(df.sparkSession)}/partwise/{name}-{uuid.uuid4().hex}"
+    df.repartition(folder, F.pmod(F.xxhash64(*order), F.lit(8))).sortWithinPartitions(folder, *order).write.partitionBy(folder).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame], keep: Callable[[DataFrame, str], DataFrame] = stored) -> DataFrame:
     """``build()`` stored once for a session, folder and state of its tables, for results that many queries share.
 
     The state is the folder's own listing: names, sizes and times of change.
@@ -71,5 +78,5 @@ def once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFr
     state = tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
     key = (spark.sparkContext.applicationId, sf_dir, name, state)
     if key not in _once:
-        _once[key] = stored(build(), name)
+        _once[key] = keep(build(), name)
     return _once[key]

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from partwise.functions import rank
-from partwise.operators import tables
+from partwise.functions.text import trigrams
+from partwise.operators import postings, tables
 from partwise.operators.similarity import similar_pairs, trigram_table
 from partwise.plans.registry import query, table
 
@@ -20,6 +21,23 @@ def search_documents(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", rank.weighted_tokens(parts).alias("tokens"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("all_text"))
 
 
+def token_index(spark, sf_dir):
+    """The stored positional index of all search documents, made once."""
+    build = lambda: postings.token_postings(search_documents(spark, sf_dir), "p_partkey", "tokens")
+    return tables.once(spark, sf_dir, "search-tokens", build, lambda df, name: tables.stored_by(df, name, "bucket", ["term"]))
+
+
+def gram_index(spark, sf_dir):
+    """The stored index of their trigrams, made once."""
+    build = lambda: postings.gram_postings(search_documents(spark, sf_dir), "p_partkey", trigrams(F.col("all_text")))
+    return tables.once(spark, sf_dir, "search-grams", build, lambda df, name: tables.stored_by(df, name, "bucket", ["term"]))
+
+
+def grams_of(spark, needle: str) -> list[str]:
+    """The distinct trigrams of a query."""
+    return spark.range(1).select(trigrams(F.lit(needle)).alias("g")).first()["g"]
+
+
 TOKENS = "(list_transform(regexp_extract_all(lower(p_name), '[a-z0-9]+'), lambda t: t || '=1.0') || list_transform(regexp_extract_all(lower(p_brand), '[a-z0-9]+'), lambda t: t || '=0.4') || list_transform(regexp_extract_all(lower(p_type), '[a-z0-9]+'), lambda t: t || '=0.2'))"
 
 
@@ -31,8 +49,8 @@ def fts_document(spark, sf_dir):
 
 @query("""SELECT p_partkey FROM part WHERE list_contains(regexp_extract_all(lower(p_name || ' ' || p_brand || ' ' || p_type), '[a-z0-9]+'), 'blue') AND list_contains(regexp_extract_all(lower(p_name || ' ' || p_brand || ' ' || p_type), '[a-z0-9]+'), 'small')""")
 def fts_match(spark, sf_dir):
-    """Every query token must occur."""
-    return search_documents(spark, sf_dir).where(rank.matches_all(F.col("tokens"), NEEDLE)).select("p_partkey")
+    """Every query token must occur; only the postings of these tokens are read."""
+    return postings.with_all(token_index(spark, sf_dir), NEEDLE).select(F.col("key").alias("p_partkey"))
 
 
 COVER = f"""
@@ -45,9 +63,9 @@ r AS (SELECT c.p_partkey, round(sum(2 / (1 / x.w + 1 / y.w) / (1 + (c.e - c.b -
 
 @query(COVER + """ SELECT p_partkey, rank FROM r""")
 def fts_rank(spark, sf_dir):
-    """Cover-density rank. No golden ranks exist; the two engines are held against each other."""
-    hits = search_documents(spark, sf_dir).where(rank.matches_all(F.col("tokens"), NEEDLE))
-    return hits.select("p_partkey", F.round(rank.cover_rank(F.col("tokens"), NEEDLE), 9).alias("rank"))
+    """Cover-density rank from the postings' places. No golden ranks exist; the two engines are held against each other."""
+    hits = postings.with_all(token_index(spark, sf_dir), NEEDLE)
+    return hits.select(F.col("key").alias("p_partkey"), F.round(rank.cover_rank(F.col("tokens"), NEEDLE), 9).alias("rank"))
 
 
 @query(f"""
@@ -69,9 +87,10 @@ FROM (SELECT *, list_filter(range(1, len(seq) + 1), lambda i: list_contains(g, s
 @query(f"""SELECT p_partkey, round(sim, 9) AS similarity FROM ({SIM.replace("NEEDLE", "blu smal")}) WHERE sim >= 0.3""")
 def trgm_word_similarity(spark, sf_dir):
     """Best stretch of the text's trigrams against the needle's; the share of the needle's trigrams sorts texts out first."""
-    needle = F.lit("blu smal")
-    docs = search_documents(spark, sf_dir).where(rank.word_share(needle, F.col("all_text")) >= 0.3)
-    return docs.select("p_partkey", F.round(rank.word_similarity(needle, F.col("all_text")), 9).alias("similarity")).where("similarity >= 0.3")
+    needle = "blu smal"
+    near = postings.with_share(gram_index(spark, sf_dir), grams_of(spark, needle), 0.3)
+    docs = search_documents(spark, sf_dir).join(near, F.col("p_partkey") == F.col("key"))
+    return docs.select("p_partkey", F.round(rank.word_similarity(F.lit(needle), F.col("all_text")), 9).alias("similarity")).where("similarity >= 0.3")
 
 
 RANKED = COVER + f""", w AS ({SIM.replace("NEEDLE", "blue small")}),
@@ -82,14 +101,17 @@ m AS (SELECT p.p_partkey, round(coalesce(r.rank, 0) + 0.35 * w.sim, 6) AS score
 def search_rank(spark, sf_dir):
     """Filters, match by words or by trigrams, rank plus 0.35 word similarity, top 20 with the total.
 
-    Texts whose share of the needle's trigrams is too small and that lack a word
-    are gone before anything is ranked; hits are stored once for top and total.
+    Candidates come from the postings of the needle's tokens and trigrams: those with every token, and those with a
+    share of the trigrams without which no stretch can be similar enough. Only their texts are read and ranked; hits
+    are stored once, as the total counts all of them.
     """
-    needle = F.lit(" ".join(NEEDLE))
-    docs = search_documents(spark, sf_dir).where("p_size >= 10").withColumn("words", rank.matches_all(F.col("tokens"), NEEDLE))
-    docs = docs.where(F.col("words") | (rank.word_share(needle, F.col("all_text")) >= 0.6)).withColumn("sim", rank.word_similarity(needle, F.col("all_text")))
-    cover = F.when(F.col("words"), F.round(rank.cover_rank(F.col("tokens"), NEEDLE), 9)).otherwise(F.lit(0.0))
-    hits = tables.stored(docs.where("words OR sim >= 0.6").select("p_partkey", F.round(cover + 0.35 * F.col("sim"), 6).alias("score")), "search-hits")
+    needle = " ".join(NEEDLE)
+    words = postings.with_all(token_index(spark, sf_dir), NEEDLE).select("key", F.round(rank.cover_rank(F.col("tokens"), NEEDLE), 9).alias("cover"))
+    near = postings.with_share(gram_index(spark, sf_dir), grams_of(spark, needle), 0.6)
+    found = words.join(near, "key", "full")
+    docs = search_documents(spark, sf_dir).where("p_size >= 10").join(found, F.col("p_partkey") == F.col("key")).withColumn("sim", rank.word_similarity(F.lit(needle), F.col("all_text")))
+    score = F.round(F.coalesce("cover", F.lit(0.0)) + 0.35 * F.col("sim"), 6)
+    hits = tables.stored(docs.where("cover IS NOT NULL OR sim >= 0.6").select("p_partkey", score.alias("score")), "search-hits")
     top = hits.orderBy(F.desc("score"), F.desc("p_partkey")).limit(20)
     return top.join(F.broadcast(hits.agg(F.count("*").alias("total"))), how="inner")  # one row
 
