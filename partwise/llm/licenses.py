@@ -1,42 +1,41 @@
 """License notices: MinHash bands over overlapping windows, then exact containment.
 
-Notices are a table of texts. A notice of S word 5-shingles belongs to the
-window size ``w``, the largest of ``WIDTHS`` up to S / 2 (at least 1). Texts are
-cut into windows of every width, ``max(1, w / 2)`` shingles apart; notices into
-windows at every offset. A window's signature is one minimum of hashes for each
-of ``BANDS`` bands (of one row), built from the minima of half windows, of those
-of the next smaller width, and so on; windows that agree in a band retrieve a
-notice. A whole notice in a text holds a window that equals one of the notice's,
-which agrees in every band; a window of Jaccard similarity 0.6 agrees in some
-band with probability 0.996, and of a notice contained to 0.75 some window is
-that similar on average of its windows. Retrieved notices are verified by the
-exact share of their shingles that the text around the window holds
-(``CONTAINED`` or more).
-
-Everything is DataFrame expressions; no Python runs on executors. A text's
-shingles go in pieces of ``PIECE`` with ``reach`` (the longest notice) of their
-neighbours on both sides. The notices' band keys are broadcast up to
-``BROADCAST_KEYS`` rows, else joined by a shuffle.
+Notices are a table of texts. Texts and notices are word 5-shingles; a shingle of a text
+that no notice has can neither be in a match nor agree with one, so it is left out and the
+rest keep their places. A notice of S shingles belongs to a window width, the largest of ``WIDTHS``
+of which a window at every ``step`` must lie within it. The windows of a text overlap (each place is in ``w / step`` of
+them); a notice has one at every place. A window's signature is ``BANDS`` bands of ``ROWS`` minima
+each, and windows that agree in all rows of some band retrieve the notice: at a Jaccard similarity J with probability
+``1 - (1 - J^ROWS)^BANDS`` a window, 0.997 for 0.75, 0.984 for 0.65, and a notice has many windows; a window
+of it that is unaltered in the text agrees for sure. Retrieved notices are verified by the exact
+share of their distinct shingles that the whole text holds (``CONTAINED`` or more).
+
+Everything is DataFrame expressions; no Python runs on executors. Texts go in
+pieces of ``PIECE`` words; shingles of a text that meet a notice's are stored once (place, shingle and
+notice), windows are minima by group, which every task pre-aggregates, and
+retrieved pairs meet the stored rows again. The notices' shingles and band keys are broadcast up to
+``BROADCAST_KEYS`` rows, else joined by a shuffle, where adaptive execution splits frequent ones.
 
 Defined cases: null texts and texts under five words hold no notice, a notice
-under five words is never found; rows with one doc_id (null too) report together;
-repeated matches of a license give one row; other columns are ignored; an empty
-table gives an empty result.
+under five words is never found, long notices have more windows; rows with one doc_id (null too) report together, each text judged by itself;
+repeated matches of a license give one row; other columns are ignored; a very long
+text is split into words as one array; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import stored
+
 SHINGLE = 5
-BANDS = 6
-WIDTHS = (1, 8, 32)
+BANDS, ROWS = 12, 2
+#: Window widths and the distance of a text's windows.
+WIDTHS = ((1, 1), (4, 1), (16, 8))
 CONTAINED = 0.75
 PIECE = 1 << 14
-#: Rows of band keys (16 bytes) or notices that may be broadcast.
+#: Rows of shingles or band keys (about 24 bytes) that may be broadcast.
 BROADCAST_KEYS = 1_000_000
 
 # Notice texts by SPDX identifier.
@@ -96,97 +95,69 @@ NOTICES = [
 ]
 
 
-def shingles(text: Column) -> Column:
-    """Hashes of all word 5-shingles of a text in order; empty under five words."""
-    words = F.split(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")), " ")
-
-    def of(w: Column) -> Column:
-        each = F.transform(F.sequence(F.lit(0), F.size(w) - SHINGLE), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE)]))
-        return F.when(F.size(w) >= SHINGLE, each).otherwise(F.array().cast("array<bigint>"))
-
-    return F.element_at(F.transform(F.array(words), of), 1)  # the words are bound once
-
-
-def bound(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once (a value that a lambda looks into would be computed for each element)."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+def words_of(text: Column) -> Column:
+    """Lower-case words of letters and digits."""
+    return F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), " "), lambda w: w != "")
 
 
-def _numbers(n: Column) -> Column:
-    """0 .. n - 1, empty for n < 1."""
-    return F.when(n > 0, F.sequence(F.lit(0), (n - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
+def placed_shingles(rows: DataFrame, text: str, keys: list[str]) -> DataFrame:
+    """(keys, at, h): the hash of every word 5-shingle of a text and the word where it begins."""
+    words = rows.select(*keys, words_of(F.col(text)).alias("ws")).where(F.size("ws") >= SHINGLE)
+    numbers = F.sequence(F.lit(0), F.floor((F.size("ws") - SHINGLE) / PIECE).cast("int"))
+    pieces = words.select(*keys, F.explode(F.transform(numbers, lambda i: F.struct((i * PIECE).alias("off"), F.slice("ws", i * PIECE + 1, F.lit(PIECE + SHINGLE - 1)).alias("ws")))).alias("p")).select(*keys, "p.off", "p.ws")
+    each = F.transform(F.sequence(F.lit(0), F.size("ws") - SHINGLE), lambda i: F.xxhash64(*[F.get("ws", i + k) for k in range(SHINGLE)]))
+    return pieces.select(*keys, "off", F.posexplode(each).alias("i", "h")).select(*keys, (F.col("off") + F.col("i")).alias("at"), "h")
 
 
-def _mask(band: int) -> Column:
-    """The order of a band: hashes by their distance (exclusive or) to a constant, so the least is a random member."""
-    return F.lit((band + 1) * 0x9E3779B97F4A7C15 % 2**63)
+def _mask(n: int) -> Column:
+    """An order of hashes: by their distance (exclusive or) to a constant, so the least is a random member."""
+    return F.lit((n + 1) * 0x9E3779B97F4A7C15 % 2**63)
 
 
-def _key(least: Column, w: int, at: Column | int = 0) -> Column:
-    """48 bits of a minimum and the width, and below them the place (under 2^16)."""
-    return F.shiftleft(least.bitwiseXOR(F.lit(w * 0x5851F42D4C957F2D % 2**63)), 16).bitwiseOR(F.lit(at).cast("long") if isinstance(at, int) else at.cast("long"))
+def signatures(members: DataFrame, window: list[str]) -> DataFrame:
+    """(window, key): a key for each band of every window of (window, h); ``w`` is among the window's columns."""
+    least = members.groupBy(*window).agg(*[F.min(F.col("h").bitwiseXOR(_mask(n))).alias(f"m{n}") for n in range(BANDS * ROWS)])
+    keys = [F.xxhash64(F.lit(b), "w", *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
+    return least.select(*window, F.explode(F.array(*keys)).alias("key"))
 
 
-def band_keys(s: Column) -> Column:
-    """A key with its place for each window of each width of an array of shingles, and each band."""
-    _, narrow, wide = WIDTHS
-    step, more = narrow // 2, wide // narrow
+def text_windows(at: Column, w: Column) -> Column:
+    """Where the windows of width ``w`` begin that a place of a text is in."""
+    starts = lambda width, step: F.array(*[(F.floor(at / step) - i) * step for i in range(width // step)])
+    return F.coalesce(*[F.when(w == width, starts(width, step)) for width, step in WIDTHS])
 
-    def minima(values: Column, by: int, read: Callable[[Column], Column]) -> Column:
-        return F.transform(_numbers(F.ceil(F.size(values) / by)), lambda i: F.least(*[read(F.get(values, i * by + j)) for j in range(by)]))
 
-    def of_width(w: int, halves: Column) -> Column:
-        n = F.greatest(F.size(halves) - 1, F.least(F.size(halves), F.lit(1)))
-        return F.transform(_numbers(n), lambda i: _key(F.least(F.get(halves, i), F.get(halves, i + 1)), w, i * (w // 2)))
-
-    def of_band(band: int) -> Column:
-        first = minima(s, step, lambda x: x.bitwiseXOR(_mask(band)))
-        return bound(first, lambda a: bound(minima(a, more, lambda x: x), lambda b: F.concat(of_width(narrow, a), of_width(wide, b))))
-
-    return F.concat(F.transform(s, lambda x, i: _key(x, 1, i)), *[of_band(b) for b in range(BANDS)])
-
-
-def notice_tables(notices: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of (license, text): (notice, license, w, own) with distinct shingles, and (key, notice) of the windows at all offsets."""
-    each = notices.where("text is not null").select("license", shingles(F.col("text")).alias("s")).where(F.size("s") > 0)
-    n = F.size("s")
-    w = F.coalesce(*[F.when(n >= 2 * w, F.lit(w)) for w in reversed(WIDTHS)], F.lit(1))
-    each = each.select(F.xxhash64("license", "s").alias("notice"), "license", "s", w.alias("w")).distinct()
-    cut = each.select("notice", "w", F.explode(F.transform(_numbers(n - F.col("w") + 1), lambda i: F.slice(F.col("s"), i + 1, F.col("w")))).alias("win"))
-    least = lambda b: F.array_min(F.transform("win", lambda x: x.bitwiseXOR(_mask(b))))
-    keys = lambda w: F.array(*[_key(least(b), w) for b in range(BANDS)])
-    own = F.when(F.col("w") == 1, F.array(_key(F.get("win", F.lit(0)), 1)))
-    for width in WIDTHS[1:]:
-        own = own.when(F.col("w") == width, keys(width))
-    return each.select("notice", "license", "w", F.array_distinct("s").alias("own")), cut.select("notice", F.explode(own).alias("key")).distinct()
+def notice_tables(notices: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of (license, text): (notice, license, n) with the number of distinct shingles, (notice, w, h), and (key, notice) of the windows at every place."""
+    own = stored(placed_shingles(notices.where("text IS NOT NULL").withColumn("notice", F.xxhash64("license", words_of(F.col("text")))), "text", ["notice", "license"]).distinct(), "license-shingles")
+    facts = own.groupBy("notice", "license").agg(F.countDistinct("h").alias("n"), (F.max("at") + 1).alias("size"))
+    width = F.coalesce(*[F.when(F.col("size") >= w + step - 1, F.lit(w)) for w, step in reversed(WIDTHS)])
+    facts = facts.select("notice", "license", "n", "size", width.alias("w"))
+    sized = own.join(facts.select("notice", "size", "w"), "notice")
+    starts = F.sequence(F.greatest(F.col("at") - F.col("w") + 1, F.lit(0)), F.least(F.col("at"), F.col("size") - F.col("w")))
+    keys = signatures(sized.select("notice", "w", "h", F.explode(starts).alias("start")), ["notice", "w", "start"]).select("key", "notice").distinct()
+    return facts.select("notice", "license", "n"), sized.select("notice", "w", "h").distinct(), keys
 
 
 def notice_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(NOTICES, "license string, text string")
 
 
+def _sent(table: DataFrame) -> DataFrame:
+    """Broadcast behind a count, else joined by a shuffle."""
+    return F.broadcast(table) if table.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else table.hint("merge")
+
+
 def license_matches(docs: DataFrame, doc_id="doc_id", text="text", notices: DataFrame | None = None) -> DataFrame:
-    """doc_id, license, containment (best), position (word of the first shared shingle)."""
-    facts, keys = notice_tables(notice_table(docs.sparkSession) if notices is None else notices)
-    small, reach = facts.agg(F.count("*"), F.coalesce(F.max(F.size("own")), F.lit(1))).first()
-    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    sent = (lambda t: F.broadcast(t)) if few and small <= BROADCAST_KEYS // 64 else (lambda t: t.hint("shuffle_hash"))
-
-    length = min(PIECE, 2**16 - 2 * reach - 1)
-    if length < 1:
-        raise ValueError(f"a notice of {reach} shingles is too long")
-    base = docs.select(F.col(doc_id).alias("doc_id"), shingles(F.col(text)).alias("s")).where(F.size("s") > 0)
-    piece = lambda i: F.struct(F.greatest(i * length - reach, F.lit(0)).alias("off"), F.slice(F.col("s"), F.greatest(i * length - reach, F.lit(0)) + 1, F.lit(length + 2 * reach)).alias("part"))
-    pieces = base.select("doc_id", F.explode(F.transform(_numbers(F.ceil(F.size("s") / length)), piece)).alias("p")).select("doc_id", "p.off", "p.part")
-    windows = pieces.select("doc_id", "off", "part", F.explode(band_keys(F.col("part"))).alias("x"))
-    windows = windows.select("doc_id", "off", "part", F.col("x").bitwiseAND(F.lit(2**16 - 1)).cast("int").alias("at"), F.col("x").bitwiseAND(F.lit(-(2**16))).alias("key"))
-    found = windows.join(sent(keys), "key").join(sent(facts), "notice")
-
-    start = F.greatest(F.col("at") - F.size("own"), F.lit(0))
-    near = found.select("doc_id", "license", "own", F.col("off"), start.alias("start"), F.slice("part", start + 1, F.col("w") + 2 * F.size("own")).alias("near"))
-    shared = near.withColumn("shared", F.array_intersect("near", "own"))
-    first = F.col("off") + F.col("start") + F.array_position("near", F.get("shared", F.lit(0))) - 1
-    return (
-        shared.select("doc_id", "license", (F.size("shared") / F.size("own")).alias("containment"), first.alias("first")).where(F.col("containment") >= CONTAINED)
-        .groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), F.min("first").cast("long").alias("position"))
-    )
+    """doc_id, license, containment (best), position (word of the first shared shingle from the first agreeing window on)."""
+    facts, own, keys = (stored(t, "license-notices") for t in notice_tables(notice_table(docs.sparkSession) if notices is None else notices))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = rows.select("doc_id", "text", F.xxhash64("text").alias("t"))
+    met = stored(placed_shingles(rows, "text", ["doc_id", "t"]).join(_sent(own), "h"), "license-met")
+    members = met.select("doc_id", "t", "w", "h", F.explode(text_windows(F.col("at"), F.col("w"))).alias("start"))
+    agreed = signatures(members, ["doc_id", "t", "w", "start"]).join(_sent(keys), "key")
+    found = agreed.groupBy("doc_id", "t", "notice").agg(F.min("start").alias("start"))
+    same = F.col("m.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("m.t") == F.col("f.t")) & (F.col("m.notice") == F.col("f.notice"))
+    held = met.alias("m").join(found.alias("f"), same).groupBy("f.doc_id", "f.t", "f.notice").agg(F.countDistinct("h").alias("shared"), F.min(F.when(F.col("at") >= F.col("start"), F.col("at"))).alias("at"))
+    whole = held.join(_sent(facts), "notice").withColumn("containment", F.col("shared") / F.col("n")).where(F.col("containment") >= CONTAINED)
+    return whole.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), F.min("at").cast("long").alias("position"))

@@ -74,3 +74,22 @@ def test_awkward_rows(spark):
 def test_no_python_on_executors(spark):
     plan = license_matches(read(spark, SF, "documents"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_a_notice_of_40_000_words(spark):
+    rng = random.Random(6)
+    long = [f"v{rng.randint(0, 10**6)}" for _ in range(40_000)]
+    notices = spark.createDataFrame([("Long", " ".join(long)), ("MIT", "Released under the MIT License.")], "license string, text string")
+    rows = [(1, "before " + " ".join(long)), (2, " ".join(long[: 31_000])), (3, " ".join(long[:29_000])), (4, "x released under the MIT license"), (5, " ".join(long[i] for i in range(0, 40_000, 2)))]
+    got = {(r["doc_id"], r["license"]): (r["containment"], r["position"]) for r in license_matches(spark.createDataFrame(rows, "doc_id long, text string"), notices=notices).collect()}
+    assert set(got) == {(1, "Long"), (2, "Long"), (4, "MIT")} and got[1, "Long"] == (1.0, 1) and got[4, "MIT"] == (1.0, 1)
+
+
+def test_bands_decide(spark, monkeypatch):
+    """Without an agreeing band nothing is found, whatever the containment."""
+    text = NOTICES[16][1]
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert license_matches(docs).count() > 0
+    own = licenses.notice_tables
+    monkeypatch.setattr(licenses, "notice_tables", lambda notices: (*own(notices)[:2], own(notices)[2].limit(0)))
+    assert license_matches(docs).count() == 0
