@@ -3,6 +3,6 @@
 from __future__ import annotations
 
 from partwise.plans import (  # noqa: F401
-    aggregates, composed, dedup, extraction, extras, identity, lifecycle, matching, metrics, normalize, quality, relational, scans, search, sinks, symbols, text, windows,
+    aggregates, articles, composed, dedup, extraction, extras, identity, lifecycle, matching, metrics, normalize, quality, relational, scans, search, sinks, symbols, text, windows,
 )
 from partwise.plans.registry import ALIASES, FLAGSHIP, ORACLE, QUERIES  # noqa: F401

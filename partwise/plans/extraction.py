@@ -24,24 +24,6 @@ def page_sections(spark, sf_dir):
     return markup.sections(page_lines(spark, sf_dir), "page_id")
 
 
-@query(f"WITH {SECTIONS} SELECT page_id, section, count(*) AS n_lines, min(line) AS first_line, max(line) AS last_line FROM s GROUP BY 1, 2")
-def src_markdown_v2(spark, sf_dir):
-    """Sections of a page with their lines; fenced lines are left out."""
-    return page_sections(spark, sf_dir).groupBy("page_id", "section").agg(F.count("*").alias("n_lines"), F.min("line").alias("first_line"), F.max("line").alias("last_line"))
-
-
-@query(f"WITH {LINES} SELECT page_id, trim(regexp_extract(body, '^#\\s+(.*)$', 1)) AS title, line FROM l WHERE regexp_matches(body, '^#\\s+')")
-def ext_titles(spark, sf_dir):
-    return page_lines(spark, sf_dir).where(F.col("body").rlike("^#\\s+")).select("page_id", F.trim(F.regexp_extract("body", "^#\\s+(.*)$", 1)).alias("title"), "line")
-
-
-@query(f"WITH {LINES}, p AS (SELECT page_id, line, trim(body) AS t FROM l WHERE length(trim(body)) > 40 AND NOT regexp_matches(body, '^\\s*([-#*+|]|\\[)')) SELECT page_id, min_by(t, line) AS summary, min(line) AS line FROM p GROUP BY page_id")
-def ext_summaries(spark, sf_dir):
-    """The first paragraph that is neither heading, item, table row nor link."""
-    rows = page_lines(spark, sf_dir).where((F.length(F.trim("body")) > 40) & ~F.col("body").rlike(r"^\s*([-#*+|]|\[)"))
-    return rows.groupBy("page_id").agg(F.min_by(F.trim("body"), "line").alias("summary"), F.min("line").alias("line"))
-
-
 @query(f"WITH {LINES} SELECT page_id, line, 'unknown' AS kind FROM l WHERE regexp_matches(body, '^#{{1,6}}\\s+') AND trim(regexp_replace(lower(regexp_extract(body, '^(#{{1,6}})\\s+(.*)$', 2)), '[^a-z0-9]+', ' ', 'g')) NOT IN ('features', 'overview', 'description', 'usage', 'resources', 'pins', 'pinout', 'applications')")
 def ext_sections(spark, sf_dir):
     """Heading to section kind; unknown headings are kept."""
