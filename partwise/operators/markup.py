@@ -118,6 +118,10 @@ def identifiers(rows: DataFrame) -> DataFrame:
 
 # Documents with front matter, imports and embedded components.
 
+def _strip(c: Column | str) -> Column:
+    return F.btrim(c, F.lit(" \t\n\r\x0b\x0c"))
+
+
 NEWLINE = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
 TAG, EXPRESSION = r"<[/!]?[A-Za-z][^>]*>", r"\{[^{}]{0,2000}\}"
 
@@ -129,7 +133,7 @@ def clean_markup(c: Column) -> Column:
         (r"(?<!\w)__([^_]+)__(?!\w)", "$1"), (r"(?<!\w)_([^_]+)_(?!\w)", "$1"), ("[`~]", ""), (r"\s+", " "),
     ):
         c = F.regexp_replace(c, pattern, new)
-    return F.trim(c)
+    return _strip(c)
 
 
 def document_lines(df: DataFrame, key: str, text: Column) -> DataFrame:
@@ -140,7 +144,7 @@ def document_lines(df: DataFrame, key: str, text: Column) -> DataFrame:
     pieces = F.split(text, NEWLINE)
     kept = F.when(F.element_at(pieces, -1) == "", F.slice(pieces, F.lit(1), F.size(pieces) - 1)).otherwise(pieces)
     rows = df.select(key, F.posexplode(kept).alias("n", "body")).select(key, (F.col("n") + 1).cast("long").alias("line"), "body")
-    by, mark = Window.partitionBy(key), F.trim("body") == "---"
+    by, mark = Window.partitionBy(key), _strip("body") == "---"
     opened = F.max((F.col("line") == 1) & mark).over(by)
     closed = F.min(F.when((F.col("line") > 1) & mark, F.col("line"))).over(by)
     return rows.withColumn("end", F.when(~opened, 0).otherwise(F.coalesce(closed, F.lit(-1))).cast("long"))
@@ -148,10 +152,10 @@ def document_lines(df: DataFrame, key: str, text: Column) -> DataFrame:
 
 def metadata(rows: DataFrame) -> DataFrame:
     """(.., name, value, warning) for the entries of the front matter: a value, or why the line is ignored; comments and blank lines are neither."""
-    own = rows.where((F.col("line") > 1) & (F.col("line") < F.col("end"))).where((F.trim("body") != "") & ~F.ltrim("body").startswith("#"))
+    own = rows.where((F.col("line") > 1) & (F.col("line") < F.col("end"))).where((_strip("body") != "") & ~_strip("body").startswith("#"))
     at = F.instr("body", ":")
-    name = F.lower(F.trim(F.substr("body", F.lit(1), at - 1)))
-    value = F.btrim(F.trim(F.substr("body", at + 1)), F.lit("'\""))
+    name = F.lower(_strip(F.substr("body", F.lit(1), at - 1)))
+    value = F.btrim(_strip(F.substr("body", at + 1)), F.lit("'\""))
     bad = ~name.rlike("^[a-z][a-z0-9_-]{0,63}$") | (value == "") | value.rlike(r"!!|&|\*")
     warning = F.when(at == 0, "frontmatter_entry_ignored").when(bad, "frontmatter_value_ignored")
     return own.withColumn("warning", warning).withColumn("name", F.when(warning.isNull(), name)).withColumn("value", F.when(warning.isNull(), clean_markup(value)))
@@ -173,10 +177,10 @@ def body_lines(rows: DataFrame, key: str) -> DataFrame:
 def document_sections(rows: DataFrame, key: str) -> DataFrame:
     """Text lines with their section: (.., section, level, heading, heading_line); section 0 is what comes before the first heading, headings are no lines of their own."""
     by, pattern = Window.partitionBy(key).orderBy("line"), r"^(#{1,6})\s+(.+?)\s*$"
-    own = rows.where("text IS NOT NULL").withColumn("_head", F.trim("text").rlike(pattern))
+    own = rows.where("text IS NOT NULL").withColumn("_head", _strip("text").rlike(pattern))
     head = lambda value: F.last(F.when(F.col("_head"), value), ignorenulls=True).over(by)
     out = own.withColumn("section", F.sum(F.col("_head").cast("int")).over(by)).withColumns({
-        "level": F.coalesce(head(F.length(F.regexp_extract(F.trim("text"), pattern, 1))), F.lit(0)), "heading": head(clean_markup(F.regexp_extract(F.trim("text"), pattern, 2))), "heading_line": head(F.col("line")),
+        "level": F.coalesce(head(F.length(F.regexp_extract(_strip("text"), pattern, 1))), F.lit(0)), "heading": head(clean_markup(F.regexp_extract(_strip("text"), pattern, 2))), "heading_line": head(F.col("line")),
     })
     return out.withColumnRenamed("_head", "is_heading")
 
@@ -184,7 +188,7 @@ def document_sections(rows: DataFrame, key: str) -> DataFrame:
 def document_paragraphs(rows: DataFrame, key: str) -> DataFrame:
     """(key, section, line, value) of the paragraphs of sections: runs of lines between blanks, table rows, items, pictures and headings."""
     by = Window.partitionBy(key).orderBy("line")
-    t = F.trim("text")
+    t = _strip("text")
     stops = F.col("is_heading") | (t == "") | t.startswith("|") | t.rlike(r"^\s*[-*+]\s+(.+?)\s*$") | t.rlike(r"!\[([^\]]*)\]\(([^)\s]+)\)")
     runs = rows.withColumn("_stop", stops).withColumn("_run", F.sum(F.col("_stop").cast("int")).over(by)).where(~F.col("_stop"))
     whole = runs.groupBy(key, "section", "_run").agg(F.sort_array(F.collect_list(F.struct("line", "text"))).alias("xs"))
