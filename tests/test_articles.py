@@ -22,7 +22,7 @@ def parsed(spark, *texts):
 
 def test_front_matter(spark):
     ended, unended, late, odd, empty, none = parsed(
-        spark, "---\nTitle: 'A **b**'\nsku:\t\"S: 1\"\n---\nbody", "---\ntitle: x\nbody", "\n---\ntitle: x\n---", "---\n: v\n1a: v\nok_key-2: v\nk: a & b\nk: '\"'\nword\n # note: x\n---", "", None
+        spark, "---\nTitle: 'A `b`'\nsku:\t\"S: 1\"\n---\nbody", "---\ntitle: x\nbody", "\n---\ntitle: x\n---", "---\n: v\n1a: v\nok_key-2: v\nk: a & b\nk: '\"'\nword\n # note: x\n---", "", None
     )
     assert ended["fields"] == [(2, "title", "A b"), (3, "sku", "S: 1")] and ended["lines"] == [(5, 0, 0, None, "body")] and ended["warnings"] == []
     assert unended["fields"] == [] and [x[-1] for x in unended["lines"]] == ["---", "title: x", "body"] and unended["warnings"] == ["frontmatter_unterminated"]
