@@ -70,7 +70,9 @@ def same(got, rows):
     assert len(got) == len(want)
     for g, w in zip(got, want):
         assert g[:5] == w[:5]
-        assert g[5:] == pytest.approx(w[5:], rel=1e-5)
+        assert g[5:7] == pytest.approx(w[5:], rel=1e-5)
+    sizes = sorted((i, -s * math.log2(10) / (sum(len(x.encode()) + 1 for x in words(t)) + 1)) for (i, t), s in zip(rows, tree_scores(rows)) if i is not None)
+    assert sorted((g[0], g[7]) for g in got if g[0] is not None) == [(i, pytest.approx(b, rel=1e-5)) for i, b in sizes]
 
 
 def test_query_base_against_plain_version(spark):
@@ -118,3 +120,41 @@ def test_probabilities_of_a_byte_sum_to_one():
     p = 10 ** tree.log10_probability(every, lm.Top(list(zip(*tree.top()))))
     assert p[(every >> np.uint64(8)) == np.uint64(context >> 8)].sum() == pytest.approx(1)
     assert np.array_equal(lm.unpacked(lm.packed(every)), every)
+
+
+def test_report_rows_grow_with_the_input(spark, monkeypatch):
+    """Twice the text makes twice the chunks and about twice the rows, not four times."""
+    import random
+
+    monkeypatch.setattr(lm, "CHUNK_CHARS", 6_000)
+    monkeypatch.setattr(lm, "SLOTS", 16)
+    rng, rows, kept = random.Random(1), {}, lm.stored
+
+    def counted(df, name):
+        out = kept(df, name)
+        rows.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(lm, "stored", counted)
+    for n in (400, 800):
+        docs = spark.createDataFrame([(i, " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(20))) for i in range(n)], "doc_id long, text string")
+        assert lm.scored(docs).count() == n
+    assert rows["lm-counts"][1] <= 2.3 * rows["lm-counts"][0]
+
+
+def test_batches_hot_pairs_and_repeated_rows(spark, monkeypatch):
+    """Many groups, batches and sums of sums give the scores of one; a text of one pair of bytes and a row repeated are like any other."""
+    docs = spark.createDataFrame([(i, "ab" * (i % 40) + f" ab {i % 5}") for i in range(120)] + [(7, "same words again")] * 200, "doc_id long, text string").repartition(3)
+    docs = kept_table(docs)
+    want = sorted(map(tuple, lm.scored(docs).collect()), key=repr)
+    for name, value in (("CHUNK_CHARS", 300), ("SLOTS", 8), ("GROUP_KEYS", 100), ("BATCH", 2), ("FAN", 2)):
+        monkeypatch.setattr(lm, name, value)
+    got = sorted(map(tuple, lm.scored(docs).collect()), key=repr)
+    assert len(got) == len(want)
+    assert all(a[:5] == b[:5] and all(abs(x - y) <= 1e-4 * (1 + abs(y)) for x, y in zip(a[5:], b[5:])) for a, b in zip(got, want))
+
+
+def kept_table(df):
+    from partwise.llm.common import stored
+
+    return stored(df, "lm-test")
