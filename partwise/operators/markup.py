@@ -22,7 +22,7 @@ SECTION_KINDS = {
     "identity": ["part list", "product data", "product information"],
 }
 # Labels of identifiers.
-IDENTIFIER_LABELS = [("sku", "sku"), ("model", "model"), ("model number", "model"), ("part number", "part_number"), ("part no", "part_number"), ("product id", "product_id")]
+IDENTIFIER_LABELS = [("sku", "sku"), ("model", "model"), ("model number", "model"), ("part number", "part_number"), ("part no", "part_number"), ("product id", "product_id"), ("brand", "brand"), ("product family", "brand")]
 ITEM = r"^\s*(?:[-*+]|[0-9]+[.)])\s+(.*)$"
 PAIR = r"^\s*(?:[-*+]\s+)?([^:|]{1,60}):\s+(.+)$"
 LINK = r"(?<!!)\[([^\]]*)\]\(([^)\s]+)"

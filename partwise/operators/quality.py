@@ -15,11 +15,11 @@ WEIGHTS = {"identity": 150, "description": 120, "specifications": 150, "pinout":
 REJECT, READY = 500, 800
 # What a profile expects: code, evidence in the source, and the fact that satisfies it.
 EXPECTED = {
-    "display": [("interface_missing", r"\b(?:i2c|i²c|spi|interface)\b", "interface"), ("resolution_missing", r"\bresolution\b|\b\d{2,4}\s*[x×]\s*\d{2,4}\b", "resolution")],
-    "sensor": [("quantity_missing", r"\b(?:temperature|humidity|pressure|distance|range|sensor)\b", "quantity"), ("range_missing", r"\b(?:measurement|measuring|temperature|humidity|pressure)?\s*range\b", "range")],
-    "board": [("mcu_missing", r"\b(?:mcu|microcontroller|processor|esp32|atmega|rp2040)\b", "ic"), ("power_missing", r"\b(?:power|supply|voltage|vcc|vin)\b", "power"), ("interface_missing", r"\b(?:i2c|spi|uart|usb|wi-?fi|bluetooth|interface)\b", "interface")],
-    "actuator": [("power_missing", r"\b(?:power|supply|voltage|current|vcc|vin)\b", "power"), ("control_missing", r"\b(?:i2c|spi|pwm|digital|interface|control)\b", "interface")],
-    "communication": [("interface_missing", r"\b(?:can|i2c|spi|uart|lora|radio|interface)\b", "interface"), ("frequency_missing", r"\b(?:frequency|mhz|ghz|band)\b", "frequency")],
+    "display": [("quality.profile.display.interface_missing", r"\b(?:i2c|i²c|spi|interface)\b", "interface"), ("quality.profile.display.resolution_missing", r"\bresolution\b|\b\d{2,4}\s*[x×]\s*\d{2,4}\b", "resolution")],
+    "sensor": [("quality.profile.sensor.quantity_missing", r"\b(?:temperature|humidity|pressure|distance|range|sensor)\b", "quantity"), ("quality.profile.sensor.range_missing", r"\b(?:measurement|measuring|temperature|humidity|pressure)?\s*range\b", "range")],
+    "board": [("quality.profile.board.mcu_missing", r"\b(?:mcu|microcontroller|processor|esp32|atmega|rp2040)\b", "ic"), ("quality.profile.board.power_missing", r"\b(?:power|supply|voltage|vcc|vin)\b", "power"), ("quality.profile.board.interface_missing", r"\b(?:i2c|spi|uart|usb|wi-?fi|bluetooth|interface)\b", "interface")],
+    "actuator": [("quality.profile.actuator.power_missing", r"\b(?:power|supply|voltage|current|vcc|vin)\b", "power"), ("quality.profile.actuator.control_missing", r"\b(?:i2c|spi|pwm|digital|interface|control)\b", "interface")],
+    "communication": [("quality.profile.communication.interface_missing", r"\b(?:can|i2c|spi|uart|lora|radio|interface)\b", "interface"), ("quality.profile.communication.frequency_missing", r"\b(?:frequency|mhz|ghz|band)\b", "frequency")],
 }
 DESCRIBED = r"\bdescription\b|\boverview\b|\bintroduction\b"
 PINNED = r"\bpin(?:out| map| definition| assignment|s)?\b|\b(?:sda|scl|vcc|gnd)\b"

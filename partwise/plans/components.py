@@ -76,7 +76,7 @@ def page_rows(spark, sf_dir) -> DataFrame:
     return rows.withColumn("kind", markup.section_kind(F.col("heading")))
 
 
-# Labels that name a manufacturer, an interface, a primary part or a package.
+# Labels that name a manufacturer, an interface, a primary part or a package, and how a text names its part.
 MANUFACTURER_LABELS = ["manufacturer", "manufacturer name"]
 INTERFACE_LABELS = ["bus", "communication interface", "interface", "interfaces", "protocol"]
 PRIMARY_IC_LABELS = ["chip", "controller", "main chip", "main ic", "mcu", "microcontroller", "primary ic", "sensor ic"]

@@ -59,14 +59,49 @@ def date_lease(spark, sf_dir):
     return table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select("o_orderkey", (F.col("o_orderdate") < limit).alias("lease_expired"))
 
 
-# Canonical keys of labels in the older specification list.
-LEGACY_KEYS = [("operating voltage", "voltage"), ("supply voltage", "voltage"), ("supply current", "current"), ("bus", "interface"), ("interface", "interface"), ("colour", "color")]
-
-
-@query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'voltage' WHEN 1 THEN 'current' WHEN 2 THEN 'interface' ELSE 'color' END AS key FROM part""")
+# Keys of the older specification list, their labels, and the names under which they come.
+LEGACY_SPECS = [
+    ("supply-voltage", "Supply voltage", ["supply", "supply voltage", "input voltage", "working voltage", "rated voltage", "voltage"]),
+    ("operating-voltage", "Operating voltage", ["operating voltage", "operation voltage", "operational voltage"]),
+    ("operating-current", "Operating current", ["current", "current consumption", "operating current", "operation current", "working current"]),
+    ("power-consumption", "Power consumption", ["power consumption", "rated power", "max power", "maximum power"]),
+    ("operating-temperature", "Operating temperature", ["operating temperature", "operating temperature range", "operation temperature", "working temperature", "temperature range"]),
+    ("measurement-range", "Measurement range", ["detection range", "measuring range", "measurement range", "operating range", "range", "sensing range"]),
+    ("accuracy", "Accuracy", ["accuracy", "measurement accuracy"]),
+    ("resolution", "Resolution", ["resolution"]),
+    ("frequency", "Frequency", ["frequency", "operating frequency", "sampling frequency"]),
+    ("dimensions", "Dimensions", ["dimensions", "dimension", "product size", "size"]),
+    ("weight", "Weight", ["net weight", "weight"]),
+    ("interface", "Interface", ["bus", "communication interface", "interface", "protocol"]),
+    ("connector", "Connector", ["connector", "connector type"]),
+    ("electrical-life", "Electrical life", ["electrical life", "mechanical life"]),
+    ("actuation-force", "Actuation force", ["actuation force", "operation force", "operating force"]),
+]
+LONGEST_VALUE = 2_000
+#: Every name as it may be written, and some that no key has; a part's label is the one at its key modulo their number.
+WRITTEN = [f"{n.upper()} :" if i % 3 == 0 else f"  {n.replace(' ', ' - ')}" if i % 3 == 1 else n.capitalize() for i, n in enumerate(n for _, _, names in LEGACY_SPECS for n in names)] + ["Colour", "Warranty (years)", "", "Supply/voltage", "actuation-force"]
+
+
+def legacy_specification(label: Column, value: Column) -> Column:
+    """(key, label, value) of a label and value by the older list; null for an unknown label or an empty value."""
+    names = F.create_map(*[F.lit(x) for key, _, own in LEGACY_SPECS for n in dict.fromkeys([*own, key.replace("-", " ")]) for x in (n, key)])
+    labels = F.create_map(*[F.lit(x) for key, shown, _ in LEGACY_SPECS for x in (key, shown)])
+    key, text = names[spaced_key(label)], F.trim(F.regexp_replace(value, r"\s+", " "))
+    return F.when(key.isNotNull() & (text != ""), F.struct(key.alias("key"), labels[key].alias("label"), F.substring(text, 1, LONGEST_VALUE).alias("value")))
+
+
+_names = ", ".join(f"('{n}', '{key}', '{shown}')" for key, shown, own in LEGACY_SPECS for n in dict.fromkeys([*own, key.replace("-", " ")]))
+
+
+@query(f"""
+WITH n(name, key, label) AS (VALUES {_names}), p AS (SELECT p_partkey, {WRITTEN}[1 + p_partkey % {len(WRITTEN)}] AS raw, CASE WHEN p_partkey % 13 = 0 THEN '   ' ELSE '  ' || p_size || '   V ' END AS value FROM part)
+SELECT p_partkey, n.key, n.label, trim(regexp_replace(value, '\s+', ' ', 'g')) AS value FROM p JOIN n ON n.name = trim(regexp_replace(lower(raw), '[^a-z0-9]+', ' ', 'g')) WHERE trim(value) <> ''""")
 def map_spec_v1(spark, sf_dir):
-    known = F.create_map(*[F.lit(x) for pair in LEGACY_KEYS for x in pair])
-    return raw_specs(spark, sf_dir).select("p_partkey", known[spaced_key(F.col("label"))].alias("key"))
+    """Labels by the older list: fifteen keys with all their names, however written; unknown ones and empty values are left out."""
+    raw = F.element_at(F.array(*[F.lit(x) for x in WRITTEN]), (F.col("p_partkey") % len(WRITTEN) + 1).cast("int"))
+    value = F.when(F.col("p_partkey") % 13 == 0, "   ").otherwise(F.concat(F.lit("  "), F.col("p_size"), F.lit("   V ")))
+    found = table(spark, sf_dir, "part").select("p_partkey", legacy_specification(raw, value).alias("x")).where("x IS NOT NULL")
+    return found.select("p_partkey", "x.key", "x.label", "x.value")
 
 
 @query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN p_size || '-' || (p_size + 5) || ' V' WHEN 1 THEN p_size || ' mA' WHEN 2 THEN 'IIC' ELSE 'red' END AS value FROM part""")

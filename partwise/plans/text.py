@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from partwise.functions import text as fn
+from partwise.operators.hamming import nearest_hashes
 from partwise.plans.registry import also, query, table
 
 FOLD = "replace(lower(trim(text)), 'ß', 'ss')"
@@ -126,18 +127,10 @@ def sign_hash(vector: str, first: int) -> Column:
 
 
 def nearest_signs(vectors: DataFrame, k: int = 10) -> DataFrame:
-    """(a, b, similarity) over 64 sign bits: the k nearest of all rows for every id divisible by 50.
-
-    Equal hashes are one class. Ties go to the smaller id, so a class needs its
-    k + 1 smallest ids only: one of them may be the query itself.
-    """
+    """(a, b, similarity) over 64 sign bits: the k nearest of all rows for every id divisible by 50; one of the k + 1 nearest of its hash may be itself."""
     hashes = vectors.select("vec_id", sign_hash("embedding", 0).alias("lo"), sign_hash("embedding", 32).alias("hi"))
-    first = F.row_number().over(Window.partitionBy("lo", "hi").orderBy("vec_id"))
-    classes = hashes.withColumn("rn", first).where(F.col("rn") <= k + 1).select(F.col("vec_id").alias("b"), F.col("lo").alias("blo"), F.col("hi").alias("bhi"))
     asked = hashes.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "a")
-    apart = F.bit_count(F.col("lo").bitwiseXOR(F.col("blo"))) + F.bit_count(F.col("hi").bitwiseXOR(F.col("bhi")))
-    rank = F.row_number().over(Window.partitionBy("lo", "hi").orderBy("apart", "b"))
-    near = asked.select("lo", "hi").distinct().crossJoin(classes).withColumn("apart", apart).withColumn("rn", rank).where(F.col("rn") <= k + 1).drop("rn")
+    near = nearest_hashes(asked, hashes, ["lo", "hi"], "vec_id", k + 1).withColumnRenamed("other", "b")
     own = F.row_number().over(Window.partitionBy("a").orderBy("apart", "b"))
     found = asked.join(near, ["lo", "hi"]).where("a <> b").withColumn("rn", own).where(F.col("rn") <= k)
     return found.select("a", "b", (1 - F.col("apart") / F.lit(64.0)).alias("similarity"))
