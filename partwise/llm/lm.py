@@ -20,7 +20,7 @@ before a tree is built. The tree's top (depths 2 to 0: the nodes that occur, at
 Each batch of chunks then gets back just the counts and probabilities of its own words and grams. Words are keyed by a 64-bit hash.
 
 Bounds: a chunk and a batch's blocks of a group are bounded by these parameters; a group's distinct keys
-are, up to ``SLOTS * GROUP_KEYS`` (four thousand million) distinct grams in all.
+are, up to ``SLOTS * GROUP_KEYS`` (two thousand million) distinct grams in all.
 
 Defined cases: a null text is empty: one end token, one end byte; a null
 doc_id counts as learned from; equal rows count as often as they occur and are dealt
@@ -45,7 +45,7 @@ from .common import forget, released, stored
 DEPTH = 5
 #: Subtrees from this depth down are whole in one group.
 LEAST = 3
-SLOTS, GROUP_KEYS, BATCH, FAN = 1024, 4_000_000, 1024, 4
+SLOTS, GROUP_KEYS, BATCH, FAN = 512, 4_000_000, 1024, 4
 CHUNK_CHARS = 24_000_000
 #: Chunks that a small input is dealt into, of at least this many characters.
 FEW_CHUNKS, LEAST_CHARS = 12, 5_000_000
@@ -167,6 +167,8 @@ def _blocks(table: pa.Table, kind: int) -> list[tuple[int, np.ndarray, np.ndarra
 
 def _by_kind(blocks: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys with their sums; a slot's keys may be in several blocks of one chunk."""
+    if len(blocks) == 1:  # a block's keys are distinct and in order
+        return blocks[0][1], blocks[0][2].astype(np.int64)
     return _tally([k for _, k, _ in blocks], [n for _, _, n in blocks])
 
 
@@ -229,7 +231,8 @@ class Subtrees:
                 n0, n1 = self.n0[d][at], self.n1[d][at]
                 odds = (self.own[d] - self.below[d])[at] if d < DEPTH else None
             else:
-                at = np.searchsorted(top.ids[d], (self._context(grams, d).astype(np.int64)[None, :] << 8) | self.prefix.astype(np.int64))
+                node = self.ids[LEAST]
+                at = np.searchsorted(top.ids[d], ((self._context(node, d) << np.uint64(8)) | (node & np.uint64(0xFF))).astype(np.int64))[self.at[LEAST]]
                 n0, n1, odds = top.n0[d][at], top.n1[d][at], top.odds[d][at]
             total = n0 + n1
             own = (np.where(self.bit == 1, n1, n0) + 0.5) / (total + 1)
@@ -319,9 +322,10 @@ def _chunk_scores(tokens: int, distinct: int, ends: int):
                 out["base_score"].append(float(base[i].sum()) + end_base)
             gram, starts = grams_of(split)
             mine = np.unique(gram)
-            if not np.array_equal(tables[GRAM][0][np.minimum(np.searchsorted(tables[GRAM][0], mine), len(tables[GRAM][0]) - 1)], mine):
+            at_key = np.minimum(np.searchsorted(tables[GRAM][0], mine), max(0, len(tables[GRAM][0]) - 1))
+            if not np.array_equal(tables[GRAM][0][at_key], mine):
                 raise RuntimeError("rows were dealt to other chunks than before: the documents do not read alike twice")
-            chance = tables[GRAM][1][np.searchsorted(tables[GRAM][0], mine)]
+            chance = tables[GRAM][1][at_key]
             score = np.add.reduceat(chance[np.searchsorted(mine, gram)], starts)
             out["score"] += score.tolist()
             out["bits_per_byte"] += (-score * np.log2(10) / np.diff(np.append(starts, len(gram)))).tolist()
