@@ -95,7 +95,7 @@ _names = ", ".join(f"('{n}', '{key}', '{shown}')" for key, shown, own in LEGACY_
 
 @query(f"""
 WITH n(name, key, label) AS (VALUES {_names}), p AS (SELECT p_partkey, {WRITTEN}[1 + p_partkey % {len(WRITTEN)}] AS raw, CASE WHEN p_partkey % 13 = 0 THEN '   ' ELSE '  ' || p_size || '   V ' END AS value FROM part)
-SELECT p_partkey, n.key, n.label, trim(regexp_replace(value, '\s+', ' ', 'g')) AS value FROM p JOIN n ON n.name = trim(regexp_replace(lower(raw), '[^a-z0-9]+', ' ', 'g')) WHERE trim(value) <> ''""")
+SELECT p_partkey, n.key, n.label, trim(regexp_replace(value, '\\s+', ' ', 'g')) AS value FROM p JOIN n ON n.name = trim(regexp_replace(lower(raw), '[^a-z0-9]+', ' ', 'g')) WHERE trim(value) <> ''""")
 def map_spec_v1(spark, sf_dir):
     """Labels by the older list: fifteen keys with all their names, however written; unknown ones and empty values are left out."""
     raw = F.element_at(F.array(*[F.lit(x) for x in WRITTEN]), (F.col("p_partkey") % len(WRITTEN) + 1).cast("int"))
