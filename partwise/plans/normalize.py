@@ -75,23 +75,38 @@ def norm_interfaces(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.explode(F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("unmapped")))).alias("interface"))
 
 
-@query("""SELECT l_partkey, 'quantity' AS path, count(DISTINCT l_quantity) AS n_values, count(DISTINCT l_linenumber) AS n_sections FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_quantity) >= 2 AND count(DISTINCT l_linenumber) >= 2""")
+def mapped_facts(spark, sf_dir):
+    """(p_partkey, section, nth, label, path, normalized) of the facts of all pages that the registry knows."""
+    rows = facts(spark, sf_dir).select("p_partkey", F.posexplode("specs").alias("nth", "s"))
+    return rows.select("p_partkey", "s.section", "nth", "s.label", "s.path", "s.normalized").where("path IS NOT NULL")
+
+
+_facts = f"""WITH {SPECS}, mf AS (SELECT p_partkey, section, nth, label, path, replace(normalized, '{{k}}', p_partkey::VARCHAR) AS normalized FROM part JOIN nv ON p_partkey % {components.N} = shape WHERE path IS NOT NULL)"""
+
+
+@query(_facts + """ SELECT p_partkey, path, count(DISTINCT normalized) AS n_values, count(DISTINCT section) AS n_sections FROM mf GROUP BY 1, 2 HAVING count(DISTINCT normalized) >= 2 AND count(DISTINCT section) >= 2""")
 def norm_conflicts(spark, sf_dir):
-    out = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.countDistinct("l_quantity").alias("n_values"), F.countDistinct("l_linenumber").alias("n_sections"))
-    return out.where("n_values >= 2 AND n_sections >= 2").select("l_partkey", F.lit("quantity").alias("path"), "n_values", "n_sections")
+    """Paths for which two sections of a page give unlike values."""
+    out = mapped_facts(spark, sf_dir).groupBy("p_partkey", "path").agg(F.countDistinct("normalized").alias("n_values"), F.countDistinct("section").alias("n_sections"))
+    return out.where("n_values >= 2 AND n_sections >= 2")
 
 
-@query("""SELECT l_partkey, l_returnflag, count(*) AS n_evidence, string_agg(l_orderkey || '.' || l_linenumber, ' ' ORDER BY l_orderkey, l_linenumber) AS evidence FROM lineitem GROUP BY 1, 2""")
+@query(_facts + """ SELECT p_partkey, path, normalized, count(*) AS n_evidence, string_agg(label, ' | ' ORDER BY section, nth) AS evidence FROM mf GROUP BY 1, 2, 3""")
 def norm_merge(spark, sf_dir):
-    """Equal facts merged, their evidence in order."""
-    places = F.transform(F.sort_array(F.collect_list(F.struct("l_orderkey", "l_linenumber"))), lambda x: F.concat_ws(".", x["l_orderkey"], x["l_linenumber"]))
-    return table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_returnflag").agg(F.count("*").alias("n_evidence"), F.array_join(places, " ").alias("evidence"))
+    """Equal facts of a page merged, their labels in order (a page's own facts are a short list)."""
+    labels = F.transform(F.sort_array(F.collect_list(F.struct("section", "nth", "label"))), lambda x: x["label"])
+    return mapped_facts(spark, sf_dir).groupBy("p_partkey", "path", "normalized").agg(F.count("*").alias("n_evidence"), F.array_join(labels, " | ").alias("evidence"))
 
 
-@query(f"""WITH {REGISTRY} SELECT DISTINCT array_to_string(s[1:i], '.') AS branch FROM (SELECT s, unnest(range(1, len(s))) AS i FROM (SELECT DISTINCT string_split(path, '.') AS s FROM reg))""")
+@query(_facts + """, b AS (SELECT DISTINCT path, array_to_string(s[1:i], '.') AS branch FROM (SELECT path, s, unnest(range(1, len(s))) AS i FROM (SELECT DISTINCT path, string_split(path, '.') AS s FROM reg)))
+SELECT branch, count(mf.p_partkey) AS n_facts, count(DISTINCT mf.p_partkey) AS n_pages FROM b LEFT JOIN mf ON mf.path = b.path GROUP BY 1""")
 def norm_taxonomy_branches(spark, sf_dir):
-    """All proper prefixes of the registry's dotted paths."""
-    return specs.branches(specs.registry(spark))
+    """Every branch of the taxonomy (a proper prefix of a dotted path) with the facts and pages under it."""
+    parts = F.split("path", r"\.")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "."))
+    under = specs.registry(spark).select("path").distinct().where(F.size(parts) > 1).select("path", F.explode(prefixes).alias("branch"))
+    counted = mapped_facts(spark, sf_dir).groupBy("path", "p_partkey").agg(F.count("*").alias("n"))
+    return under.join(counted, "path", "left").groupBy("branch").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_facts"), F.countDistinct("p_partkey").alias("n_pages"))
 
 
 @query(f"""WITH {REGISTRY} SELECT count(*) AS overlaps, count(*) = 0 AS valid FROM reg r JOIN reg q ON r.alias = q.alias AND r.path < q.path AND (r.profile = q.profile OR (r.profile IS NULL AND q.profile IS NULL))""")
