@@ -79,3 +79,21 @@ def test_capped_lookups_against_the_definition(spark):
     q = spark.createDataFrame(sorted(queries), "record long, basis string, key string")
     for limit in (3, 10, 200):
         assert sorted(map(tuple, m.lookups(q, "query", i, limit).collect())) == lookup_by_definition(sorted(queries), sorted(index), limit)
+
+
+def test_keys_and_records_that_many_have_are_dealt_out(spark, monkeypatch):
+    """Keys of many askers go over blocks, records of many pages come by broadcast: the same hits, each once."""
+    from partwise.operators import matching as m
+
+    monkeypatch.setattr(m, "SPREAD", 5)
+    monkeypatch.setattr(m, "HOT", 5)
+    queries = [(q, b, k) for q in range(40) for b, k in (("alias", "kit"), ("exact", f"e{q}"), ("description", "sensor"), ("description", f"d{q % 3}"))]
+    index = [(b, k, r) for r in range(25) for b, k in (("alias", "kit" if r % 2 else "other"), ("exact", f"e{r}"), ("description", "sensor"), ("description", f"d{r % 4}"))]
+    i, q = spark.createDataFrame(index, "basis string, key string, record long"), spark.createDataFrame([(a, b, k) for a, b, k in queries], "record long, basis string, key string")
+    for limit in (4, 30):
+        lists = m.listed(q, "query", i, limit)
+        want = lookup_by_definition(queries, index, limit)
+        assert sorted((r["query"], h["record"], h["basis"]) for r in lists.collect() for h in r["hits"]) == want
+        pages, known = spark.range(40).select(F.col("id").alias("query"), (F.col("id") * 2).alias("page")), spark.range(25).select(F.col("id").alias("record"), (F.col("id") * 3).alias("symbol"))
+        got = m.paired(lists, pages, known, "query").select("query", "record", "basis", "page", "symbol").collect()
+        assert sorted(map(tuple, got)) == [(a, r, b, a * 2, r * 3) for a, r, b in want]
