@@ -97,3 +97,15 @@ def test_keys_and_records_that_many_have_are_dealt_out(spark, monkeypatch):
         pages, known = spark.range(40).select(F.col("id").alias("query"), (F.col("id") * 2).alias("page")), spark.range(25).select(F.col("id").alias("record"), (F.col("id") * 3).alias("symbol"))
         got = m.paired(lists, pages, known, "query").select("query", "record", "basis", "page", "symbol").collect()
         assert sorted(map(tuple, got)) == [(a, r, b, a * 2, r * 3) for a, r, b in want]
+
+
+def test_dimensions_of_the_page_alone_match_nothing(spark, monkeypatch):
+    from partwise.operators import quality
+    from partwise.plans import matching
+
+    def refuse(*_):
+        raise AssertionError("matched")
+
+    monkeypatch.setattr(matching, "scored", refuse)
+    for name in [*(f"q_{n}" for n in quality.UNMATCHED), "q_expectations", "q_evidence_match"]:
+        registry.QUERIES[name](spark, "/root/testdata/sf0.001").count()
