@@ -39,25 +39,26 @@ MOST_FILES, MOST_BYTES, DIGEST_GROUPS = 10_000, 2 * 1024 * 1024, 64
 def snapshot(pages: DataFrame) -> DataFrame:
     """A bounded file map of (page_id, url, html): path, size and count limits, content digest of every file, and the revision that pins all of them.
 
-    The revision is a digest of the digests of groups of files. All files are counted; a map of more than
-    ``MOST_FILES`` is refused: it has no revision, and none of its digests is gathered.
+    ``files_sha256`` is a digest of the digests of groups of files, whatever their number. It is the ``revision`` of a map that
+    is taken; a map of more than ``MOST_FILES`` is refused and has none, but is counted and digested as whole as any other.
     """
     n, path = F.octet_length("html").cast("long"), F.ltrim(F.regexp_extract("url", "^[a-z]+://[^/]+(/[^?#]*)", 1), F.lit("/"))
     files = pages.agg(F.count("*").alias("files"))
-    own = pages.select("page_id", F.sha2("html", 256).alias("h")).join(F.broadcast(files.where(F.col("files") <= MOST_FILES)), how="inner")  # one row, or none
+    own = pages.select("page_id", F.sha2("html", 256).alias("h"))
     joined = lambda key, value: F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(key, value))), lambda x: F.concat_ws(":", x[key], x[value])), ","), 256)
     groups = own.groupBy(F.coalesce(F.pmod("page_id", F.lit(DIGEST_GROUPS)), F.lit(-1)).alias("g")).agg(joined("page_id", "h").alias("d"))
-    whole = files.join(F.broadcast(groups.agg(joined("g", "d").alias("revision"))), how="inner")  # one row each
-    whole = whole.withColumn("revision", F.when(F.col("files") <= MOST_FILES, F.col("revision")))
+    whole = files.join(F.broadcast(groups.agg(joined("g", "d").alias("files_sha256"))), how="inner")  # one row each
+    whole = whole.withColumn("revision", F.when(F.col("files") <= MOST_FILES, F.col("files_sha256")))
     verdict = F.when(n > MOST_BYTES, "file_too_large").when(path.rlike(r"(^|/)\.\.?(/|$)|^$"), "path_unsafe").when(F.col("files") > MOST_FILES, "too_many_files").otherwise("ok")
-    return pages.join(F.broadcast(whole), how="inner").select("page_id", path.alias("path"), n.alias("n_bytes"), F.sha2("html", 256).alias("content_sha256"), verdict.alias("verdict"), "revision")  # whole: one row
+    return pages.join(F.broadcast(whole), how="inner").select("page_id", path.alias("path"), n.alias("n_bytes"), F.sha2("html", 256).alias("content_sha256"), verdict.alias("verdict"), "revision", "files_sha256")  # whole: one row
 
 
 @query("""
 WITH g AS (SELECT page_id % 64 AS g, sha256(string_agg(page_id || ':' || sha256(html), ',' ORDER BY page_id)) AS d FROM pages GROUP BY 1)
 SELECT page_id, ltrim(regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1), '/') AS path, CAST(octet_length(encode(html)) AS BIGINT) AS n_bytes, sha256(html) AS content_sha256,
   CASE WHEN octet_length(encode(html)) > 2097152 THEN 'file_too_large' WHEN regexp_matches(ltrim(regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1), '/'), '(^|/)[.][.]?(/|$)|^$') THEN 'path_unsafe' WHEN (SELECT count(*) FROM pages) > 10000 THEN 'too_many_files' ELSE 'ok' END AS verdict,
-  CASE WHEN (SELECT count(*) FROM pages) <= 10000 THEN (SELECT sha256(string_agg(g || ':' || d, ',' ORDER BY g)) FROM g) END AS revision FROM pages""")
+  CASE WHEN (SELECT count(*) FROM pages) <= 10000 THEN (SELECT sha256(string_agg(g || ':' || d, ',' ORDER BY g)) FROM g) END AS revision,
+  (SELECT sha256(string_agg(g || ':' || d, ',' ORDER BY g)) FROM g) AS files_sha256 FROM pages""")
 def src_snapshot(spark, sf_dir):
     """The pages as a bounded file map."""
     return snapshot(table(spark, sf_dir, "pages"))

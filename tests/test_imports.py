@@ -41,3 +41,16 @@ def test_long_titles_stay_whole(spark, monkeypatch):
     monkeypatch.setattr(components, "pages", lambda spark, sf_dir: spark.createDataFrame([(1, "b", 0, "r1", text)], "p_partkey long, brand string, shape int, revision string, text string"))
     titles = components.facts(spark, "").first().titles
     assert titles[0] == title and len(titles) == 1501
+
+
+def test_snapshots_of_any_size_are_digested_whole(spark):
+    """Of more files than the limit, too, every file is in the digest of all."""
+    import hashlib
+
+    from partwise.plans import scans
+
+    n, sha = 10_500, lambda text: hashlib.sha256(text.encode()).hexdigest()
+    pages = spark.range(n).select(F.col("id").alias("page_id"), F.concat(F.lit("https://a.example/en/"), F.col("id")).alias("url"), F.concat(F.lit("<p>"), F.col("id")).alias("html"))
+    groups = [sha(",".join(f"{i}:{sha(f'<p>{i}')}" for i in range(g, n, 64))) for g in range(64)]
+    got = scans.snapshot(pages.repartition(5)).select("files_sha256").distinct().collect()
+    assert [r["files_sha256"] for r in got] == [sha(",".join(f"{g}:{d}" for g, d in enumerate(groups)))]
