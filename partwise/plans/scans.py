@@ -127,9 +127,11 @@ def src_object_listing(spark, sf_dir):
 
 @query()
 def src_local_dir(spark, sf_dir):
-    """A directory as files with content digests (``binaryFile``, name filter), without reading links."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(sf_dir)
-    return files.select(F.regexp_extract("path", r"((?:[^/]+\.parquet/)?[^/]+)$", 1).alias("name"), "length", F.sha2("content", 256).alias("sha"), F.col("path").rlike("|".join(SUPPORTED_SUFFIXES)).alias("supported"))
+    """A directory as files with digests of their content, which is read in pieces (``sources/files.py``), without reading links."""
+    from partwise.sources.files import digested
+
+    files = digested(spark, sf_dir, ".parquet")
+    return files.select(F.regexp_extract("path", r"((?:[^/]+\.parquet/)?[^/]+)$", 1).alias("name"), "length", "sha", F.col("path").rlike("|".join(SUPPORTED_SUFFIXES)).alias("supported"))
 
 
 @query("""

@@ -39,6 +39,27 @@ def test_a_folder_is_listed_whole(spark):
     assert got == {n: os.path.getsize(f"{folder}/{n}") for n in os.listdir(folder) if n.endswith(".parquet")}
 
 
+def test_files_are_digested_in_pieces(spark, tmp_path):
+    """Files longer than ``binaryFile`` takes, split nowhere; odd ones with and without marks at their ends."""
+    import hashlib
+    import random
+
+    mark, order, some = b"\x15", b"\xef\xbb\xbf", random.Random(5).randbytes(300_000)
+    found = [mark, mark * 3, b"x", order, order + mark, order + b"text", b"PAR1", b"PAR1" + some + b"PAR1", b"PAR1" + some + mark, some, order + some + mark, b"line\r\nline\n", b"\0" * 200_000]
+    files = {f"f{n}.parquet": data for n, data in enumerate(found)} | {"a b+%20é{1}.parquet": b"name", "table.parquet/part-0.parquet": some[:5000], "table.parquet/part-1.parquet": some[5000:]}
+    (tmp_path / "table.parquet").mkdir()
+    for name, data in (files | {"other.txt": some, "empty.parquet": b""}).items():  # Spark's sources list no empty files
+        (tmp_path / name).write_bytes(data)
+    for key, value in (("spark.sql.sources.binaryFile.maxLength", "1000"), ("spark.sql.files.maxPartitionBytes", "20000")):
+        spark.conf.set(key, value)
+    try:
+        got = {r["name"]: (r["length"], r["sha"]) for r in registry.QUERIES["src_local_dir"](spark, str(tmp_path)).collect()}
+    finally:
+        for key in ("spark.sql.sources.binaryFile.maxLength", "spark.sql.files.maxPartitionBytes"):
+            spark.conf.unset(key)
+    assert got == {name: (len(data), hashlib.sha256(data).hexdigest()) for name, data in files.items()}
+
+
 def test_records_compete_for_pages(spark):
     """Pages without a hit, with one, and with more than are kept; two accepted records block a page."""
     from partwise.plans import matching, quality
